@@ -51,57 +51,75 @@ def _check_bits(x_bits: int, y_bits: int) -> int:
     return x_bits
 
 
-def _bit(value: Column, place: Column) -> Column:
-    return F.call_function("shiftright", value, place).bitwiseAND(F.lit(1).cast("bigint"))
+# The Hilbert curve four levels at a time. The orientation inside a quadrant is two flags, axes
+# swapped and both axes flipped; a table row holds what four levels of one orientation do, so an
+# index is a chain of lookups that code generation keeps flat: a row refers to the one before once.
+_LEVELS = 4
+_CODES = 1 << (2 * _LEVELS)
+
+
+def _walk(swapped: int, flipped: int, x: int, y: int) -> tuple[int, int]:
+    """Distance digits of four levels and the orientation after them (swapped + 2 * flipped)."""
+    digits = 0
+    for level in reversed(range(_LEVELS)):
+        bx, by = x >> level & 1, y >> level & 1
+        rx, ry = (by if swapped else bx) ^ flipped, (bx if swapped else by) ^ flipped
+        digits = digits << 2 | (3 * rx ^ ry)
+        if ry == 0:
+            swapped, flipped = swapped ^ 1, flipped ^ rx
+    return digits, swapped | flipped << 1
+
+
+def _tables() -> tuple[Column, Column]:
+    """Forward rows ``digits * 4 + next`` by (state, x, y); backward rows ``(x, y) * 4 + next`` by
+    (state, digits)."""
+    forward, backward = [0] * (4 * _CODES), [0] * (4 * _CODES)
+    for state in range(4):
+        for place in range(_CODES):
+            digits, after = _walk(state & 1, state >> 1, place >> _LEVELS, place & (1 << _LEVELS) - 1)
+            forward[state * _CODES + place] = digits << 2 | after
+            backward[state * _CODES + digits] = place << 2 | after
+    return tuple(F.expr(f"array({','.join(map(str, rows))})") for rows in (forward, backward))
+
+
+def _groups(bits: int) -> tuple[int, int]:
+    """Four-level groups for ``bits`` levels and the start state. Leading zero levels only swap
+    the axes back and forth, so an odd number of them starts swapped."""
+    n = -(-bits // _LEVELS)
+    return n, (n * _LEVELS - bits) % 2
 
 
 def hilbert_encode(col: Column, row: Column, bits: int) -> Column:
-    """Distance along the Hilbert curve of order ``bits``.
-
-    A fold over bit levels: a lambda variable keeps the expression linear in the number of
-    levels, where nested Columns would grow exponentially.
-    """
-    _check_bits(bits, bits)
-
-    def step(acc, place):
-        rx, ry = _bit(acc.x, place), _bit(acc.y, place)
-        side = F.call_function("shiftleft", F.lit(1).cast("bigint"), place) - 1
-        quad = (rx * 3).bitwiseXOR(ry)
-        low_x, low_y = acc.x.bitwiseAND(side), acc.y.bitwiseAND(side)
-        turned_x = F.when(rx == 1, side - low_x).otherwise(low_x)
-        turned_y = F.when(rx == 1, side - low_y).otherwise(low_y)
-        return F.struct(
-            (acc.d + F.call_function("shiftleft", quad, place * 2)).alias("d"),
-            F.when(ry == 0, turned_y).otherwise(low_x).alias("x"),
-            F.when(ry == 0, turned_x).otherwise(low_y).alias("y"))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("d"), col.cast("bigint").alias("x"),
-                     row.cast("bigint").alias("y"))
-    levels = F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1))
-    return F.aggregate(levels, start, step, lambda acc: acc.d)
-
-
-def hilbert_decode(index: Column, bits: int) -> Column:
-    """``struct<col:int,row:int>`` of a Hilbert distance."""
-    _check_bits(bits, bits)
-
-    def step(acc, place):
-        pair = F.call_function("shiftright", acc.d, place * 2)
-        rx = F.shiftright(pair, 1).bitwiseAND(F.lit(1).cast("bigint"))
-        ry = pair.bitwiseXOR(rx).bitwiseAND(F.lit(1).cast("bigint"))
-        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
-        flip_x = F.when(rx == 1, one - 1 - acc.x).otherwise(acc.x)
-        flip_y = F.when(rx == 1, one - 1 - acc.y).otherwise(acc.y)
-        return F.struct(
-            acc.d.alias("d"),
-            (F.when(ry == 0, flip_y).otherwise(acc.x) + one * rx).alias("x"),
-            (F.when(ry == 0, flip_x).otherwise(acc.y) + one * ry).alias("y"))
-
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(index.cast("bigint").alias("d"), zero.alias("x"), zero.alias("y"))
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(bits - 1)), start, step,
-        lambda acc: F.struct(acc.x.cast("int").alias("col"), acc.y.cast("int").alias("row")))
+    """Distance along the Hilbert curve of order ``bits``."""
+    n, start = _groups(_check_bits(bits, bits))
+    table, _ = _tables()
+    mask = (1 << _LEVELS) - 1
+    index, state = None, F.lit(start)
+    for g in reversed(range(n)):
+        x = F.shiftright(col, g * _LEVELS).bitwiseAND(F.lit(mask))
+        y = F.shiftright(row, g * _LEVELS).bitwiseAND(F.lit(mask))
+        step = F.get(table, (state * _CODES + x * (mask + 1) + y).cast("int"))
+        digits = F.shiftleft(F.shiftright(step, 2).cast("bigint"), 2 * _LEVELS * g)
+        index = digits if index is None else index.bitwiseOR(digits)
+        state = step.bitwiseAND(F.lit(3))
+    return index
+
+
+def hilbert_decode(index: Column, bits: int) -> tuple[Column, Column]:
+    """(col, row) of a Hilbert distance."""
+    n, start = _groups(_check_bits(bits, bits))
+    _, table = _tables()
+    d, mask = index.cast("bigint"), (1 << _LEVELS) - 1
+    col, row, state = F.lit(0), F.lit(0), F.lit(start)
+    for g in reversed(range(n)):
+        digits = F.shiftright(d, 2 * _LEVELS * g).bitwiseAND(F.lit(_CODES - 1).cast("bigint"))
+        step = F.get(table, (state * _CODES + digits).cast("int"))
+        x = F.shiftright(step, 2 + _LEVELS)
+        y = F.shiftright(step, 2).bitwiseAND(F.lit(mask))
+        col = col.bitwiseOR(F.shiftleft(x, g * _LEVELS))
+        row = row.bitwiseOR(F.shiftleft(y, g * _LEVELS))
+        state = step.bitwiseAND(F.lit(3))
+    return col, row
 
 
 def sfc_index(label: str, col: Column, row: Column, x_bits: int, y_bits: int) -> Column:
@@ -113,14 +131,13 @@ def sfc_index(label: str, col: Column, row: Column, x_bits: int, y_bits: int) ->
     raise ValueError(f"unknown curve label: {label!r}")
 
 
-def sfc_invert(label: str, hex_text: Column, x_bits: int, y_bits: int) -> Column:
-    """``struct<col:int,row:int>`` of a hex index; an unknown label is an error."""
+def sfc_invert(label: str, hex_text: Column, x_bits: int, y_bits: int) -> tuple[Column, Column]:
+    """(col, row) of a hex index; an unknown label is an error."""
     index = hex_to_index(hex_text)
     if label == HILBERT:
         return hilbert_decode(index, _check_bits(x_bits, y_bits))
     if label == ZORDER:
-        col, row = zorder_decode(index)
-        return F.struct(col.alias("col"), row.alias("row"))
+        return zorder_decode(index)
     raise ValueError(f"unknown curve label: {label!r}")
 
 

@@ -14,7 +14,8 @@ from rastergrid.functions.grid import Layout, explode_keys
 from rastergrid.functions.projection import np_project
 from rastergrid.model import LayerMeta
 from rastergrid.operators import kernels as K
-from rastergrid.operators.vectors import feature_keys
+from rastergrid.operators.vectors import stored_reach
+from rastergrid.session import materialize
 
 SNAP = 4096.0          # sub-cell positions are rounded to 1/4096 of a cell
 FAN_IN = 256           # rasters one merge task takes per tile before it splits the work
@@ -155,13 +156,16 @@ def tiles_in_envelope(tiles: DataFrame, layout: Layout, extent) -> DataFrame:
 def mask_tiles(tiles: DataFrame, polygons: DataFrame, layout: Layout) -> DataFrame:
     """Tiles cut to each polygon: ``fid, col, row, band, cells``, NULL outside.
 
-    An equi-join on the keys each polygon reaches; a key carries only the edges that matter for
-    it. The kernel follows the join row by row, so AQE may split a crowded key freely.
+    The keys the polygons reach are stored first, each with only the edges that matter for it.
+    Their key range becomes a filter on the tile scan and their size decides how the equi-join
+    runs. The kernel follows the join row by row, so AQE may split a crowded key freely.
     """
-    keys = feature_keys(polygons, layout)
+    reach = stored_reach(polygons, layout)
+    span = reach.agg(F.min("col"), F.max("col"), F.min("row"), F.max("row")).first()
+    near = tiles.where(F.col("col").between(span[0], span[1]) & F.col("row").between(span[2], span[3]))
     flat = F.flatten(F.transform("edges", lambda e: F.array(e.x1, e.y1, e.x2, e.y2)))
-    reach = keys.select("fid", "col", "row", flat.alias("edges"))
-    joined = tiles.join(reach, ["col", "row"]).select("fid", "col", "row", "band", "cells", "edges")
+    joined = near.join(reach, ["col", "row"]).select(
+        "fid", "col", "row", "band", "cells", flat.alias("edges"))
     return joined.mapInArrow(K.mask_tiles(layout), "fid bigint, " + K.TILE_SCHEMA)
 
 
@@ -170,11 +174,12 @@ def stitch(masked: DataFrame, layout: Layout, block: int = 4) -> DataFrame:
 
     A mosaic wider or higher than ``block`` tiles comes as several blocks that together are the
     whole, so no task ever holds more than ``block`` x ``block`` tiles. ``masked`` is read twice:
-    pass a stored table.
+    pass a stored table. The bounds are stored too, so their size decides the join and the cells
+    are shuffled once, by block.
     """
-    bounds = masked.groupBy("fid").agg(
+    bounds = materialize(masked.groupBy("fid").agg(
         F.min("col").alias("cmin"), F.min("row").alias("rmin"),
-        F.max("col").alias("cmax"), F.max("row").alias("rmax"))
+        F.max("col").alias("cmax"), F.max("row").alias("rmax")))
     placed = masked.join(bounds, "fid").select(
         "fid", "band", "col", "row", "cmin", "rmin", "cmax", "rmax", "cells",
         F.expr(f"cast((col - cmin) div {block} as int)").alias("block_col"),
@@ -247,4 +252,4 @@ def footprint(tiles: DataFrame, layout: Layout) -> DataFrame:
 
 def sample_scene(scenes: DataFrame) -> DataFrame:
     """The first scene in merge order."""
-    return scenes.orderBy("ord", "band").limit(1)
+    return scenes.orderBy("ord").limit(1)

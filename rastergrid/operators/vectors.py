@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rastergrid.functions import geometry as G
 from rastergrid.functions.grid import Layout, drop_negative_keys, explode_keys
+from rastergrid.session import materialize
 
 COARSE = 16            # grid tiles per side of the blocks a large feature is first cut into
 LIST_SIZE = 4096       # features one grouped list holds at most
@@ -52,28 +53,47 @@ def _with_blocks(ranged: DataFrame, layout: Layout, coarse: int) -> DataFrame:
 
 
 def feature_keys(features: DataFrame, layout: Layout, closed: bool = False,
-                 coarse: int = COARSE) -> DataFrame:
-    """Feature x grid key pairs whose rectangle the feature intersects: ``fid, col, row, edges``.
+                 keep: tuple[str, ...] = (), coarse: int = COARSE) -> DataFrame:
+    """Feature x grid key pairs whose rectangle the feature intersects: ``fid, col, row, edges``
+    and the ``keep`` columns of the feature.
 
     Coarse blocks come first: a block keeps only the edges that matter for it, so a large polygon
     does not carry all its edges to each of its keys. ``closed`` also tries keys the bounding box
     only touches.
     """
-    base = features.select("fid", "geom_type", "rings", G.edges(F.col("rings")).alias("edges"),
+    base = features.select("fid", *keep, "geom_type", "rings", G.edges(F.col("rings")).alias("edges"),
                            *(c.alias(n) for n, c in layout.key_range(*_box(), closed).items()))
     # Points keep their coordinates, everything else is described by its edges alone.
     cut = _with_blocks(base, layout, coarse).select(
-        "fid", "geom_type", "bcol", "brow", "cmin", "rmin", "cmax", "rmax",
+        "fid", *keep, "geom_type", "bcol", "brow", "cmin", "rmin", "cmax", "rmax",
         F.when(F.col("geom_type").isin(*G.PUNCTUAL), F.col("rings")).alias("rings"),
         G.relevant_edges(F.col("edges"), F.col("b_xmin"), F.col("b_ymin"), F.col("b_ymax")).alias("edges"))
     pairs = explode_keys(_spread(cut, "fid", "bcol", "brow").drop("bcol", "brow"))
     pairs = pairs.withColumns({"k_" + n: c for n, c in
                                layout.key_extent(F.col("col"), F.col("row")).items()})
-    near = pairs.select("fid", "geom_type", "rings", "col", "row", *(F.col("k_" + c) for c in _BOX),
+    near = pairs.select("fid", *keep, "geom_type", "rings", "col", "row", *(F.col("k_" + c) for c in _BOX),
                         G.relevant_edges(F.col("edges"), F.col("k_xmin"), F.col("k_ymin"),
                                          F.col("k_ymax")).alias("edges"))
     hit = G.intersects_rect(F.col("geom_type"), F.col("rings"), F.col("edges"), *_rect("k_"))
-    return near.where(hit).select("fid", "col", "row", "edges")
+    return near.where(hit).select("fid", *keep, "col", "row", "edges")
+
+
+def stored_reach(features: DataFrame, layout: Layout) -> DataFrame:
+    """``feature_keys`` stored as Parquet before it meets something large.
+
+    The stored size is what the planner goes by: under ``autoBroadcastJoinThreshold`` the large
+    side is not shuffled, above it the join is a sort-merge join with AQE's skew handling.
+    """
+    return materialize(feature_keys(features, layout))
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, layout: Layout) -> DataFrame:
+    """Points ``x, y, ...`` paired with the polygons that hold them: adds ``fid``."""
+    keyed = points.select("*", layout.col_of(F.col("x")).alias("col"),
+                          layout.row_of(F.col("y")).alias("row"))
+    joined = keyed.join(stored_reach(polygons, layout), ["col", "row"])
+    inside = joined.where(G.point_in_polygon(F.col("edges"), F.col("x"), F.col("y")))
+    return inside.select("fid", *points.columns)
 
 
 def grouped_lists(pairs: DataFrame, value: Column, list_size: int = LIST_SIZE) -> DataFrame:
@@ -140,9 +160,9 @@ def clipped_features_per_key(features: DataFrame, layout: Layout,
 
 def uids_per_key(features: DataFrame, layout: Layout, list_size: int = LIST_SIZE) -> DataFrame:
     """Grid key -> the UID attribute of the features that meet it, in id order."""
-    pairs = drop_negative_keys(feature_keys(features, layout)).select("fid", "col", "row")
-    uid = features.select("fid", F.col("attrs")["UID"].alias("uid"))
-    return grouped_lists(pairs.join(uid, "fid"), F.col("uid"), list_size)
+    named = features.withColumn("uid", F.col("attrs")["UID"])
+    pairs = drop_negative_keys(feature_keys(named, layout, keep=("uid",)))
+    return grouped_lists(pairs.select("fid", "uid", "col", "row"), F.col("uid"), list_size)
 
 
 def features_by_footprint(features: DataFrame, tiles: DataFrame, layout: Layout) -> DataFrame:

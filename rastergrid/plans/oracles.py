@@ -325,8 +325,8 @@ FROM vert GROUP BY fid"""),
     "feature_attribute_map": """SELECT s_suppkey AS fid, 'UID' AS name, CAST(s_suppkey AS VARCHAR) AS value FROM supplier
 UNION ALL SELECT s_suppkey, 'NAME', s_name FROM supplier
 UNION ALL SELECT s_suppkey, 'NATION', CAST(s_nationkey AS VARCHAR) FROM supplier""",
-    "feature_attribute": """SELECT s_suppkey AS fid, s_nationkey AS nation, CAST(NULL AS INTEGER) AS not_a_number,
-  CAST(NULL AS VARCHAR) AS missing FROM supplier""",
+    "feature_attribute": """SELECT s_suppkey AS fid, s_nationkey AS nation,
+  TRY_CAST(s_name AS INTEGER) IS NULL AS not_a_number, true AS missing FROM supplier""",
     "geom_envelope": _with(POLY, "SELECT fid, xmin, ymin, xmax, ymax FROM box"),
     "tile_extents": _with(TILEKEYS, f"SELECT {_colrow()}, {_TILE_BOX} FROM tilekeys"),
     "extent_to_polygon": _with(SCENES, f"SELECT scene, {_RECT_TEXT} AS ring FROM scenes"),
@@ -404,7 +404,7 @@ UNION ALL SELECT 'grouped', count(*) FROM (SELECT DISTINCT c, r FROM clip WHERE
     "tiles_sfc_sorted": _with(
         HILBERT.replace(KEYS, TILEKEYS + ", keys AS (SELECT CAST(c AS INTEGER) AS c, CAST(r AS INTEGER) AS r FROM tilekeys)"),
         f"SELECT {_colrow()}, idx AS sfc FROM h"),
-    "sample_scene": _with(SCENES, "SELECT scene, ord, 0 AS band, xmin, ymin, xmax, ymax FROM scenes ORDER BY ord LIMIT 1"),
+    "sample_scene": _with(SCENES, "SELECT scene, ord, xmin, ymin, xmax, ymax FROM scenes ORDER BY ord LIMIT 1"),
     # Grid and curves
     "layout_from_extent": _with(SCENES, """SELECT x0 AS xmin, y1 - n_rows * 320 AS ymin, x0 + n_cols * 320 AS xmax, y1 AS ymax,
   CAST(n_cols AS INTEGER) AS cols, CAST(n_rows AS INTEGER) AS rows, 32 AS tile_cols, 32 AS tile_rows

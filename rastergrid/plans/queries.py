@@ -187,8 +187,8 @@ def feature_attribute_map(spark, sf):
 def feature_attribute(spark, sf):
     f = X.features(spark, sf)
     return f.select("fid", V.attribute(f, "NATION", "int").alias("nation"),
-                    V.attribute(f, "NAME", "int").alias("not_a_number"),
-                    V.attribute(f, "NOTHING", "string").alias("missing"))
+                    V.attribute(f, "NAME", "int").isNull().alias("not_a_number"),
+                    V.attribute(f, "NOTHING", "string").isNull().alias("missing"))
 
 
 @query
@@ -264,14 +264,9 @@ def polygon_intersects_rect(spark, sf):
 
 @query
 def point_in_polygon(spark, sf):
-    keyed = X.cells(spark, sf).select(
-        "scene", "k", F.expr("cast(gc div 16 as int)").alias("col"),
-        F.expr("cast(gr div 16 as int)").alias("row"),
-        F.expr("8D * gc + 4").alias("x"), F.expr("4092D - 8 * gr").alias("y"))
-    reach = V.feature_keys(X.features(spark, sf), X.L16)
-    inside = keyed.join(reach, ["col", "row"]).where(
-        G.point_in_polygon(F.col("edges"), F.col("x"), F.col("y")))
-    return inside.select("fid", "scene", "k")
+    centres = X.cells(spark, sf).select(
+        "scene", "k", F.expr("8D * gc + 4").alias("x"), F.expr("4092D - 8 * gr").alias("y"))
+    return V.points_in_polygons(centres, X.features(spark, sf), X.L16).select("fid", "scene", "k")
 
 
 # Joins ---------------------------------------------------------------------------
@@ -418,7 +413,7 @@ def tiles_sfc_sorted(spark, sf):
 
 @query
 def sample_scene(spark, sf):
-    return R.sample_scene(X.scenes(spark, sf)).select("scene", "ord", "band", *BOX)
+    return R.sample_scene(X.scene_heads(spark, sf)).select("scene", "ord", *BOX)
 
 
 # Grid and curves -----------------------------------------------------------------
@@ -468,8 +463,8 @@ def zorder_encode(spark, sf):
 def zorder_decode(spark, sf):
     coded = X.curve_keys(spark, sf).select(
         sfc.index_to_hex(sfc.zorder_encode(F.col("col"), F.col("row"))).alias("hex"))
-    back = coded.select("hex", sfc.sfc_invert(sfc.ZORDER, F.col("hex"), BITS, BITS).alias("key"))
-    return back.select("hex", "key.col", "key.row")
+    col, row = sfc.sfc_invert(sfc.ZORDER, F.col("hex"), BITS, BITS)
+    return coded.select("hex", col.alias("col"), row.alias("row"))
 
 
 @query
@@ -482,8 +477,8 @@ def hilbert_encode(spark, sf):
 def hilbert_decode(spark, sf):
     coded = X.curve_keys(spark, sf).select(
         sfc.index_to_hex(sfc.hilbert_encode(F.col("col"), F.col("row"), BITS)).alias("hex"))
-    back = coded.select("hex", sfc.sfc_invert(sfc.HILBERT, F.col("hex"), BITS, BITS).alias("key"))
-    return back.select("hex", "key.col", "key.row")
+    col, row = sfc.sfc_invert(sfc.HILBERT, F.col("hex"), BITS, BITS)
+    return coded.select("hex", col.alias("col"), row.alias("row"))
 
 
 @query
