@@ -78,20 +78,21 @@ def feature_keys(features: DataFrame, layout: Layout, closed: bool = False,
     return near.where(hit).select("fid", *keep, "col", "row", "edges")
 
 
-def stored_reach(features: DataFrame, layout: Layout) -> DataFrame:
+def stored_reach(features: DataFrame, layout: Layout, closed: bool = False) -> DataFrame:
     """``feature_keys`` stored as Parquet before it meets something large.
 
     The stored size is what the planner goes by: under ``autoBroadcastJoinThreshold`` the large
     side is not shuffled, above it the join is a sort-merge join with AQE's skew handling.
     """
-    return materialize(feature_keys(features, layout))
+    return materialize(feature_keys(features, layout, closed))
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, layout: Layout) -> DataFrame:
-    """Points ``x, y, ...`` paired with the polygons that hold them: adds ``fid``."""
+    """Points ``x, y, ...`` paired with the polygons that hold them: adds ``fid``. Keys a polygon
+    only touches are tried too: a point on their rim may count as inside."""
     keyed = points.select("*", layout.col_of(F.col("x")).alias("col"),
                           layout.row_of(F.col("y")).alias("row"))
-    joined = keyed.join(stored_reach(polygons, layout), ["col", "row"])
+    joined = keyed.join(stored_reach(polygons, layout, closed=True), ["col", "row"])
     inside = joined.where(G.point_in_polygon(F.col("edges"), F.col("x"), F.col("y")))
     return inside.select("fid", *points.columns)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from rastergrid.functions.grid import Layout
 from rastergrid.model import LayerMeta
 from rastergrid.operators import rasters as R
 from rastergrid.operators import vectors as V
-from rastergrid.session import materialize
+from rastergrid.session import materialize, shared_dir
 from rastergrid.sources.geotiff import raster_catalog, read_scenes
+from rastergrid.sources.sinks import mosaic_rasters, write_attribute_json, write_rasters, write_tiles
 
 
 def tile_scenes(spark: SparkSession, folder: str, tile: int, epsg: int,
@@ -49,3 +52,21 @@ def grid_join(scene_heads: DataFrame, features: DataFrame, cell_w: float, cell_h
     e = R.merged_extent(scene_heads).first()
     layout = Layout.from_cells((e.xmin, e.ymin, e.xmax, e.ymax), cell_w, cell_h, tile)
     return V.uids_per_key(features, layout)
+
+
+def tile_query(spark: SparkSession, folder: str, metadata: DataFrame, polygons: DataFrame,
+               output: str, tile: int, epsg: int, cell: float | None = None) -> dict:
+    """The three steps in sequence: tile, pixels by polygon, metadata by footprint.
+
+    The tile table is stored once for both queries. Pixels go to one GeoTIFF per mosaic block in
+    the folder ``output``, metadata as JSON lines next to it under the same stem.
+    """
+    tiles, layout, _ = tile_scenes(spark, folder, tile, epsg, cell)
+    stored = f"{shared_dir(spark)}/tiles"
+    write_tiles(tiles, stored)
+    tiles = spark.read.schema(tiles.schema).parquet(stored)
+    n = write_rasters(mosaic_rasters(pixels_by_polygon(tiles, polygons, layout), layout, epsg), output)
+    hits = V.features_by_footprint(metadata, tiles, layout)
+    json_path = re.sub(r"\.[^.]*$", "", output) + ".json"
+    write_attribute_json(hits, json_path)
+    return {"tiles": tiles, "layout": layout, "mosaics": n, "output": output, "json": json_path}
