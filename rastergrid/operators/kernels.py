@@ -7,7 +7,6 @@ window or tile at a time and keeps at most one tile under construction.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -255,28 +254,31 @@ MOSAIC_SCHEMA = ("fid bigint, band int, block_col int, block_row int, col0 int,
                  "n_cols int, n_rows int, cells array<double>")
 
 
-def stitch_block(tile_cols, tile_rows, block):
-    """Group kernel: the tiles of one mosaic block -> one raster.
+def stitch_sorted_tiles(tile_cols, tile_rows, block):
+    """Kernel: tiles sorted by mosaic block -> one raster per block.
 
-    A group has at most ``block`` x ``block`` tiles, and only the raster being filled is held.
+    A block has at most ``block`` x ``block`` tiles, and only the raster being filled is held.
     """
     fields = [("fid", _I64), ("band", _I32), ("block_col", _I32), ("block_row", _I32),
               ("col0", _I32), ("row0", _I32), ("n_cols", _I32), ("n_rows", _I32), ("cells", _LIST)]
+    names = ["fid", "band", "block_col", "block_row", "col", "row", "cmin", "rmin", "cmax", "rmax"]
 
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fid, band, block_col, block_row = (k.as_py() for k in key)
-        raster = None
-        names = ["col", "row", "cmin", "rmin", "cmax", "rmax"]
-        for (col, row, cmin, rmin, cmax, rmax), (cells,) in rows_of(batches, names, ["cells"]):
-            if raster is None:
-                col0, row0 = cmin + block_col * block, rmin + block_row * block
+    def run(batches):
+        out = BatchWriter(fields)
+        group = raster = None
+        for head, (cells,) in rows_of(batches, names, ["cells"]):
+            key, (col, row, cmin, rmin, cmax, rmax) = head[:4], head[4:]
+            if key != group:
+                if group is not None:
+                    yield from out.add(*group, col0, row0, raster.shape[1], raster.shape[0], raster)
+                group = key
+                col0, row0 = cmin + key[2] * block, rmin + key[3] * block
                 wide, high = min(block, cmax + 1 - col0), min(block, rmax + 1 - row0)
                 raster = np.full((high * tile_rows, wide * tile_cols), np.nan)
             r, c = (row - row0) * tile_rows, (col - col0) * tile_cols
             raster[r:r + tile_rows, c:c + tile_cols] = cells.reshape(tile_rows, tile_cols)
-        out = BatchWriter(fields)
-        yield from out.add(fid, band, block_col, block_row, col0, row0,
-                           raster.shape[1], raster.shape[0], raster)
+        if group is not None:
+            yield from out.add(*group, col0, row0, raster.shape[1], raster.shape[0], raster)
         yield from out.drain()
 
     return run

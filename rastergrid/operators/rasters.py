@@ -184,9 +184,10 @@ def stitch(masked: DataFrame, layout: Layout, block: int = 4) -> DataFrame:
         "fid", "band", "col", "row", "cmin", "rmin", "cmax", "rmax", "cells",
         F.expr(f"cast((col - cmin) div {block} as int)").alias("block_col"),
         F.expr(f"cast((row - rmin) div {block} as int)").alias("block_row"))
-    return (placed.groupBy("fid", "band", "block_col", "block_row")
-            .applyInArrow(K.stitch_block(layout.tile_cols, layout.tile_rows, block),
-                          K.MOSAIC_SCHEMA))
+    by_block = ["fid", "band", "block_col", "block_row"]
+    return (placed.repartition(*by_block).sortWithinPartitions(*by_block)
+            .mapInArrow(K.stitch_sorted_tiles(layout.tile_cols, layout.tile_rows, block),
+                        K.MOSAIC_SCHEMA))
 
 
 def tile_cells(tiles: DataFrame, layout: Layout, keep: list[str] = ()) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastergrid.functions.grid import Layout
+from rastergrid.operators.kernels import rows_of
 from rastergrid.sources.fs import write_atomic
 from rastergrid.sources.geotiff import encode_geotiff
 
@@ -24,24 +22,30 @@ def write_rasters(rasters: DataFrame, folder: str, cell_type: str = "float64",
     bands of one file at a time and writes through a temporary name.
     """
 
-    def write(key: tuple[pa.Scalar, ...],
-              batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, row = {}, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in _RASTER_COLUMNS if c != "cells"}
-                cells = batch.column("cells")[i].values.to_numpy(zero_copy_only=False)
-                bands[row["band"]] = cells.astype(float).reshape(row["n_rows"], row["n_cols"])
-        content = encode_geotiff([bands[b] for b in sorted(bands)],
-                                 (row["xmin"], row["ymin"], row["xmax"], row["ymax"]),
-                                 row["epsg"], cell_type, deflate)
-        path = f"{folder.rstrip('/')}/{key[0].as_py()}"
-        write_atomic(path, content)
-        yield pa.RecordBatch.from_pydict({"path": [path], "n_bytes": pa.array([len(content)], pa.int64())})
-
-    done = (rasters.select(*_RASTER_COLUMNS).groupBy("name")
-            .applyInArrow(write, "path string, n_bytes bigint"))
-    return done.agg(F.count("*")).first()[0]
+    names = [c for c in _RASTER_COLUMNS if c != "cells"]
+
+    def write_file(head, bands):
+        name, epsg, xmin, ymin, xmax, ymax, n_cols, n_rows = head
+        grids = [bands[b].reshape(n_rows, n_cols) for b in sorted(bands)]
+        content = encode_geotiff(grids, (xmin, ymin, xmax, ymax), epsg, cell_type, deflate)
+        write_atomic(f"{folder.rstrip('/')}/{name}", content)
+
+    def write(batches):
+        current, bands, n = None, {}, 0
+        for head, (cells,) in rows_of(batches, names, ["cells"]):
+            if current is not None and head[0] != current[0]:
+                write_file(current, bands)
+                bands, n = {}, n + 1
+            current = head[:-1]
+            bands[head[-1]] = cells
+        if current is not None:
+            write_file(current, bands)
+            n += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    done = (rasters.select(*_RASTER_COLUMNS).repartition("name").sortWithinPartitions("name")
+            .mapInArrow(write, "files bigint"))
+    return done.agg(F.sum("files")).first()[0] or 0
 
 
 def tile_rasters(tiles: DataFrame, layout: Layout, epsg: int) -> DataFrame:
