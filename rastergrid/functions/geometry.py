@@ -1,161 +1,151 @@
-"""Planar geometry as Column expressions.
+"""Planar geometry as Spark SQL expressions.
 
 A geometry is ``geom_type string`` plus ``rings array<struct<part:int,ring:int,
 pts:array<struct<x:double,y:double>>>>``; polygon rings are closed (first point repeated last).
-Everything is a fold over arrays, so it stays in the JVM and needs no shuffle.
+The functions take SQL text (column names or expressions) and return SQL text for ``F.expr``:
+they nest into one expression that is parsed once, stays in the JVM and needs no shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 POLYGONAL = ("polygon", "multipolygon")
 PUNCTUAL = ("point", "multipoint")
 RINGS_TYPE = "array<struct<part:int,ring:int,pts:array<struct<x:double,y:double>>>>"
 
+Rect = tuple[str, str, str, str]      # xmin, ymin, xmax, ymax
+
+
+def is_kind(geom_type: str, kinds: tuple[str, ...]) -> str:
+    return f"{geom_type} IN ({', '.join(repr(k) for k in kinds)})"
 
-def points(rings: Column) -> Column:
-    return F.flatten(F.transform(rings, lambda r: r.pts))
 
+def points(rings: str) -> str:
+    return f"flatten(transform({rings}, _r -> _r.pts))"
 
-def vertex_count(rings: Column) -> Column:
-    return F.aggregate(rings, F.lit(0).cast("bigint"), lambda n, r: n + F.size(r.pts))
 
+def vertex_count(rings: str) -> str:
+    return f"aggregate({rings}, 0L, (_n, _r) -> _n + size(_r.pts))"
 
-def segments(pts: Column) -> Column:
+
+def segments(pts: str) -> str:
     """Consecutive point pairs of one path as ``struct<x1,y1,x2,y2>``."""
-    n = F.greatest(F.size(pts) - 1, F.lit(0))
-    return F.zip_with(
-        F.slice(pts, F.lit(1), n), F.slice(pts, F.lit(2), n),
-        lambda a, b: F.struct(a.x.alias("x1"), a.y.alias("y1"), b.x.alias("x2"), b.y.alias("y2")))
+    n = f"greatest(size({pts}) - 1, 0)"
+    return (f"zip_with(slice({pts}, 1, {n}), slice({pts}, 2, {n}), "
+            "(_a, _b) -> struct(_a.x AS x1, _a.y AS y1, _b.x AS x2, _b.y AS y2))")
 
 
-def edges(rings: Column) -> Column:
-    return F.flatten(F.transform(rings, lambda r: segments(r.pts)))
+def edges(rings: str) -> str:
+    return f"flatten(transform({rings}, _r -> {segments('_r.pts')}))"
 
 
-def envelope(rings: Column) -> dict[str, Column]:
-    xs = F.transform(points(rings), lambda p: p.x)
-    ys = F.transform(points(rings), lambda p: p.y)
-    return {"xmin": F.array_min(xs), "ymin": F.array_min(ys),
-            "xmax": F.array_max(xs), "ymax": F.array_max(ys)}
+def envelope(rings: str) -> dict[str, str]:
+    def bound(fn: str, axis: str) -> str:
+        return f"{fn}(transform({points(rings)}, _p -> _p.{axis}))"
+    return {"xmin": bound("array_min", "x"), "ymin": bound("array_min", "y"),
+            "xmax": bound("array_max", "x"), "ymax": bound("array_max", "y")}
 
 
-def rect_ring(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
-    """Closed rectangle ring, counter-clockwise from the south-west corner."""
-    corners = [(xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax), (xmin, ymin)]
-    return F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in corners))
+def path(*pts: tuple[str, str]) -> str:
+    """An array of points from coordinate texts."""
+    return f"array({', '.join(f'struct({x} AS x, {y} AS y)' for x, y in pts)})"
 
 
-def point_in_polygon(edge_array: Column, x: Column, y: Column) -> Column:
-    """Even-odd rule over all rings; holes need no orientation."""
+def rect_ring(rect: Rect) -> str:
+    """Closed rectangle ring, counter-clockwise from the south-west corner."""
+    x0, y0, x1, y1 = rect
+    return path((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))
 
-    def crosses(e):
-        at = (e.x2 - e.x1) * (y - e.y1) / (e.y2 - e.y1) + e.x1
-        return F.when((e.y1 > y) != (e.y2 > y), F.when(x < at, 1).otherwise(0)).otherwise(0)
 
-    return F.aggregate(edge_array, F.lit(0), lambda n, e: n + crosses(e)) % 2 == 1
+def point_in_polygon(edge_array: str, x: str, y: str) -> str:
+    """Even-odd rule over all rings; holes need no orientation."""
+    return (f"(aggregate({edge_array}, 0, (_n, _e) -> CASE WHEN (_e.y1 > {y}) != (_e.y2 > {y}) THEN "
+            f"CASE WHEN {x} < (_e.x2 - _e.x1) * ({y} - _e.y1) / (_e.y2 - _e.y1) + _e.x1 "
+            "THEN _n + 1 ELSE _n END ELSE _n END) % 2 = 1)")
 
 
-def segment_meets_rect(e: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+def segment_meets_rect(e: str, rect: Rect) -> str:
     """Closed test by separating axes: the boxes overlap and the rectangle's corners do not all
     lie strictly on one side of the segment's line. No division."""
-    dx, dy = e.x2 - e.x1, e.y2 - e.y1
-    side = [dx * (cy - e.y1) - dy * (cx - e.x1) for cx in (xmin, xmax) for cy in (ymin, ymax)]
-    return ((F.least(e.x1, e.x2) <= xmax) & (F.greatest(e.x1, e.x2) >= xmin)
-            & (F.least(e.y1, e.y2) <= ymax) & (F.greatest(e.y1, e.y2) >= ymin)
-            & (F.least(*side) <= 0) & (F.greatest(*side) >= 0))
+    x0, y0, x1, y1 = rect
+    sides = ", ".join(f"({e}.x2 - {e}.x1) * ({y} - {e}.y1) - ({e}.y2 - {e}.y1) * ({x} - {e}.x1)"
+                      for x in (x0, x1) for y in (y0, y1))
+    return (f"(least({e}.x1, {e}.x2) <= {x1} AND greatest({e}.x1, {e}.x2) >= {x0}"
+            f" AND least({e}.y1, {e}.y2) <= {y1} AND greatest({e}.y1, {e}.y2) >= {y0}"
+            f" AND least({sides}) <= 0 AND greatest({sides}) >= 0)")
 
 
-def intersects_rect(geom_type: Column, rings: Column, edge_array: Column,
-                    xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
-    """Closed intersection of a geometry with a rectangle; touching counts.
+def meets_rect(geom_type: str, rings: str, edge_array: str, rect: Rect) -> str:
+    """Whether a vertex of a point kind, or an edge of any other kind, meets a closed rectangle."""
+    x0, y0, x1, y1 = rect
+    return (f"CASE WHEN {is_kind(geom_type, PUNCTUAL)} THEN exists({points(rings)}, _p -> "
+            f"_p.x >= {x0} AND _p.x <= {x1} AND _p.y >= {y0} AND _p.y <= {y1}) "
+            f"ELSE exists({edge_array}, _e -> {segment_meets_rect('_e', rect)}) END")
 
-    When no edge meets the rectangle it lies wholly in or out of a polygon, so one corner decides.
-    """
-    touches = F.exists(edge_array, lambda e: segment_meets_rect(e, xmin, ymin, xmax, ymax))
-    holds_point = F.exists(points(rings), lambda p: (p.x >= xmin) & (p.x <= xmax)
-                           & (p.y >= ymin) & (p.y <= ymax))
-    return (F.when(geom_type.isin(*PUNCTUAL), holds_point)
-             .when(touches, F.lit(True))
-             .when(geom_type.isin(*POLYGONAL), point_in_polygon(edge_array, xmin, ymin))
-             .otherwise(F.lit(False)))
 
+def holds_rect(geom_type: str, edge_array: str, rect: Rect) -> str:
+    """Whether a polygon holds a rectangle none of its edges meets: one corner decides."""
+    return f"({is_kind(geom_type, POLYGONAL)} AND {point_in_polygon(edge_array, rect[0], rect[1])})"
 
-def relevant_edges(edge_array: Column, xmin: Column, ymin: Column, ymax: Column) -> Column:
+
+def relevant_edges(edge_array: str, rect: Rect) -> str:
     """The edges that can meet a rectangle or count as a crossing for a point inside it: those
-    overlapping its rows and reaching its western side. Exact for both tests above."""
-    return F.filter(edge_array, lambda e: (F.greatest(e.y1, e.y2) >= ymin)
-                    & (F.least(e.y1, e.y2) <= ymax) & (F.greatest(e.x1, e.x2) >= xmin))
+    overlapping its rows and reaching its western side. Exact for both tests."""
+    x0, y0, _, y1 = rect
+    return (f"filter({edge_array}, _e -> greatest(_e.y1, _e.y2) >= {y0} AND least(_e.y1, _e.y2) <= {y1}"
+            f" AND greatest(_e.x1, _e.x2) >= {x0})")
 
 
-def clip_ring(pts: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+def clip_ring(pts: str, rect: Rect) -> str:
     """One closed ring cut to a rectangle, one half-plane after another (Sutherland-Hodgman).
 
     The four sides are the steps of a fold, so the ring built so far is a lambda variable and the
-    expression does not multiply. The result is closed again, or empty.
+    expression does not multiply. Inside the fold a ring is without its repeated first point and
+    each point is paired with the one before. The result is closed again, or empty.
     """
+    x0, y0, x1, y1 = rect
+    sides = ", ".join(f"struct({on_x} AS on_x, {sign} AS sign, {limit} AS at)" for on_x, sign, limit in (
+        ("true", "1D", x0), ("true", "-1D", x1), ("false", "1D", y0), ("false", "-1D", y1)))
+
+    def within(p: str) -> str:
+        return f"((CASE WHEN _s.on_x THEN {p}.x ELSE {p}.y END - _s.at) * _s.sign >= 0)"
+
+    crossing = ("CASE WHEN _s.on_x THEN struct(_s.at AS x, "
+                "_a.y + (_b.y - _a.y) * try_divide(_s.at - _a.x, _b.x - _a.x) AS y) ELSE "
+                "struct(_a.x + (_b.x - _a.x) * try_divide(_s.at - _a.y, _b.y - _a.y) AS x, _s.at AS y) END")
+    piece = (f"CASE WHEN {within('_b')} THEN CASE WHEN {within('_a')} THEN array(_b) "
+             f"ELSE array({crossing}, _b) END "
+             f"WHEN {within('_a')} THEN array({crossing}) ELSE slice(array(_b), 1, 0) END")
+    before = "concat(slice(_ring, -1, 1), slice(_ring, 1, greatest(size(_ring) - 1, 0)))"
+    return (f"aggregate(array({sides}), slice({pts}, 2, greatest(size({pts}) - 1, 0)), "
+            f"(_ring, _s) -> flatten(zip_with({before}, _ring, (_a, _b) -> {piece})), "
+            "_ring -> concat(slice(_ring, -1, 1), _ring))")
+
+
+def ring_area(pts: str) -> str:
+    """Unsigned shoelace area of a closed ring."""
+    return (f"(abs(aggregate({segments(pts)}, 0D, (_n, _e) -> _n + (_e.x1 * _e.y2 - _e.x2 * _e.y1)))"
+            " / 2)")
 
-    def side(axis: str, sign: float, limit: Column) -> Column:
-        return F.struct(F.lit(axis).alias("axis"), F.lit(sign).alias("sign"), limit.alias("limit"))
-
-    def depth(p, s):
-        at = F.when(s.axis == "x", p.x).otherwise(p.y)
-        return (at - s.limit) * s.sign
-
-    def entering(a, b, s):
-        """The point where the segment a-b meets the side, with the limit kept exact."""
-        on_x = s.axis == "x"
-        x = F.when(on_x, s.limit).otherwise(
-            a.x + (b.x - a.x) * F.try_divide(s.limit - a.y, b.y - a.y))
-        y = F.when(~on_x, s.limit).otherwise(
-            a.y + (b.y - a.y) * F.try_divide(s.limit - a.x, b.x - a.x))
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    def cut(ring, s):
-        """``ring`` without its repeated first point; each point is paired with the one before."""
-        before = F.concat(F.slice(ring, -1, 1),
-                          F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))))
-
-        def piece(a, b):
-            a_in, b_in = depth(a, s) >= 0, depth(b, s) >= 0
-            return (F.when(a_in & b_in, F.array(b))
-                     .when(a_in & ~b_in, F.array(entering(a, b, s)))
-                     .when(~a_in & b_in, F.array(entering(a, b, s), b))
-                     .otherwise(F.slice(F.array(b), 1, 0)))
-
-        return F.flatten(F.zip_with(before, ring, piece))
 
-    sides = F.array(side("x", 1.0, xmin), side("x", -1.0, xmax),
-                    side("y", 1.0, ymin), side("y", -1.0, ymax))
-    return F.aggregate(sides, F.slice(pts, F.lit(2), F.greatest(F.size(pts) - 1, F.lit(0))), cut,
-                       lambda ring: F.concat(F.slice(ring, -1, 1), ring))
+def polygon_area(rings: str) -> str:
+    """Outer rings (ring 0 of a part) add, holes subtract."""
+    return (f"aggregate({rings}, 0D, (_t, _r) -> _t + CASE WHEN _r.ring = 0 THEN 1 ELSE -1 END * "
+            f"{ring_area('_r.pts')})")
 
 
-def ring_area(pts: Column) -> Column:
-    """Unsigned shoelace area of a closed ring."""
-    return F.abs(F.aggregate(segments(pts), F.lit(0.0),
-                             lambda a, e: a + (e.x1 * e.y2 - e.x2 * e.y1))) / 2
+def clip_rings(rings: str, rect: Rect) -> str:
+    """Every ring cut to the rectangle; rings left without area are dropped."""
+    cut = (f"transform({rings}, _r -> struct(_r.part AS part, _r.ring AS ring, "
+           f"{clip_ring('_r.pts', rect)} AS pts))")
+    return f"filter({cut}, _q -> {ring_area('_q.pts')} > 0)"
 
 
-def polygon_area(rings: Column) -> Column:
-    """Outer rings (ring 0 of a part) add, holes subtract."""
-    return F.aggregate(rings, F.lit(0.0), lambda a, r: a + F.when(r.ring == 0, ring_area(r.pts))
-                       .otherwise(-ring_area(r.pts)))
+def path_text(pts: str) -> str:
+    """Whole-number coordinates of one path as text: 'x y,x y'."""
+    return (f"array_join(transform({pts}, _p -> concat_ws(' ', string(bigint(_p.x)), "
+            "string(bigint(_p.y)))), ',')")
 
 
-def clip_rings(rings: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
-    """Every ring cut to the rectangle; rings left without area are dropped."""
-    cut = F.transform(rings, lambda r: F.struct(
-        r.part.alias("part"), r.ring.alias("ring"),
-        clip_ring(r.pts, xmin, ymin, xmax, ymax).alias("pts")))
-    return F.filter(cut, lambda r: ring_area(r.pts) > 0)
-
-
-def coords_text(rings: Column) -> Column:
-    """Whole-number coordinates as text: 'x y,x y|x y,...', one path between bars."""
-    def path(r):
-        return F.array_join(F.transform(r.pts, lambda p: F.concat_ws(
-            " ", p.x.cast("bigint").cast("string"), p.y.cast("bigint").cast("string"))), ",")
-    return F.array_join(F.transform(rings, path), "|")
+def coords_text(rings: str) -> str:
+    """Whole-number coordinates as text, one path between bars."""
+    return f"array_join(transform({rings}, _r -> {path_text('_r.pts')}), '|')"

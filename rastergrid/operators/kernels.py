@@ -237,8 +237,11 @@ def mask_tiles(layout):
 
     def run(batches):
         out = BatchWriter(fields)
-        for (fid, col, row, band), (cells, flat) in rows_of(
-                batches, ["fid", "col", "row", "band"], ["cells", "edges"]):
+        for (fid, col, row, band, whole), (cells, flat) in rows_of(
+                batches, ["fid", "col", "row", "band", "whole"], ["cells", "edges"]):
+            if whole:
+                yield from out.add(fid, col, row, band, cells)
+                continue
             x = layout.xmin + (col * layout.tile_cols + np.arange(layout.tile_cols) + 0.5) * layout.cell_w
             y = layout.ymax - (row * layout.tile_rows + np.arange(layout.tile_rows) + 0.5) * layout.cell_h
             inside = centres_inside(flat.reshape(-1, 4), x, y)

@@ -163,9 +163,9 @@ def mask_tiles(tiles: DataFrame, polygons: DataFrame, layout: Layout) -> DataFra
     reach = stored_reach(polygons, layout)
     span = reach.agg(F.min("col"), F.max("col"), F.min("row"), F.max("row")).first()
     near = tiles.where(F.col("col").between(span[0], span[1]) & F.col("row").between(span[2], span[3]))
-    flat = F.flatten(F.transform("edges", lambda e: F.array(e.x1, e.y1, e.x2, e.y2)))
+    flat = F.expr("flatten(transform(edges, _e -> array(_e.x1, _e.y1, _e.x2, _e.y2)))")
     joined = near.join(reach, ["col", "row"]).select(
-        "fid", "col", "row", "band", "cells", flat.alias("edges"))
+        "fid", "col", "row", "band", "whole", "cells", flat.alias("edges"))
     return joined.mapInArrow(K.mask_tiles(layout), "fid bigint, " + K.TILE_SCHEMA)
 
 
@@ -247,7 +247,7 @@ def sort_by_curve(tiles: DataFrame, label: str, bits: int, n: int | None = None)
 def footprint(tiles: DataFrame, layout: Layout) -> DataFrame:
     """The tile footprint as a relation: one rectangle per distinct key."""
     boxes = tile_extents(tiles, layout)
-    ring = G.rect_ring(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+    ring = F.expr(G.rect_ring(("xmin", "ymin", "xmax", "ymax")))
     return boxes.select("col", "row", ring.alias("ring"))
 
 

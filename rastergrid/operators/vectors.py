@@ -14,6 +14,10 @@ LIST_SIZE = 4096       # features one grouped list holds at most
 _BOX = ("xmin", "ymin", "xmax", "ymax")
 
 
+def _key_extent(layout: Layout) -> dict[str, Column]:
+    return {"k_" + n: c for n, c in layout.key_extent(F.col("col"), F.col("row")).items()}
+
+
 def _box() -> list[Column]:
     return [F.col(c) for c in _BOX]
 
@@ -27,11 +31,11 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
 
 def with_envelope(features: DataFrame) -> DataFrame:
     """Add the bounding-box columns."""
-    return features.withColumns(G.envelope(F.col("rings")))
+    return features.withColumns({n: F.expr(e) for n, e in G.envelope("rings").items()})
 
 
-def _rect(prefix: str) -> list[Column]:
-    return [F.col(prefix + c) for c in _BOX]
+_BLOCK = tuple("b_" + c for c in _BOX)
+_KEY = tuple("k_" + c for c in _BOX)
 
 
 def _with_blocks(ranged: DataFrame, layout: Layout, coarse: int) -> DataFrame:
@@ -54,28 +58,29 @@ def _with_blocks(ranged: DataFrame, layout: Layout, coarse: int) -> DataFrame:
 
 def feature_keys(features: DataFrame, layout: Layout, closed: bool = False,
                  keep: tuple[str, ...] = (), coarse: int = COARSE) -> DataFrame:
-    """Feature x grid key pairs whose rectangle the feature intersects: ``fid, col, row, edges``
-    and the ``keep`` columns of the feature.
+    """Feature x grid key pairs whose rectangle the feature intersects: ``fid, col, row, edges,
+    whole`` and the ``keep`` columns of the feature.
 
-    Coarse blocks come first: a block keeps only the edges that matter for it, so a large polygon
-    does not carry all its edges to each of its keys. ``closed`` also tries keys the bounding box
-    only touches.
+    ``whole`` marks keys inside a polygon that no edge meets; they need no further test. The others
+    carry the edges that decide for a point of the key. Coarse blocks come first: a block keeps only
+    the edges that matter for it, so a large polygon does not carry all its edges to each of its
+    keys. ``closed`` also tries keys the bounding box only touches.
     """
-    base = features.select("fid", *keep, "geom_type", "rings", G.edges(F.col("rings")).alias("edges"),
+    base = features.select("fid", *keep, "geom_type", "rings", F.expr(G.edges("rings")).alias("edges"),
                            *(c.alias(n) for n, c in layout.key_range(*_box(), closed).items()))
     # Points keep their coordinates, everything else is described by its edges alone.
+    own = F.expr(f"CASE WHEN {G.is_kind('geom_type', G.PUNCTUAL)} THEN rings END").alias("rings")
     cut = _with_blocks(base, layout, coarse).select(
-        "fid", *keep, "geom_type", "bcol", "brow", "cmin", "rmin", "cmax", "rmax",
-        F.when(F.col("geom_type").isin(*G.PUNCTUAL), F.col("rings")).alias("rings"),
-        G.relevant_edges(F.col("edges"), F.col("b_xmin"), F.col("b_ymin"), F.col("b_ymax")).alias("edges"))
+        "fid", *keep, "geom_type", "bcol", "brow", "cmin", "rmin", "cmax", "rmax", own,
+        F.expr(G.relevant_edges("edges", _BLOCK)).alias("edges"))
     pairs = explode_keys(_spread(cut, "fid", "bcol", "brow").drop("bcol", "brow"))
-    pairs = pairs.withColumns({"k_" + n: c for n, c in
-                               layout.key_extent(F.col("col"), F.col("row")).items()})
-    near = pairs.select("fid", *keep, "geom_type", "rings", "col", "row", *(F.col("k_" + c) for c in _BOX),
-                        G.relevant_edges(F.col("edges"), F.col("k_xmin"), F.col("k_ymin"),
-                                         F.col("k_ymax")).alias("edges"))
-    hit = G.intersects_rect(F.col("geom_type"), F.col("rings"), F.col("edges"), *_rect("k_"))
-    return near.where(hit).select("fid", *keep, "col", "row", "edges")
+    near = pairs.withColumns(_key_extent(layout)).withColumn(
+        "edges", F.expr(G.relevant_edges("edges", _KEY)))
+    tested = near.withColumn("met", F.expr(G.meets_rect("geom_type", "rings", "edges", _KEY)))
+    hit = tested.where(f"met OR {G.holds_rect('geom_type', 'edges', _KEY)}")
+    # Level edges never count as a crossing, and a whole key needs none.
+    crossing = F.expr("filter(edges, _e -> met AND _e.y1 != _e.y2)").alias("edges")
+    return hit.select("fid", *keep, "col", "row", crossing, F.expr("NOT met").alias("whole"))
 
 
 def stored_reach(features: DataFrame, layout: Layout, closed: bool = False) -> DataFrame:
@@ -93,7 +98,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, layout: Layout) -
     keyed = points.select("*", layout.col_of(F.col("x")).alias("col"),
                           layout.row_of(F.col("y")).alias("row"))
     joined = keyed.join(stored_reach(polygons, layout, closed=True), ["col", "row"])
-    inside = joined.where(G.point_in_polygon(F.col("edges"), F.col("x"), F.col("y")))
+    inside = joined.where(f"whole OR {G.point_in_polygon('edges', 'x', 'y')}")
     return inside.select("fid", *points.columns)
 
 
@@ -127,27 +132,24 @@ def clip_to_grid(features: DataFrame, layout: Layout, coarse: int = COARSE) -> D
     Rings are cut to coarse blocks first and then to the keys of a block, so a key is cut from a
     small ring. Keys the feature only touches have no area and drop out.
     """
-    polygons = features.where(F.col("geom_type").isin(*G.POLYGONAL))
+    polygons = features.where(G.is_kind("geom_type", G.POLYGONAL))
     ranged = polygons.select("fid", "attrs", "rings", *(
         c.alias(n) for n, c in layout.key_range(*_box()).items()))
     in_block = _with_blocks(ranged, layout, coarse).select(
         "fid", "attrs", "bcol", "brow", "cmin", "rmin", "cmax", "rmax",
-        G.clip_rings(F.col("rings"), *_rect("b_")).alias("rings"))
+        F.expr(G.clip_rings("rings", _BLOCK)).alias("rings"))
     pairs = explode_keys(_spread(in_block.where(F.size("rings") > 0), "fid", "bcol", "brow")
                          .drop("bcol", "brow"))
-    pairs = pairs.withColumns({"k_" + n: c for n, c in
-                               layout.key_extent(F.col("col"), F.col("row")).items()})
-    clipped = pairs.select("fid", "attrs", "col", "row",
-                           G.clip_rings(F.col("rings"), *_rect("k_")).alias("rings"))
-    shells = F.size(F.filter("rings", lambda r: r.ring == 0))
-    return (clipped.withColumn("area", G.polygon_area(F.col("rings"))).where("area > 0")
-            .select("fid", F.when(shells > 1, "multipolygon").otherwise("polygon").alias("geom_type"),
-                    "attrs", "col", "row", "rings", "area"))
+    clipped = pairs.withColumns(_key_extent(layout)).select(
+        "fid", "attrs", "col", "row", F.expr(G.clip_rings("rings", _KEY)).alias("rings"))
+    kind = "if(size(filter(rings, _r -> _r.ring = 0)) > 1, 'multipolygon', 'polygon')"
+    return (clipped.withColumn("area", F.expr(G.polygon_area("rings"))).where("area > 0")
+            .select("fid", F.expr(kind).alias("geom_type"), "attrs", "col", "row", "rings", "area"))
 
 
 def promote_multipolygon(features: DataFrame) -> DataFrame:
     """Polygons become multipolygons, multipolygons stay, every other kind is dropped."""
-    return (features.where(F.col("geom_type").isin(*G.POLYGONAL))
+    return (features.where(G.is_kind("geom_type", G.POLYGONAL))
             .withColumn("geom_type", F.lit("multipolygon")))
 
 
@@ -211,7 +213,7 @@ def first_feature(features: DataFrame) -> DataFrame:
 
 def count_vertices(features: DataFrame) -> DataFrame:
     polygons = features.where("geom_type = 'multipolygon'")
-    return polygons.agg(F.sum(G.vertex_count(F.col("rings"))).alias("vertices"))
+    return polygons.agg(F.sum(F.expr(G.vertex_count("rings"))).alias("vertices"))
 
 
 def count_features(features: DataFrame) -> DataFrame:

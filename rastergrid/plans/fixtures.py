@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastergrid.functions.geometry import rect_ring
+from rastergrid.functions.geometry import path, rect_ring
 from rastergrid.functions.grid import Layout
 from rastergrid.operators.vectors import with_envelope
 from rastergrid.session import shared_dir
@@ -111,14 +111,13 @@ def tile_keys(spark: SparkSession, sf: str) -> DataFrame:
                                    F.expr("cast(gr div 16 as int)").alias("row")).distinct()
 
 
-def _path(*offsets):
-    """A path of (dx, dy) offsets from (cx, cy)."""
-    return F.array(*(F.struct((F.col("cx") + dx).alias("x"), (F.col("cy") + dy).alias("y"))
-                     for dx, dy in offsets))
+def _path(*offsets: tuple[str, str]) -> str:
+    """A path of (dx, dy) offsets from (cx, cy), as SQL text."""
+    return path(*((f"cx + ({dx})", f"cy + ({dy})") for dx, dy in offsets))
 
 
-def _ring(part: int, ring: int, pts):
-    return F.struct(F.lit(part).alias("part"), F.lit(ring).alias("ring"), pts.alias("pts"))
+def _ring(part: int, ring: int, pts: str) -> str:
+    return f"struct({part} AS part, {ring} AS ring, {pts} AS pts)"
 
 
 def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,30 +131,23 @@ def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
                      F.lit("NATION"), F.col("s_nationkey").cast("string")).alias("attrs"))
 
 
-def _rect(half):
-    return rect_ring(F.col("cx") - half, F.col("cy") - half, F.col("cx") + half, F.col("cy") + half)
-
-
-def _second():
-    return rect_ring(F.col("cx") + 248.0, F.col("cy") - 72.0, F.col("cx") + 264.0, F.col("cy") - 56.0)
+def _rect(half: str) -> str:
+    return rect_ring((f"cx - {half}", f"cy - {half}", f"cx + {half}", f"cy + {half}"))
 
 
+_SECOND = rect_ring(("cx + 248D", "cy - 72D", "cx + 264D", "cy - 56D"))
 _COLUMNS = ["fid", "geom_type", "rings", "attrs", "xmin", "ymin", "xmax", "ymax"]
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """One multipolygon per supplier: rectangle, diamond, L-shape or rectangle with a hole; every
     fifth has a second part."""
-    h = F.col("h")
-    rect = _ring(0, 0, _rect(h))
-    diamond = _ring(0, 0, _path((-h, F.lit(0.0)), (F.lit(0.0), -h), (h, F.lit(0.0)), (F.lit(0.0), h),
-                                (-h, F.lit(0.0))))
-    zero = F.lit(0.0)
-    ell = _ring(0, 0, _path((-h, -h), (h, -h), (h, zero), (zero, zero), (zero, h), (-h, h), (-h, -h)))
-    first = (F.when(F.expr("fid % 4 = 0"), F.array(rect)).when(F.expr("fid % 4 = 1"), F.array(diamond))
-             .when(F.expr("fid % 4 = 2"), F.array(ell))
-             .otherwise(F.array(rect, _ring(0, 1, _rect(h / 2)))))
-    rings = F.when(F.expr("fid % 5 = 0"), F.concat(first, F.array(_ring(1, 0, _second())))).otherwise(first)
+    diamond = _path(("-h", "0D"), ("0D", "-h"), ("h", "0D"), ("0D", "h"), ("-h", "0D"))
+    ell = _path(("-h", "-h"), ("h", "-h"), ("h", "0D"), ("0D", "0D"), ("0D", "h"), ("-h", "h"), ("-h", "-h"))
+    square = _ring(0, 0, _rect("h"))
+    first = (f"CASE fid % 4 WHEN 0 THEN array({square}) WHEN 1 THEN array({_ring(0, 0, diamond)}) "
+             f"WHEN 2 THEN array({_ring(0, 0, ell)}) ELSE array({square}, {_ring(0, 1, _rect('h / 2'))}) END")
+    rings = F.expr(f"concat({first}, if(fid % 5 = 0, array({_ring(1, 0, _SECOND)}), slice(array({square}), 1, 0)))")
     shaped = _suppliers(spark, sf).select("fid", F.lit("multipolygon").alias("geom_type"),
                                           rings.alias("rings"), "attrs")
     return with_envelope(shaped).select(*_COLUMNS)
@@ -166,20 +158,18 @@ KINDS = ["point", "line", "polygon", "multipoint", "multiline", "multipolygon"]
 
 def kinds(spark: SparkSession, sf: str) -> DataFrame:
     """One feature per supplier, its geometry kind by supplier key."""
-    h, zero = F.col("h"), F.lit(0.0)
     shapes = {
-        "point": [_ring(0, 0, _path((zero, zero)))],
-        "line": [_ring(0, 0, _path((-h, zero), (zero, h), (h, zero)))],
-        "polygon": [_ring(0, 0, _rect(h))],
-        "multipoint": [_ring(0, 0, _path((-h, -h), (h, -h), (h, h), (-h, h)))],
-        "multiline": [_ring(0, 0, _path((-h, -h), (h, -h))), _ring(1, 0, _path((-h, h), (h, h)))],
-        "multipolygon": [_ring(0, 0, _rect(h)), _ring(1, 0, _second())],
+        "point": [_path(("0D", "0D"))],
+        "line": [_path(("-h", "0D"), ("0D", "h"), ("h", "0D"))],
+        "polygon": [_rect("h")],
+        "multipoint": [_path(("-h", "-h"), ("h", "-h"), ("h", "h"), ("-h", "h"))],
+        "multiline": [_path(("-h", "-h"), ("h", "-h")), _path(("-h", "h"), ("h", "h"))],
+        "multipolygon": [_rect("h"), _SECOND],
     }
-    rings, kind = None, None
-    for n, name in enumerate(KINDS):
-        at = F.col("fid") % 6 == n
-        kind = F.when(at, name) if kind is None else kind.when(at, name)
-        rings = F.when(at, F.array(*shapes[name])) if rings is None else rings.when(at, F.array(*shapes[name]))
+    cases = {n: f"array({', '.join(_ring(part, 0, pts) for part, pts in enumerate(shapes[kind]))})"
+             for n, kind in enumerate(KINDS)}
+    rings = F.expr("CASE fid % 6 " + " ".join(f"WHEN {n} THEN {c}" for n, c in cases.items()) + " END")
+    kind = F.expr("CASE fid % 6 " + " ".join(f"WHEN {n} THEN '{k}'" for n, k in enumerate(KINDS)) + " END")
     shaped = _suppliers(spark, sf).select("fid", kind.alias("geom_type"), rings.alias("rings"), "attrs")
     return with_envelope(shaped).select(*_COLUMNS)
 

@@ -93,8 +93,8 @@ def scan_shapefile(spark, sf):
     return shapefile.read_features(spark, folder).select(
         F.col("attrs")["UID"].cast("bigint").alias("uid"), F.col("attrs")["NAME"].alias("name"),
         "geom_type", F.array_max(F.transform("rings", lambda r: r.part)).alias("last_part"),
-        F.size("rings").alias("n_rings"), G.vertex_count(F.col("rings")).alias("vertices"),
-        G.polygon_area(F.col("rings")).alias("area"), *BOX)
+        F.size("rings").alias("n_rings"), F.expr(G.vertex_count("rings")).alias("vertices"),
+        F.expr(G.polygon_area("rings")).alias("area"), *BOX)
 
 
 def _register_kinds():
@@ -103,14 +103,14 @@ def _register_kinds():
             found = shapefile.features_of_kind(spark, _kind_files(spark, sf), kind, single_part=True)
             return found.select(F.col("attrs")["UID"].cast("bigint").alias("uid"),
                                 F.col("attrs")["NAME"].alias("name"),
-                                G.coords_text(F.col("rings")).alias("coords"))
+                                F.expr(G.coords_text("rings")).alias("coords"))
         return run
 
     def one_field(kind):
         def run(spark, sf):
             every = shapefile.read_features(spark, _kind_files(spark, sf), single_part=True)
             found = V.of_kind(every, kind, "NATION", "int")
-            return found.select(G.coords_text(F.col("rings")).alias("coords"), "data")
+            return found.select(F.expr(G.coords_text("rings")).alias("coords"), "data")
         return run
 
     for kind in X.KINDS:
@@ -124,7 +124,7 @@ _register_kinds()
 @query
 def features_repartition(spark, sf):
     return X.features(spark, sf).repartition(40).select(
-        "fid", "geom_type", G.vertex_count(F.col("rings")).alias("vertices"))
+        "fid", "geom_type", F.expr(G.vertex_count("rings")).alias("vertices"))
 
 
 @query
@@ -194,7 +194,7 @@ def feature_attribute(spark, sf):
 @query
 def geom_envelope(spark, sf):
     return X.features(spark, sf).select(
-        "fid", *(c.alias(n) for n, c in G.envelope(F.col("rings")).items()))
+        "fid", *(F.expr(e).alias(n) for n, e in G.envelope("rings").items()))
 
 
 @query
@@ -202,15 +202,10 @@ def tile_extents(spark, sf):
     return R.tile_extents(X.tile_keys(spark, sf), X.L16)
 
 
-def _ring_text(ring):
-    return F.array_join(F.transform(ring, lambda p: F.concat_ws(
-        " ", p.x.cast("bigint").cast("string"), p.y.cast("bigint").cast("string"))), ",")
-
-
 @query
 def extent_to_polygon(spark, sf):
     heads = X.scene_heads(spark, sf)
-    return heads.select("scene", _ring_text(G.rect_ring(*_box())).alias("ring"))
+    return heads.select("scene", F.expr(G.path_text(G.rect_ring(BOX))).alias("ring"))
 
 
 @query
@@ -379,7 +374,7 @@ def stitch(spark, sf):
 @query
 def footprint(spark, sf):
     boxes = R.footprint(X.tile_keys(spark, sf), X.L16)
-    return boxes.select("col", "row", _ring_text("ring").alias("ring"))
+    return boxes.select("col", "row", F.expr(G.path_text("ring")).alias("ring"))
 
 
 @query
