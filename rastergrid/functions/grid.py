@@ -2,6 +2,7 @@
 
 Column 0 is the western column and row 0 the northern row. Key ranges of an
 extent are half-open at the east and south edges unless ``closed`` is asked for.
+A layout's methods take and return SQL text for ``F.expr``.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BOX = ("xmin", "ymin", "xmax", "ymax")
 INT_MAX = 2**31 - 1
 INT_MIN = -(2**31)
 
 
-def _floor_int(c: Column) -> Column:
-    return F.floor(c).cast("int")
+def number(value: float) -> str:
+    """A double literal."""
+    return f"({float(value)!r}D)"
 
 
 @dataclass(frozen=True)
@@ -63,40 +66,42 @@ class Layout:
     def cell_h(self) -> float:
         return self.tile_h / self.tile_rows
 
-    # Column builders -----------------------------------------------------
+    # SQL text -------------------------------------------------------------
 
-    def col_of(self, x: Column) -> Column:
-        return _floor_int((x - F.lit(self.xmin)) / F.lit(self.tile_w))
+    def col_of(self, x: str) -> str:
+        return f"int(floor(({x} - {number(self.xmin)}) / {number(self.tile_w)}))"
 
-    def row_of(self, y: Column) -> Column:
-        return _floor_int((F.lit(self.ymax) - y) / F.lit(self.tile_h))
+    def row_of(self, y: str) -> str:
+        return f"int(floor(({number(self.ymax)} - {y}) / {number(self.tile_h)}))"
 
-    def key_extent(self, col: Column, row: Column) -> dict[str, Column]:
-        """Map extent of a key as named columns."""
+    def key_extent(self, col: str = "col", row: str = "row") -> dict[str, str]:
+        """Map extent of a key by column name."""
+        w, h = number(self.tile_w), number(self.tile_h)
         return {
-            "xmin": F.lit(self.xmin) + col * F.lit(self.tile_w),
-            "ymin": F.lit(self.ymax) - (row + 1) * F.lit(self.tile_h),
-            "xmax": F.lit(self.xmin) + (col + 1) * F.lit(self.tile_w),
-            "ymax": F.lit(self.ymax) - row * F.lit(self.tile_h),
+            "xmin": f"{number(self.xmin)} + ({col}) * {w}",
+            "ymin": f"{number(self.ymax)} - ({row} + 1) * {h}",
+            "xmax": f"{number(self.xmin)} + ({col} + 1) * {w}",
+            "ymax": f"{number(self.ymax)} - ({row}) * {h}",
         }
 
-    def key_range(self, xmin: Column, ymin: Column, xmax: Column, ymax: Column,
-                  closed: bool = False) -> dict[str, Column]:
+    def key_range(self, box: tuple[str, ...] = BOX, closed: bool = False) -> dict[str, str]:
         """Inclusive key range of an extent; ``closed`` also counts tiles it only touches."""
-        x0 = (xmin - F.lit(self.xmin)) / F.lit(self.tile_w)
-        x1 = (xmax - F.lit(self.xmin)) / F.lit(self.tile_w)
-        y0 = (F.lit(self.ymax) - ymax) / F.lit(self.tile_h)
-        y1 = (F.lit(self.ymax) - ymin) / F.lit(self.tile_h)
+        xmin, ymin, xmax, ymax = box
+        x0 = f"({xmin} - {number(self.xmin)}) / {number(self.tile_w)}"
+        x1 = f"({xmax} - {number(self.xmin)}) / {number(self.tile_w)}"
+        y0 = f"({number(self.ymax)} - {ymax}) / {number(self.tile_h)}"
+        y1 = f"({number(self.ymax)} - {ymin}) / {number(self.tile_h)}"
         if closed:
-            return {"cmin": (F.ceil(x0) - 1).cast("int"), "rmin": (F.ceil(y0) - 1).cast("int"),
-                    "cmax": _floor_int(x1), "rmax": _floor_int(y1)}
-        cmin, rmin = _floor_int(x0), _floor_int(y0)
-        return {"cmin": cmin, "rmin": rmin,
-                "cmax": F.greatest(cmin, (F.ceil(x1) - 1).cast("int")),
-                "rmax": F.greatest(rmin, (F.ceil(y1) - 1).cast("int"))}
+            return {"cmin": f"int(ceil({x0}) - 1)", "rmin": f"int(ceil({y0}) - 1)",
+                    "cmax": f"int(floor({x1}))", "rmax": f"int(floor({y1}))"}
+        return {"cmin": f"int(floor({x0}))", "rmin": f"int(floor({y0}))",
+                "cmax": f"int(greatest(floor({x0}), ceil({x1}) - 1))",
+                "rmax": f"int(greatest(floor({y0}), ceil({y1}) - 1))"}
 
-    def inside(self, col: Column, row: Column) -> Column:
-        return (col >= 0) & (row >= 0) & (col < self.cols) & (row < self.rows)
+
+def named(texts: dict[str, str]) -> list[Column]:
+    """Named SQL texts as select items."""
+    return [F.expr(text).alias(name) for name, text in texts.items()]
 
 
 def explode_keys(df: DataFrame, cmin="cmin", rmin="rmin", cmax="cmax", rmax="rmax",
@@ -120,10 +125,10 @@ def drop_negative_keys(df: DataFrame, layout: Layout | None = None) -> DataFrame
 
 def keys_for_extent(extents: DataFrame, layout: Layout) -> DataFrame:
     """Keys covering each row's extent, cut at the layout's upper bounds."""
-    rng = layout.key_range(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")))
-    capped = rng | {"cmax": F.least(rng["cmax"], F.lit(layout.cols - 1)),
-                    "rmax": F.least(rng["rmax"], F.lit(layout.rows - 1))}
-    ranged = extents.select("*", *(c.alias(n) for n, c in capped.items()))
+    rng = layout.key_range()
+    capped = rng | {"cmax": f"least({rng['cmax']}, {layout.cols - 1})",
+                    "rmax": f"least({rng['rmax']}, {layout.rows - 1})"}
+    ranged = extents.select("*", *named(capped))
     return explode_keys(ranged.where("cmin <= cmax and rmin <= rmax"))
 
 

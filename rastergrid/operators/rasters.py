@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rastergrid.functions import geometry as G
 from rastergrid.functions import sfc
-from rastergrid.functions.grid import Layout, explode_keys
+from rastergrid.functions.grid import BOX, Layout, explode_keys, named
 from rastergrid.functions.projection import np_project
 from rastergrid.model import LayerMeta
 from rastergrid.operators import kernels as K
@@ -59,8 +59,7 @@ def floating_layout(meta: LayerMeta, tile: int) -> Layout:
 def depth_of_overlap(scenes: DataFrame, layout: Layout) -> tuple[int, int]:
     """From scene headers alone: the most scenes over one tile, and the span of ``ord``."""
     heads = scenes.select("ord", "xmin", "ymin", "xmax", "ymax").distinct()
-    rng = layout.key_range(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")))
-    keys = explode_keys(heads.select("ord", *(c.alias(n) for n, c in rng.items())))
+    keys = explode_keys(heads.select("ord", *named(layout.key_range())))
     per_key = keys.groupBy("col", "row").agg(F.count("*").alias("n"), F.max("ord").alias("last"))
     row = per_key.agg(F.max("n").alias("n"), F.max("last").alias("last")).first()
     return row.n or 0, (row.last or 0) + 1
@@ -139,8 +138,7 @@ def reproject_tiles(tiles: DataFrame, meta: LayerMeta, source: Layout, epsg: int
 def tile_extents(tiles: DataFrame, layout: Layout) -> DataFrame:
     """Distinct keys with their map extents."""
     keys = tiles.select("col", "row").distinct()
-    return keys.select("col", "row", *(
-        c.alias(n) for n, c in layout.key_extent(F.col("col"), F.col("row")).items()))
+    return keys.select("col", "row", *named(layout.key_extent()))
 
 
 def tiles_in_envelope(tiles: DataFrame, layout: Layout, extent) -> DataFrame:
@@ -247,7 +245,7 @@ def sort_by_curve(tiles: DataFrame, label: str, bits: int, n: int | None = None)
 def footprint(tiles: DataFrame, layout: Layout) -> DataFrame:
     """The tile footprint as a relation: one rectangle per distinct key."""
     boxes = tile_extents(tiles, layout)
-    ring = F.expr(G.rect_ring(("xmin", "ymin", "xmax", "ymax")))
+    ring = F.expr(G.rect_ring(BOX))
     return boxes.select("col", "row", ring.alias("ring"))
 
 

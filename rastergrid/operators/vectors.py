@@ -6,20 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastergrid.functions import geometry as G
-from rastergrid.functions.grid import Layout, drop_negative_keys, explode_keys
+from rastergrid.functions.grid import BOX, Layout, drop_negative_keys, explode_keys, named
 from rastergrid.session import materialize
 
 COARSE = 16            # grid tiles per side of the blocks a large feature is first cut into
 LIST_SIZE = 4096       # features one grouped list holds at most
-_BOX = ("xmin", "ymin", "xmax", "ymax")
-
-
-def _key_extent(layout: Layout) -> dict[str, Column]:
-    return {"k_" + n: c for n, c in layout.key_extent(F.col("col"), F.col("row")).items()}
-
-
-def _box() -> list[Column]:
-    return [F.col(c) for c in _BOX]
+_BLOCK = tuple("b_" + c for c in BOX)
+_KEY = tuple("k_" + c for c in BOX)
 
 
 def _spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -34,26 +27,24 @@ def with_envelope(features: DataFrame) -> DataFrame:
     return features.withColumns({n: F.expr(e) for n, e in G.envelope("rings").items()})
 
 
-_BLOCK = tuple("b_" + c for c in _BOX)
-_KEY = tuple("k_" + c for c in _BOX)
-
-
 def _with_blocks(ranged: DataFrame, layout: Layout, coarse: int) -> DataFrame:
     """One row per coarse block of each key range: the part of the range in the block, and the
     block's rectangle grown by one tile (``b_xmin`` ...), so rounding at its rim cuts nothing."""
-    block_range = [F.expr(f"cast(floor({c} / {coarse}) as int)").alias("b" + c)
-                   for c in ("cmin", "rmin", "cmax", "rmax")]
+    block_range = named({f"b{c}": f"int(floor({c} / {coarse}))" for c in ("cmin", "rmin", "cmax", "rmax")})
     out = explode_keys(ranged.select("*", *block_range), "bcmin", "brmin", "bcmax", "brmax",
                        "bcol", "brow")
-    c0, r0 = F.col("bcol") * coarse, F.col("brow") * coarse
-    first = layout.key_extent(c0 - 1, r0 - 1)
-    last = layout.key_extent(c0 + coarse, r0 + coarse)
-    return out.withColumns({
+    c0, r0 = f"bcol * {coarse}", f"brow * {coarse}"
+    first = layout.key_extent(f"{c0} - 1", f"{r0} - 1")
+    last = layout.key_extent(f"{c0} + {coarse}", f"{r0} + {coarse}")
+    return out.withColumns({n: F.expr(e) for n, e in {
         "b_xmin": first["xmin"], "b_ymax": first["ymax"],
         "b_xmax": last["xmax"], "b_ymin": last["ymin"],
-        "cmin": F.greatest(F.col("cmin"), c0), "rmin": F.greatest(F.col("rmin"), r0),
-        "cmax": F.least(F.col("cmax"), c0 + (coarse - 1)),
-        "rmax": F.least(F.col("rmax"), r0 + (coarse - 1))})
+        "cmin": f"greatest(cmin, {c0})", "rmin": f"greatest(rmin, {r0})",
+        "cmax": f"least(cmax, {c0} + {coarse - 1})", "rmax": f"least(rmax, {r0} + {coarse - 1})"}.items()})
+
+
+def _with_key_extents(pairs: DataFrame, layout: Layout) -> DataFrame:
+    return pairs.select("*", *named({"k_" + n: e for n, e in layout.key_extent().items()}))
 
 
 def feature_keys(features: DataFrame, layout: Layout, closed: bool = False,
@@ -67,14 +58,14 @@ def feature_keys(features: DataFrame, layout: Layout, closed: bool = False,
     keys. ``closed`` also tries keys the bounding box only touches.
     """
     base = features.select("fid", *keep, "geom_type", "rings", F.expr(G.edges("rings")).alias("edges"),
-                           *(c.alias(n) for n, c in layout.key_range(*_box(), closed).items()))
+                           *named(layout.key_range(closed=closed)))
     # Points keep their coordinates, everything else is described by its edges alone.
     own = F.expr(f"CASE WHEN {G.is_kind('geom_type', G.PUNCTUAL)} THEN rings END").alias("rings")
     cut = _with_blocks(base, layout, coarse).select(
         "fid", *keep, "geom_type", "bcol", "brow", "cmin", "rmin", "cmax", "rmax", own,
         F.expr(G.relevant_edges("edges", _BLOCK)).alias("edges"))
     pairs = explode_keys(_spread(cut, "fid", "bcol", "brow").drop("bcol", "brow"))
-    near = pairs.withColumns(_key_extent(layout)).withColumn(
+    near = _with_key_extents(pairs, layout).withColumn(
         "edges", F.expr(G.relevant_edges("edges", _KEY)))
     tested = near.withColumn("met", F.expr(G.meets_rect("geom_type", "rings", "edges", _KEY)))
     hit = tested.where(f"met OR {G.holds_rect('geom_type', 'edges', _KEY)}")
@@ -95,8 +86,7 @@ def stored_reach(features: DataFrame, layout: Layout, closed: bool = False) -> D
 def points_in_polygons(points: DataFrame, polygons: DataFrame, layout: Layout) -> DataFrame:
     """Points ``x, y, ...`` paired with the polygons that hold them: adds ``fid``. Keys a polygon
     only touches are tried too: a point on their rim may count as inside."""
-    keyed = points.select("*", layout.col_of(F.col("x")).alias("col"),
-                          layout.row_of(F.col("y")).alias("row"))
+    keyed = points.select("*", *named({"col": layout.col_of("x"), "row": layout.row_of("y")}))
     joined = keyed.join(stored_reach(polygons, layout, closed=True), ["col", "row"])
     inside = joined.where(f"whole OR {G.point_in_polygon('edges', 'x', 'y')}")
     return inside.select("fid", *points.columns)
@@ -133,14 +123,13 @@ def clip_to_grid(features: DataFrame, layout: Layout, coarse: int = COARSE) -> D
     small ring. Keys the feature only touches have no area and drop out.
     """
     polygons = features.where(G.is_kind("geom_type", G.POLYGONAL))
-    ranged = polygons.select("fid", "attrs", "rings", *(
-        c.alias(n) for n, c in layout.key_range(*_box()).items()))
+    ranged = polygons.select("fid", "attrs", "rings", *named(layout.key_range()))
     in_block = _with_blocks(ranged, layout, coarse).select(
         "fid", "attrs", "bcol", "brow", "cmin", "rmin", "cmax", "rmax",
         F.expr(G.clip_rings("rings", _BLOCK)).alias("rings"))
     pairs = explode_keys(_spread(in_block.where(F.size("rings") > 0), "fid", "bcol", "brow")
                          .drop("bcol", "brow"))
-    clipped = pairs.withColumns(_key_extent(layout)).select(
+    clipped = _with_key_extents(pairs, layout).select(
         "fid", "attrs", "col", "row", F.expr(G.clip_rings("rings", _KEY)).alias("rings"))
     kind = "if(size(filter(rings, _r -> _r.ring = 0)) > 1, 'multipolygon', 'polygon')"
     return (clipped.withColumn("area", F.expr(G.polygon_area("rings"))).where("area > 0")

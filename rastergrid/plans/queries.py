@@ -30,10 +30,6 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def _box():
-    return [F.col(c) for c in BOX]
-
-
 def _scene_cells(scenes: DataFrame) -> DataFrame:
     """Scene windows as one row per non-NULL cell."""
     out = scenes.select("scene", "ord", "band", "n_cols", "c0", "r0", "w",
@@ -332,7 +328,7 @@ def reproject_tiles(spark, sf):
 @query
 def query_first_feature(spark, sf):
     first = V.first_feature(X.features(spark, sf))
-    ranged = first.select("fid", *BOX, *(c.alias(n) for n, c in X.L16.key_range(*_box()).items()))
+    ranged = first.select("fid", *BOX, *grid.named(X.L16.key_range()))
     keys = grid.explode_keys(ranged)
     return keys.join(X.tile_keys(spark, sf), ["col", "row"], "left_semi").select(
         "fid", *BOX, "col", "row")
@@ -583,8 +579,7 @@ def pipeline_tile(spark, sf):
         "col", "row", F.size(filled).alias("n"),
         scalars.round_at(F.array_min(filled), 4).alias("least"),
         scalars.round_at(F.array_max(filled), 4).alias("most"))
-    return stats.where("n > 0").select("*", *(
-        c.alias(n) for n, c in layout.key_extent(F.col("col"), F.col("row")).items()))
+    return stats.where("n > 0").select("*", *grid.named(layout.key_extent()))
 
 
 @query

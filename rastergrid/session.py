@@ -1,4 +1,4 @@
-"""Session helpers: the shared work folder, materialised intermediates and batch sizing."""
+"""Session helpers: the shared work folder and stored intermediates."""
 
 from __future__ import annotations
 
@@ -30,9 +30,3 @@ def materialize(df: DataFrame, path: str | None = None, partition_by: list[str]
     path = path or shared_dir(spark) + "/table"
     df.write.mode("overwrite").parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def size_tile_batches(spark: SparkSession, tile_cells: int, target_bytes: int = 64 << 20) -> None:
-    """Bound the rows of one Arrow batch so a batch of tiles stays near ``target_bytes``."""
-    rows = max(1, target_bytes // (8 * tile_cells))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(rows, 10000)))

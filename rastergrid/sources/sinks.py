@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastergrid.functions.grid import Layout
+from rastergrid.functions.grid import Layout, named, number
 from rastergrid.operators.kernels import rows_of
 from rastergrid.sources.fs import write_atomic
 from rastergrid.sources.geotiff import encode_geotiff
@@ -50,23 +50,20 @@ def write_rasters(rasters: DataFrame, folder: str, cell_type: str = "float64",
 
 def tile_rasters(tiles: DataFrame, layout: Layout, epsg: int) -> DataFrame:
     """Tiles in the shape ``write_rasters`` takes, named ``<col>_<row>.tif``."""
-    box = layout.key_extent(F.col("col"), F.col("row"))
     return tiles.select(
         F.format_string("%d_%d.tif", "col", "row").alias("name"), F.lit(epsg).alias("epsg"),
-        *(c.alias(n) for n, c in box.items()), F.lit(layout.tile_cols).alias("n_cols"),
+        *named(layout.key_extent()), F.lit(layout.tile_cols).alias("n_cols"),
         F.lit(layout.tile_rows).alias("n_rows"), "band", "cells")
 
 
 def mosaic_rasters(mosaics: DataFrame, layout: Layout, epsg: int) -> DataFrame:
     """Stitched rasters in the shape ``write_rasters`` takes, one file per mosaic block."""
-    x0 = F.lit(layout.xmin) + F.col("col0") * F.lit(layout.tile_w)
-    y1 = F.lit(layout.ymax) - F.col("row0") * F.lit(layout.tile_h)
+    corner = layout.key_extent("col0", "row0")
+    box = {"xmin": corner["xmin"], "ymin": f"{corner['ymax']} - n_rows * {number(layout.cell_h)}",
+           "xmax": f"{corner['xmin']} + n_cols * {number(layout.cell_w)}", "ymax": corner["ymax"]}
     return mosaics.select(
         F.format_string("mosaic_%d_%d_%d.tif", "fid", "block_row", "block_col").alias("name"),
-        F.lit(epsg).alias("epsg"), x0.alias("xmin"),
-        (y1 - F.col("n_rows") * F.lit(layout.cell_h)).alias("ymin"),
-        (x0 + F.col("n_cols") * F.lit(layout.cell_w)).alias("xmax"), y1.alias("ymax"),
-        "n_cols", "n_rows", "band", "cells")
+        F.lit(epsg).alias("epsg"), *named(box), "n_cols", "n_rows", "band", "cells")
 
 
 def write_tiles(tiles: DataFrame, path: str) -> None:

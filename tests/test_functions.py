@@ -36,14 +36,13 @@ def test_layout_and_keys(spark):
     assert (layout.cols, layout.rows, layout.xmax, layout.ymin) == (3, 2, 120.0, -30.0)
     keys = spark.range(36).select((F.col("id") % 6 - 2).cast("int").alias("col"),
                                   F.expr("cast(id div 6 - 2 as int)").alias("row"))
-    box = layout.key_extent(F.col("col"), F.col("row"))
-    centre = ((box["xmin"] + box["xmax"]) / 2, (box["ymin"] + box["ymax"]) / 2)
-    assert keys.where((layout.col_of(centre[0]) != F.col("col")) | (layout.row_of(centre[1]) != F.col("row"))).count() == 0
-    rng = layout.key_range(*(box[n] for n in ("xmin", "ymin", "xmax", "ymax")))
-    assert keys.where((rng["cmin"] != F.col("col")) | (rng["cmax"] != F.col("col"))
-                      | (rng["rmin"] != F.col("row")) | (rng["rmax"] != F.col("row"))).count() == 0
-    near = layout.key_range(*(box[n] for n in ("xmin", "ymin", "xmax", "ymax")), closed=True)
-    assert keys.where((near["cmin"] != F.col("col") - 1) | (near["rmax"] != F.col("row") + 1)).count() == 0
+    boxed = keys.select("*", *grid.named(layout.key_extent()))
+    centre = grid.named({"c": layout.col_of("(xmin + xmax) / 2"), "r": layout.row_of("(ymin + ymax) / 2")})
+    assert boxed.select("col", "row", *centre).where("c != col OR r != row").count() == 0
+    assert boxed.select("col", "row", *grid.named(layout.key_range())).where(
+        "cmin != col OR cmax != col OR rmin != row OR rmax != row").count() == 0
+    assert boxed.select("col", "row", *grid.named(layout.key_range(closed=True))).where(
+        "cmin != col - 1 OR cmax != col + 1 OR rmin != row - 1 OR rmax != row + 1").count() == 0
     assert grid.drop_negative_keys(keys).count() == 16
     assert grid.drop_negative_keys(keys, layout).count() == 6
 
