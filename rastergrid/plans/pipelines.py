@@ -47,25 +47,27 @@ def metadata_by_footprint(tiles: DataFrame, features: DataFrame, layout: Layout)
 
 
 def grid_join(scene_heads: DataFrame, features: DataFrame, cell_w: float, cell_h: float,
-              tile: int) -> DataFrame:
+              tile: int, list_size: int = V.LIST_SIZE) -> DataFrame:
     """Grid over the merged raster extent joined with features: key -> UIDs."""
     e = R.merged_extent(scene_heads).first()
     layout = Layout.from_cells((e.xmin, e.ymin, e.xmax, e.ymax), cell_w, cell_h, tile)
-    return V.uids_per_key(features, layout)
+    return V.uids_per_key(features, layout, list_size)
 
 
 def tile_query(spark: SparkSession, folder: str, metadata: DataFrame, polygons: DataFrame,
                output: str, tile: int, epsg: int, cell: float | None = None) -> dict:
     """The three steps in sequence: tile, pixels by polygon, metadata by footprint.
 
-    The tile table is stored once for both queries. Pixels go to one GeoTIFF per mosaic block in
-    the folder ``output``, metadata as JSON lines next to it under the same stem.
+    The tile table is stored once for both queries; the footprint is that of all its tiles. Pixels
+    go to one GeoTIFF per mosaic block in the folder ``output``, in the scenes' cell type, metadata
+    as JSON lines next to it under the same stem.
     """
-    tiles, layout, _ = tile_scenes(spark, folder, tile, epsg, cell)
+    tiles, layout, meta = tile_scenes(spark, folder, tile, epsg, cell)
     stored = f"{shared_dir(spark)}/tiles"
     write_tiles(tiles, stored)
     tiles = spark.read.schema(tiles.schema).parquet(stored)
-    n = write_rasters(mosaic_rasters(pixels_by_polygon(tiles, polygons, layout), layout, epsg), output)
+    mosaics = mosaic_rasters(pixels_by_polygon(tiles, polygons, layout), layout, epsg)
+    n = write_rasters(mosaics, output, meta.cell_type)
     hits = V.features_by_footprint(metadata, tiles, layout)
     json_path = re.sub(r"\.[^.]*$", "", output) + ".json"
     write_attribute_json(hits, json_path)

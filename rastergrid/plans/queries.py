@@ -290,7 +290,7 @@ def clipped_features_per_key(spark, sf):
 
 @query
 def uids_per_key(spark, sf):
-    grouped = P.grid_join(X.scene_heads(spark, sf), X.features(spark, sf), 8.0, 8.0, 16)
+    grouped = P.grid_join(X.scene_heads(spark, sf), X.features(spark, sf), 8.0, 8.0, 16, LIST_SIZE)
     return grouped.select("col", "row", "part", _text("items").alias("uids"))
 
 

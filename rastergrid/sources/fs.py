@@ -19,6 +19,7 @@ def open_fs(path: str) -> tuple[fs.FileSystem, str]:
 
 def list_sized(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
     """(path, size) of the files under a folder, or of the file itself, in name order."""
+    path = path.rstrip("/")
     system, bare = open_fs(path)
     info = system.get_file_info(bare)
     if info.type == fs.FileType.File:

@@ -108,6 +108,8 @@ def read_header(reader) -> Header:
     else:
         seg_w, seg_h = n_cols, min(t.get(ROWS_PER_STRIP, (n_rows,))[0], n_rows)
         offsets, counts = t[STRIP_OFFSETS], t[STRIP_COUNTS]
+    if PIXEL_SCALE not in t or TIEPOINT not in t:
+        raise ValueError("not georeferenced by a pixel scale and a tie point")
     sx, sy = t[PIXEL_SCALE][:2]
     px, py, _, x, y, _ = t[TIEPOINT][:6]
     keys = t.get(GEO_KEYS, ())
