@@ -79,20 +79,20 @@ def bilinear_parts(window, c0, r0, n_cols, n_rows, fx, fy, snap):
     fy = np.clip(np.floor(fy * snap + 0.5) / snap, 0, n_rows - 1)
     left, top = np.floor(fx), np.floor(fy)
     wx, wy = fx - left, fy - top
+    # A rim of nothing around the window catches neighbours that lie outside it.
     h, w = window.shape
-    valid = ~np.isnan(window)
-    values = np.where(valid, window, 0.0)
-    shape = np.broadcast_shapes(fx.shape, fy.shape)
-    total, weight = np.zeros(shape), np.zeros(shape)
-    for dy in (0, 1):
-        for dx in (0, 1):
-            part = np.broadcast_to((wx if dx else 1 - wx) * (wy if dy else 1 - wy), shape)
-            ci = np.broadcast_to(left + dx - c0, shape).astype(np.int64)
-            ri = np.broadcast_to(top + dy - r0, shape).astype(np.int64)
-            hit = (part > 0) & (ci >= 0) & (ci < w) & (ri >= 0) & (ri < h)
-            cc, rr, p = ci[hit], ri[hit], part[hit]
-            total[hit] += p * values[rr, cc]
-            weight[hit] += p * valid[rr, cc]
+    valid = np.zeros((h + 2, w + 2))
+    valid[1:-1, 1:-1] = ~np.isnan(window)
+    values = np.zeros((h + 2, w + 2))
+    values[1:-1, 1:-1] = np.where(np.isnan(window), 0.0, window)
+    cols = [np.clip(left + d - c0, -1, w).astype(np.int64) + 1 for d in (0, 1)]
+    rows = [np.clip(top + d - r0, -1, h).astype(np.int64) + 1 for d in (0, 1)]
+    total = weight = 0.0
+    for dy, row_part in ((0, 1 - wy), (1, wy)):
+        for dx, col_part in ((0, 1 - wx), (1, wx)):
+            part = row_part * col_part
+            total = total + part * values[rows[dy], cols[dx]]
+            weight = weight + part * valid[rows[dy], cols[dx]]
     return total, weight
 
 
@@ -101,16 +101,11 @@ def _densified_box(xmin, ymin, xmax, ymax, src, dst, n=16):
     t = np.linspace(0.0, 1.0, n + 1)
     xs = xmin + (xmax - xmin) * t
     ys = ymin + (ymax - ymin) * t
-    sides = [(xs, np.full_like(xs, ymin)), (xs, np.full_like(xs, ymax)),
-             (np.full_like(ys, xmin), ys), (np.full_like(ys, xmax), ys)]
-    px, py, bend = [], [], 0.0
-    for sx, sy in sides:
-        x, y = np_project(sx, sy, src, dst)
-        px.append(x)
-        py.append(y)
-        bend = max(bend, np.abs(np.diff(x, 2)).max(), np.abs(np.diff(y, 2)).max())
-    px, py = np.concatenate(px), np.concatenate(py)
-    return px.min() - bend, py.min() - bend, px.max() + bend, py.max() + bend
+    x, y = np_project(
+        np.stack([xs, xs, np.full_like(xs, xmin), np.full_like(xs, xmax)]),
+        np.stack([np.full_like(ys, ymin), np.full_like(ys, ymax), ys, ys]), src, dst)
+    bend = max(np.abs(np.diff(x, 2)).max(), np.abs(np.diff(y, 2)).max())
+    return x.min() - bend, y.min() - bend, x.max() + bend, y.max() + bend
 
 
 def scatter_windows(target, snap, src=0, dst=0):
@@ -138,33 +133,34 @@ def scatter_windows(target, snap, src=0, dst=0):
             q0 = math.ceil((target.ymax - wy1) / ch - 0.5)
             q1 = math.ceil((target.ymax - wy0) / ch - 0.5) - 1
             window = cells.reshape(h, w)
+            x = target.xmin + (np.arange(g0, g1 + 1) + 0.5)[None, :] * cw
             for row in range(q0 // tr, q1 // tr + 1):
+                # One strip of tiles at a time: all columns at once, then cut into tiles.
+                b0, b1 = max(q0, row * tr), min(q1, row * tr + tr - 1)
+                sx, sy = x, target.ymax - (np.arange(b0, b1 + 1) + 0.5)[:, None] * ch
+                if src != dst:
+                    sx, sy = np_project(*np.broadcast_arrays(sx, sy), dst, src)
+                inside = (sx >= xmin) & (sx < xmax) & (sy > ymin) & (sy <= ymax)
+                total, weight = bilinear_parts(
+                    window, c0, r0, n_cols, n_rows,
+                    (sx - xmin) / sw - 0.5, (ymax - sy) / sh - 0.5, snap)
+                total, weight = np.where(inside, total, 0.0), np.where(inside, weight, 0.0)
                 for col in range(g0 // tc, g1 // tc + 1):
                     a0, a1 = max(g0, col * tc), min(g1, col * tc + tc - 1)
-                    b0, b1 = max(q0, row * tr), min(q1, row * tr + tr - 1)
-                    x = target.xmin + (np.arange(a0, a1 + 1) + 0.5)[None, :] * cw
-                    y = target.ymax - (np.arange(b0, b1 + 1) + 0.5)[:, None] * ch
-                    if src != dst:
-                        x, y = np_project(*np.broadcast_arrays(x, y), dst, src)
-                    inside = (x >= xmin) & (x < xmax) & (y > ymin) & (y <= ymax)
-                    if not inside.any():
+                    cut = np.s_[:, a0 - g0:a1 - g0 + 1]
+                    if not inside[cut].any():
                         continue
-                    total, weight = bilinear_parts(
-                        window, c0, r0, n_cols, n_rows,
-                        (x - xmin) / sw - 0.5, (ymax - y) / sh - 0.5, snap)
-                    total[~inside] = 0.0
-                    weight[~inside] = 0.0
                     # Keep only the used part; an all-NoData piece still announces its tile.
-                    rr, cc = np.nonzero(weight)
+                    t, wt = total[cut], weight[cut]
+                    rr, cc = np.nonzero(wt.any(axis=1))[0], np.nonzero(wt.any(axis=0))[0]
                     if rr.size:
-                        s = np.s_[rr.min():rr.max() + 1, cc.min():cc.max() + 1]
-                        total, weight = total[s], weight[s]
-                        pc, pr = a0 - col * tc + int(cc.min()), b0 - row * tr + int(rr.min())
+                        used = np.s_[rr[0]:rr[-1] + 1, cc[0]:cc[-1] + 1]
+                        t, wt = t[used], wt[used]
+                        pc, pr = a0 - col * tc + int(cc[0]), b0 - row * tr + int(rr[0])
                     else:
-                        total = weight = np.zeros((0, 0))
+                        t = wt = np.zeros((0, 0))
                         pc = pr = 0
-                    yield from out.add(col, row, band, order, pc, pr,
-                                       total.shape[1], total.shape[0], total, weight)
+                    yield from out.add(col, row, band, order, pc, pr, t.shape[1], t.shape[0], t, wt)
         yield from out.drain()
 
     return run
