@@ -11,36 +11,44 @@ HILBERT = "hilbert"
 ZORDER = "zorder"
 MAX_BITS = 31
 
-# The interleave masks for 32-bit halves, widest shift first.
-_SPREAD = [(16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
-           (2, 0x3333333333333333), (1, 0x5555555555555555)]
 
+def _table(values: list[int]) -> Column:
+    """A lookup array that is one short expression until the optimizer folds it to a constant."""
+    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') AS array<int>)")
 
-def _spread_bits(c: Column) -> Column:
-    """Move bit i of a non-negative 31-bit value to bit 2i."""
-    out = c.cast("bigint")
-    for shift, mask in _SPREAD:
-        out = out.bitwiseOR(F.shiftleft(out, shift)).bitwiseAND(F.lit(mask))
-    return out
 
+def _byte(c: Column, place: int) -> Column:
+    return F.shiftright(c, 8 * place).bitwiseAND(F.lit(255)).cast("int")
 
-def _gather_bits(c: Column) -> Column:
-    """Move bit 2i to bit i, dropping odd bits."""
-    out = c.bitwiseAND(F.lit(_SPREAD[-1][1]))
-    masks = [m for _, m in reversed(_SPREAD[:-1])] + [0x00000000FFFFFFFF]
-    for (shift, _), mask in zip(reversed(_SPREAD), masks):
-        out = out.bitwiseOR(F.shiftright(out, shift)).bitwiseAND(F.lit(mask))
-    return out
+
+def _spread(value: int) -> int:
+    """Bit i of a byte moved to bit 2i."""
+    return sum((value >> i & 1) << 2 * i for i in range(8))
+
+
+def _gathered(value: int) -> int:
+    """The even bits of a byte as the low four bits of the result, the odd bits above them."""
+    return sum((value >> i & 1) << (i // 2 + 4 * (i % 2)) for i in range(8))
 
 
 def zorder_encode(col: Column, row: Column) -> Column:
     """Interleaved index: column bits at even places, row bits at odd places."""
-    return _spread_bits(col).bitwiseOR(F.shiftleft(_spread_bits(row), 1))
+    spread = _table([_spread(v) for v in range(256)])
+    index = F.lit(0).cast("bigint")
+    for place in range(4):
+        pair = F.get(spread, _byte(col, place)).bitwiseOR(F.shiftleft(F.get(spread, _byte(row, place)), 1))
+        index = index.bitwiseOR(F.shiftleft(pair.cast("bigint"), 16 * place))
+    return index
 
 
 def zorder_decode(index: Column) -> tuple[Column, Column]:
-    i = index.cast("bigint")
-    return _gather_bits(i).cast("int"), _gather_bits(F.shiftright(i, 1)).cast("int")
+    gathered = _table([_gathered(v) for v in range(256)])
+    col, row = F.lit(0), F.lit(0)
+    for place in range(8):
+        pair = F.get(gathered, _byte(index.cast("bigint"), place))
+        col = col.bitwiseOR(F.shiftleft(pair.bitwiseAND(F.lit(15)), 4 * place))
+        row = row.bitwiseOR(F.shiftleft(F.shiftright(pair, 4), 4 * place))
+    return col, row
 
 
 def _check_bits(x_bits: int, y_bits: int) -> int:
@@ -79,7 +87,7 @@ def _tables() -> tuple[Column, Column]:
             digits, after = _walk(state & 1, state >> 1, place >> _LEVELS, place & (1 << _LEVELS) - 1)
             forward[state * _CODES + place] = digits << 2 | after
             backward[state * _CODES + digits] = place << 2 | after
-    return tuple(F.expr(f"array({','.join(map(str, rows))})") for rows in (forward, backward))
+    return _table(forward), _table(backward)
 
 
 def _groups(bits: int) -> tuple[int, int]:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastergrid.functions import sfc
+from rastergrid.session import materialize
 
 
 def _grid(spark, bits):
@@ -42,8 +43,8 @@ def test_round_trip_through_hex(spark, label, bits):
         F.expr(f"cast((id * 2654435761) % {top + 1} as int)").alias("col"),
         F.expr(f"cast((id * 40503 + 17) % {top + 1} as int)").alias("row"))
     edge = spark.createDataFrame([(0, 0), (top, 0), (0, top), (top, top)], "col int, row int")
-    hexed = keys.unionAll(edge).select("col", "row", sfc.index_to_hex(
-        sfc.sfc_index(label, F.col("col"), F.col("row"), bits, bits)).alias("hex"))
+    hexed = materialize(keys.unionAll(edge).select("col", "row", sfc.index_to_hex(
+        sfc.sfc_index(label, F.col("col"), F.col("row"), bits, bits)).alias("hex")))
     col, row = sfc.sfc_invert(label, F.col("hex"), bits, bits)
     assert hexed.where((col != F.col("col")) | (row != F.col("row"))).count() == 0
 
