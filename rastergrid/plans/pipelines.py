@@ -20,9 +20,10 @@ def tile_scenes(spark: SparkSession, folder: str, tile: int, epsg: int,
                 cell: float | None = None) -> tuple[DataFrame, Layout, LayerMeta]:
     """GeoTIFF folder -> tiles in ``epsg``: read, tile, reproject.
 
-    Layout and overlap come from the headers alone, so the pixels are read once.
+    Layout and overlap come from the headers alone, which are read and stored once, so the pixels
+    are read once too.
     """
-    heads = raster_catalog(spark, folder)
+    heads = materialize(raster_catalog(spark, folder))
     meta = R.read_layer_meta(heads)
     source = R.floating_layout(meta, tile)
     tiles = R.tile_to_layout(read_scenes(spark, folder), source, heads)
