@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from rastergrid.functions.geometry import path, rect_ring
 from rastergrid.functions.grid import Layout
 from rastergrid.operators.vectors import with_envelope
-from rastergrid.session import shared_dir
+from rastergrid.session import qualified, shared_dir
 from rastergrid.sources.fs import write_atomic
 from rastergrid.sources.sinks import write_rasters
 
@@ -265,6 +265,7 @@ def encode_shapefile(kind: str, rows) -> dict[str, bytes]:
 
 def write_feature_files(features_: DataFrame, folder: str) -> str:
     """Shapefiles ``<kind>_<n>`` of at most FILE_RECORDS features, written by tasks."""
+    folder = qualified(features_.sparkSession, folder)
 
     def write(key: tuple[pa.Scalar, ...],
               batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the cluster's default filesystem where it names none, so tasks
+    that open files themselves mean the same place as Spark does."""
+    if ":" in path.split("/")[0]:
+        return path
+    bare = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bare.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(bare).toString()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the cluster's shared checkpoint folder.
 
@@ -15,8 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        return tempfile.mkdtemp(prefix="rastergrid-")
-    return f"{base.rstrip('/')}/rastergrid-{uuid.uuid4().hex}"
+        return "file:" + tempfile.mkdtemp(prefix="rastergrid-")
+    return qualified(spark, f"{base.rstrip('/')}/rastergrid-{uuid.uuid4().hex}")
 
 
 def materialize(df: DataFrame, path: str | None = None, partition_by: list[str] | None = None,

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from rastergrid.model import HEADER_SCHEMA, SCENE_SCHEMA
+from rastergrid.session import qualified
 from rastergrid.sources.fs import BytesReader, RangeReader, list_sized
 
 TARGET_BYTES = 64 << 20       # file bytes per task
@@ -252,13 +253,13 @@ def read_scenes(spark: SparkSession, path: str, bands: list[int] | None = None,
     reader = spark.read.format("geotiff").options(**options)
     if bands is not None:
         reader = reader.option("bands", ",".join(map(str, bands)))
-    return reader.load(path)
+    return reader.load(qualified(spark, path))
 
 
 def raster_catalog(spark: SparkSession, path: str) -> DataFrame:
     """One row per file from its header; no pixel byte is read."""
     spark.dataSource.register(GeoTiffSource)
-    return spark.read.format("geotiff").option("header_only", "true").load(path)
+    return spark.read.format("geotiff").option("header_only", "true").load(qualified(spark, path))
 
 
 def read_scenes_binary(spark: SparkSession, path: str, bands: list[int] | None = None) -> DataFrame:

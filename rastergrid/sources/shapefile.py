@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from rastergrid.model import FEATURE_SCHEMA
+from rastergrid.session import qualified
 from rastergrid.sources.fs import RangeReader, list_sized
 
 TARGET_BYTES = 32 << 20
@@ -194,7 +195,7 @@ def read_features(spark: SparkSession, path: str, single_part: bool = False,
     """
     spark.dataSource.register(ShapefileSource)
     return (spark.read.format("shapefile").option("single_part", str(single_part).lower())
-            .options(**options).load(path))
+            .options(**options).load(qualified(spark, path)))
 
 
 def features_of_kind(spark: SparkSession, path: str, kind: str,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rastergrid.functions.grid import Layout, named, number
 from rastergrid.operators.kernels import rows_of
+from rastergrid.session import qualified
 from rastergrid.sources.fs import write_atomic
 from rastergrid.sources.geotiff import encode_geotiff
 
@@ -23,12 +24,13 @@ def write_rasters(rasters: DataFrame, folder: str, cell_type: str = "float64",
     """
 
     names = [c for c in _RASTER_COLUMNS if c != "cells"]
+    folder = qualified(rasters.sparkSession, folder).rstrip("/")
 
     def write_file(head, bands):
         name, epsg, xmin, ymin, xmax, ymax, n_cols, n_rows = head
         grids = [bands[b].reshape(n_rows, n_cols) for b in sorted(bands)]
         content = encode_geotiff(grids, (xmin, ymin, xmax, ymax), epsg, cell_type, deflate)
-        write_atomic(f"{folder.rstrip('/')}/{name}", content)
+        write_atomic(f"{folder}/{name}", content)
 
     def write(batches):
         current, bands, n = None, {}, 0
