@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastergrid.llm import langid, nearest, packing, secrets, sharding, simhash, tokenfiles, topk
+from rastergrid.llm import langid, lm, nearest, packing, secrets, sharding, simhash, tokenfiles, topk
 from rastergrid.llm.common import documents, embeddings
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.learn_and_score(documents(spark, sf_dir))
+
+
 @query
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
