@@ -31,7 +31,7 @@ SLICE_BYTES = 4 << 20
 HEAD_WORDS, HEAD_CHARS = 200_000, 64
 FLUSH_TOKENS = 2_000_000
 FLUSH_WORDS = 400_000
-STRENGTH = 50.0
+STRENGTH = 500.0
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -75,8 +75,9 @@ class Segment:
     sizes: np.ndarray
     bits: np.ndarray
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Levels of the keys that belong to this segment, 0 for others and for what is not there."""
+    def levels(self, keys: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        """Levels of filter entries, 0 for what is not there; the keys name the slices, and entries of
+        other segments are 0 as well."""
         own = (keys % np.uint64(self.slices)).astype(np.int64) - self.first
         out = np.zeros(len(keys), np.int64)
         left = np.flatnonzero((own >= 0) & (own < len(self.sizes)))
@@ -84,7 +85,7 @@ class Segment:
         level = 1
         while len(left):
             for probe in range(PROBES):
-                at = (_positions(keys[left], np.array([level]), probe) % self.sizes[own[left]]).astype(np.int64)
+                at = (_positions(entries[left], np.array([level]), probe) % self.sizes[own[left]]).astype(np.int64)
                 at += self.starts[own[left]]
                 left = left[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
                 if not len(left):
@@ -278,9 +279,10 @@ def _score_pass(shared, tokens: int, words_seen: int, strength: float, last: boo
                 words, level, count = Words(), np.zeros(0, np.int64), np.zeros(0, np.int64)
             at, counts = words.tokens(batch.column("text").cast(pa.binary()).to_pylist())
             before, pairs = words.pairs(at, counts)
-            level = np.append(level, segment.levels(_mix(words.keys[len(level):])))
+            fresh = words.keys[len(level):]
+            level = np.append(level, segment.levels(fresh, _mix(fresh)))
             distinct, back = np.unique(pairs, return_inverse=True)
-            one, two = level[at], segment.levels(distinct)[back]
+            one, two = level[at], segment.levels(distinct, distinct)[back]
             firsts = np.cumsum(counts) - counts
             if "levels" in batch.schema.names:
                 known = np.frombuffer(b"".join(batch.column("levels").to_pylist()), np.uint16).reshape(-1, 2)
