@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastergrid.llm import langid, lm, nearest, packing, secrets, sharding, simhash, tokenfiles, topk
+import corpus_pipeline
+from rastergrid.llm import langid, lm, nearest, packing, pieces, secrets, sharding, simhash, tokenfiles, topk
 from rastergrid.llm.common import documents, embeddings
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +32,14 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    again = pieces.decoded(spark, F.col("ids"))
+    return pieces.encode(docs).select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"),
+                                      F.crc32(again.cast("binary")).alias("decoded_crc32"))
+
+
 @query
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.learn_and_score(documents(spark, sf_dir))
@@ -101,3 +110,8 @@ WITH v AS (
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
