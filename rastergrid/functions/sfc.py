@@ -97,8 +97,13 @@ def _groups(bits: int) -> tuple[int, int]:
     return n, (n * _LEVELS - bits) % 2
 
 
+def _within(value: Column, inside: Column, what: str) -> Column:
+    """``value`` where ``inside`` is not false; otherwise an error instead of a colliding key."""
+    return F.when(~inside, F.raise_error(what).cast("bigint")).otherwise(value)
+
+
 def hilbert_encode(col: Column, row: Column, bits: int) -> Column:
-    """Distance along the Hilbert curve of order ``bits``."""
+    """Distance along the Hilbert curve of order ``bits``; keys outside 0..2^bits - 1 raise."""
     n, start = _groups(_check_bits(bits, bits))
     table, _ = _tables()
     mask = (1 << _LEVELS) - 1
@@ -110,14 +115,17 @@ def hilbert_encode(col: Column, row: Column, bits: int) -> Column:
         digits = F.shiftleft(F.shiftright(step, 2).cast("bigint"), 2 * _LEVELS * g)
         index = digits if index is None else index.bitwiseOR(digits)
         state = step.bitwiseAND(F.lit(3))
-    return index
+    inside = col.between(0, (1 << bits) - 1) & row.between(0, (1 << bits) - 1)
+    return _within(index, inside, f"key outside the Hilbert curve of {bits} bits")
 
 
 def hilbert_decode(index: Column, bits: int) -> tuple[Column, Column]:
-    """(col, row) of a Hilbert distance."""
+    """(col, row) of a Hilbert distance; distances beyond the curve raise."""
     n, start = _groups(_check_bits(bits, bits))
     _, table = _tables()
-    d, mask = index.cast("bigint"), (1 << _LEVELS) - 1
+    whole = index.cast("bigint")
+    d = _within(whole, whole.between(0, (1 << 2 * bits) - 1), f"distance beyond the Hilbert curve of {bits} bits")
+    mask = (1 << _LEVELS) - 1
     col, row, state = F.lit(0), F.lit(0), F.lit(start)
     for g in reversed(range(n)):
         digits = F.shiftright(d, 2 * _LEVELS * g).bitwiseAND(F.lit(_CODES - 1).cast("bigint"))

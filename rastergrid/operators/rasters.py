@@ -28,14 +28,31 @@ def merged_extent(scenes: DataFrame) -> DataFrame:
                       F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
 
 
+def union_cell_type() -> F.Column:
+    """The narrowest cell type that holds all values of the column ``cell_type``: floating if one is,
+    signed if one is, and wide enough; unsigned and signed need one step more than the unsigned."""
+    bits = F.regexp_extract("cell_type", r"(\d+)$", 1).cast("int")
+    widest = {kind: F.max(F.when(F.col("cell_type").rlike(f"^{kind}[0-9]"), bits))
+              for kind in ("float", "int", "uint")}
+    whole = F.greatest(widest["int"], widest["uint"])
+    signed = F.greatest(widest["int"], F.when(widest["uint"] < 64, 2 * widest["uint"]))
+    # floats hold whole numbers of up to 16 (float32) or 32 and more (float64) bits
+    real = F.when((widest["float"] > 32) | (F.coalesce(whole, F.lit(0)) > 16), 64).otherwise(32)
+    mixed_64 = widest["int"].isNotNull() & (widest["uint"] == 64)
+    return (F.when(widest["float"].isNotNull(), F.concat(F.lit("float"), real))
+            .when(mixed_64, F.lit("float64"))
+            .when(widest["int"].isNotNull(), F.concat(F.lit("int"), signed))
+            .otherwise(F.concat(F.lit("uint"), widest["uint"])))
+
+
 def layer_metadata(scenes: DataFrame, cell_w: float | None = None,
                    cell_h: float | None = None) -> DataFrame:
-    """One row over the scene headers: extent, smallest cell, CRS and cell type with their counts."""
+    """One row over the scene headers: extent, smallest cell, CRS and the union of the cell types."""
     cw = F.lit(cell_w) if cell_w else F.min((F.col("xmax") - F.col("xmin")) / F.col("n_cols"))
     ch = F.lit(cell_h) if cell_h else F.min((F.col("ymax") - F.col("ymin")) / F.col("n_rows"))
     return scenes.agg(
         F.min("epsg").alias("epsg"), (F.min("epsg") == F.max("epsg")).alias("one_crs"),
-        F.min("cell_type").alias("cell_type"),
+        union_cell_type().alias("cell_type"),
         F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"),
         F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"),
         cw.alias("cell_w"), ch.alias("cell_h"))
@@ -52,6 +69,12 @@ def read_layer_meta(scenes: DataFrame) -> LayerMeta:
                      row.cell_w, row.cell_h)
 
 
+def key_bounds(meta: LayerMeta, tile: int) -> tuple[int, int, int, int]:
+    """Least and largest (col, row) of the layer on its floating layout."""
+    layout = floating_layout(meta, tile)
+    return 0, 0, layout.cols - 1, layout.rows - 1
+
+
 def floating_layout(meta: LayerMeta, tile: int) -> Layout:
     return Layout.from_cells(meta.extent, meta.cell_w, meta.cell_h, tile)
 

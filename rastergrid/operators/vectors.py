@@ -95,15 +95,11 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, layout: Layout) -
 def grouped_lists(pairs: DataFrame, value: Column, list_size: int = LIST_SIZE) -> DataFrame:
     """Grid key -> ``value`` of its features in id order: ``col, row, part, items``.
 
-    A key has one list (part 0) up to ``list_size`` features. A busier key is split into parts by
-    ranges of ``list_size`` ids, so no list and no task grows with the key. ``pairs`` is read
-    twice: pass a stored table where it is costly.
+    ``part`` is the range of ``list_size`` ids a feature belongs to, for every key alike: no list and
+    no task grows with the key, and a new feature changes the list of its own part only.
     """
-    busy = (pairs.groupBy("col", "row").agg(F.count("*").alias("n")).where(F.col("n") > list_size)
-            .select("col", "row", F.lit(True).alias("busy")))
-    part = F.when(F.col("busy"), F.expr(f"fid div {list_size}")).otherwise(F.lit(0).cast("bigint"))
     lists = F.sort_array(F.collect_list(F.struct("fid", value.alias("item"))))
-    return (pairs.join(busy, ["col", "row"], "left").groupBy("col", "row", part.alias("part"))
+    return (pairs.groupBy("col", "row", F.expr(f"fid div {list_size}").alias("part"))
             .agg(F.transform(lists, lambda s: s.item).alias("items")))
 
 

@@ -175,7 +175,7 @@ def kinds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def curve_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct (col, row) pairs below 2^16."""
+    """Distinct (col, row) pairs."""
     return table(spark, sf, "lineitem").select(
         F.col("l_partkey").cast("int").alias("col"), F.col("l_suppkey").cast("int").alias("row")).distinct()
 
@@ -208,6 +208,19 @@ def write_scene_files(spark: SparkSession, sf: str, geographic: bool = False) ->
     return folder
 
 
+def write_whole_number_files(spark: SparkSession, sf: str) -> dict[str, str]:
+    """Folders of scenes in whole-number cell types, with zeros, empty cells and, in int16, negative
+    values."""
+    out = {}
+    for kind, shift in (("uint8", 0), ("int16", 125)):
+        folder = shared_dir(spark) + f"/{kind}"
+        whole = F.transform("cells", lambda v: F.floor(v) - 251 * F.floor(F.floor(v) / 251) - F.lit(float(shift)))
+        rows = scenes(spark, sf).withColumn("cells", whole.cast("array<double>"))
+        write_rasters(rows.withColumnRenamed("scene", "name"), folder, kind)
+        out[kind] = folder
+    return out
+
+
 FILE_RECORDS = 5000
 # Attribute table fields (name, type, width).
 _DBF_FIELDS = [("UID", "N", 18), ("NAME", "C", 32), ("NATION", "N", 9)]

@@ -147,13 +147,13 @@ PATHS = """paths AS (
 KEYS = "keys AS (SELECT DISTINCT CAST(l_partkey AS INTEGER) AS c, CAST(l_suppkey AS INTEGER) AS r FROM lineitem)"
 ZORDER = KEYS + """, z AS (
   SELECT c, r, CAST(sum((((c >> b) & 1)::BIGINT << (2 * b)) + (((r >> b) & 1)::BIGINT << (2 * b + 1))) AS BIGINT) AS idx
-  FROM keys CROSS JOIN (SELECT unnest(generate_series(0, 15))::INTEGER AS b) GROUP BY c, r)"""
+  FROM keys CROSS JOIN (SELECT unnest(generate_series(0, 30))::INTEGER AS b) GROUP BY c, r)"""
 HILBERT = "RECURSIVE " + KEYS + """, walk(c, r, s, x, y, d) AS (
-  SELECT c, r, 32768::BIGINT, c::BIGINT, r::BIGINT, 0::BIGINT FROM keys
+  SELECT c, r, 1073741824::BIGINT, c::BIGINT, r::BIGINT, 0::BIGINT FROM keys
   UNION ALL
   SELECT c, r, s // 2,
-         CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN 65535 - y ELSE y END ELSE x END,
-         CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN 65535 - x ELSE x END ELSE y END,
+         CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN 2147483647 - y ELSE y END ELSE x END,
+         CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN 2147483647 - x ELSE x END ELSE y END,
          d + s * s * xor(3 * rx, ry)
   FROM (SELECT *, CASE WHEN x & s > 0 THEN 1 ELSE 0 END AS rx, CASE WHEN y & s > 0 THEN 1 ELSE 0 END AS ry
         FROM walk WHERE s > 0)),
@@ -273,9 +273,9 @@ def _colrow(c: str = "c", r: str = "r") -> str:
 
 
 def _lists(pairs: str, value: str = "fid", out: str = "fids") -> str:
-    """Sorted id lists per key, split by id ranges of 16 where a key has more than 16."""
+    """Sorted id lists per key and range of 4 ids."""
     return f"""SELECT {_colrow()}, part, string_agg(CAST({value} AS VARCHAR), ',' ORDER BY fid) AS {out}
-FROM (SELECT *, CASE WHEN count(*) OVER (PARTITION BY c, r) > 16 THEN fid // 16 ELSE 0 END AS part FROM {pairs})
+FROM (SELECT *, fid // 4 AS part FROM {pairs})
 GROUP BY c, r, part"""
 
 
@@ -298,7 +298,13 @@ ORACLES: dict[str, str] = {
   SELECT scene, 0 AS band, k, b0 AS value FROM cells UNION ALL SELECT scene, 1, k, b1 FROM cells)
 WHERE value IS NOT NULL"""),
     "scan_geotiff_named": _with(CELLS, f"""SELECT {_SCENE_NAME} AS scene, 0 AS band, count(b0) AS n,
-  CAST(sum(b0) AS DOUBLE) AS total FROM cells GROUP BY scene"""),
+  CAST(sum(b0) AS DOUBLE) AS total FROM cells GROUP BY scene
+UNION ALL SELECT {_SCENE_NAME}, 1, count(b1), floor(CAST(sum(b1) AS DOUBLE) * 1e4 + 0.5) / 1e4 FROM cells GROUP BY scene"""),
+    "scan_geotiff_whole_numbers": _with(CELLS, f"""SELECT {_SCENE_NAME} AS scene, scene AS ord, band, k,
+  floor(v) - 251 * floor(floor(v) / 251) - shift AS value, cell_type
+FROM (SELECT scene, 0 AS band, k, b0 AS v FROM cells UNION ALL SELECT scene, 1, k, b1 FROM cells),
+     (VALUES ('uint8', 0), ('int16', 125)) t(cell_type, shift)
+WHERE v IS NOT NULL"""),
     "raster_catalog": _with(SCENES, """SELECT scene, xmin, ymin, xmax, ymax, 32651 AS epsg, 50 AS n_cols,
   50 AS n_rows, 2 AS n_bands, 'float64' AS cell_type FROM scenes"""),
     "list_files": _with(SCENES, "SELECT scene AS name, true AS filled FROM scenes"),
@@ -352,8 +358,10 @@ GROUP BY fid, scene, k HAVING sum({_crossing('x', 'y')}) % 2 = 1"""),
     "clip_to_grid": _with(CLIP, f"SELECT fid, {_colrow()}, CAST(area AS DOUBLE) AS area FROM clip"),
     "clipped_features_per_key": _with(
         CLIP_SHIFT + ", kept AS (SELECT fid, c, r FROM clip WHERE c >= 0 AND r >= 0)", _lists("kept")),
-    "uids_per_key": _with(HITS + ", kept AS (SELECT * FROM hit WHERE c >= 0 AND r >= 0)",
-                          _lists("kept", out="uids")),
+    "uids_per_key": _with(HITS + ", kept AS (SELECT * FROM hit WHERE c >= 0 AND r >= 0)", f"""SELECT *,
+  (SELECT CAST(sum((((col >> b) & 1)::BIGINT << (2 * b)) + (((\"row\" >> b) & 1)::BIGINT << (2 * b + 1))) AS BIGINT)
+   FROM (SELECT unnest(generate_series(0, 30))::INTEGER AS b)) AS sfc
+FROM ({_lists("kept", out="uids")})"""),
     "mask_tiles": _with(INSIDE, "SELECT fid, band, gc, gr, value FROM inside"),
     "tile_to_layout": _with(CELLS, f"""SELECT band, {_INT.format('gc', 'gc')}, {_INT.format('gr', 'gr')},
   {_up('value', 4)} AS value FROM (
@@ -380,6 +388,10 @@ WHERE fid = 0"""),
   max(ymax) AS ymax FROM scenes"""),
     "layer_metadata": _with(SCENES, """SELECT 32651 AS epsg, true AS one_crs, 'float64' AS cell_type,
   min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax,
+  min((xmax - xmin) / 50) AS cell_w, min((ymax - ymin) / 50) AS cell_h FROM scenes"""),
+    "layer_metadata_mixed": _with(SCENES, """SELECT 32651 AS epsg, true AS one_crs,
+  CASE WHEN max(ord % 2) = min(ord % 2) THEN 'uint16' ELSE 'int32' END AS cell_type,
+  min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax,
   min((xmax - xmin) / 50) AS cell_w, min((ymax - ymin) / 50) AS cell_h FROM scenes"""),
     "feature_count_per_key": _with(HITS, f"SELECT {_colrow()}, count(*) AS n FROM hit GROUP BY c, r"),
     "merge_tiles": _with(MERGED, "SELECT band, gc, gr, value FROM bands"),
@@ -410,6 +422,11 @@ UNION ALL SELECT 'grouped', count(*) FROM (SELECT DISTINCT c, r FROM clip WHERE
   CAST(n_cols AS INTEGER) AS cols, CAST(n_rows AS INTEGER) AS rows, 32 AS tile_cols, 32 AS tile_rows
 FROM (SELECT min(xmin) AS x0, max(ymax) AS y1, ceil((max(xmax) - min(xmin)) / 320) AS n_cols,
              ceil((max(ymax) - min(ymin)) / 320) AS n_rows FROM scenes)"""),
+    "layout_from_tile_count": _with(SCENES, """SELECT scene, CAST(c AS INTEGER) AS col, CAST(unnest(generate_series(
+  CAST(floor((n - ymax) / h) AS BIGINT), CAST(least(3, greatest(floor((n - ymax) / h), ceil((n - ymin) / h) - 1)) AS BIGINT))) AS INTEGER) AS "row"
+FROM (SELECT *, unnest(generate_series(CAST(floor((xmin - w0) / w) AS BIGINT),
+               CAST(least(7, greatest(floor((xmin - w0) / w), ceil((xmax - w0) / w) - 1)) AS BIGINT))) AS c
+      FROM scenes, (SELECT min(xmin) AS w0, max(ymax) AS n, (max(xmax) - min(xmin)) / 8 AS w, (max(ymax) - min(ymin)) / 4 AS h FROM scenes))"""),
     "keys_for_extent": _with(SCENES, f"""SELECT scene, {_colrow()} FROM (
   SELECT *, unnest(generate_series(CAST((4096 - ymax) // 128 AS BIGINT), CAST(ceil((4096 - ymin) / 128) - 1 AS BIGINT))) AS r FROM (
     SELECT *, unnest(generate_series(CAST(xmin // 128 AS BIGINT), CAST(ceil(xmax / 128) - 1 AS BIGINT))) AS c FROM scenes))"""),
@@ -468,3 +485,15 @@ for _kind in KINDS:
         _SUPPLIERS, f"SELECT fid AS uid, s_name AS name, {_KIND_TEXT[_kind]} AS coords {_rows}")
     ORACLES[f"features_{_kind}_field"] = _with(
         _SUPPLIERS, f"SELECT {_KIND_TEXT[_kind]} AS coords, s_nationkey AS data {_rows}")
+
+ORACLES["scan_geotiff_binary"] = ORACLES["tile_to_layout"]
+# The footprint of the whole run holds every tile of the scenes, also where all cells are empty.
+_ALL_TILES = """tilekeys AS (
+  SELECT DISTINCT (ord % 2 * 48 + a) // 16 AS c, (ord // 2 * 48 + b) // 16 AS r
+  FROM (SELECT DISTINCT event_id // 2500 AS ord FROM events),
+       (SELECT unnest(generate_series(0, 49)) AS a), (SELECT unnest(generate_series(0, 49)) AS b))"""
+ORACLES["pipeline_all"] = _with(
+    INSIDE + ", " + _keyed(0, 4096, closed=True) + ", " + _ALL_TILES
+    + ", met AS (SELECT DISTINCT fid FROM hit JOIN tilekeys USING (c, r))",
+    """SELECT fid, band, gc, gr, value FROM inside
+UNION ALL SELECT fid, NULL, NULL, NULL, NULL FROM met""")

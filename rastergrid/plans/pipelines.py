@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rastergrid.functions import sfc
 from rastergrid.functions.grid import Layout
 from rastergrid.model import LayerMeta
 from rastergrid.operators import rasters as R
@@ -48,11 +49,16 @@ def metadata_by_footprint(tiles: DataFrame, features: DataFrame, layout: Layout)
 
 
 def grid_join(scene_heads: DataFrame, features: DataFrame, cell_w: float, cell_h: float,
-              tile: int, list_size: int = V.LIST_SIZE) -> DataFrame:
-    """Grid over the merged raster extent joined with features: key -> UIDs."""
+              tile: int, list_size: int = V.LIST_SIZE, curve: str | None = None) -> DataFrame:
+    """Grid over the merged raster extent joined with features: key -> UIDs. With ``curve`` the keys
+    get their place on it as ``sfc`` and come in its order."""
     e = R.merged_extent(scene_heads).first()
     layout = Layout.from_cells((e.xmin, e.ymin, e.xmax, e.ymax), cell_w, cell_h, tile)
-    return V.uids_per_key(features, layout, list_size)
+    lists = V.uids_per_key(features, layout, list_size)
+    if curve is None:
+        return lists
+    index = sfc.sfc_index(curve, F.col("col"), F.col("row"), sfc.MAX_BITS, sfc.MAX_BITS)
+    return lists.withColumn("sfc", index).orderBy("sfc", "part")
 
 
 def tile_query(spark: SparkSession, folder: str, metadata: DataFrame, polygons: DataFrame,

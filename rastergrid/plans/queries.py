@@ -14,13 +14,13 @@ from rastergrid.operators import rasters as R
 from rastergrid.operators import vectors as V
 from rastergrid.plans import fixtures as X
 from rastergrid.plans import pipelines as P
-from rastergrid.session import shared_dir
+from rastergrid.session import materialize, shared_dir
 from rastergrid.sources import files, geotiff, shapefile, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-BITS = 16
+BITS = sfc.MAX_BITS
 ENVELOPE = (200.0, 3500.0, 600.0, 3900.0)
 BOX = ["xmin", "ymin", "xmax", "ymax"]
 
@@ -52,12 +52,29 @@ def scan_geotiff(spark, sf):
 
 @query
 def scan_geotiff_named(spark, sf):
-    named = geotiff.read_scenes(spark, X.write_scene_files(spark, sf), bands=[0])
+    named = geotiff.read_scenes(spark, X.write_scene_files(spark, sf))
     per_window = named.select("scene", "band", F.aggregate(
         "cells", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("total")),
         lambda a, v: F.struct((a.n + F.when(v.isNull(), 0).otherwise(1)).alias("n"),
                               (a.total + F.coalesce(v, F.lit(0.0))).alias("total"))).alias("s"))
-    return per_window.groupBy("scene", "band").agg(F.sum("s.n").alias("n"), F.sum("s.total").alias("total"))
+    total = F.when(F.col("band") == 0, F.sum("s.total")).otherwise(scalars.round_at(F.sum("s.total"), 4))
+    return per_window.groupBy("scene", "band").agg(F.sum("s.n").alias("n"), total.alias("total"))
+
+
+@query
+def scan_geotiff_binary(spark, sf):
+    folder = X.write_scene_files(spark, sf)
+    heads = geotiff.raster_catalog(spark, folder)
+    tiled = R.tile_to_layout(geotiff.read_scenes_binary(spark, folder), X.LHALF, heads)
+    return _rounded(R.tile_cells(tiled, X.LHALF))
+
+
+@query
+def scan_geotiff_whole_numbers(spark, sf):
+    folders = X.write_whole_number_files(spark, sf)
+    scans = [_scene_cells(geotiff.read_scenes(spark, folder)).withColumn("cell_type", F.lit(kind))
+             for kind, folder in folders.items()]
+    return scans[0].unionAll(scans[1])
 
 
 @query
@@ -138,6 +155,11 @@ def _mosaics(spark, sf, block=4) -> DataFrame:
 def write_geotiff(spark, sf):
     folder = shared_dir(spark) + "/mosaics"
     sinks.write_rasters(sinks.mosaic_rasters(_mosaics(spark, sf, 64), X.L16, 32651), folder)
+    return _mosaic_files(spark, folder)
+
+
+def _mosaic_files(spark, folder) -> DataFrame:
+    """Cells of written mosaics at their place on the grid of the scenes."""
     back = geotiff.read_scenes(spark, folder)
     at = back.select("scene", "band", "xmin", "ymax", "n_cols", "w", "c0", "r0",
                      F.posexplode("cells").alias("pos", "value")).where("value is not null")
@@ -268,7 +290,7 @@ def metadata_by_footprint(spark, sf):
     return hits.select("fid", F.col("attrs")["NAME"].alias("name"))
 
 
-LIST_SIZE = 16
+LIST_SIZE = 4
 
 
 @query
@@ -290,8 +312,8 @@ def clipped_features_per_key(spark, sf):
 
 @query
 def uids_per_key(spark, sf):
-    grouped = P.grid_join(X.scene_heads(spark, sf), X.features(spark, sf), 8.0, 8.0, 16, LIST_SIZE)
-    return grouped.select("col", "row", "part", _text("items").alias("uids"))
+    grouped = P.grid_join(X.scene_heads(spark, sf), X.features(spark, sf), 8.0, 8.0, 16, LIST_SIZE, sfc.ZORDER)
+    return grouped.select("col", "row", "part", "sfc", _text("items").alias("uids"))
 
 
 @query
@@ -346,6 +368,12 @@ def layer_metadata(spark, sf):
     return R.layer_metadata(X.scene_heads(spark, sf))
 
 
+@query
+def layer_metadata_mixed(spark, sf):
+    kind = F.when(F.expr("ord % 2 = 0"), "uint16").otherwise("int8")
+    return R.layer_metadata(X.scene_heads(spark, sf).withColumn("cell_type", kind))
+
+
 @query
 def feature_count_per_key(spark, sf):
     return V.feature_count_per_key(V.feature_keys(X.features(spark, sf), X.L16))
@@ -382,7 +410,7 @@ def metadata_json_agg(spark, sf):
 @query
 def stage_counts(spark, sf):
     f = X.features(spark, sf)
-    clipped = V.clip_to_grid(f, X.LSHIFT)
+    clipped = materialize(V.clip_to_grid(f, X.LSHIFT).select("fid", "col", "row"))
     grouped = grid.drop_negative_keys(clipped.select("col", "row").distinct())
     return V.stage_counts(tiles=X.tile_keys(spark, sf), features=f, clipped=clipped, grouped=grouped)
 
@@ -419,6 +447,13 @@ def _scene_layout(spark, sf) -> Layout:
     return Layout.from_cells((e.xmin, e.ymin, e.xmax, e.ymax), 8.0, 8.0, 16)
 
 
+@query
+def layout_from_tile_count(spark, sf):
+    e = R.merged_extent(X.scene_heads(spark, sf)).first()
+    layout = Layout.from_tile_count((e.xmin, e.ymin, e.xmax, e.ymax), 8, 4, 16)
+    return grid.keys_for_extent(X.scene_heads(spark, sf), layout).select("scene", "col", "row")
+
+
 @query
 def keys_for_extent(spark, sf):
     keys = grid.keys_for_extent(X.scene_heads(spark, sf), _scene_layout(spark, sf))
@@ -587,6 +622,17 @@ def pipeline_pixels_by_polygon(spark, sf):
     return R.mosaic_cells(_mosaics(spark, sf), X.L16)
 
 
+@query
+def pipeline_all(spark, sf):
+    output = shared_dir(spark) + "/pixels.tif"
+    done = P.tile_query(spark, X.write_scene_files(spark, sf), X.features(spark, sf), X.features(spark, sf),
+                        output, 16, 32651)
+    pixels = _mosaic_files(spark, done["output"]).select("fid", "band", "gc", "gr", "value")
+    found = spark.read.schema("UID string").json(done["json"])
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("band", "int"), ("gc", "int"), ("gr", "int"), ("value", "double"))]
+    return pixels.unionAll(found.select(F.col("UID").cast("bigint").alias("fid"), *none))
+
+
 @query
 def pipeline_metadata(spark, sf):
     return P.metadata_by_footprint(X.tile_keys(spark, sf), X.features(spark, sf), X.L16)

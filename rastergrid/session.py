@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,14 +20,53 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the cluster's shared checkpoint folder.
+    """A new folder name under the current run folder, or under the shared checkpoint folder.
 
-    Where the cluster names none (a single machine, tests), a fresh temporary folder is used.
+    The folder is the one ``spark.checkpoint.dir`` names, or the context's own checkpoint folder. On
+    a single machine without either it is a fresh temporary folder; on a cluster that is an error,
+    since every executor would write to its own disk.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return "file:" + tempfile.mkdtemp(prefix="rastergrid-")
-    return qualified(spark, f"{base.rstrip('/')}/rastergrid-{uuid.uuid4().hex}")
+    name = f"rastergrid-{uuid.uuid4().hex}"
+    if _runs:
+        return f"{_runs[-1]}/{name}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return qualified(spark, f"{base.rstrip('/')}/{name}")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file:" + tempfile.mkdtemp(prefix="rastergrid-")
+
+
+_runs: list[str] = []
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder and what it holds, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """One folder for all tables stored inside the block; it is deleted at the end, so results must be
+    written or collected before."""
+    folder = shared_dir(spark)
+    _runs.append(folder)
+    try:
+        yield folder
+    finally:
+        _runs.remove(folder)
+        remove(spark, folder)
+
+
+def swap_in(spark: SparkSession, draft: str, folder: str) -> None:
+    """Put a finished draft folder in the place of ``folder``, whose old content goes."""
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (draft, folder))
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(source)
+    system.delete(target, True)
+    if not system.rename(source, target):
+        raise OSError(f"cannot put {draft} in the place of {folder}")
 
 
 def materialize(df: DataFrame, path: str | None = None, partition_by: list[str] | None = None,

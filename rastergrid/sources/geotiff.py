@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from rastergrid.model import HEADER_SCHEMA, SCENE_SCHEMA
-from rastergrid.session import qualified
+from rastergrid.session import materialize, qualified
 from rastergrid.sources.fs import BytesReader, RangeReader, list_sized
 
 TARGET_BYTES = 64 << 20       # file bytes per task
 WINDOW_CELLS = 1 << 20        # cells per emitted row
+STRIP_CELLS = 1 << 16         # cells of a strip that we write
 HEADERS_PER_TASK = 64
 
 # TIFF tag numbers, field types and GeoKey ids.
@@ -265,36 +266,72 @@ def raster_catalog(spark: SparkSession, path: str) -> DataFrame:
 def read_scenes_binary(spark: SparkSession, path: str, bands: list[int] | None = None) -> DataFrame:
     """The same scan through Spark's own file access, for filesystems tasks cannot open themselves.
 
-    A file is one row of one task here. ``ord`` is NULL; join a rank by ``scene`` where it matters.
+    A file is one row of one task here. ``ord`` is the file's rank by name and path, from a listing
+    without contents that is ranked in two steps: by file in ranges of names, then by range.
     """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.tif")
              .option("recursiveFileLookup", "true").load(path)
-             .select(F.element_at(F.split("path", "/"), -1).alias("scene"), "content"))
+             .withColumn("scene", F.element_at(F.split("path", "/"), -1)))
+    listed = materialize(files.select("scene", "path").repartitionByRange("scene", "path")
+                         .sortWithinPartitions("scene", "path")
+                         .withColumn("share", F.spark_partition_id())
+                         .withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    counts = listed.groupBy("share").agg(F.count("*").alias("n"))
+    before = counts.alias("a").join(counts.alias("b"), F.col("b.share") < F.col("a.share"), "left").groupBy(
+        F.col("a.share").alias("share")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("base"))
+    ranked = listed.join(before, "share").select("path", (F.col("base") + F.col("place")).alias("ord"))
+    files = files.join(ranked, "path").select("scene", "ord", "content")
 
     def decode(batches):
         for batch in batches:
-            for name, content in zip(batch.column("scene"), batch.column("content")):
+            for name, order, content in zip(batch.column("scene"), batch.column("ord"), batch.column("content")):
                 reader = BytesReader(content.as_py())
                 h = read_header(reader)
                 wanted = bands if bands is not None else list(range(h.n_bands))
                 for window in read_windows(reader, h, wanted):
-                    yield _scene_batch(name.as_py(), None, h, window)
+                    yield _scene_batch(name.as_py(), order.as_py(), h, window)
 
     return files.mapInArrow(decode, SCENE_SCHEMA)
 
 
+def stored_values(bands: list[np.ndarray], dtype: np.dtype) -> tuple[list[np.ndarray], int | float | None]:
+    """Bands as stored in a file of the type, and its NoData value (None where no cell is empty)."""
+    if dtype.kind == "f":
+        return [band.astype(dtype) for band in bands], np.nan
+    limits, kept = np.iinfo(dtype), []
+    for band in bands:
+        whole = np.rint(band)
+        if (whole < limits.min).any() or (whole > limits.max).any() or np.isinf(whole).any():
+            raise ValueError(f"a cell value is beyond {dtype.name}")
+        kept.append(whole)
+    if not any(np.isnan(w).any() for w in kept):
+        return [w.astype(dtype) for w in kept], None
+    used = np.unique(np.concatenate([np.unique(w[~np.isnan(w)]) for w in kept]))
+    gap = np.flatnonzero(used != limits.min + np.arange(len(used)))
+    empty = limits.min + int(gap[0] if len(gap) else len(used))
+    if empty > limits.max:
+        raise ValueError(f"no value of {dtype.name} is left for empty cells")
+    return [np.where(np.isnan(w), empty, w).astype(dtype) for w in kept], empty
+
+
 def encode_geotiff(bands: list[np.ndarray], extent, epsg: int, cell_type: str = "float64",
-                   deflate: bool = False, order: str = "<") -> bytes:
-    """A striped, planar GeoTIFF of equally sized bands; NaN is NoData in floating types, and in
-    whole-number types the lowest value the type has."""
+                   deflate: bool = False, order: str = "<", strip_cells: int = STRIP_CELLS) -> bytes:
+    """A striped, planar GeoTIFF of equally sized bands, in strips of at most ``strip_cells`` cells.
+
+    NaN is NoData in floating types. Whole-number types take values rounded to the nearest (halves
+    to even); a value beyond the type raises. They get a NoData value only where a cell is empty:
+    the lowest value of the type that no cell has, which raises if all are in use.
+    """
     n_rows, n_cols = bands[0].shape
     dtype = np.dtype(cell_type).newbyteorder(order)
     xmin, ymin, xmax, ymax = extent
-    empty = np.nan if dtype.kind == "f" else float(np.iinfo(dtype).min)
+    bands, empty = stored_values(bands, dtype)
+    rows_per_strip = max(1, min(n_rows, strip_cells // n_cols))
     strips = []
     for band in bands:
-        data = np.where(np.isnan(band), empty, band).astype(dtype).tobytes()
-        strips.append(zlib.compress(data, 6) if deflate else data)
+        for top in range(0, n_rows, rows_per_strip):
+            data = band[top:top + rows_per_strip].tobytes()
+            strips.append(zlib.compress(data, 6) if deflate else data)
     crs_key = GEOGRAPHIC_CRS if epsg == 4326 else PROJECTED_CRS
     geo = (1, 1, 0, 3, MODEL_TYPE, 0, 1, 2 if epsg == 4326 else 1, RASTER_TYPE, 0, 1, 1,
            crs_key, 0, 1, epsg)
@@ -307,13 +344,14 @@ def encode_geotiff(bands: list[np.ndarray], extent, epsg: int, cell_type: str =
         fields = [
             (WIDTH, 4, (n_cols,)), (HEIGHT, 4, (n_rows,)), (BITS, 3, (dtype.itemsize * 8,) * n),
             (COMPRESSION, 3, (8 if deflate else 1,)), (PHOTOMETRIC, 3, (1,)),
-            (STRIP_OFFSETS, 4, offsets), (SAMPLES, 3, (n,)), (ROWS_PER_STRIP, 4, (n_rows,)),
+            (STRIP_OFFSETS, 4, offsets), (SAMPLES, 3, (n,)), (ROWS_PER_STRIP, 4, (rows_per_strip,)),
             (STRIP_COUNTS, 4, tuple(len(s) for s in strips)), (PLANAR, 3, (2,)),
             (SAMPLE_FORMAT, 3, (kind,) * n),
             (PIXEL_SCALE, 12, ((xmax - xmin) / n_cols, (ymax - ymin) / n_rows, 0.0)),
             (TIEPOINT, 12, (0.0, 0.0, 0.0, xmin, ymax, 0.0)), (GEO_KEYS, 3, geo),
-            (NODATA, 2, b"nan\0" if dtype.kind == "f" else b"%d\0" % int(empty)),
         ]
+        if empty is not None:
+            fields.append((NODATA, 2, b"nan\0" if dtype.kind == "f" else b"%d\0" % empty))
         extra_at = 8 + 2 + 12 * len(fields) + 4
         entries, extra = b"", b""
         for tag, code, value in fields:
@@ -327,5 +365,5 @@ def encode_geotiff(bands: list[np.ndarray], extent, epsg: int, cell_type: str =
                 entries += raw.ljust(4, b"\0")
         return (mark + struct.pack(order + "HIH", 42, 8, len(fields)) + entries + b"\0" * 4 + extra)
 
-    at = len(front((0,) * n)) + np.cumsum([0] + [len(s) for s in strips[:-1]])
+    at = len(front((0,) * len(strips))) + np.cumsum([0] + [len(s) for s in strips[:-1]])
     return front(tuple(int(o) for o in at)) + b"".join(strips)

@@ -123,16 +123,27 @@ class ShapefileReader(DataSourceReader):
         self.single_part = str(options.get("single_part", "false")).lower() == "true"
         self.encoding = options.get("encoding", "latin-1")
         self.target_bytes = int(options.get("target_bytes", TARGET_BYTES))
+        kind = options.get("kind")
+        self.codes = kind and {c for c in MULTI_KIND if kind in (MULTI_KIND[c], SINGLE_KIND.get(c))}
+
+    def _sizes(self) -> dict[str, int]:
+        """Sizes of the files to read; of one ``.shp`` those of its own set, without its folder."""
+        suffixes = (".shp", ".shx", ".dbf")
+        if not self.path.endswith(".shp"):
+            return dict(list_sized(self.path, suffixes))
+        sized = dict(list_sized(self.path, suffixes))
+        for suffix in suffixes[1:]:
+            try:
+                sized |= dict(list_sized(self.path[:-4] + suffix, suffixes))
+            except FileNotFoundError:
+                pass
+        return sized
 
     def partitions(self):
-        root = self.path if not self.path.endswith(".shp") else posixpath.dirname(self.path)
-        sized = dict(list_sized(root, (".shp", ".shx", ".dbf")))
-        only = self.path.rsplit("file:", 1)[-1] if self.path.endswith(".shp") else None
+        sized = self._sizes()
         out, fid0 = [], 0
         for shp in sorted((p for p in sized if p.endswith(".shp")),
                           key=lambda p: (posixpath.basename(p), p)):
-            if only and not only.endswith(shp.split("://", 1)[-1]):
-                continue
             stem = shp[:-4]
             if stem + ".shx" not in sized:
                 raise FileNotFoundError(stem + ".shx")
@@ -152,6 +163,10 @@ class ShapefileReader(DataSourceReader):
         return MULTI_KIND.get(base)
 
     def read(self, p):
+        if self.codes is not None:
+            with RangeReader(p.shp) as shapes:     # the shape code of all records, from the file's head
+                if int.from_bytes(shapes.read(32, 4), "little") % 10 not in self.codes:
+                    return
         with RangeReader(p.shx) as index, RangeReader(p.shp) as shapes:
             table = np.frombuffer(index.read(100 + 8 * p.first, 8 * p.count), ">i4").reshape(-1, 2)
             start = 2 * table[:, 0].astype(np.int64)
@@ -173,7 +188,8 @@ class ShapefileReader(DataSourceReader):
 
 
 class ShapefileSource(DataSource):
-    """``spark.read.format("shapefile")``; options single_part, encoding, target_bytes."""
+    """``spark.read.format("shapefile")``; options kind, single_part, encoding, target_bytes. Of files
+    that cannot hold ``kind`` only the head is read."""
 
     @classmethod
     def name(cls):
@@ -202,7 +218,7 @@ def features_of_kind(spark: SparkSession, path: str, kind: str,
                      single_part: bool | None = None) -> DataFrame:
     """Typed reader for one geometry kind; the single kinds need the number of parts looked at."""
     single = kind in ("line", "polygon") if single_part is None else single_part
-    return read_features(spark, path, single_part=single).where(F.col("geom_type") == kind)
+    return read_features(spark, path, single_part=single, kind=kind).where(F.col("geom_type") == kind)
 
 
 def shapefile_filesets(spark: SparkSession, path: str) -> DataFrame:

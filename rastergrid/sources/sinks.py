@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastergrid.functions.grid import Layout, named, number
 from rastergrid.operators.kernels import rows_of
-from rastergrid.session import qualified
+from rastergrid.session import qualified, swap_in
 from rastergrid.sources.fs import write_atomic
 from rastergrid.sources.geotiff import encode_geotiff
 
@@ -20,17 +22,20 @@ def write_rasters(rasters: DataFrame, folder: str, cell_type: str = "float64",
     """Write one GeoTIFF per ``name`` holding its bands in order; returns the number of files.
 
     Rows: ``name, epsg, xmin, ymin, xmax, ymax, n_cols, n_rows, band, cells``. A task sees the
-    bands of one file at a time and writes through a temporary name.
+    bands of one file at a time and writes through a temporary name. All files go to a draft folder
+    that takes the place of ``folder`` at the end, so nothing of an earlier run stays.
     """
 
     names = [c for c in _RASTER_COLUMNS if c != "cells"]
-    folder = qualified(rasters.sparkSession, folder).rstrip("/")
+    spark = rasters.sparkSession
+    folder = qualified(spark, folder).rstrip("/")
+    draft = f"{folder}-{uuid.uuid4().hex}"
 
     def write_file(head, bands):
         name, epsg, xmin, ymin, xmax, ymax, n_cols, n_rows = head
         grids = [bands[b].reshape(n_rows, n_cols) for b in sorted(bands)]
         content = encode_geotiff(grids, (xmin, ymin, xmax, ymax), epsg, cell_type, deflate)
-        write_atomic(f"{folder}/{name}", content)
+        write_atomic(f"{draft}/{name}", content)
 
     def write(batches):
         current, bands, n = None, {}, 0
@@ -47,7 +52,9 @@ def write_rasters(rasters: DataFrame, folder: str, cell_type: str = "float64",
 
     done = (rasters.select(*_RASTER_COLUMNS).repartition("name").sortWithinPartitions("name")
             .mapInArrow(write, "files bigint"))
-    return done.agg(F.sum("files")).first()[0] or 0
+    n = done.agg(F.sum("files")).first()[0] or 0
+    swap_in(spark, draft, folder)
+    return n
 
 
 def tile_rasters(tiles: DataFrame, layout: Layout, epsg: int) -> DataFrame:

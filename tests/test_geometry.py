@@ -147,6 +147,16 @@ def test_promotion_drops_other_kinds(stars):
     assert kinds == {"multipolygon"}
 
 
+def test_a_new_feature_changes_its_own_part_only(spark):
+    def lists(ids):
+        df = spark.createDataFrame([(1, 1, i) for i in ids], "col int, row int, fid bigint")
+        return {r.part: r["items"] for r in V.features_per_key(df, 64).collect()}
+
+    before, after = lists([1, 70, 140]), lists([1, 70, 140, 71])
+    assert before == {0: [1], 1: [70], 2: [140]}
+    assert {p for p in after if after[p] != before.get(p)} == {1}
+
+
 def test_busy_keys_are_split_and_whole(spark):
     pairs = spark.range(1000).select(F.lit(1).alias("col"), F.lit(2).alias("row"), F.col("id").alias("fid"))
     pairs = pairs.unionAll(spark.createDataFrame([(5, 5, 3), (5, 5, 999)], "col int, row int, fid bigint"))
@@ -154,7 +164,7 @@ def test_busy_keys_are_split_and_whole(spark):
     busy = [r for r in got if r.col == 1]
     assert len(busy) == 16 and max(len(r["items"]) for r in busy) == 64
     assert sorted(i for r in busy for i in r["items"]) == list(range(1000))
-    assert [(r.part, r["items"]) for r in got if r.col == 5] == [(0, [3, 999])]
+    assert sorted((r.part, r["items"]) for r in got if r.col == 5) == [(0, [3]), (15, [999])]
 
 
 def test_footprint_join_counts_a_touch_and_needs_no_tiles(spark):
