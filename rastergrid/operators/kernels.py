@@ -227,57 +227,72 @@ def centres_inside(ring_edges, x, y):
     return inside
 
 
+MASK_SCHEMA = ("fid bigint, col int, row int, band int, c0 int, r0 int, w int, h int, "
+               "cells array<double>")
+_WINDOW = ("c0", "r0", "w", "h")
+
+
 def mask_tiles(layout):
-    """Kernel: (fid, tile, edges) rows -> masked tiles; tiles with no centre inside are dropped."""
-    fields = [("fid", _I64)] + _TILE_FIELDS
+    """Kernel: (fid, tile, edges) rows -> the window of each tile around the cell centres inside;
+    tiles with no centre inside are dropped."""
+    fields = [("fid", _I64), ("col", _I32), ("row", _I32), ("band", _I32),
+              *((n, _I32) for n in _WINDOW), ("cells", _LIST)]
 
     def run(batches):
         out = BatchWriter(fields)
         for (fid, col, row, band, whole), (cells, flat) in rows_of(
                 batches, ["fid", "col", "row", "band", "whole"], ["cells", "edges"]):
             if whole:
-                yield from out.add(fid, col, row, band, cells)
+                yield from out.add(fid, col, row, band, 0, 0, layout.tile_cols, layout.tile_rows, cells)
                 continue
             x = layout.xmin + (col * layout.tile_cols + np.arange(layout.tile_cols) + 0.5) * layout.cell_w
             y = layout.ymax - (row * layout.tile_rows + np.arange(layout.tile_rows) + 0.5) * layout.cell_h
             inside = centres_inside(flat.reshape(-1, 4), x, y)
             if inside.any():
-                kept = np.where(inside, cells.reshape(inside.shape), np.nan)
-                yield from out.add(fid, col, row, band, kept)
+                rows, cols = (np.flatnonzero(inside.any(axis=a)) for a in (1, 0))
+                window = np.s_[rows[0]:rows[-1] + 1, cols[0]:cols[-1] + 1]
+                kept = np.where(inside[window], cells.reshape(inside.shape)[window], np.nan)
+                yield from out.add(fid, col, row, band, cols[0], rows[0], kept.shape[1], kept.shape[0], kept)
         yield from out.drain()
 
     return run
 
 
-MOSAIC_SCHEMA = ("fid bigint, band int, block_col int, block_row int, col0 int, row0 int, "
+MOSAIC_SCHEMA = ("fid bigint, band int, block_col int, block_row int, gc0 bigint, gr0 bigint, "
                  "n_cols int, n_rows int, cells array<double>")
 
 
 def stitch_sorted_tiles(tile_cols, tile_rows, block):
-    """Kernel: tiles sorted by mosaic block -> one raster per block.
+    """Kernel: windows sorted by mosaic block -> one raster per block, cropped to its windows.
 
     A block has at most ``block`` x ``block`` tiles, and only the raster being filled is held.
+    ``gc0, gr0`` is its corner in cells from the grid's corner.
     """
     fields = [("fid", _I64), ("band", _I32), ("block_col", _I32), ("block_row", _I32),
-              ("col0", _I32), ("row0", _I32), ("n_cols", _I32), ("n_rows", _I32), ("cells", _LIST)]
-    names = ["fid", "band", "block_col", "block_row", "col", "row", "cmin", "rmin", "cmax", "rmax"]
+              ("gc0", _I64), ("gr0", _I64), ("n_cols", _I32), ("n_rows", _I32), ("cells", _LIST)]
+    names = ["fid", "band", "block_col", "block_row", "col", "row", *_WINDOW]
+    wide, high = block * tile_cols, block * tile_rows
 
     def run(batches):
         out = BatchWriter(fields)
-        group = raster = None
+        group = raster = box = None
+
+        def done():
+            c0, r0, c1, r1 = box
+            part = raster[r0:r1, c0:c1]
+            return out.add(*group, group[2] * wide + c0, group[3] * high + r0, c1 - c0, r1 - r0, part)
+
         for head, (cells,) in rows_of(batches, names, ["cells"]):
-            key, (col, row, cmin, rmin, cmax, rmax) = head[:4], head[4:]
+            key, (col, row, c0, r0, w, h) = head[:4], head[4:]
             if key != group:
                 if group is not None:
-                    yield from out.add(*group, col0, row0, raster.shape[1], raster.shape[0], raster)
-                group = key
-                col0, row0 = cmin + key[2] * block, rmin + key[3] * block
-                wide, high = min(block, cmax + 1 - col0), min(block, rmax + 1 - row0)
-                raster = np.full((high * tile_rows, wide * tile_cols), np.nan)
-            r, c = (row - row0) * tile_rows, (col - col0) * tile_cols
-            raster[r:r + tile_rows, c:c + tile_cols] = cells.reshape(tile_rows, tile_cols)
+                    yield from done()
+                group, raster, box = key, np.full((high, wide), np.nan), (wide, high, 0, 0)
+            c, r = (col - key[2] * block) * tile_cols + c0, (row - key[3] * block) * tile_rows + r0
+            raster[r:r + h, c:c + w] = cells.reshape(h, w)
+            box = (min(box[0], c), min(box[1], r), max(box[2], c + w), max(box[3], r + h))
         if group is not None:
-            yield from out.add(*group, col0, row0, raster.shape[1], raster.shape[0], raster)
+            yield from done()
         yield from out.drain()
 
     return run

@@ -15,7 +15,6 @@ from rastergrid.functions.projection import np_project
 from rastergrid.model import LayerMeta
 from rastergrid.operators import kernels as K
 from rastergrid.operators.vectors import stored_reach
-from rastergrid.session import materialize
 
 SNAP = 4096.0          # sub-cell positions are rounded to 1/4096 of a cell
 FAN_IN = 256           # rasters one merge task takes per tile before it splits the work
@@ -175,7 +174,8 @@ def tiles_in_envelope(tiles: DataFrame, layout: Layout, extent) -> DataFrame:
 
 
 def mask_tiles(tiles: DataFrame, polygons: DataFrame, layout: Layout) -> DataFrame:
-    """Tiles cut to each polygon: ``fid, col, row, band, cells``, NULL outside.
+    """Tiles cut to each polygon: ``fid, col, row, band`` and the window ``c0, r0, w, h, cells`` of the
+    tile that holds its cells, NULL outside the polygon.
 
     The keys the polygons reach are stored first, each with only the edges that matter for it.
     Their key range becomes a filter on the tile scan and their size decides how the equi-join
@@ -187,24 +187,19 @@ def mask_tiles(tiles: DataFrame, polygons: DataFrame, layout: Layout) -> DataFra
     flat = F.expr("flatten(transform(edges, _e -> array(_e.x1, _e.y1, _e.x2, _e.y2)))")
     joined = near.join(reach, ["col", "row"]).select(
         "fid", "col", "row", "band", "whole", "cells", flat.alias("edges"))
-    return joined.mapInArrow(K.mask_tiles(layout), "fid bigint, " + K.TILE_SCHEMA)
+    return joined.mapInArrow(K.mask_tiles(layout), K.MASK_SCHEMA)
 
 
 def stitch(masked: DataFrame, layout: Layout, block: int = 4) -> DataFrame:
-    """Per polygon and band one raster over the key bounding box of its tiles.
+    """Per polygon, band and block of ``block`` x ``block`` grid tiles one raster over the masked
+    windows in it.
 
-    A mosaic wider or higher than ``block`` tiles comes as several blocks that together are the
-    whole, so no task ever holds more than ``block`` x ``block`` tiles. ``masked`` is read twice:
-    pass a stored table. The bounds are stored too, so their size decides the join and the cells
-    are shuffled once, by block.
+    Blocks are those of the grid, so nothing has to be known about a polygon as a whole: the cells
+    are read and shuffled once, and no task ever holds more than one block.
     """
-    bounds = materialize(masked.groupBy("fid").agg(
-        F.min("col").alias("cmin"), F.min("row").alias("rmin"),
-        F.max("col").alias("cmax"), F.max("row").alias("rmax")))
-    placed = masked.join(bounds, "fid").select(
-        "fid", "band", "col", "row", "cmin", "rmin", "cmax", "rmax", "cells",
-        F.expr(f"cast((col - cmin) div {block} as int)").alias("block_col"),
-        F.expr(f"cast((row - rmin) div {block} as int)").alias("block_row"))
+    placed = masked.select(
+        "*", F.floor(F.col("col") / block).cast("int").alias("block_col"),
+        F.floor(F.col("row") / block).cast("int").alias("block_row"))
     by_block = ["fid", "band", "block_col", "block_row"]
     return (placed.repartition(*by_block).sortWithinPartitions(*by_block)
             .mapInArrow(K.stitch_sorted_tiles(layout.tile_cols, layout.tile_rows, block),
@@ -212,22 +207,24 @@ def stitch(masked: DataFrame, layout: Layout, block: int = 4) -> DataFrame:
 
 
 def tile_cells(tiles: DataFrame, layout: Layout, keep: list[str] = ()) -> DataFrame:
-    """Tiles as one row per non-NULL cell: ``gc, gr`` count cells from the grid's corner."""
-    out = tiles.select(*keep, "col", "row", "band", F.posexplode("cells").alias("pos", "value"))
+    """Tiles, or windows of tiles, as one row per non-NULL cell: ``gc, gr`` count cells from the
+    grid's corner."""
     tc, tr = layout.tile_cols, layout.tile_rows
+    if "w" not in tiles.columns:
+        tiles = tiles.withColumns({"c0": F.lit(0), "r0": F.lit(0), "w": F.lit(tc)})
+    out = tiles.select(*keep, "col", "row", "band", "c0", "r0", "w", F.posexplode("cells").alias("pos", "value"))
     return out.where("value is not null").select(
-        *keep, "band", F.expr(f"cast(col * {tc} + pos % {tc} as int)").alias("gc"),
-        F.expr(f"cast(row * {tr} + pos div {tc} as int)").alias("gr"), "value")
+        *keep, "band", F.expr(f"cast(col * {tc} + c0 + pos % w as int)").alias("gc"),
+        F.expr(f"cast(row * {tr} + r0 + pos div w as int)").alias("gr"), "value")
 
 
-def mosaic_cells(mosaics: DataFrame, layout: Layout) -> DataFrame:
+def mosaic_cells(mosaics: DataFrame) -> DataFrame:
     """Mosaic blocks as one row per non-NULL cell."""
-    out = mosaics.select("fid", "band", "col0", "row0", "n_cols",
+    out = mosaics.select("fid", "band", "gc0", "gr0", "n_cols",
                          F.posexplode("cells").alias("pos", "value"))
-    tc, tr = layout.tile_cols, layout.tile_rows
     return out.where("value is not null").select(
-        "fid", "band", F.expr(f"cast(col0 * {tc} + pos % n_cols as int)").alias("gc"),
-        F.expr(f"cast(row0 * {tr} + pos div n_cols as int)").alias("gr"), "value")
+        "fid", "band", F.expr("cast(gc0 + pos % n_cols as int)").alias("gc"),
+        F.expr("cast(gr0 + pos div n_cols as int)").alias("gr"), "value")
 
 
 def bilinear_sample(samples: DataFrame, cells: DataFrame, n_cols: int, n_rows: int,

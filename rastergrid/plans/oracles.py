@@ -106,9 +106,9 @@ INSIDE = MERGED + ", " + POLY + f""", inside AS (
   FROM (SELECT b.*, 8.0::DOUBLE * gc + 4 AS x, 4092.0::DOUBLE - 8 * gr AS y FROM bands b)
   JOIN box ON x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax JOIN edge USING (fid)
   GROUP BY fid, band, gc, gr, value HAVING sum({_crossing('x', 'y')}) % 2 = 1),
--- tiles that hold a cell centre inside the polygon, whatever the cell's value
-reached AS (
-  SELECT fid, c, r
+-- cell centres inside the polygon, whatever the cell's value
+centres AS (
+  SELECT fid, c * 16 + o % 16 AS gc, r * 16 + o // 16 AS gr
   FROM (SELECT DISTINCT gc // 16 AS c, gr // 16 AS r FROM merged) t
   CROSS JOIN (SELECT unnest(generate_series(0, 255)) AS o) s
   JOIN box ON (t.c * 16 + o % 16) * 8.0::DOUBLE + 4 BETWEEN xmin AND xmax
@@ -397,11 +397,10 @@ WHERE fid = 0"""),
     "merge_tiles": _with(MERGED, "SELECT band, gc, gr, value FROM bands"),
     "stitch": _with(INSIDE, """SELECT fid, band, CAST(bc AS INTEGER) AS block_col, CAST(br AS INTEGER) AS block_row,
   CAST(wide AS INTEGER) AS n_cols, CAST(high AS INTEGER) AS n_rows,
-  CAST((gr - (r0 + br * 2) * 16) * wide + gc - (c0 + bc * 2) * 16 AS INTEGER) AS pos, value
-FROM (SELECT *, least(2, c1 + 1 - (c0 + bc * 2)) * 16 AS wide, least(2, r1 + 1 - (r0 + br * 2)) * 16 AS high
-      FROM (SELECT *, (gc // 16 - c0) // 2 AS bc, (gr // 16 - r0) // 2 AS br
-            FROM inside JOIN (SELECT fid, min(c) AS c0, max(c) AS c1, min(r) AS r0, max(r) AS r1
-                              FROM reached GROUP BY fid) USING (fid)))"""),
+  CAST((gr - r0) * wide + gc - c0 AS INTEGER) AS pos, value
+FROM (SELECT *, gc // 32 AS bc, gr // 32 AS br FROM inside)
+JOIN (SELECT fid, gc // 32 AS bc, gr // 32 AS br, min(gc) AS c0, max(gc) - min(gc) + 1 AS wide,
+             min(gr) AS r0, max(gr) - min(gr) + 1 AS high FROM centres GROUP BY ALL) USING (fid, bc, br)"""),
     "footprint": _with(TILEKEYS, f"""SELECT {_colrow()}, {_RECT_TEXT} AS ring
 FROM (SELECT c, r, {_TILE_BOX} FROM tilekeys)"""),
     "metadata_json_agg": _with(HITS_CLOSED, f"""SELECT s_suppkey // 16 AS part,

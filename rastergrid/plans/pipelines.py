@@ -36,10 +36,8 @@ def tile_scenes(spark: SparkSession, folder: str, tile: int, epsg: int,
 
 def pixels_by_polygon(tiles: DataFrame, polygons: DataFrame, layout: Layout,
                       block: int = 4) -> DataFrame:
-    """Mosaics of the tile cells inside each polygon. The masked tiles are stored once, because
-    the mosaic needs their key range as well as their cells."""
-    masked = materialize(R.mask_tiles(tiles, polygons, layout))
-    return R.stitch(masked, layout, block)
+    """Mosaics of the tile cells inside each polygon, one for each block of the grid."""
+    return R.stitch(R.mask_tiles(tiles, polygons, layout), layout, block)
 
 
 def metadata_by_footprint(tiles: DataFrame, features: DataFrame, layout: Layout) -> DataFrame:

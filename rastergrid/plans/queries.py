@@ -619,7 +619,7 @@ def pipeline_tile(spark, sf):
 
 @query
 def pipeline_pixels_by_polygon(spark, sf):
-    return R.mosaic_cells(_mosaics(spark, sf), X.L16)
+    return R.mosaic_cells(_mosaics(spark, sf))
 
 
 @query

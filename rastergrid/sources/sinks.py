@@ -67,9 +67,10 @@ def tile_rasters(tiles: DataFrame, layout: Layout, epsg: int) -> DataFrame:
 
 def mosaic_rasters(mosaics: DataFrame, layout: Layout, epsg: int) -> DataFrame:
     """Stitched rasters in the shape ``write_rasters`` takes, one file per mosaic block."""
-    corner = layout.key_extent("col0", "row0")
-    box = {"xmin": corner["xmin"], "ymin": f"{corner['ymax']} - n_rows * {number(layout.cell_h)}",
-           "xmax": f"{corner['xmin']} + n_cols * {number(layout.cell_w)}", "ymax": corner["ymax"]}
+    xmin = f"{number(layout.xmin)} + gc0 * {number(layout.cell_w)}"
+    ymax = f"{number(layout.ymax)} - gr0 * {number(layout.cell_h)}"
+    box = {"xmin": xmin, "ymin": f"{ymax} - n_rows * {number(layout.cell_h)}",
+           "xmax": f"{xmin} + n_cols * {number(layout.cell_w)}", "ymax": ymax}
     return mosaics.select(
         F.format_string("mosaic_%d_%d_%d.tif", "fid", "block_row", "block_col").alias("name"),
         F.lit(epsg).alias("epsg"), *named(box), "n_cols", "n_rows", "band", "cells")

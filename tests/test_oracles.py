@@ -7,8 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
-
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+from rastergrid.plans.oracles import ORACLES
+from rastergrid.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -36,5 +36,9 @@ def test_query_equals_oracle(spark, sf, duck, name):
         assert same.all(), f"{c}: {got[~same].head()} {want[~same].head()}"
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).columns == ["fid", "band", "gc", "gr", "value"]

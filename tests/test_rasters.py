@@ -129,10 +129,10 @@ def test_mask_keeps_tiles_by_geometry_alone(spark):
           {}, 0.0, 60.0, 6.0, 64.0)],
         "fid bigint, geom_type string, rings array<struct<part:int,ring:int,pts:array<struct<x:double,y:double>>>>, "
         "attrs map<string,string>, xmin double, ymin double, xmax double, ymax double")
-    masked = {(r.col, r.row): r.cells for r in R.mask_tiles(tiles, square, layout).collect()}
+    masked = {(r.col, r.row): (r.c0, r.r0, r.w, r.h, r.cells) for r in R.mask_tiles(tiles, square, layout).collect()}
     assert set(masked) == {(0, 0), (1, 0)}
-    assert masked[(0, 0)] == [None] * 16
-    assert masked[(1, 0)] == [1.0, 1.0, None, None] * 4
+    assert masked[(0, 0)] == (0, 0, 4, 4, [None] * 16)
+    assert masked[(1, 0)] == (0, 0, 2, 4, [1.0] * 8)
 
 
 def test_mask_without_polygons_is_empty(spark, sf):
@@ -145,7 +145,7 @@ def test_stitched_blocks_are_the_whole_mosaic(spark, sf):
     cells = {(r.fid, r.band, r.gc, r.gr): r.value
              for r in R.tile_cells(masked, X.L16, keep=["fid"]).collect()}
     for block in (1, 2, 64):
-        got = R.mosaic_cells(R.stitch(masked, X.L16, block), X.L16).collect()
+        got = R.mosaic_cells(R.stitch(masked, X.L16, block)).collect()
         assert {(r.fid, r.band, r.gc, r.gr): r.value for r in got} == cells
     one = R.stitch(masked, X.L16, 64)
     assert one.count() == one.select("fid", "band").distinct().count()
