@@ -121,11 +121,14 @@ def _ring(part: int, ring: int, pts: str) -> str:
 
 
 def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    """Centre and half size of each supplier's shapes, spread over the whole layer."""
     s = table(spark, sf, "supplier")
+    height = table(spark, sf, "events").agg(
+        F.expr("16 + 384 * (max(event_id) div 2500 div 2 + 1)")).scalar()
     return s.select(
         F.col("s_suppkey").alias("fid"),
         F.expr("cast(s_suppkey * 53 % 784 as double)").alias("cx"),
-        F.expr("cast(4096 - s_suppkey * 91 % 784 as double)").alias("cy"),
+        (4096 - F.col("s_suppkey") * 91 % height).cast("double").alias("cy"),
         F.expr("cast(8 + 4 * s_nationkey as double)").alias("h"),
         F.create_map(F.lit("UID"), F.col("s_suppkey").cast("string"), F.lit("NAME"), F.col("s_name"),
                      F.lit("NATION"), F.col("s_nationkey").cast("string")).alias("attrs"))

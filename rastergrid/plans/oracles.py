@@ -28,7 +28,7 @@ SCENES = """scenes AS (
 TILEKEYS = CELLS + ", tilekeys AS (SELECT DISTINCT gc // 16 AS c, gr // 16 AS r FROM cells)"
 _SUPPLIERS = """sup AS (
   SELECT s_suppkey AS fid, CAST(s_suppkey * 53 % 784 AS DOUBLE) AS cx,
-         CAST(4096 - s_suppkey * 91 % 784 AS DOUBLE) AS cy, CAST(8 + 4 * s_nationkey AS DOUBLE) AS h,
+         CAST(4096 - s_suppkey * 91 % (SELECT 16 + 384 * (max(event_id) // 2500 // 2 + 1) FROM events) AS DOUBLE) AS cy, CAST(8 + 4 * s_nationkey AS DOUBLE) AS h,
          s_name, s_nationkey FROM supplier)"""
 
 
