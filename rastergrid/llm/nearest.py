@@ -45,7 +45,7 @@ def _survivors(keep: int):
         schema = pa.schema([("asked", pa.int64()), ("node", pa.int64()), ("lower", pa.float64()),
                             ("upper", pa.float64())])
         for table in by_key(batches, ["qb", "cb", "dim"]):
-            for queries, vectors in runs(table, ["qb", "cb", "dim"]):
+            for queries, vectors, _ in runs(table, ["qb", "cb", "dim"]):
                 dim = queries.column("dim")[0].as_py()
                 left, right = _codes(queries, dim), _codes(vectors, dim).T
                 ids = [t.column("id").to_numpy() for t in (queries, vectors)]

@@ -17,6 +17,8 @@ LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 def _matrix(table: pa.Table, column: str, dim: int) -> np.ndarray:
+    if not dim:
+        return np.zeros((table.num_rows, 0), np.int64)
     flat = table.column(column).combine_chunks()
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
@@ -40,12 +42,12 @@ def _partials(keep: int, segments: int, cutoff: bool):
     a ``segments``-th of the query's threshold."""
 
     def run(batches):
-        schema = pa.schema([("asked", pa.int64()), ("node", pa.int64()), ("seg", pa.int32()),
-                            ("partial", pa.int64())])
-        keys = ["qb", "cb", "seg", "dim"]
+        schema = pa.schema([("asked", pa.int64()), ("node", pa.int64()), ("whole", pa.int32()),
+                            ("seg", pa.int32()), ("partial", pa.int64())])
+        keys = ["qb", "cb", "seg", "whole", "dim"]
         for table in by_key(batches, keys):
-            for queries, vectors in runs(table, keys):
-                dim, seg = queries.column("dim")[0].as_py(), queries.column("seg")[0].as_py()
+            for queries, vectors, _ in runs(table, keys):
+                seg, whole, dim = (queries.column(c)[0].as_py() for c in ("seg", "whole", "dim"))
                 left, right = _matrix(queries, "v", dim), _matrix(vectors, "v", dim)
                 asked, node = (t.column("id").to_numpy() for t in (queries, vectors))
                 floor = queries.column("threshold").to_pylist() if cutoff else None
@@ -67,21 +69,53 @@ def _partials(keep: int, segments: int, cutoff: bool):
                         r, c = row[some:some + (1 << 18)], col[some:some + (1 << 18)]
                         yield pa.RecordBatch.from_arrays([
                             pa.array(asked[at:at + STRIPE][r]), pa.array(node[c]),
-                            pa.array(np.full(len(r), seg), pa.int32()), _longs(score[r, c])], schema=schema)
+                            *(pa.array(np.full(len(r), x), pa.int32()) for x in (whole, seg)), _longs(score[r, c])], schema=schema)
 
     return run
 
 
-def _resolve(batches):
-    """Exact scores of pairs from their whole vectors."""
-    for batch in batches:
-        scores = []
-        for a, b in zip(batch.column("a"), batch.column("b")):
-            x, y = (v.values.to_numpy(zero_copy_only=False) for v in (a, b))
-            scores.append(_products(x[None], y[None])[0, 0])
-        values = np.array(scores, object)
-        yield pa.RecordBatch.from_pydict({"asked": batch.column("asked"), "node": batch.column("node"),
-                                          "score": _longs(values)})
+def _resolve(keep: int):
+    """Exact scores of the asked pairs of a tile, from its whole vectors: of each query those that
+    reach its ``keep``-th best (all of equal score), since no other pair of the tile can matter."""
+
+    def run(batches):
+        schema = pa.schema([("asked", pa.int64()), ("node", pa.int64()), ("score", pa.int64())])
+        for table in by_key(batches, ["qb", "cb", "dim"]):
+            for queries, vectors, asks in runs(table, ["qb", "cb", "dim"]):
+                if not asks.num_rows:
+                    continue
+                dim, sides = queries.column("dim")[0].as_py(), []
+                for rows, column in ((queries, "id"), (vectors, "other")):
+                    ids, wanted = rows.column("id").to_numpy(), asks.column(column).to_numpy()
+                    order = np.argsort(ids)
+                    sides.append((_matrix(rows, "v", dim), order[np.searchsorted(ids, wanted, sorter=order)]))
+                scores = _pair_products(sides)
+                asked, node = asks.column("id").to_numpy(), asks.column("other").to_numpy()
+                order = np.lexsort((-scores, asked))
+                first = np.flatnonzero(np.append(True, asked[order][1:] != asked[order][:-1]))
+                size = np.diff(np.append(first, len(order)))
+                cut = scores[order][first + np.minimum(size, keep) - 1]
+                kept = order[scores[order] >= np.repeat(cut, size)]
+                yield pa.RecordBatch.from_arrays([pa.array(asked[kept]), pa.array(node[kept]),
+                                                  pa.array(scores[kept])], schema=schema)
+
+    return run
+
+
+def _pair_products(sides, step: int = 1 << 16) -> np.ndarray:
+    """Products of chosen rows, some at a time."""
+    (a, rows), (b, others) = sides
+    top = [float(np.abs(x.astype(float)).max(initial=0)) for x in (a, b)]
+    small = top[0] * top[1] * max(1, a.shape[1]) < EXACT
+    out = []
+    for at in range(0, len(rows), step):
+        x, y = a[rows[at:at + step]], b[others[at:at + step]]
+        if small:
+            out.append(np.einsum("ij,ij->i", x, y))
+        else:
+            exact = (x.astype(object) * y.astype(object)).sum(axis=1)
+            out.append(np.array([min(max(int(s), LONG[0]), LONG[1]) for s in exact], np.int64))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def top_scores(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, segments: int = 2,
@@ -118,25 +152,29 @@ def top_scores(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256
         # a segment's rows are as wide as its slice; ``whole`` keeps apart what differs elsewhere
         both = [x.withColumn("whole", F.col("dim")).withColumn("dim", F.size("v")) for x in (left, right)]
         return (tiles(*both, search, q_rows, c_rows, "seg", "whole", "dim")
-                .mapInArrow(_partials(k + 1, segments, cutoff), "asked long, node long, seg int, partial long"))
+                .mapInArrow(_partials(k + 1, segments, cutoff),
+                            "asked long, node long, whole int, seg int, partial long"))
 
     def exact(pairs: DataFrame) -> DataFrame:
-        return (pairs.join(search.queries.select("asked", F.col("v").alias("a")), "asked")
-                .join(search.classes.select("node", F.col("v").alias("b")), "node")
-                .mapInArrow(_resolve, "asked long, node long, score long"))
+        left = search.queries.select(F.col("asked").alias("id"), "v", "dim")
+        right = search.classes.select(F.col("node").alias("id"), "v", "dim")
+        asks = pairs.select(F.col("asked").alias("id"), F.col("node").alias("other"), F.col("whole").alias("dim"))
+        other = F.lit(None).cast("long").alias("other")
+        return (tiles(left.select("*", other), right.select("*", other), search, q_rows, c_rows, "dim", asks=asks)
+                .mapInArrow(_resolve(k + 1), "asked long, node long, score long"))
 
     local = Window.partitionBy("asked", "seg").orderBy(F.col("partial").desc())
     lists = partials(search.queries.withColumn("threshold", F.lit(None).cast("long")), False)
     lists = lists.withColumn("nth", F.row_number().over(local)).where(F.col("nth") <= k + 1)
-    known = exact(lists.select("asked", "node").distinct())
+    known = exact(lists.select("asked", "node", "whole").distinct())
     best = Window.partitionBy("asked").orderBy(F.col("score").desc())
     known = known.withColumn("nth", F.row_number().over(best)).where(F.col("nth") == k + 1)
     threshold = materialize(known.select("asked", F.col("score").alias("threshold")))
     armed = search.queries.join(threshold, "asked", "left")
-    entries = partials(armed, True).groupBy("asked", "node").agg(
+    entries = partials(armed, True).groupBy("asked", "node", "whole").agg(
         F.sum(F.col("partial").cast("decimal(38,0)")).alias("seen"), F.count("*").alias("n"))
     share = F.ceil(F.col("threshold") / segments) - 1
     upper = F.col("seen") + (segments - F.col("n")) * share.cast("decimal(38,0)")
     left = (entries.join(threshold, "asked", "left")
-            .where(F.col("threshold").isNull() | (upper >= F.col("threshold"))).select("asked", "node"))
+            .where(F.col("threshold").isNull() | (upper >= F.col("threshold"))).select("asked", "node", "whole"))
     return answers(exact(left), search, k, best_first=True)

@@ -45,9 +45,10 @@ def prepare(rows: DataFrame, every: int, keep: int) -> Search:
 
 
 def tiles(queries: DataFrame, classes: DataFrame, search: Search, q_rows: int, c_rows: int,
-          *keys: str) -> DataFrame:
+          *keys: str, asks: DataFrame | None = None) -> DataFrame:
     """Both sides dealt to a grid of tiles: every block of queries meets every block of vectors once.
-    Columns of both: ``id`` and the payload; ``side`` 0 is the query. Sorted by tile and side."""
+    Columns of both: ``id`` and the payload; ``side`` 0 is the query. Sorted by tile and side. Rows
+    of ``asks`` (``id`` a query, ``other`` a vector) go to the tile where the two meet, as side 2."""
     n_q, n_c = max(1, -(-search.n_queries // q_rows)), max(1, -(-search.n_classes // c_rows))
 
     def blocks(n):
@@ -59,26 +60,35 @@ def tiles(queries: DataFrame, classes: DataFrame, search: Search, q_rows: int, c
                            F.pmod(F.xxhash64("id"), F.lit(n_c)).cast("int").alias("cb"),
                            F.lit(1).alias("side"), "*")
     order = ["qb", "cb", *keys]
-    return left.unionByName(right).repartition(*order).sortWithinPartitions(*order, "side")
+    both = left.unionByName(right)
+    if asks is not None:
+        both = both.unionByName(asks.select(
+            F.pmod(F.xxhash64("id"), F.lit(n_q)).cast("int").alias("qb"),
+            F.pmod(F.xxhash64("other"), F.lit(n_c)).cast("int").alias("cb"), F.lit(2).alias("side"), "*"),
+            allowMissingColumns=True)
+    return both.repartition(*order).sortWithinPartitions(*order, "side")
 
 
 def runs(table: pa.Table, keys: list[str]):
-    """The whole tiles of a table, each split into its query and its vector part."""
+    """The whole tiles of a table, each split into its query, its vector and its asked part."""
     columns = [table.column(k).to_numpy() for k in keys]
     cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
     side = table.column("side").to_numpy()
     for start, end in zip(np.append(0, cuts), np.append(cuts, len(side))):
-        middle = start + int(np.searchsorted(side[start:end], 1))
-        if start < middle < end:
-            yield table.slice(start, middle - start), table.slice(middle, end - middle)
+        middle, last = (start + int(np.searchsorted(side[start:end], s)) for s in (1, 2))
+        if start < middle < last:
+            yield (table.slice(start, middle - start), table.slice(middle, last - middle),
+                   table.slice(last, end - last))
 
 
 def answers(scored: DataFrame, search: Search, k: int, best_first: bool) -> DataFrame:
-    """``query_id, rank, vec_id, score`` from exact scores ``asked, node, score`` of vectors: ids are
-    expanded, the query's own id goes, and the first ``k`` stay."""
+    """``query_id, rank, vec_id, score`` from exact scores ``asked, node, score`` of vectors: the
+    first ``k + 1`` vectors are expanded to their ids, the query's own id goes, and ``k`` stay."""
     score = F.col("score").desc() if best_first else F.col("score")
-    near = scored.join(search.classes.select("node", "ids"), "node").select(
-        "asked", "score", F.explode("ids").alias("vec_id"))
+    lead = Window.partitionBy("asked").orderBy(score, F.col("ids")[0])
+    near = (scored.join(search.classes.select("node", "ids"), "node")
+            .withColumn("nth", F.row_number().over(lead)).where(F.col("nth") <= k + 1)
+            .select("asked", "score", F.explode("ids").alias("vec_id")))
     top = Window.partitionBy("asked").orderBy(score, "vec_id")
     near = near.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= k + 1).drop("nth")
     each = near.join(search.members, "asked").where("vec_id <> query_id")
