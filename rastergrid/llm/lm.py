@@ -28,9 +28,9 @@ BASES = (1.1, 1.5)  # quantisation of word counts and of pair counts
 SALT = np.uint64(0xD6E8FEB86659FD93)
 SEGMENT_BYTES = 192 << 20
 SLICE_BYTES = 4 << 20
-HEAD_WORDS, HEAD_CHARS = 200_000, 64
+HEAD_WORDS, HEAD_CHARS = 150_000, 64
 FLUSH_TOKENS = 2_000_000
-FLUSH_WORDS = 400_000
+FLUSH_WORDS = 300_000
 STRENGTH = 500.0
 
 
@@ -49,9 +49,16 @@ def levels_of(counts: np.ndarray, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(base) + 1e-9).astype(np.int64)
 
 
-def _positions(keys: np.ndarray, level: np.ndarray, probe: int) -> np.ndarray:
-    mixed = _mix(keys + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return mixed + np.uint64(probe) * (_mix(mixed + SALT) | np.uint64(1))
+def _hashes(entries: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the first probe of an entry at a level, and the step to the next ones."""
+    start = _mix(entries + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return start, _mix(start + SALT) | np.uint64(1)
+
+
+def _places(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bits below ``sizes`` (less than 2^32) that the upper halves of the hashes stand for."""
+    half = np.uint64(32)
+    return (((hashes >> half) * sizes) >> half).astype(np.int64)
 
 
 def filter_slice(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -60,8 +67,10 @@ def filter_slice(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
     each = np.arange(len(entries)) - np.repeat(np.cumsum(levels) - levels, levels) + 1
     size = np.uint64(max(64, -(-len(entries) * BITS_PER_ENTRY // 8) * 8))
     bits = np.zeros(int(size), bool)
-    for probe in range(PROBES):
-        bits[(_positions(entries, each, probe) % size).astype(np.int64)] = True
+    at, step = _hashes(entries, each)
+    for _ in range(PROBES):
+        bits[_places(at, size)] = True
+        at = at + step
     return np.packbits(bits, bitorder="little")
 
 
@@ -84,10 +93,12 @@ class Segment:
         left = left[self.sizes[own[left]] > 0]
         level = 1
         while len(left):
-            for probe in range(PROBES):
-                at = (_positions(entries[left], np.array([level]), probe) % self.sizes[own[left]]).astype(np.int64)
-                at += self.starts[own[left]]
-                left = left[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            at, step = _hashes(entries[left], np.array([level]))
+            sizes, starts = self.sizes[own[left]], self.starts[own[left]]
+            for _ in range(PROBES):
+                bit = _places(at, sizes) + starts
+                there = np.flatnonzero((self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+                left, at, step, sizes, starts = (x[there] for x in (left, at + step, step, sizes, starts))
                 if not len(left):
                     break
             out[left] = level
