@@ -94,7 +94,7 @@ class Viterbi:
 
     def _apart(self, first: str, second: str) -> bool:
         """Whether ``second`` may follow ``first``, or begin a word (``first`` is empty)."""
-        if len(self.known) > 2_000_000:
+        if len(self.known) > 400_000:
             self.known.clear()
         if self.v.edges(second) is None:
             allowed = False
@@ -166,7 +166,7 @@ class Viterbi:
 class Encoder:
     """Ids of whole texts; each distinct marked word is searched once, at most ``limit`` remembered."""
 
-    def __init__(self, proto: bytes, kind: str = "bpe", limit: int = 500_000):
+    def __init__(self, proto: bytes, kind: str = "bpe", limit: int = 200_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=proto)
@@ -249,7 +249,7 @@ def encode(docs: DataFrame, model: str | None = None, kind: str = "bpe") -> Data
 
     def run(batches):
         encoder = Encoder(shared.value, kind)
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 1024):
             ids, sizes = encoder.encode(batch.column("text").to_pylist())
             raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
             yield pa.RecordBatch.from_pydict({
