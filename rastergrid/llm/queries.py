@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from rastergrid.llm import langid, lm, nearest, packing, pieces, secrets, sharding, simhash, tokenfiles, topk
 from rastergrid.llm.common import documents, embeddings
+from rastergrid.session import materialize
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -36,7 +37,8 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     again = pieces.decoded(spark, F.col("ids"))
-    return pieces.encode(docs).select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"),
+    # stored ids keep the workers that decode out of the stage that encodes
+    return materialize(pieces.encode(docs)).select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"),
                                       F.crc32(again.cast("binary")).alias("decoded_crc32"))
 
 
