@@ -24,7 +24,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the whole runs that have 16 or more
 JWT = re.compile(r"(?<![A-Za-z0-9_-])e[wy][A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 #: Base64 whose first byte is a DER sequence, or an OpenSSH key; line ends inside may be escaped.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]{31,}|b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/_-]+)"
+#: One starts behind anything but a base64 character, or behind the letter of an escaped line end or tab.
+BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M[A-Za-z0-9+/_-]{31,}|b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/_-]+)"
                     r"(?:(?:\\r)?\\n[A-Za-z0-9+/_-]+|\r?\n[A-Za-z0-9+/_-]+)*")
 LINE_END = re.compile(r"(?:\\r)?\\n|\r?\n")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{38,}")

@@ -59,6 +59,17 @@ def test_keys_are_confirmed_by_structure(raw):
     assert not added(f"k={b64(raw[:-3])} then")
 
 
+@pytest.mark.parametrize("kind, label, raw", [("der", "", RSA), ("der", "", PKCS8), ("openssh", "OPENSSH ", SSH)])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_keys_in_json_follow_their_escaped_begin_line(kind, label, raw, end):
+    whole = b64(raw)
+    wrapped = end.join(whole[i:i + 64] for i in range(0, len(whole), 64))
+    text = json.dumps({"private_key": f"-----BEGIN {label}PRIVATE KEY-----{end}{wrapped}{end}-----END {label}PRIVATE KEY-----{end}"})
+    escaped = json.dumps(wrapped)[1:-1]
+    assert escaped in text and added(text) == [(kind, escaped)]
+    assert escaped[:20] not in secrets.redacted(text)
+
+
 def test_a_key_ends_where_its_length_says():
     whole = b64(RSA).rstrip("=")
     text = whole[:64] + "\n" + whole[64:] + "\nordinary words follow"
