@@ -6,6 +6,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 import pyarrow as pa
@@ -23,19 +24,22 @@ ASSIGN_HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the whole runs that have 16 or more
 JWT = re.compile(r"(?<![A-Za-z0-9_-])e[wy][A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-#: Base64 whose first byte is a DER sequence, or an OpenSSH key; line ends inside may be escaped.
-#: One starts behind anything but a base64 character, or behind the letter of an escaped line end or tab.
-BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M[A-Za-z0-9+/_-]{31,}|b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/_-]+)"
-                    r"(?:(?:\\r)?\\n[A-Za-z0-9+/_-]+|\r?\n[A-Za-z0-9+/_-]+)*")
-LINE_END = re.compile(r"(?:\\r)?\\n|\r?\n")
+#: Start of base64 whose first byte is a DER sequence, or of an OpenSSH key: behind anything but a base64
+#: character, or behind the letter of an escaped line end or tab.
+KEY_START = re.compile(r"M(?:(?<![A-Za-z0-9+/_-]M)|(?<=\\[nrt]M))[A-Za-z0-9+/_-]{31}"
+                       r"|b(?:(?<![A-Za-z0-9+/_-]b)|(?<=\\[nrt]b))3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/_-]")
+#: What parts two lines of base64: line ends and the blanks around them, escaped once or more, or not.
+GAP = re.compile(r"(?:[ \t]|\\+t)*(?:\\+[rn]|[\r\n])(?:[ \t\r\n]|\\+[rnt])*")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{38,}")
 OPENSSH = b"openssh-key-v1\0"
 
 INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 CONTEXT = (0xA0, 0xA1, 0x81)
+MOST_PARTS = 9  # PKCS#1 has nine; PKCS#8, SEC 1 and DSA have fewer
 
 
-def _element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+def _element(data: bytes | _Bytes, at: int, end: int) -> tuple[int, int, int] | None:
     """Tag, content start and content end of the DER element at a position, if its length fits."""
     if at + 2 > end:
         return None
@@ -50,19 +54,19 @@ def _element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, start, start + size) if start + size <= end else None
 
 
-def _children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
-    """The elements that fill a range exactly."""
+def _children(data: bytes | _Bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The elements that fill a range exactly, if they are no more than a key can have."""
     found = []
     while start < end:
         element = _element(data, start, end)
-        if element is None:
+        if element is None or len(found) == MOST_PARTS:
             return None
         found.append(element)
         start = element[2]
     return found
 
 
-def der_key(data: bytes) -> int | None:
+def der_key(data: bytes | _Bytes) -> int | None:
     """Length of the private key that ``data`` starts with: PKCS#1, PKCS#8 (plain or encrypted), SEC 1
     or DSA, with every nested length and the order of the parts right."""
     outer = _element(data, 0, len(data))
@@ -72,7 +76,7 @@ def der_key(data: bytes) -> int | None:
     if not parts:
         return None
     tags = [p[0] for p in parts]
-    version = data[parts[0][1]:parts[0][2]]
+    version = data[parts[0][1]:min(parts[0][2], parts[0][1] + 2)]
 
     def algorithm(part) -> bool:
         inner = _children(data, part[1], part[2])
@@ -92,9 +96,9 @@ def der_key(data: bytes) -> int | None:
     return outer[2] if right else None
 
 
-def openssh_key(data: bytes) -> int | None:
+def openssh_key(data: bytes | _Bytes) -> int | None:
     """Length of the OpenSSH private key that ``data`` starts with, by its nested lengths."""
-    if not data.startswith(OPENSSH):
+    if data[:len(OPENSSH)] != OPENSSH:
         return None
     at = len(OPENSSH)
 
@@ -137,20 +141,65 @@ def _tokens(text: str):
             yield "jwt", m.start(), m.end()
 
 
+class _Run:
+    """Lines of base64 with nothing but line ends and blanks between them."""
+
+    def __init__(self, text: str, start: int):
+        self.starts, self.totals, lines, total = [], [0], [], 0  # where each line starts; characters before it
+        at = start
+        while line := LINE.match(text, at):
+            self.starts.append(at)
+            lines.append(line[0])
+            self.totals.append(total := total + len(line[0]))
+            self.end = line.end()
+            gap = GAP.match(text, self.end)
+            if gap is None:
+                break
+            at = gap.end()
+        self.chars = "".join(lines)
+
+    def before(self, at: int) -> int:
+        """Characters of base64 before a place in the text."""
+        line = bisect_right(self.starts, at) - 1
+        return self.totals[line] + at - self.starts[line]
+
+    def end_of(self, n: int) -> int:
+        """Place in the text behind the first ``n`` characters of base64."""
+        line = bisect_left(self.totals, n) - 1
+        return self.starts[line] + n - self.totals[line]
+
+
+class _Bytes:
+    """The bytes that a run encodes from one of its characters on; only those asked for are decoded."""
+
+    def __init__(self, run: _Run, first: int):
+        self.chars, self.first = run.chars, first
+        self.size = (len(run.chars) - first) * 3 // 4
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, key: int | slice) -> int | bytes:
+        start, stop, _ = (key if isinstance(key, slice) else slice(key, key + 1)).indices(self.size)
+        at = self.first + start // 3 * 4
+        found = _decode(self.chars[at:self.first + -(-stop // 3) * 4])[start % 3:start % 3 + max(stop - start, 0)]
+        return found if isinstance(key, slice) else found[0]
+
+
 def _base64_keys(text: str):
-    for m in BASE64.finditer(text):
-        lines, at, chars, ends = LINE_END.split(m[0]), m.start(), 0, []
-        for line, gap in zip(lines, [*LINE_END.findall(m[0]), ""]):
-            chars += len(line)
-            ends.append((chars, at + len(line)))
-            at += len(line) + len(gap)
-        data = _decode("".join(lines))
+    """Every start is tried, those inside of a candidate that is no key too; the search goes on behind
+    the end of a key."""
+    run, done = None, 0
+    while m := KEY_START.search(text, done):
+        done = m.start() + 1
+        if run is None or m.start() >= run.end:
+            run = _Run(text, m.start())
+        first = run.before(m.start())
+        data = _Bytes(run, first)
         for kind, size in (("der", der_key(data)), ("openssh", openssh_key(data))):
             if size is not None:
-                needed = -(-size * 8 // 6)
-                end = next(stop - (total - needed) for total, stop in ends if total >= needed)
-                padding = re.match(r"={0,2}", text[end:end + 2])
-                yield kind, m.start(), end + padding.end()
+                done = run.end_of(first - (-size * 8 // 6))
+                yield kind, m.start(), done + re.match(r"={0,2}", text[done:done + 2]).end()
 
 
 def _hex_keys(text: str):

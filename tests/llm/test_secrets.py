@@ -70,6 +70,30 @@ def test_keys_in_json_follow_their_escaped_begin_line(kind, label, raw, end):
     assert escaped[:20] not in secrets.redacted(text)
 
 
+PUBLIC = tlv(0x30, tlv(0x30, tlv(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + tlv(5, b"")) + tlv(3, b"\0" + tlv(0x30, integer(2 ** 2047 + 1) + integer(65537))))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n", "\n  ", " \n\t", "\\n\\t"])
+def test_every_key_of_a_run_of_lines_is_found(end):
+    public, one, two, ssh = b64(PUBLIC), b64(RSA).rstrip("="), b64(PKCS8).rstrip("="), b64(SSH).rstrip("=")
+    assert len(PUBLIC) % 3 == 0 and added(f"{public}{end}{one} x") == [("der", one)]
+    lines = [one, two, public, ssh, two, public]
+    assert added(end.join(lines)) == [("der", one), ("der", two), ("openssh", ssh), ("der", two)]
+
+
+@pytest.mark.parametrize("indent", ["    ", "\t", "  \t "])
+@pytest.mark.parametrize("kind, raw", [("der", RSA), ("der", PKCS8), ("openssh", SSH)])
+def test_keys_in_indented_lines(kind, raw, indent):
+    whole = b64(raw)
+    wrapped = f"\n{indent}".join(whole[i:i + 64] for i in range(0, len(whole), 64))
+    assert added(f"key: |\n{indent}-----BEGIN PRIVATE KEY-----\n{indent}{wrapped}\n{indent}-----END PRIVATE KEY-----") == [(kind, wrapped)]
+
+
+def test_many_starts_in_one_run_take_linear_time():
+    many = "\n".join(b64(bytes([0x30, 0x83, 0, 0xff, 0xff, 2, 1, 0]) + bytes(40)) for _ in range(30_000))
+    assert not added(many + "\n" + "M" * 64) and not added("\n".join(["M" * 64] * 30_000)) and not added("M" * 2_000_000)
+
+
 def test_a_key_ends_where_its_length_says():
     whole = b64(RSA).rstrip("=")
     text = whole[:64] + "\n" + whole[64:] + "\nordinary words follow"
