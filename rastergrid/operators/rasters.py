@@ -228,11 +228,11 @@ def mosaic_cells(mosaics: DataFrame) -> DataFrame:
 
 
 def bilinear_sample(samples: DataFrame, cells: DataFrame, n_cols: int, n_rows: int,
-                    snap: float = SNAP) -> DataFrame:
-    """Bilinear value at fractional cell positions ``(id, fx, fy)`` over ``cells(gc, gr, value)``.
+                    snap: float = SNAP, bands: tuple[str, ...] = ("value",)) -> DataFrame:
+    """Bilinear values at fractional cell positions ``(id, fx, fy)`` over ``cells(gc, gr, *bands)``.
 
-    Four neighbours per sample, clamped at the edge; NULL neighbours drop out and the weights are
-    renormalised. An equi-join on the cell, then one sum per sample.
+    Four neighbours per sample, clamped at the edge; NULL neighbours drop out, in each band for
+    itself, and the weights are renormalised. An equi-join on the cell, then one sum per sample.
     """
     def at(c, n):
         snapped = F.floor(F.col(c) * snap + 0.5) / F.lit(snap)
@@ -248,11 +248,11 @@ def bilinear_sample(samples: DataFrame, cells: DataFrame, n_cols: int, n_rows: i
                   * (F.col("wy") if dy else 1 - F.col("wy"))).alias("weight"))
         for dy in (0, 1) for dx in (0, 1)))
     near = split.select("id", F.inline(corners)).where("weight > 0")
-    known = cells.where("value is not null").select("gc", "gr", "value")
+    known = cells.where(F.coalesce(*bands).isNotNull()).select("gc", "gr", *bands)
     joined = near.join(known, ["gc", "gr"], "left")
-    used = F.sum(F.when(F.col("value").isNotNull(), F.col("weight")))
-    return joined.groupBy("id").agg(
-        (F.sum(F.col("weight") * F.col("value")) / used).alias("value"))
+    return joined.groupBy("id").agg(*(
+        (F.sum(F.col("weight") * F.col(b)) / F.sum(F.when(F.col(b).isNotNull(), F.col("weight")))).alias(b)
+        for b in bands))
 
 
 def sort_by_curve(tiles: DataFrame, label: str, bits: int, n: int | None = None) -> DataFrame:

@@ -486,6 +486,18 @@ for _kind in KINDS:
         _SUPPLIERS, f"SELECT {_KIND_TEXT[_kind]} AS coords, s_nationkey AS data {_rows}")
 
 ORACLES["scan_geotiff_binary"] = ORACLES["tile_to_layout"]
+ORACLES["pipeline_tile_cells"] = ORACLES["reproject_tiles"]
+ORACLES["bilinear_sample_bands"] = _with(MERGED + ", " + SCENES, f"""SELECT id, {_up('v0', 6)} AS b0, {_up('v1', 6)} AS b1 FROM (
+  SELECT id, sum(wt * b0) / sum(wt) FILTER (WHERE b0 IS NOT NULL) AS v0, sum(wt * round(b1 * 100)) / sum(wt) FILTER (WHERE b1 IS NOT NULL) AS v1 FROM (
+    SELECT id, CAST(floor(px) AS BIGINT) + dx AS sc, CAST(floor(py) AS BIGINT) + dy AS sr,
+           abs(1 - dx - (px - floor(px))) * abs(1 - dy - (py - floor(py))) AS wt
+    FROM (SELECT o_orderkey AS id,
+                 least(greatest(CAST(o_orderkey * 37 % (64 * nc) AS DOUBLE) / 64 - 0.5::DOUBLE, 0), nc - 1) AS px,
+                 least(greatest(CAST(o_custkey * 53 % (64 * nr) AS DOUBLE) / 64 - 0.5::DOUBLE, 0), nr - 1) AS py
+          FROM orders, (SELECT CAST((max(xmax) - min(xmin)) / 8 AS BIGINT) AS nc,
+                               CAST((max(ymax) - min(ymin)) / 8 AS BIGINT) AS nr FROM scenes)),
+         (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy))
+  LEFT JOIN merged ON gc = sc AND gr = sr WHERE wt > 0 GROUP BY id)""")
 # The footprint of the whole run holds every tile of the scenes, also where all cells are empty.
 _ALL_TILES = """tilekeys AS (
   SELECT DISTINCT (ord % 2 * 48 + a) // 16 AS c, (ord // 2 * 48 + b) // 16 AS r

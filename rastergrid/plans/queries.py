@@ -603,6 +603,22 @@ def bilinear_sample(spark, sf):
         "id", scalars.round_at(F.col("value"), 6).alias("value"))
 
 
+@query
+def bilinear_sample_bands(spark, sf):
+    """Both bands, at positions spread over the layer's own width and height; the second in whole
+    hundredths, so sums are exact and the order of the neighbours does not show."""
+    e = R.merged_extent(X.scene_heads(spark, sf)).first()
+    cols, rows = round((e.xmax - e.xmin) / 8), round((e.ymax - e.ymin) / 8)
+    samples = X.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.expr(f"cast(o_orderkey * 37 % {64 * cols} as double) / 64 - 0.5D").alias("fx"),
+        F.expr(f"cast(o_custkey * 53 % {64 * rows} as double) / 64 - 0.5D").alias("fy"))
+    bands = ("b0", "b1")
+    known = X.merged_cells(spark, sf).withColumn("b1", F.expr("round(b1 * 100)"))
+    return R.bilinear_sample(samples, known, cols, rows, bands=bands).select(
+        "id", *(scalars.round_at(F.col(b), 6).alias(b) for b in bands))
+
+
 # Pipelines -----------------------------------------------------------------------
 
 @query
@@ -617,6 +633,14 @@ def pipeline_tile(spark, sf):
     return stats.where("n > 0").select("*", *grid.named(layout.key_extent()))
 
 
+@query
+def pipeline_tile_cells(spark, sf):
+    """Every cell value of every band that ``pipeline_tile`` sums up for its first band."""
+    folder = X.write_scene_files(spark, sf, geographic=True)
+    tiles, layout, _ = P.tile_scenes(spark, folder, X.GEO_TILE, 32651, X.GEO_CELL)
+    return _rounded(R.tile_cells(tiles, layout))
+
+
 @query
 def pipeline_pixels_by_polygon(spark, sf):
     return R.mosaic_cells(_mosaics(spark, sf))
