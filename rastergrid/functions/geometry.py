@@ -74,51 +74,24 @@ def segment_meets_rect(e: str, rect: Rect) -> str:
             f" AND least({sides}) <= 0 AND greatest({sides}) >= 0)")
 
 
-def meets_rect(geom_type: str, rings: str, edge_array: str, rect: Rect) -> str:
-    """Whether a vertex of a point kind, or an edge of any other kind, meets a closed rectangle."""
-    x0, y0, x1, y1 = rect
-    return (f"CASE WHEN {is_kind(geom_type, PUNCTUAL)} THEN exists({points(rings)}, _p -> "
-            f"_p.x >= {x0} AND _p.x <= {x1} AND _p.y >= {y0} AND _p.y <= {y1}) "
-            f"ELSE exists({edge_array}, _e -> {segment_meets_rect('_e', rect)}) END")
-
-
-def holds_rect(geom_type: str, edge_array: str, rect: Rect) -> str:
-    """Whether a polygon holds a rectangle none of its edges meets: one corner decides."""
-    return f"({is_kind(geom_type, POLYGONAL)} AND {point_in_polygon(edge_array, rect[0], rect[1])})"
-
-
-def relevant_edges(edge_array: str, rect: Rect) -> str:
-    """The edges that can meet a rectangle or count as a crossing for a point inside it: those
-    overlapping its rows and reaching its western side. Exact for both tests."""
-    x0, y0, _, y1 = rect
-    return (f"filter({edge_array}, _e -> greatest(_e.y1, _e.y2) >= {y0} AND least(_e.y1, _e.y2) <= {y1}"
-            f" AND greatest(_e.x1, _e.x2) >= {x0})")
+def point_edges(rings: str) -> str:
+    """Points as edges without length, which the edge tests take as they are."""
+    return f"transform({points(rings)}, _p -> struct(_p.x AS x1, _p.y AS y1, _p.x AS x2, _p.y AS y2))"
 
 
-def clip_ring(pts: str, rect: Rect) -> str:
-    """One closed ring cut to a rectangle, one half-plane after another (Sutherland-Hodgman).
-
-    The four sides are the steps of a fold, so the ring built so far is a lambda variable and the
-    expression does not multiply. Inside the fold a ring is without its repeated first point and
-    each point is paired with the one before. The result is closed again, or empty.
-    """
+def passed_edges(edge_array: str, area: str, rect: Rect, beyond: tuple[str, str, str]) -> str:
+    """The edges that can meet a rectangle and, where ``area`` holds, those that count as a crossing
+    for its points: edges east of it that end beside it, and one edge at ``beyond`` (x, and y from
+    and to) for an odd number of those that pass it from end to end. Exact for both tests."""
     x0, y0, x1, y1 = rect
-    sides = ", ".join(f"struct({on_x} AS on_x, {sign} AS sign, {limit} AS at)" for on_x, sign, limit in (
-        ("true", "1D", x0), ("true", "-1D", x1), ("false", "1D", y0), ("false", "-1D", y1)))
-
-    def within(p: str) -> str:
-        return f"((CASE WHEN _s.on_x THEN {p}.x ELSE {p}.y END - _s.at) * _s.sign >= 0)"
-
-    crossing = ("CASE WHEN _s.on_x THEN struct(_s.at AS x, "
-                "_a.y + (_b.y - _a.y) * try_divide(_s.at - _a.x, _b.x - _a.x) AS y) ELSE "
-                "struct(_a.x + (_b.x - _a.x) * try_divide(_s.at - _a.y, _b.y - _a.y) AS x, _s.at AS y) END")
-    piece = (f"CASE WHEN {within('_b')} THEN CASE WHEN {within('_a')} THEN array(_b) "
-             f"ELSE array({crossing}, _b) END "
-             f"WHEN {within('_a')} THEN array({crossing}) ELSE slice(array(_b), 1, 0) END")
-    before = "concat(slice(_ring, -1, 1), slice(_ring, 1, greatest(size(_ring) - 1, 0)))"
-    return (f"aggregate(array({sides}), slice({pts}, 2, greatest(size({pts}) - 1, 0)), "
-            f"(_ring, _s) -> flatten(zip_with({before}, _ring, (_a, _b) -> {piece})), "
-            "_ring -> concat(slice(_ring, -1, 1), _ring))")
+    low, high = "least(_e.y1, _e.y2)", "greatest(_e.y1, _e.y2)"
+    east, passes = f"least(_e.x1, _e.x2) > {x1}", f"({low} <= {y0} AND {high} > {y1})"
+    near = (f"filter({edge_array}, _e -> {high} >= {y0} AND {low} <= {y1} AND greatest(_e.x1, _e.x2) >= {x0}"
+            f" AND (NOT {east} OR ({area} AND _e.y1 != _e.y2 AND NOT {passes})))")
+    odd = f"(aggregate({edge_array}, 0, (_n, _e) -> if({east} AND {passes}, _n + 1, _n)) % 2 = 1)"
+    x, below, above = beyond
+    one = f"array(struct({x} AS x1, {below} AS y1, {x} AS x2, {above} AS y2))"
+    return f"concat({near}, if({area} AND {odd}, {one}, slice({edge_array}, 1, 0)))"
 
 
 def ring_area(pts: str) -> str:
@@ -133,13 +106,6 @@ def polygon_area(rings: str) -> str:
             f"{ring_area('_r.pts')})")
 
 
-def clip_rings(rings: str, rect: Rect) -> str:
-    """Every ring cut to the rectangle; rings left without area are dropped."""
-    cut = (f"transform({rings}, _r -> struct(_r.part AS part, _r.ring AS ring, "
-           f"{clip_ring('_r.pts', rect)} AS pts))")
-    return f"filter({cut}, _q -> {ring_area('_q.pts')} > 0)"
-
-
 def path_text(pts: str) -> str:
     """Whole-number coordinates of one path as text: 'x y,x y'."""
     return (f"array_join(transform({pts}, _p -> concat_ws(' ', string(bigint(_p.x)), "

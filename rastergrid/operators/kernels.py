@@ -217,14 +217,17 @@ def merge_sorted_pieces(tile_cols, tile_rows, fan_in=0):
 
 
 def centres_inside(ring_edges, x, y):
-    """Even-odd mask of a grid of points; ``ring_edges`` is rows of x1, y1, x2, y2."""
-    inside = np.zeros((y.size, x.size), dtype=bool)
-    for x1, y1, x2, y2 in ring_edges:
-        rows = np.nonzero((y1 > y) != (y2 > y))[0]
-        if rows.size:
-            at = (x2 - x1) * (y[rows] - y1) / (y2 - y1) + x1
-            inside[rows] ^= x[None, :] < at[:, None]
-    return inside
+    """Even-odd mask of a grid of points; ``ring_edges`` is rows of x1, y1, x2, y2.
+
+    Each crossing of an edge and a row of points turns all points west of it: crossings are counted
+    at the first point they leave alone, and summed up from the east.
+    """
+    x1, y1, x2, y2 = ring_edges.T[:, :, None]
+    edge, row = np.nonzero((y1 > y) != (y2 > y))
+    x1, y1, x2, y2 = ring_edges[edge].T
+    at = np.searchsorted(x, (x2 - x1) * (y[row] - y1) / (y2 - y1) + x1)
+    turns = np.bincount(row * (x.size + 1) + at, minlength=y.size * (x.size + 1)).reshape(y.size, -1)
+    return np.cumsum(turns[:, :0:-1], axis=1)[:, ::-1] % 2 == 1
 
 
 MASK_SCHEMA = ("fid bigint, col int, row int, band int, c0 int, r0 int, w int, h int, "
@@ -233,31 +236,239 @@ _WINDOW = ("c0", "r0", "w", "h")
 
 
 def mask_tiles(layout):
-    """Kernel: (fid, tile, edges) rows -> the window of each tile around the cell centres inside;
-    tiles with no centre inside are dropped."""
+    """Kernel: tiles, each with a list of polygons (fid, whole, edges) -> for each polygon the window of
+    the tile around the cell centres inside; polygons with no centre inside a tile are dropped."""
     fields = [("fid", _I64), ("col", _I32), ("row", _I32), ("band", _I32),
               *((n, _I32) for n in _WINDOW), ("cells", _LIST)]
 
     def run(batches):
         out = BatchWriter(fields)
-        for (fid, col, row, band, whole), (cells, flat) in rows_of(
-                batches, ["fid", "col", "row", "band", "whole"], ["cells", "edges"]):
-            if whole:
-                yield from out.add(fid, col, row, band, 0, 0, layout.tile_cols, layout.tile_rows, cells)
-                continue
-            x = layout.xmin + (col * layout.tile_cols + np.arange(layout.tile_cols) + 0.5) * layout.cell_w
-            y = layout.ymax - (row * layout.tile_rows + np.arange(layout.tile_rows) + 0.5) * layout.cell_h
-            inside = centres_inside(flat.reshape(-1, 4), x, y)
-            if inside.any():
-                rows, cols = (np.flatnonzero(inside.any(axis=a)) for a in (1, 0))
-                window = np.s_[rows[0]:rows[-1] + 1, cols[0]:cols[-1] + 1]
-                kept = np.where(inside[window], cells.reshape(inside.shape)[window], np.nan)
-                yield from out.add(fid, col, row, band, cols[0], rows[0], kept.shape[1], kept.shape[0], kept)
+        for batch in batches:
+            lists = batch.column("polygons")
+            inner = lists.flatten()
+            n_edges = inner.field("edges").value_lengths().to_numpy(zero_copy_only=False)
+            ends = 4 * np.append(0, np.cumsum(n_edges))
+            own = inner.field("edges").flatten()
+            flat = np.stack([own.field(c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")], axis=1).ravel()
+            fids, wholes = (inner.field(c).to_pylist() for c in ("fid", "whole"))
+            last = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            tiles = rows_of([batch], ["col", "row", "band"], ["cells"])
+            for first, end, ((col, row, band), (cells,)) in zip([0, *last], last, tiles):
+                x = layout.xmin + (col * layout.tile_cols + np.arange(layout.tile_cols) + 0.5) * layout.cell_w
+                y = layout.ymax - (row * layout.tile_rows + np.arange(layout.tile_rows) + 0.5) * layout.cell_h
+                for i in range(first, end):
+                    if wholes[i]:
+                        yield from out.add(fids[i], col, row, band, 0, 0, layout.tile_cols, layout.tile_rows, cells)
+                        continue
+                    inside = centres_inside(flat[ends[i]:ends[i + 1]].reshape(-1, 4), x, y)
+                    if inside.any():
+                        rows, cols = (np.flatnonzero(inside.any(axis=a)) for a in (1, 0))
+                        window = np.s_[rows[0]:rows[-1] + 1, cols[0]:cols[-1] + 1]
+                        kept = np.where(inside[window], cells.reshape(inside.shape)[window], np.nan)
+                        yield from out.add(fids[i], col, row, band, cols[0], rows[0], kept.shape[1], kept.shape[0], kept)
         yield from out.drain()
 
     return run
 
 
+def signed_area(pts):
+    """Shoelace area of an open ring, positive if it runs counter-clockwise."""
+    x, y = pts.T - pts[0][:, None]
+    return float(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2
+
+
+def _linked(leaves, enters):
+    """Which entry each exit goes on to along a cutting line: next to each other in its direction. At
+    one place an exit and an entry are taken in turns, so what only touches the line stays apart. None
+    if exits and entries do not alternate: then rings cross themselves or each other."""
+    events = sorted([(v, i, True) for i, v in enumerate(leaves)] + [(v, i, False) for i, v in enumerate(enters)])
+    follows, opened, k = {}, None, 0
+    while k < len(events):
+        same = [e for e in events[k:] if e[0] == events[k][0]] if k + 1 < len(events) and events[k + 1][0] == events[k][0] else [events[k]]
+        k += len(same)
+        while same:
+            at = next((j for j, e in enumerate(same) if e[2] == (opened is None)), None)
+            if at is None:
+                return None
+            _, i, leaving = same.pop(at)
+            if leaving:
+                opened = i
+            else:
+                follows[opened], opened = i, None
+    return follows
+
+
+def _paired(paths, along):
+    """Rings from paths that do not alternate: by the even-odd rule the line is inside between the first
+    and the second end on it, the third and the fourth, and so on. All count as outer rings."""
+    ends = sorted((float(p[k, along]), i, k) for i, p in enumerate(paths) for k in (0, -1))
+    other = {}
+    for (_, i, a), (_, j, b) in zip(ends[::2], ends[1::2]):
+        other[i, a], other[j, b] = (j, b), (i, a)
+    rings, left = [], set(range(len(paths)))
+    while left:
+        i, a, parts = min(left), 0, []
+        while i in left:
+            left.remove(i)
+            parts.append(paths[i] if a == 0 else paths[i][::-1])
+            i, a = other[i, -1 if a == 0 else 0]
+        ring = np.concatenate(parts)
+        ring = ring[np.any(ring != np.roll(ring, 1, axis=0), axis=1)]
+        area = signed_area(ring) if len(ring) > 2 else 0.0
+        if area:
+            rings.append(ring if area > 0 else ring[::-1])
+    return rings
+
+
+def cut_half(rings, axis, at, sign):
+    """Rings of one polygon (open, outer ones counter-clockwise, holes clockwise) cut to the half-plane
+    ``sign * (coordinate - at) > 0``.
+
+    The paths inside are linked along the line: each exit goes on to the next entry in the direction
+    that keeps the inside on the left. Every piece closes on its own, and a hole that the line cuts
+    becomes part of an outer ring.
+    """
+    kept, paths = [], []
+    for pts in rings:
+        d = sign * (pts[:, axis] - at)
+        within = d > 0
+        if within.all():
+            kept.append(pts)
+            continue
+        after = np.roll(within, -1)
+        enter, leave = np.flatnonzero(~within & after), np.flatnonzero(within & ~after)
+        n = len(pts)
+
+        def crossing(i, n=n, pts=pts, d=d):
+            j = (i + 1) % n
+            a, b = pts[i], pts[j]
+            if d[i] == 0 or d[j] == 0:
+                return a if d[i] == 0 else b
+            point = a + (b - a) * ((at - a[axis]) / (b[axis] - a[axis]))
+            point[axis] = at
+            return point
+
+        for e in enter:
+            k = np.searchsorted(leave, e)
+            out = leave[k % len(leave)]
+            middle = pts[e + 1:out + 1] if out > e else np.concatenate([pts[e + 1:], pts[:out + 1]])
+            paths.append(np.concatenate([[crossing(e)], middle, [crossing(out)]]))
+    along = 1 - axis
+    way = -sign if axis == 0 else sign
+    follows = _linked([way * p[-1, along] for p in paths], [way * p[0, along] for p in paths])
+    if follows is None:
+        return kept + _paired(paths, along)
+    while follows:
+        first, i = follows.popitem()
+        parts = [paths[first]]
+        while i != first:
+            parts.append(paths[i])
+            i = follows.pop(i)
+        ring = np.concatenate(parts)
+        ring = ring[np.any(ring != np.roll(ring, 1, axis=0), axis=1)]
+        if len(ring) > 2 and signed_area(ring) != 0:
+            kept.append(ring)
+    return kept
+
+
+def cut_rect(polygons, axis, low, high):
+    """Polygons (lists of rings) between two parallel lines."""
+    out = []
+    for rings in polygons:
+        rings = cut_half(cut_half(rings, axis, low, 1), axis, high, -1)
+        if rings:
+            out.append(rings)
+    return out
+
+
+def _inside(point, ring):
+    edges = np.concatenate([ring, np.roll(ring, -1, axis=0)], axis=1)
+    return bool(centres_inside(edges, point[:1], point[1:])[0, 0])
+
+
+def parts_of(polygons):
+    """(part, ring, closed points) of polygons: every outer ring is a part, with the holes that lie in it;
+    in the order of their least points, where each ring starts."""
+    out = []
+    for rings in polygons:
+        turned = [np.roll(r, -np.lexsort((r[:, 1], r[:, 0]))[0], axis=0) for r in rings]
+        outer = [r for r in turned if signed_area(r) > 0]
+        holes = {i: [] for i in range(len(outer))}
+        for ring in turned:
+            if signed_area(ring) < 0:
+                held = [sum(_inside(p, o) for p in ring) for o in outer]
+                holes[int(np.argmax(held)) if len(outer) > 1 else 0].append(ring)
+        out += [(o, holes[i]) for i, o in enumerate(outer)]
+    out.sort(key=lambda part: part[0][0].tolist())
+    return [(part, n, np.concatenate([r, r[:1]])) for part, (o, own) in enumerate(out)
+            for n, r in enumerate([o, *sorted(own, key=lambda r: r[0].tolist())])]
+
+
+def _polygons(rings):
+    """Open, oriented rings of each part of a feature."""
+    parts = {}
+    for r in rings:
+        pts = np.array([(p["x"], p["y"]) for p in r["pts"]], float).reshape(-1, 2)[:-1]
+        pts = pts[np.any(pts != np.roll(pts, 1, axis=0), axis=1)] if len(pts) else pts
+        area = signed_area(pts) if len(pts) > 2 else 0.0
+        if area:
+            parts.setdefault(r["part"], []).append(pts if (area > 0) == (r["ring"] == 0) else pts[::-1])
+    return list(parts.values())
+
+
+def clip_blocks(layout, columns):
+    """Kernel: rows with ``rings``, a key range and a ``level`` -> one row for each block of that level, with
+    the rings cut to the keys of the range in the block, and ``solid`` where these are all of it."""
+    kept = [c for c in columns if c not in ("rings", "cmin", "rmin", "cmax", "rmax")]
+    w, h = layout.tile_w, layout.tile_h
+
+    def spans(low, high, level):
+        for b in range(low >> level, (high >> level) + 1):
+            yield max(low, b << level), min(high, ((b + 1) << level) - 1)
+
+    def cut_row(polygons, cmin, rmin, cmax, rmax, level):
+        for c0, c1 in spans(cmin, cmax, level):
+            x0, x1 = layout.xmin + c0 * w, layout.xmin + (c1 + 1) * w
+            strip = cut_rect(polygons, 0, x0, x1)
+            for r0, r1 in spans(rmin, rmax, level) if strip else ():
+                y0, y1 = layout.ymax - (r1 + 1) * h, layout.ymax - r0 * h
+                cut = cut_rect(strip, 1, y0, y1)
+                if cut:
+                    box = {(x0, y0), (x1, y0), (x1, y1), (x0, y1)}
+                    solid = len(cut) == len(cut[0]) == 1 and len(cut[0][0]) == 4 and set(map(tuple, cut[0][0].tolist())) == box
+                    yield (c0, r0, c1, r1), solid, [] if solid else parts_of(cut)
+
+    def flush(batch, found):
+        source, ranges, solid, rings = zip(*found)
+        sizes = np.cumsum([0, *(len(r) for r in rings)])
+        paths = [p for own in rings for p in own]
+        points = np.concatenate([p for _, _, p in paths]) if paths else np.zeros((0, 2))
+        ends = np.cumsum([0, *(len(p) for _, _, p in paths)])
+        pts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+            [pa.array(points[:, 0].copy()), pa.array(points[:, 1].copy())], ["x", "y"]))
+        ringed = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(
+            [pa.array([p for p, _, _ in paths], _I32), pa.array([n for _, n, _ in paths], _I32), pts], ["part", "ring", "pts"]))
+        new = {c: pa.array(v, _I32) for c, v in zip(("cmin", "rmin", "cmax", "rmax"), zip(*ranges))}
+        new |= {"rings": ringed, **{c: batch.column(c).take(pa.array(source, _I32)) for c in kept}}
+        return pa.RecordBatch.from_arrays([*(new[c] for c in columns), pa.array(solid)], names=[*columns, "solid"])
+
+    def run(batches):
+        for batch in batches:
+            ranges = zip(*(batch.column(c).to_pylist() for c in ("cmin", "rmin", "cmax", "rmax", "level")))
+            found, size = [], 0
+            for i, own in enumerate(ranges):
+                for block in cut_row(_polygons(batch.column("rings")[i].as_py()), *own):
+                    found.append((i, *block))
+                    size += 16 * sum(len(p) for _, _, p in block[2])
+                    if size > _BATCH_BYTES or len(found) > 10_000:
+                        yield flush(batch, found)
+                        found, size = [], 0
+            if found:
+                yield flush(batch, found)
+
+    return run
+
+
 MOSAIC_SCHEMA = ("fid bigint, band int, block_col int, block_row int, gc0 bigint, gr0 bigint, "
                  "n_cols int, n_rows int, cells array<double>")
 

@@ -14,10 +14,12 @@ from rastergrid.functions.grid import BOX, Layout, explode_keys, named
 from rastergrid.functions.projection import np_project
 from rastergrid.model import LayerMeta
 from rastergrid.operators import kernels as K
-from rastergrid.operators.vectors import stored_reach
+from rastergrid.operators.vectors import cover, meet_keys, polygonal
+from rastergrid.session import materialize
 
 SNAP = 4096.0          # sub-cell positions are rounded to 1/4096 of a cell
 FAN_IN = 256           # rasters one merge task takes per tile before it splits the work
+POLYGONS_PER_TILE = 256  # polygons that travel with a tile at once
 _KEY = ["col", "row", "band"]
 
 
@@ -173,20 +175,27 @@ def tiles_in_envelope(tiles: DataFrame, layout: Layout, extent) -> DataFrame:
     return tiles.where(F.col("col").between(cmin, cmax) & F.col("row").between(rmin, rmax))
 
 
-def mask_tiles(tiles: DataFrame, polygons: DataFrame, layout: Layout) -> DataFrame:
+def mask_tiles(tiles: DataFrame, polygons: DataFrame, layout: Layout,
+               per_row: int = POLYGONS_PER_TILE) -> DataFrame:
     """Tiles cut to each polygon: ``fid, col, row, band`` and the window ``c0, r0, w, h, cells`` of the
-    tile that holds its cells, NULL outside the polygon.
+    tile that holds its cells, NULL outside the polygon. Features of other kinds hold no cell.
 
-    The keys the polygons reach are stored first, each with only the edges that matter for it.
-    Their key range becomes a filter on the tile scan and their size decides how the equi-join
-    runs. The kernel follows the join row by row, so AQE may split a crowded key freely.
+    The tiles' keys meet the polygons' key ranges first, and each key gets a stored list of its
+    polygons with the edges that matter there. Lists hold about ``per_row`` polygons, crowded keys
+    have several, and a tile travels once for each list, not for each polygon. The key range of the polygons
+    becomes a filter on the tile scan and the stored size decides how the equi-join runs. ``tiles``
+    is read twice, the first time without cells.
     """
-    reach = stored_reach(polygons, layout)
-    span = reach.agg(F.min("col"), F.max("col"), F.min("row"), F.max("row")).first()
+    covered = cover(polygonal(polygons), layout)
+    span = covered.agg(F.min("cmin"), F.max("cmax"), F.min("rmin"), F.max("rmax")).first()
     near = tiles.where(F.col("col").between(span[0], span[1]) & F.col("row").between(span[2], span[3]))
-    flat = F.expr("flatten(transform(edges, _e -> array(_e.x1, _e.y1, _e.x2, _e.y2)))")
-    joined = near.join(reach, ["col", "row"]).select(
-        "fid", "col", "row", "band", "whole", "cells", flat.alias("edges"))
+    reach = materialize(meet_keys(near.select("col", "row").distinct(), covered))
+    crowd = reach.groupBy("col", "row").agg(F.ceil(F.count("*") / per_row).cast("int").alias("lists")).where("lists > 1")
+    dealt = reach.join(crowd, ["col", "row"], "left").withColumn(
+        "deal", F.pmod(F.xxhash64("fid"), F.coalesce("lists", F.lit(1))))
+    lists = materialize(dealt.groupBy("col", "row", "deal").agg(
+        F.collect_list(F.struct("fid", "whole", "edges")).alias("polygons")))
+    joined = near.join(lists, ["col", "row"]).select("col", "row", "band", "cells", "polygons")
     return joined.mapInArrow(K.mask_tiles(layout), K.MASK_SCHEMA)
 
 

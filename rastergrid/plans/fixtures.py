@@ -156,6 +156,15 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
     return with_envelope(shaped).select(*_COLUMNS)
 
 
+def combs(spark: SparkSession, sf: str) -> DataFrame:
+    """One comb per supplier: a spine of 80 x 16 with three teeth of 16 x 2h on top, 16 apart."""
+    comb = _path(("-40D", "-h - 16"), ("40D", "-h - 16"), ("40D", "h"), ("24D", "h"), ("24D", "-h"), ("8D", "-h"), ("8D", "h"),
+                 ("-8D", "h"), ("-8D", "-h"), ("-24D", "-h"), ("-24D", "h"), ("-40D", "h"), ("-40D", "-h - 16"))
+    shaped = _suppliers(spark, sf).select("fid", F.lit("polygon").alias("geom_type"),
+                                          F.expr(f"array({_ring(0, 0, comb)})").alias("rings"), "attrs")
+    return with_envelope(shaped).select(*_COLUMNS)
+
+
 KINDS = ["point", "line", "polygon", "multipoint", "multiline", "multipolygon"]
 
 

@@ -265,6 +265,40 @@ clip AS (SELECT fid, c, r, sum(CASE WHEN ring = 0 THEN s ELSE -s END) AS area FR
 CLIP = POLY + ", " + _keyed(0, 4096) + ", " + _clip_area(0, 4096)
 CLIP_SHIFT = POLY + ", " + _keyed(128, 3968) + ", " + _clip_area(128, 3968)
 
+# Combs cut to keys. Above the spine every tooth is a piece; with the spine all is one ring, walked
+# from its south-western corner: along the bottom, then tooth after tooth from the east.
+
+
+def _at(x: str, y: str) -> str:
+    return f"CAST({x} AS BIGINT) || ' ' || CAST({y} AS BIGINT)"
+
+
+COMBS = _SUPPLIERS + f""",
+comb AS (SELECT fid, s_name, cx - 40 AS sx0, cx + 40 AS sx1, cy - h - 16 AS sb, cy - h AS st, cy + h AS top FROM sup),
+cells AS (
+  SELECT *, c * 128 AS rx0, (c + 1) * 128 AS rx1, 4096 - (r + 1) * 128 AS ry0, 4096 - r * 128 AS ry1 FROM (
+    SELECT *, unnest(generate_series(CAST(floor((4096 - top) / 128) AS BIGINT), CAST(ceil((4096 - sb) / 128) - 1 AS BIGINT))) AS r FROM (
+      SELECT *, unnest(generate_series(CAST(floor(sx0 / 128) AS BIGINT), CAST(ceil(sx1 / 128) - 1 AS BIGINT))) AS c FROM comb))),
+cut AS (
+  SELECT fid, s_name, c, r, st > ry0 AS spine, st < ry1 AS open, greatest(sx0, rx0) AS x0, least(sx1, rx1) AS x1,
+         greatest(sb, ry0) AS y0, least(st, ry1) AS y1, least(top, ry1) AS y2, ry0, sx0, rx0, rx1 FROM cells),
+tooth AS (
+  SELECT *, greatest(sx0 + 32 * i, rx0) AS a, least(sx0 + 32 * i + 16, rx1) AS b FROM cut, (VALUES (0), (1), (2)) t(i)
+  WHERE open AND greatest(sx0 + 32 * i, rx0) < least(sx0 + 32 * i + 16, rx1)),
+pieces AS (
+  SELECT fid, s_name, c, r, count(*) AS n_rings, string_agg({_at('a', 'ry0')} || ',' || {_at('b', 'ry0')} || ',' || {_at('b', 'y2')} || ','
+    || {_at('a', 'y2')} || ',' || {_at('a', 'ry0')}, '|' ORDER BY a) AS coords
+  FROM tooth WHERE NOT spine GROUP BY ALL
+  UNION ALL
+  SELECT fid, s_name, c, r, 1, {_at('x0', 'y0')} || ',' || {_at('x1', 'y0')} || ','
+    || CASE WHEN east IS NULL OR east < x1 THEN {_at('x1', 'y1')} || ',' ELSE '' END || coalesce(walk, '')
+    || CASE WHEN west IS NULL OR west > x0 THEN {_at('x0', 'y1')} || ',' ELSE '' END || {_at('x0', 'y0')}
+  FROM cut LEFT JOIN (
+    SELECT fid, c, r, max(b) AS east, min(a) AS west, string_agg(
+      CASE WHEN b < x1 THEN {_at('b', 'y1')} || ',' ELSE '' END || {_at('b', 'y2')} || ',' || {_at('a', 'y2')} || ','
+      || CASE WHEN a > x0 THEN {_at('a', 'y1')} || ',' ELSE '' END, '' ORDER BY a DESC) AS walk
+    FROM tooth WHERE spine GROUP BY ALL) USING (fid, c, r) WHERE spine)"""
+
 _INT = "CAST({} AS INTEGER) AS {}"
 
 
@@ -356,6 +390,11 @@ GROUP BY fid, scene, k HAVING sum({_crossing('x', 'y')}) % 2 = 1"""),
     "metadata_by_footprint": _with(HITS_CLOSED, "SELECT fid, s_name AS name FROM met JOIN sup USING (fid)"),
     "features_per_key": _with(HITS + ", kept AS (SELECT * FROM hit WHERE c >= 0 AND r >= 0)", _lists("kept")),
     "clip_to_grid": _with(CLIP, f"SELECT fid, {_colrow()}, CAST(area AS DOUBLE) AS area FROM clip"),
+    "clip_parts": _with(COMBS, f"""SELECT fid, {_colrow()}, CASE WHEN n_rings > 1 THEN 'multipolygon' ELSE 'polygon' END AS geom_type,
+  CAST(n_rings AS INTEGER) AS n_rings, coords FROM pieces"""),
+    "clipped_geometries_per_key": _with(COMBS, f"""SELECT {_colrow()}, fid // 4 AS part,
+  string_agg(fid || ' ' || s_name || ' ' || coords, ';' ORDER BY fid) AS items
+FROM pieces WHERE c >= 0 AND r >= 0 GROUP BY c, r, fid // 4"""),
     "clipped_features_per_key": _with(
         CLIP_SHIFT + ", kept AS (SELECT fid, c, r FROM clip WHERE c >= 0 AND r >= 0)", _lists("kept")),
     "uids_per_key": _with(HITS + ", kept AS (SELECT * FROM hit WHERE c >= 0 AND r >= 0)", f"""SELECT *,

@@ -121,8 +121,8 @@ def _register_kinds():
 
     def one_field(kind):
         def run(spark, sf):
-            every = shapefile.read_features(spark, _kind_files(spark, sf), single_part=True)
-            found = V.of_kind(every, kind, "NATION", "int")
+            some = shapefile.features_of_kind(spark, _kind_files(spark, sf), kind, single_part=True)
+            found = V.of_kind(some, kind, "NATION", "int")
             return found.select(F.expr(G.coords_text("rings")).alias("coords"), "data")
         return run
 
@@ -304,6 +304,21 @@ def clip_to_grid(spark, sf):
     return V.clip_to_grid(X.features(spark, sf), X.L16).select("fid", "col", "row", "area")
 
 
+@query
+def clip_parts(spark, sf):
+    """Kind, rings and coordinates of combs cut to keys: a key above the spine holds a piece of each tooth."""
+    return V.clip_to_grid(X.combs(spark, sf), X.L16).select(
+        "fid", "col", "row", "geom_type", F.size("rings").alias("n_rings"), F.expr(G.coords_text("rings")).alias("coords"))
+
+
+@query
+def clipped_geometries_per_key(spark, sf):
+    """Attributes and geometry of the clipped features of a key, not their ids alone."""
+    grouped = V.clipped_features_per_key(X.combs(spark, sf), X.L16, LIST_SIZE, whole=True)
+    text = f"transform(items, _i -> concat(_i.fid, ' ', _i.attrs['NAME'], ' ', {G.coords_text('_i.rings')}))"
+    return grouped.select("col", "row", "part", F.expr(f"array_join({text}, ';')").alias("items"))
+
+
 @query
 def clipped_features_per_key(spark, sf):
     grouped = V.clipped_features_per_key(X.features(spark, sf), X.LSHIFT, LIST_SIZE)

@@ -141,6 +141,143 @@ def test_clip_of_hole_covering_a_cell_and_of_a_touch(spark):
     assert {k for k in got if k[0] == 1} == {(1, 1, 14)}
 
 
+@pytest.fixture
+def tried(monkeypatch):
+    """Rows that a cover stores on all its levels."""
+    counts = []
+
+    def counting(df, *args, store=V.materialize):
+        out = store(df, *args)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(V, "materialize", counting)
+    return counts
+
+
+def big(side):
+    return Layout(0.0, 0.0, float(side), float(side), side, side, 4, 4)
+
+
+def test_a_line_costs_its_length_not_its_box(spark, tried):
+    sizes = []
+    for side in (256, 512, 1024):
+        tried.clear()
+        line = spark.createDataFrame([feature(0, "line", [(0.5, 0.5), (side - 0.5, 0.7 * side)])], FEATURE_SCHEMA)
+        n = V.feature_keys(line, big(side)).count()
+        assert 1.6 * side < n < 1.8 * side
+        sizes.append(sum(tried))
+        assert sizes[-1] < 4 * n
+    assert sizes[2] < 2.2 * sizes[1] < 2.2 * 2.2 * sizes[0]
+
+
+def test_an_area_costs_its_outline(spark, tried):
+    sizes = []
+    for side in (128, 256, 512):
+        tried.clear()
+        diamond = closed((side / 2, 0.25), (side - 0.25, side / 2), (side / 2, side - 0.25), (0.25, side / 2))
+        covered = V.cover(spark.createDataFrame([feature(0, "multipolygon", diamond)], FEATURE_SCHEMA), big(side))
+        keys = covered.agg(F.sum(F.expr("(cmax - cmin + 1) * (rmax - rmin + 1)"))).first()[0]
+        assert keys > 0.5 * side * side
+        sizes.append(sum(tried))
+    assert sizes[2] < 2.3 * sizes[1] < 2.3 * 2.3 * sizes[0] and sizes[2] < 0.1 * 512 * 512
+
+
+def test_whole_ranges_meet_keys_like_single_keys(spark):
+    rng = random.Random(3)
+    rows = [feature(i, "multipolygon", star(rng, 40, 40, 60, 300)) for i in range(3)]
+    df = spark.createDataFrame(rows, FEATURE_SCHEMA)
+    layout = Layout(0.0, 0.0, 64.0, 64.0, 64, 64, 4, 4)
+    covered = V.cover(df, layout)
+    assert covered.select("level").distinct().count() > 1
+    keys = spark.range(200 * 200).select((F.col("id") % 200 - 90).cast("int").alias("col"), (F.expr("id div 200") - 90).cast("int").alias("row"))
+    met = V.meet_keys(keys, covered).select("fid", "col", "row", "whole")
+    every = V.feature_keys(df, layout).where("col BETWEEN -90 AND 109 AND row BETWEEN -90 AND 109").select("fid", "col", "row", "whole")
+    assert met.exceptAll(every).count() == every.exceptAll(met).count() == 0 < met.count()
+
+
+def cells_in(rings, n=8):
+    """Cells of a fine raster inside rings by the even-odd rule; no point of it lies on an edge."""
+    import numpy as np
+    from rastergrid.operators.kernels import centres_inside
+    edges = np.array([(a[0], a[1], b[0], b[1]) for r in rings for a, b in zip(r, r[1:])], float).reshape(-1, 4)
+    at = (np.arange(64 * n) + 0.5271) / n
+    return centres_inside(edges, at, at)
+
+
+SHAPES = {
+    "u": [closed((2, 2), (30, 2), (30, 30), (22, 30), (22, 10), (10, 10), (10, 30), (2, 30))],
+    "comb": [closed((1, 1), (61, 1), (61, 50), (50, 50), (50, 5), (40, 5), (40, 50), (30, 50), (30, 5), (20, 5), (20, 50), (1, 50))],
+    "hole cut": [closed((0, 0), (32, 0), (32, 32), (0, 32)), closed((6, 6), (26, 6), (26, 26), (6, 26))],
+    "holes": [closed((0, 0), (64, 0), (64, 64), (0, 64)), closed((5, 5), (7, 5), (7, 7), (5, 7)), closed((9, 9), (11, 10), (10, 11)),
+              closed((20, 20), (44, 20), (32, 44))],
+    "on the lines": [closed((4, 4), (12, 4), (12, 8), (8, 8), (8, 12), (12, 12), (12, 16), (4, 16))],
+    "touch from inside": [closed((1, 1), (31, 1), (31, 31), (24, 16), (16, 31), (8, 16), (1, 31))],
+    "spiral": [closed((0, 0), (40, 0), (40, 40), (6, 40), (6, 12), (28, 12), (28, 30), (14, 30), (14, 20), (18, 20), (18, 26), (24, 26),
+                      (24, 16), (10, 16), (10, 36), (36, 36), (36, 4), (0, 4))],
+}
+
+
+@pytest.mark.parametrize("name", SHAPES)
+@pytest.mark.parametrize("tile", [16, 5])
+def test_clipping_splits(spark, name, tile):
+    """Pieces cover what the shape covers, do not touch from within, and are separate rings."""
+    import numpy as np
+    from rastergrid.operators import kernels as K
+    side = 16 * tile
+    layout = Layout(0.0, 64.0 - side, float(side), 64.0, 16, 16, 4, 4)
+    df = spark.createDataFrame([feature(0, "multipolygon", *SHAPES[name])], FEATURE_SCHEMA)
+    whole = cells_in(SHAPES[name])
+    seen = np.zeros(whole.shape, int)
+    for r in V.clip_to_grid(df, layout, coarse=4).collect():
+        x0, y1 = r.col * tile, 64 - r.row * tile
+        rings = [[(p.x, p.y) for p in q.pts] for q in r.rings]
+        assert all(x0 <= x <= x0 + tile and y1 - tile <= y <= y1 for q in rings for x, y in q)
+        seen += cells_in(rings)
+        outer = [q for q, own in zip(rings, r.rings) if own.ring == 0]
+        assert r.geom_type == ("multipolygon" if len(outer) > 1 else "polygon")
+        for q in rings:         # no edge is walked twice, which is how a piece that should be two shows
+            along = [frozenset(e) for e in zip(q, q[1:])]
+            assert len(set(along)) == len(along)
+        parts = {own.part for own in r.rings}
+        assert parts == set(range(len(outer)))
+        for q, own in zip(rings, r.rings):
+            assert (K.signed_area(np.array(q[:-1])) > 0) == (own.ring == 0)
+        inside = cells_in(rings)
+        assert _pieces(inside) <= len(outer)
+    assert (seen == whole).all()
+
+
+def _pieces(mask):
+    """Connected pieces of a raster."""
+    todo, n = set(zip(*(m.tolist() for m in mask.nonzero()))), 0
+    while todo:
+        n += 1
+        stack = [todo.pop()]
+        while stack:
+            r, c = stack.pop()
+            for near in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
+                if near in todo:
+                    todo.remove(near)
+                    stack.append(near)
+    return n
+
+
+def test_a_cut_u_is_two_rings(spark):
+    layout = Layout(0.0, 0.0, 64.0, 64.0, 2, 2, 4, 4)
+    high = closed((2, 2), (30, 2), (30, 60), (22, 60), (22, 10), (10, 10), (10, 60), (2, 60))
+    got = {(r.col, r.row): r for r in V.clip_to_grid(spark.createDataFrame([feature(0, "polygon", high)], FEATURE_SCHEMA), layout).collect()}
+    assert got[0, 0].geom_type == "multipolygon" and got[0, 1].geom_type == "polygon"
+    assert [[(p.x, p.y) for p in r.pts] for r in got[0, 0].rings] == [
+        closed((2, 32), (10, 32), (10, 60), (2, 60)), closed((22, 32), (30, 32), (30, 60), (22, 60))]
+
+
+def test_rings_that_cross_themselves_are_cut_too(spark):
+    bow = closed((0, 0), (40, 40), (40, 0), (0, 40))
+    got = V.clip_to_grid(spark.createDataFrame([feature(0, "polygon", bow)], FEATURE_SCHEMA), GRID).collect()
+    assert got
+
+
 def test_promotion_drops_other_kinds(stars):
     _, df = stars
     kinds = {r.geom_type for r in V.promote_multipolygon(df).select("geom_type").collect()}

@@ -9,6 +9,7 @@ from rastergrid.operators import rasters as R
 from rastergrid.plans import fixtures as X
 from rastergrid.plans import pipelines as P
 from rastergrid.session import materialize
+from test_geometry import meets
 
 
 def scene(order, xmin, ymax, cell, grid, band=0, epsg=32651, window=None):
@@ -135,6 +136,33 @@ def test_mask_keeps_tiles_by_geometry_alone(spark):
     assert masked[(1, 0)] == (0, 0, 2, 4, [1.0] * 8)
 
 
+def test_lines_and_points_mask_nothing(spark, sf):
+    tiles = materialize(X.tiles(spark, sf))
+    kinds = X.kinds(spark, sf)
+    masked = R.mask_tiles(tiles, kinds, X.L16)
+    own = {r.fid for r in kinds.where("geom_type IN ('polygon', 'multipolygon')").collect()}
+    assert {r.fid for r in masked.select("fid").distinct().collect()} <= own
+
+
+def test_crowded_tiles_travel_once_for_each_list(spark, sf):
+    tiles, features = materialize(X.tiles(spark, sf)), X.features(spark, sf)
+    want = R.tile_cells(R.mask_tiles(tiles, features, X.L16), X.L16, keep=["fid"])
+    got = R.tile_cells(R.mask_tiles(tiles, features, X.L16, per_row=2), X.L16, keep=["fid"])
+    assert want.exceptAll(got).count() == got.exceptAll(want).count() == 0 < want.count()
+
+
+def test_centres_inside_against_one_edge_at_a_time():
+    rng = np.random.default_rng(3)
+    x, y = np.arange(20) + 0.5, 20 - np.arange(16) - 0.5
+    for n in (0, 1, 7, 40):
+        edges = rng.integers(-2, 24, (n, 4)) / 2.0
+        want = np.zeros((16, 20), bool)
+        for x1, y1, x2, y2 in edges:
+            for r, c in np.ndindex(want.shape):
+                want[r, c] ^= (y1 > y[r]) != (y2 > y[r]) and x[c] < (x2 - x1) * (y[r] - y1) / (y2 - y1) + x1
+        assert (K.centres_inside(edges, x, y) == want).all()
+
+
 def test_mask_without_polygons_is_empty(spark, sf):
     none = X.features(spark, sf).where("false")
     assert R.mask_tiles(X.tiles(spark, sf), none, X.L16).count() == 0
@@ -199,8 +227,13 @@ def test_tile_and_query_pipeline(spark, sf, tmp_path):
     features = X.features(spark, sf)
     done = P.tile_query(spark, folder, features, features, str(tmp_path / "out.tif"), 16, 32651)
     assert done["mosaics"] == spark.read.format("binaryFile").load(str(tmp_path / "out.tif")).count() > 0
-    lines = spark.read.text(str(tmp_path / "out.json"))
-    assert lines.count() == 8      # the scene's whole extent counts, also where it has no data
+    keys = done["tiles"].select("col", "row").distinct().collect()     # also tiles without data
+    w, h, layout = done["layout"].tile_w, done["layout"].tile_h, done["layout"]
+    boxes = [(layout.xmin + k.col * w, layout.ymax - (k.row + 1) * h, layout.xmin + (k.col + 1) * w, layout.ymax - k.row * h)
+             for k in keys]
+    met = {str(f.fid) for f in features.collect() if any(meets(f, *box) for box in boxes)}
+    found = spark.read.json(str(tmp_path / "out.json")).collect()
+    assert sorted(r.UID for r in found) == sorted(met) and met
 
 
 def test_curve_sort_is_a_permutation(spark, sf):
