@@ -392,12 +392,13 @@ def parts_of(polygons):
     out = []
     for rings in polygons:
         turned = [np.roll(r, -np.lexsort((r[:, 1], r[:, 0]))[0], axis=0) for r in rings]
-        outer = [r for r in turned if signed_area(r) > 0]
+        outer = [r for r in turned if signed_area(r) >= 0]
         holes = {i: [] for i in range(len(outer))}
         for ring in turned:
             if signed_area(ring) < 0:
                 held = [sum(_inside(p, o) for p in ring) for o in outer]
-                holes[int(np.argmax(held)) if len(outer) > 1 else 0].append(ring)
+                if outer:
+                    holes[int(np.argmax(held))].append(ring)
         out += [(o, holes[i]) for i, o in enumerate(outer)]
     out.sort(key=lambda part: part[0][0].tolist())
     return [(part, n, np.concatenate([r, r[:1]])) for part, (o, own) in enumerate(out)
@@ -410,9 +411,9 @@ def _polygons(rings):
     for r in rings:
         pts = np.array([(p["x"], p["y"]) for p in r["pts"]], float).reshape(-1, 2)[:-1]
         pts = pts[np.any(pts != np.roll(pts, 1, axis=0), axis=1)] if len(pts) else pts
-        area = signed_area(pts) if len(pts) > 2 else 0.0
-        if area:
-            parts.setdefault(r["part"], []).append(pts if (area > 0) == (r["ring"] == 0) else pts[::-1])
+        if len(pts) > 2:
+            area = signed_area(pts)
+            parts.setdefault(r["part"], []).append(pts if area * (1 if r["ring"] == 0 else -1) >= 0 else pts[::-1])
     return list(parts.values())
 
 

@@ -178,7 +178,7 @@ def clip_to_grid(features: DataFrame, layout: Layout, coarse: int = COARSE) -> D
     rings = F.when(F.col("solid"), square).otherwise(F.col("rings")).alias("rings")
     kind = "if(size(filter(rings, _r -> _r.ring = 0)) > 1, 'multipolygon', 'polygon')"
     return (keyed.select("fid", "attrs", "col", "row", rings).withColumn("area", F.expr(G.polygon_area("rings")))
-            .select("fid", F.expr(kind).alias("geom_type"), "attrs", "col", "row", "rings", "area"))
+            .where("area > 0").select("fid", F.expr(kind).alias("geom_type"), "attrs", "col", "row", "rings", "area"))
 
 
 def promote_multipolygon(features: DataFrame) -> DataFrame:
