@@ -19,8 +19,9 @@ cloudpickle.register_pickle_by_value(rastergrid)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with letters and a language that the model names with a posterior of a half or more."""
-    return langid.keep_identified(docs, least_score=0.5)
+    """Rows with letters and a language that explains the text better than equally likely pieces do; all
+    rows where none has a language to learn from."""
+    return langid.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
