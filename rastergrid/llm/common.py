@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +81,47 @@ def by_key(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def tidy(run):
+    """A batch function that gives its memory back to the system when the task ends: workers are kept
+    for the next stage, and what they hold would stand against those that work."""
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass        # another C library, which has no such call
+
+    return whole
+
+
+def slice_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """The slice, of ``n`` ranges of about equal width, of each 64-bit key."""
+    half = np.uint64(32)
+    return (((keys >> half) * np.uint64(n)) >> half).astype(np.int64)
+
+
+def pack_sorted(keys: np.ndarray, *more: np.ndarray) -> bytes:
+    """Sorted 64-bit keys and further columns in little space: steps between keys, and each byte
+    position of each column for itself."""
+    columns = [np.diff(keys, prepend=np.uint64(0)), *more]
+    return zstandard.compress(b"".join(
+        np.ascontiguousarray(c).view(np.uint8).reshape(len(keys), -1).T.tobytes() for c in columns), 1)
+
+
+def unpack_sorted(raw: bytes, size: int, *kinds) -> list[np.ndarray]:
+    """The columns of ``pack_sorted``; ``kinds`` are the types of the further ones."""
+    flat, at, out = np.frombuffer(zstandard.decompress(raw), np.uint8), 0, []
+    for kind in (np.uint64, *kinds):
+        end = at + size * np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(flat[at:end].reshape(-1, size).T).view(kind).ravel())
+        at = end
+    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions ``start, start + 1, ...`` of many runs, one after the other."""
     ends = np.cumsum(lengths)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastergrid.llm.common import fold_of, fresh, slices, texts_of
+from rastergrid.llm.common import fold_of, fresh, slices, texts_of, tidy
 from rastergrid.llm.encoding import _Index
 from rastergrid.session import materialize
 
@@ -185,7 +185,7 @@ def count_words(docs: DataFrame, flush: int = 300_000) -> DataFrame:
         yield out()
 
     texts = texts_of(docs, docs["lang"].cast("string").alias("lang")).select("text", "lang")
-    return (texts.mapInArrow(run, "lang string, word string, n long")
+    return (texts.mapInArrow(tidy(run), "lang string, word string, n long")
             .groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
 
@@ -197,51 +197,64 @@ class Model:
     pieces: list[str]
     table: np.ndarray
 
-    def predictor(self, spark):
+    def predictor(self, spark, evidence: bool = False):
         """Column function from text to ``lang_pred, score``: the best language and its posterior with
-        equal priors; ``und`` and 0 for null texts, texts without a letter, and an empty model."""
-        shared = spark.sparkContext.broadcast(self)
-
-        @F.pandas_udf("lang_pred string, score double")
-        def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            scorer = Scorer(shared.value)
+        equal priors; ``und`` and 0 for null texts, texts without a letter, and an empty model. With
+        ``evidence`` also by how much (log) that language explains the text better than pieces that
+        are all equally likely."""
+        # parts of the model, not the model: a broadcast names classes and does not carry them
+        shared = spark.sparkContext.broadcast((self.languages, self.pieces, self.table))
+
+        def run(parts):
+            scorer = Scorer(Model(*shared.value), evidence)
             for texts in parts:
                 yield pd.concat([scorer(texts[i:i + 512]) for i in range(0, max(len(texts), 1), 512)])
 
+        @F.pandas_udf("lang_pred string, score double" + ", evidence double" * evidence)
+        def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            yield from tidy(run)(parts)
+
         return predict
 
 
 class Scorer:
     """Scores texts and remembers the scores of their tokens."""
 
-    def __init__(self, model: Model, limit: int = 500_000):
-        self.model, self.limit = model, limit
-        self.index = PieceIndex(model.pieces)
+    def __init__(self, model: Model, evidence: bool = False, limit: int = 300_000):
+        self.model, self.evidence, self.limit = model, evidence, limit
+        self.index, self.table = PieceIndex(model.pieces), model.table
+        if evidence:
+            self.table = np.column_stack([model.table, first_table(len(model.pieces), 1)])
         self._forget()
 
     def _forget(self) -> None:
         self.tokens = _Index()
-        self.scores = np.empty((0, len(self.model.languages) + 1))
+        self.scores = np.empty((1024, self.table.shape[1] + 1))
 
     def _learn(self) -> None:
         """The last column counts letters."""
         new, self.tokens.fresh = self.tokens.fresh, []
+        if len(self.tokens) > len(self.scores):
+            grown = np.empty((2 * len(self.tokens), self.scores.shape[1]))
+            grown[:len(self.scores)] = self.scores
+            self.scores = grown
         words = _Index()
         owner, rows = [], []
         for i, token in enumerate(new):
             for word in words_of(token):
                 owner.append(i)
                 rows.append(words[word])
-        own = log_scores(list(words), self.index, self.model.table)
-        out = np.zeros((len(new), self.scores.shape[1]))
+        own = log_scores(list(words), self.index, self.table)
+        out = self.scores[len(self.tokens) - len(new):len(self.tokens)]
+        out[:] = 0
         np.add.at(out[:, :-1], np.array(owner, np.int64), own[np.array(rows, np.int64)])
         out[:, -1] = [any(map(str.isalpha, t)) for t in new]
-        self.scores = np.vstack([self.scores, out])
 
     def __call__(self, texts: pd.Series) -> pd.DataFrame:
         languages = self.model.languages
         if not len(texts) or not languages:
-            return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts)})
+            none = {"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts), "evidence": [0.0] * len(texts)}
+            return pd.DataFrame(none)[list(none)[:2 + self.evidence]]
         if len(self.tokens) > self.limit:
             self._forget()
         tokens, counts = [], []
@@ -253,11 +266,21 @@ class Scorer:
         if self.tokens.fresh:
             self._learn()
         total = np.add.reduceat(self.scores[rows], np.cumsum(counts) - counts, axis=0)
-        logs, letters = total[:, :-1], total[:, -1] > 0
+        logs, letters = total[:, :len(languages)], total[:, -1] > 0
         best = logs.argmax(axis=1)
         posterior = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-        return pd.DataFrame({"lang_pred": np.where(letters, np.array(languages, object)[best], "und"),
-                             "score": np.where(letters, posterior, 0.0)})
+        out = pd.DataFrame({"lang_pred": np.where(letters, np.array(languages, object)[best], "und"),
+                            "score": np.where(letters, posterior, 0.0)})
+        if self.evidence:
+            out["evidence"] = np.where(letters, logs.max(axis=1) - total[:, len(languages)], 0.0)
+        return out
+
+
+def first_table(pieces: int, languages: int) -> np.ndarray:
+    """Equal probabilities of all pieces."""
+    table = np.zeros((pieces + 2, languages))
+    table[1:-1], table[-1] = 1 / max(pieces, 1), UNKNOWN
+    return table
 
 
 def train(docs: DataFrame, vocab: str | None = None, rounds: int = 2, smoothing: float = 0.1) -> Model:
@@ -272,8 +295,7 @@ def train(docs: DataFrame, vocab: str | None = None, rounds: int = 2, smoothing:
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     number = {lang: i for i, lang in enumerate(languages)}
-    table = np.zeros((len(pieces) + 2, len(languages)))
-    table[1:-1], table[-1] = 1 / len(pieces), UNKNOWN
+    table = first_table(len(pieces), len(languages))
     for _ in range(rounds if languages else 0):
         shared = spark.sparkContext.broadcast(table)
 
@@ -287,7 +309,7 @@ def train(docs: DataFrame, vocab: str | None = None, rounds: int = 2, smoothing:
             yield pa.RecordBatch.from_pydict({"l": pa.array(language, pa.int32()), "p": pa.array(piece, pa.int32()),
                                               "n": pa.array(total[language, piece])})
 
-        sums = (counted.repartition("word").mapInArrow(run, "l int, p int, n double")
+        sums = (counted.repartition("word").mapInArrow(tidy(run), "l int, p int, n double")
                 .groupBy("l", "p").agg(F.sum("n").alias("n")).toArrow())
         counts = np.zeros(table.shape)
         counts[sums.column("p").to_numpy(), sums.column("l").to_numpy()] = sums.column("n").to_numpy()
@@ -312,11 +334,19 @@ def identify(docs: DataFrame, vocab: str | None = None, rounds: int = 2) -> Data
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.5, vocab: str | None = None, rounds: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose text has letters and a language with a posterior of at least
-    ``least_score``; all columns stay."""
+def keep_identified(docs: DataFrame, least_evidence: float = 0.0, vocab: str | None = None,
+                    rounds: int = 2) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and a language: one that explains it better than
+    pieces that are all equally likely, by more than ``least_evidence`` (log). How alike the learned
+    languages are does not matter, only the text does. All columns stay.
+
+    Null and empty texts and texts without a letter go. Repeated rows stay repeated. Where no row
+    has a language there is nothing to judge by, and all rows stay.
+    """
+    model = train(docs.where(~held_out(docs)), vocab, rounds)
+    if not model.languages:
+        return docs
     name = fresh(docs, "found")
-    predict = train(docs.where(~held_out(docs)), vocab, rounds).predictor(docs.sparkSession)
-    rows = docs.withColumn(name, predict(docs["text"].cast("string")))
-    sure = (F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= least_score)
-    return rows.where(sure).drop(name)
+    rows = docs.withColumn(name, model.predictor(docs.sparkSession, evidence=True)(docs["text"].cast("string")))
+    known = (F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.evidence") > least_evidence)
+    return rows.where(known).drop(name)

@@ -8,6 +8,7 @@ too low a count, and too high a one only as often as a Bloom filter errs.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastergrid.llm.common import by_key, fold_of, slices, texts_of
+from rastergrid.llm.common import by_key, fold_of, pack_sorted, slice_of, slices, texts_of, tidy, unpack_sorted
 from rastergrid.llm.encoding import _Index
 from rastergrid.llm.simhash import LOWER
 from rastergrid.session import materialize
@@ -28,9 +29,11 @@ BASES = (1.1, 1.5)  # quantisation of word counts and of pair counts
 SALT = np.uint64(0xD6E8FEB86659FD93)
 SEGMENT_BYTES = 192 << 20
 SLICE_BYTES = 4 << 20
+SLICES_PER_TASK = 8
 HEAD_WORDS, HEAD_CHARS = 150_000, 64
 FLUSH_TOKENS = 2_000_000
 FLUSH_WORDS = 300_000
+SCORE_ROWS = 1024           # texts whose word pairs are looked up at once
 STRENGTH = 500.0
 
 
@@ -87,7 +90,7 @@ class Segment:
     def levels(self, keys: np.ndarray, entries: np.ndarray) -> np.ndarray:
         """Levels of filter entries, 0 for what is not there; the keys name the slices, and entries of
         other segments are 0 as well."""
-        own = (keys % np.uint64(self.slices)).astype(np.int64) - self.first
+        own = slice_of(keys, self.slices) - self.first
         out = np.zeros(len(keys), np.int64)
         left = np.flatnonzero((own >= 0) & (own < len(self.sizes)))
         left = left[self.sizes[own[left]] > 0]
@@ -133,25 +136,37 @@ class Words:
         return before, pair_keys(self.keys[before], self.keys[rows])
 
 
-COUNTS = pa.schema([("slice", pa.int64()), ("key", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+COUNTS = pa.schema([("slice", pa.int64()), ("size", pa.int32()), ("pairs", pa.binary()),
+                    ("words", pa.list_(pa.binary())), ("n", pa.list_(pa.int64()))])
+COUNTS_SQL = "slice long, size int, pairs binary, words array<binary>, n array<long>"
 
 
 def count_grams(texts: DataFrame, n_slices: int) -> DataFrame:
-    """``slice, key, word, n``: counts of words and (``word`` null) of word pairs that each task has
-    seen; the rows of one key come from many tasks."""
-    def rows(keys, n, words=None):
-        words = [None] * len(keys) if words is None else words
+    """``slice, size, pairs, words, n``: for each slice of the key what a task has counted, in one row:
+    packed keys and counts of word pairs, and words with their counts."""
+    def pair_rows(keys, n):
+        cuts = np.searchsorted(slice_of(keys, n_slices), np.arange(n_slices + 1)).tolist()
+        some = [i for i in range(n_slices) if cuts[i] < cuts[i + 1]]
+        packed = [pack_sorted(keys[cuts[i]:cuts[i + 1]], n[cuts[i]:cuts[i + 1]].astype(np.uint32)) for i in some]
         return pa.RecordBatch.from_arrays([
-            pa.array((keys % np.uint64(n_slices)).astype(np.int64)), pa.array(keys.view(np.int64)),
-            pa.array(words, pa.binary()), pa.array(n, pa.int64())], schema=COUNTS)
+            pa.array(some, pa.int64()), pa.array([cuts[i + 1] - cuts[i] for i in some], pa.int32()),
+            pa.array(packed, pa.binary()), pa.nulls(len(some), COUNTS.field("words").type),
+            pa.nulls(len(some), COUNTS.field("n").type)], schema=COUNTS)
+
+    def word_rows(words, n):
+        own = slice_of(words.keys, n_slices)
+        order = np.argsort(own, kind="stable")
+        ends = np.searchsorted(own[order], np.arange(n_slices + 1))
+        some = np.flatnonzero(ends[1:] > ends[:-1])
+        cuts = pa.array(np.append(ends[some], len(order)), pa.int32())
+        names = pa.array(list(words.index), pa.binary()).take(pa.array(order))
+        return pa.RecordBatch.from_arrays([
+            pa.array(some, pa.int64()), pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary()),
+            pa.ListArray.from_arrays(cuts, names), pa.ListArray.from_arrays(cuts, pa.array(n[order], pa.int64()))],
+            schema=COUNTS)
 
     def run(batches):
         words, single, pairs, held = Words(), np.zeros(0, np.int64), [], 0
-
-        def pair_rows():
-            keys, n = np.unique(np.concatenate(pairs), return_counts=True)
-            return rows(keys, n)
-
         for batch in slices(batches):
             tokens, counts = words.tokens(batch.column("text").cast(pa.binary()).to_pylist())
             pairs.append(words.pairs(tokens, counts)[1])
@@ -159,17 +174,17 @@ def count_grams(texts: DataFrame, n_slices: int) -> DataFrame:
             more[:len(single)] += single
             single, held = more, held + len(tokens)
             if held > FLUSH_TOKENS:
-                yield pair_rows()
+                yield pair_rows(*np.unique(np.concatenate(pairs), return_counts=True))
                 pairs, held = [], 0
             if len(single) > FLUSH_WORDS:
-                yield rows(words.keys, single, list(words.index))
+                yield word_rows(words, single)
                 words, single = Words(), np.zeros(0, np.int64)
         if pairs:
-            yield pair_rows()
+            yield pair_rows(*np.unique(np.concatenate(pairs), return_counts=True))
         if len(single):
-            yield rows(words.keys, single, list(words.index))
+            yield word_rows(words, single)
 
-    return texts.select("text").mapInArrow(run, "slice long, key long, word binary, n long")
+    return texts.select("text").mapInArrow(tidy(run), COUNTS_SQL)
 
 
 def _build(batches):
@@ -181,12 +196,18 @@ def _build(batches):
         for start, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(numbers)]):
             own = table.slice(start, end - start)
             number = own.column("slice")[0].as_py()
-            single = own.filter(own.column("word").is_valid())
-            single = single.select(["word", "key", "n"]).group_by(["word", "key"]).aggregate([("n", "sum")])
-            double = own.filter(own.column("word").is_null())
-            keys, back = np.unique(double.column("key").to_numpy().view(np.uint64), return_inverse=True)
-            n = np.bincount(back, double.column("n").to_numpy(), len(keys))
-            one, n_one = single.column("key").to_numpy().view(np.uint64), single.column("n_sum").to_numpy()
+            listed = own.filter(own.column("words").is_valid())
+            single = pa.table({"word": listed.column("words").combine_chunks().flatten(),
+                               "n": listed.column("n").combine_chunks().flatten()})
+            single = single.group_by("word").aggregate([("n", "sum")])
+            double = own.filter(own.column("pairs").is_valid())
+            parts = [unpack_sorted(raw, size, np.uint32) for raw, size in zip(
+                double.column("pairs").to_pylist(), double.column("size").to_pylist())]
+            keys, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0))
+            keys, back = np.unique(keys, return_inverse=True)
+            n = np.bincount(back, n, len(keys))
+            names, n_one = single.column("word").to_pylist(), single.column("n_sum").to_numpy()
+            one = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
             bits = filter_slice(np.concatenate([keys, _mix(one)]),
                                 np.concatenate([levels_of(n, BASES[1]), levels_of(n_one, BASES[0])]))
             yield pa.RecordBatch.from_arrays([
@@ -241,8 +262,9 @@ def learn(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> Counts:
     texts = texts_of(docs)
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_slices = max(1, -(-size // slice_bytes))
-    table = materialize(count_grams(texts, n_slices).repartition("slice").sortWithinPartitions("slice")
-                        .mapInArrow(_build, "slice long, word binary, n long, bits binary"))
+    parts = -(-n_slices // SLICES_PER_TASK)
+    table = materialize(count_grams(texts, n_slices).repartition(parts, "slice").sortWithinPartitions("slice")
+                        .mapInArrow(tidy(_build), "slice long, word binary, n long, bits binary"))
     total = table.where("word is not null").agg(F.sum("n"), F.count("*")).first()
     return Counts(table, n_slices, total[0] or 0, total[1])
 
@@ -282,12 +304,13 @@ def _score_pass(shared, tokens: int, words_seen: int, strength: float, last: boo
     last one has them all, and the exact counts of frequent words."""
 
     def run(batches):
-        segment, head = shared.value
+        parts, head = shared.value
+        segment, names = Segment(*parts), []
         words, part, row = Words(), TaskContext.get().partitionId(), 0
         level, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in slices(batches, 256):
+        for batch in slices(batches, SCORE_ROWS):
             if len(words.index) > FLUSH_WORDS:
-                words, level, count = Words(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                words, level, count, names = Words(), np.zeros(0, np.int64), np.zeros(0, np.int64), []
             at, counts = words.tokens(batch.column("text").cast(pa.binary()).to_pylist())
             before, pairs = words.pairs(at, counts)
             fresh = words.keys[len(level):]
@@ -309,21 +332,22 @@ def _score_pass(shared, tokens: int, words_seen: int, strength: float, last: boo
             ahead = np.where(np.arange(len(at)) == np.repeat(firsts, counts),
                              one[np.repeat(firsts + counts - 1, counts)], np.append(0, one[:-1]))
             logs = log_probabilities(one, ahead, two, tokens, words_seen, strength)
-            names = list(words.index)
+            names += islice(words.index, len(names), None)
             count = np.append(count, np.fromiter((head.get(w, 0) for w in names[len(count):]), np.int64))
             exact = count[at]
-            rare, times = [], []
-            for a, n in zip(firsts.tolist(), counts.tolist()):
-                some, often = np.unique(at[a:a + n][(exact[a:a + n] == 0) & (one[a:a + n] > 0)], return_counts=True)
-                rare.append([names[w] for w in some])
-                times.append(often.tolist())
+            left = np.flatnonzero((exact == 0) & (one > 0))
+            text = np.repeat(np.arange(len(counts)), counts)[left]
+            both, often = np.unique(text * len(names) + at[left], return_counts=True)
+            cuts = pa.array(np.searchsorted(both, np.arange(len(counts) + 1) * len(names)), pa.int32())
+            rare = pa.ListArray.from_arrays(cuts, pa.array([names[w] for w in (both % len(names)).tolist()], pa.binary()))
+            times = pa.ListArray.from_arrays(cuts, pa.array(often, pa.int64()))
             yield pa.RecordBatch.from_arrays([
                 pa.array((part << 33) + row + np.arange(len(counts))), batch.column("doc_id"),
                 batch.column("held_out"), pa.array(counts),
                 pa.array(np.add.reduceat((exact > 0).astype(np.int64), firsts)),
                 pa.array(np.add.reduceat(np.log10(exact + 1.0), firsts)),
                 pa.array(np.add.reduceat(logs, firsts)),
-                pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))], schema=SCORED)
+                rare, times], schema=SCORED)
             row += len(counts)
 
     return run
@@ -335,7 +359,8 @@ def score(docs: DataFrame, counts: Counts, strength: float = STRENGTH, segment_b
 
     The filter goes to the workers in segments of at most ``segment_bytes``, one pass over the texts
     for each, so what is broadcast never grows with the corpus; with one segment there is one pass.
-    ``score`` sums the smoothed log10 probabilities of all tokens. ``base_score`` needs exact word
+    ``score`` sums the smoothed log10 probabilities of all tokens; at each place those of all words
+    add up to 1 or less. ``base_score`` needs exact word
     counts: the ``head_words`` most frequent words are broadcast, all others are joined; words that
     the filter has never seen cannot match and stay at home.
 
@@ -348,10 +373,11 @@ def score(docs: DataFrame, counts: Counts, strength: float = STRENGTH, segment_b
     ranges = counts.segments(segment_bytes)
     for i, (first, end) in enumerate(ranges):
         last = i == len(ranges) - 1
-        shared = spark.sparkContext.broadcast(
-            (counts.segment(first, end), counts.head(head_words) if last else {}))
+        # parts of the segment, not the segment: a broadcast names classes and does not carry them
+        parts = tuple(vars(counts.segment(first, end)).values())
+        shared = spark.sparkContext.broadcast((parts, counts.head(head_words) if last else {}))
         run = _score_pass(shared, counts.tokens, counts.words, strength, last)
-        rows = materialize(rows.mapInArrow(run, _ddl(SCORED if last else PASSED)))
+        rows = materialize(rows.mapInArrow(tidy(run), _ddl(SCORED if last else PASSED)))
         shared.unpersist()
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
         "row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))

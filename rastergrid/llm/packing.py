@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastergrid.llm.common import slices, texts_of
+from rastergrid.llm.common import slices, texts_of, tidy
 from rastergrid.llm.encoding import TextEncoder, read_spec
 from rastergrid.session import materialize, shared_dir
 
@@ -117,7 +117,7 @@ def cut_pieces(docs: DataFrame, tokens: int, spec: str) -> DataFrame:
                 "rank": pa.array(rank, pa.int64()), "ids": binary})
 
     return texts_of(docs).mapInArrow(
-        run, "doc_id long, piece int, start long, length long, part int, rank long, ids binary")
+        tidy(run), "doc_id long, piece int, start long, length long, part int, rank long, ids binary")
 
 
 def _place(runs: np.ndarray):
@@ -138,7 +138,8 @@ def _place(runs: np.ndarray):
 def pack(docs: DataFrame, *digests: Column, capacity: Capacity = Capacity(),
          weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3), rule: str = "norm",
          tokenizer: str | None = None, store: str | None = None) -> DataFrame:
-    """``doc_id, piece, start, length, sequence_id, offset``, one row for each piece of ``docs``.
+    """``doc_id, piece, start, length, part, rank, sequence_id, offset``, one row for each piece of
+    ``docs``; ``part`` and ``rank`` name a stored piece of a length.
 
     Every document is encoded whole and closed with id 0; only documents longer than a sequence are
     cut. All pieces of the table are packed together: tasks number the pieces of each length, a
@@ -164,15 +165,16 @@ def pack(docs: DataFrame, *digests: Column, capacity: Capacity = Capacity(),
     ranked = slim.join(bases, ["length", "part"])
     placed = ranked.withColumn(
         "place", _place(plan_bins(total, capacity, weights, rule))("length", F.col("base") + F.col("rank")))
-    kept = [c for c in slim.columns if c not in ("part", "rank")]
-    return placed.select(*kept, "place.sequence_id", "place.offset")
+    return placed.select(*slim.columns, "place.sequence_id", "place.offset")
 
 
 def sequences(placed: DataFrame, store: str) -> DataFrame:
     """``sequence_id, ids, lengths``: the little-endian ids of each sequence and the lengths of the
-    pieces in it, from ``pack`` with a unique doc_id and the ``store`` it wrote."""
-    pieces = placed.sparkSession.read.parquet(store).select("doc_id", "piece", "ids")
-    whole = (placed.join(pieces, ["doc_id", "piece"])
+    pieces in it, from ``pack`` and the ``store`` it wrote. Pieces are known by the task that cut
+    them and their number there, so null and repeated ids come out as often as they went in."""
+    name = ["part", "length", "rank"]
+    pieces = placed.sparkSession.read.parquet(store).select(*name, "ids")
+    whole = (placed.select(*name, "sequence_id", "offset").join(pieces, name)
              .groupBy("sequence_id")
              .agg(F.sort_array(F.collect_list(F.struct("offset", "length", "ids"))).alias("rows")))
     joined = F.aggregate("rows", F.lit(b""), lambda all_, r: F.concat(all_, r["ids"]))

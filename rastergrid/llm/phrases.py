@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastergrid.llm.common import by_key, slices
+from rastergrid.llm.common import by_key, pack_sorted, slice_of, slices, tidy, unpack_sorted
 from rastergrid.llm.encoding import _Index
 from rastergrid.session import materialize
 
@@ -18,7 +18,7 @@ LEAST = 30
 MARKS = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0b\x0c\x0d\t", bytes(range(97, 123)) + b"\n" * 9 + b" ")
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
-FLUSH_TOKENS, FLUSH_WORDS = 3_000_000, 400_000
+FLUSH_TOKENS, FLUSH_WORDS = 1_500_000, 300_000
 PART_BYTES = 16 << 20      # text behind one task that adds up fingerprints
 SLICES = 4                 # slices of such a task
 FILTER_BITS, BLOCK_BITS = 27, 21
@@ -86,8 +86,8 @@ class Grams:
 
     def whole(self, n: int) -> np.ndarray:
         """Starts of the runs of ``n`` words inside one piece."""
-        last = self.piece[n - 1:] if n > 1 else self.piece
-        return np.flatnonzero(self.piece[:len(last)] == last)
+        last = self.piece[n - 1:]
+        return np.flatnonzero(self.piece[:len(last)] == last).astype(np.int32)
 
     def fingerprints(self, at: np.ndarray, n: int) -> np.ndarray:
         own = (self.prefix[at + n] - self.prefix[at]) * self.powers[at + n - 1]
@@ -99,6 +99,7 @@ class Grams:
         fps = self.fingerprints(at, n)
         order = np.argsort(fps, kind="stable")
         fps, at = fps[order], at[order]
+        del order
         new = np.ones(len(at), bool)
         new[1:] = (fps[1:] != fps[:-1]) | (self.lang[at[1:]] != self.lang[at[:-1]])
         for i in range(n):
@@ -109,22 +110,23 @@ class Grams:
         return fps[first], counts.astype(np.uint32), self.rows[at[first]], self.places[at[first]]
 
 
-COLUMNS = {"fps": np.uint64, "counts": np.uint32, "rows": np.int64, "places": np.uint32}
 PARTIAL = pa.schema([("slice", pa.int32()), ("n", pa.int32()), ("lang", pa.string()), ("total", pa.int64()),
-                     *((c, pa.binary()) for c in COLUMNS)])
-PARTIAL_SQL = "slice int, n int, lang string, total long, " + ", ".join(f"{c} binary" for c in COLUMNS)
+                     ("size", pa.int32()), ("entries", pa.binary())])
+PARTIAL_SQL = "slice int, n int, lang string, total long, size int, entries binary"
 
 
 def _in_slices(n: int, columns: tuple[np.ndarray, ...], n_slices: int) -> pa.RecordBatch:
-    """Sorted entries cut at the slices, ranges of equal width of the fingerprint."""
-    edges = np.array([-(-(i << 64) // n_slices) for i in range(1, n_slices)], np.uint64)
-    cuts = np.concatenate([[0], np.searchsorted(columns[0], edges), [len(columns[0])]]).tolist()
+    """Sorted entries cut at the slices of the fingerprint; rows count from the least of them."""
+    fps, counts, rows, places = columns
+    cuts = np.searchsorted(slice_of(fps, n_slices), np.arange(n_slices + 1)).tolist()
     some = [i for i in range(n_slices) if cuts[i] < cuts[i + 1]]
+    least = rows.min() if len(rows) else 0
+    columns = (fps, counts, (rows - least).astype(np.uint64), places)
     return pa.RecordBatch.from_arrays([
         pa.array(some, pa.int32()), pa.array([n] * len(some), pa.int32()),
-        pa.nulls(len(some), pa.string()), pa.nulls(len(some), pa.int64()),
-        *(pa.array([c[cuts[i]:cuts[i + 1]].astype(t).tobytes() for i in some], pa.binary())
-          for c, t in zip(columns, COLUMNS.values()))], schema=PARTIAL)
+        pa.nulls(len(some), pa.string()), pa.array([least] * len(some), pa.int64()),
+        pa.array([cuts[i + 1] - cuts[i] for i in some], pa.int32()),
+        pa.array([pack_sorted(*(c[cuts[i]:cuts[i + 1]] for c in columns)) for i in some], pa.binary())], schema=PARTIAL)
 
 
 def _partials(n_slices: int, lengths: tuple[int, ...], filter_bits=None):
@@ -138,10 +140,10 @@ def _partials(n_slices: int, lengths: tuple[int, ...], filter_bits=None):
             grams = corpus.close()
             if filter_bits is None:
                 n = np.bincount(grams.lang, minlength=len(corpus.langs))
-                nulls = [pa.nulls(len(n), pa.binary())] * len(COLUMNS)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([-1] * len(n), pa.int32()), pa.array([0] * len(n), pa.int32()),
-                    pa.array(list(corpus.langs), pa.string()), pa.array(n, pa.int64()), *nulls], schema=PARTIAL)
+                    pa.array(list(corpus.langs), pa.string()), pa.array(n, pa.int64()),
+                    pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], schema=PARTIAL)
             else:
                 pairs = np.zeros(len(grams.ids), bool)
                 at = grams.whole(2)
@@ -185,8 +187,10 @@ def _frequent(least: int):
                         own.column("n").combine_chunks(), none, own.column("total").combine_chunks(), none, none,
                         own.column("lang").combine_chunks()], schema=ENTRY)
                     continue
-                fps, counts, rows, places = (np.frombuffer(b"".join(own.column(c).to_pylist()), t)
-                                             for c, t in COLUMNS.items())
+                parts = [unpack_sorted(raw, size, np.uint32, np.uint64, np.uint32) for raw, size in zip(
+                    own.column("entries").to_pylist(), own.column("size").to_pylist())]
+                fps, counts, rows, places = (np.concatenate(x) for x in zip(*parts))
+                rows = rows.astype(np.int64) + np.repeat(own.column("total").to_numpy(), [len(p[0]) for p in parts])
                 order = np.argsort(fps, kind="stable")
                 fps = fps[order]
                 first = np.flatnonzero(np.append(True, fps[1:] != fps[:-1]))
@@ -275,9 +279,9 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     parts = max(1, -(-size // PART_BYTES))
 
     def entries(lengths, filter_bits=None):
-        partials = rows.mapInArrow(_partials(SLICES * parts, lengths, filter_bits), PARTIAL_SQL)
+        partials = rows.mapInArrow(tidy(_partials(SLICES * parts, lengths, filter_bits)), PARTIAL_SQL)
         return materialize(partials.repartition(parts, "slice").sortWithinPartitions("slice", "n")
-                           .mapInArrow(_frequent(least), ENTRY_SQL))
+                           .mapInArrow(tidy(_frequent(least)), ENTRY_SQL))
 
     short = entries(tuple(range(1, min(longest, 2) + 1)))
     found = short.where("n > 0").drop("lang")
@@ -287,7 +291,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
         shared.unpersist()
     asked = found.groupBy("row").agg(F.collect_list(F.struct("n", "place", "count")).alias("entries"))
     texts = (rows.join(asked, "row").select("lang", "text", "entries")
-             .mapInArrow(_texts_at, "lang string, n int, phrase string, count long"))
+             .mapInArrow(tidy(_texts_at), "lang string, n int, phrase string, count long"))
     grams = materialize(texts.groupBy("lang", "n", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least))
     return grams, short.where("n = 0").groupBy("lang").agg(F.sum("count").alias("n"))
 

@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastergrid.llm.common import slices, texts_of
+from rastergrid.llm.common import slices, texts_of, tidy
 from rastergrid.llm.encoding import _Index, _Pool
 
 MARK = "▁"
+WAITING_WORDS = 2_000_000      # words of texts that wait, as numbers, for their new words to be searched together
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Where a Latin letter meets ASCII punctuation or a digit.
 BORDER = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-@\[-`{-~])")
@@ -32,6 +33,11 @@ class Vocabulary:
         self.ids = {p: i for i, p in enumerate(pieces) if i not in skip}
         self.scores, self.special = scores, special
         self.longest = max(map(len, self.ids), default=1)
+        #: The greatest length of a piece by its last three characters; others have two at most.
+        self.ending: dict[str, int] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                self.ending[p[-3:]] = max(len(p), self.ending.get(p[-3:], 0))
         self.crossed = any(BORDER.search(p) for p in self.ids)
         self._edges: dict[str, tuple | None] = {}
 
@@ -105,8 +111,9 @@ class Viterbi:
 
     def _merged(self, word: str, start: int, last: list[str]) -> None:
         """Last pieces of the prefixes from ``start`` on; a character that is no piece stands alone."""
-        ids, known, longest = self.v.ids, self.known, self.v.longest
+        ids, known, ending = self.v.ids, self.known, self.v.ending
         for j in range(start, len(word) + 1):
+            longest = ending.get(word[j - 3:j], 2) if j > 2 else 2
             for i in range(j - longest if j > longest else 0, j):
                 piece = word[i:j]
                 if piece in ids:
@@ -195,17 +202,19 @@ class Encoder:
         self.word_ids.add(self.part_ids.take(np.array(rows)),
                           np.add.reduceat(self.part_ids.sizes[rows], firsts))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, one text after the other, and the number of ids of each text."""
-        if len(self.words) > self.limit:
-            self._forget()
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of all texts, and how many each has; new words are noted."""
         words, counts = [], []
         for text in texts:
             own = WORDS.findall(self.model.normalize(text))
             own.append("")
             counts.append(len(own))
             words += own
-        rows = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)), np.array(counts, np.int64)
+
+    def ids(self, rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text after the other, and the number of ids of each text. All words noted so far
+        are searched together first: the more there are, the longer the prefixes they share."""
         if self.words.fresh:
             self._learn()
         firsts = np.cumsum(counts) - counts
@@ -213,6 +222,11 @@ class Encoder:
         return (self.word_ids.take(rows),
                 np.add.reduceat(sizes, firsts) if len(firsts) else np.zeros(0, np.int64))
 
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words) > self.limit:
+            self._forget()
+        return self.ids(*self.read(texts))
+
 
 class Decoder:
     """Texts of ids: pieces with marks as spaces, runs of byte pieces as UTF-8, without the leading
@@ -248,15 +262,26 @@ def encode(docs: DataFrame, model: str | None = None, kind: str = "bpe") -> Data
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model))
 
     def run(batches):
-        encoder = Encoder(shared.value, kind)
-        for batch in slices(batches, 1024):
-            ids, sizes = encoder.encode(batch.column("text").to_pylist())
-            raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "n_ids": pa.array(sizes, pa.int64()),
-                "ids": pa.array([raw[a:b] for a, b in zip([0, *ends], ends)], pa.binary())})
-
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_ids long, ids binary")
+        encoder, waiting = Encoder(shared.value, kind), []
+
+        def out():
+            for doc_id, rows, counts in waiting:
+                ids, sizes = encoder.ids(rows, counts)
+                raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": doc_id, "n_ids": pa.array(sizes, pa.int64()),
+                    "ids": pa.array([raw[a:b] for a, b in zip([0, *ends], ends)], pa.binary())})
+            waiting.clear()
+
+        for batch in slices(batches, 512):
+            waiting.append((batch.column("doc_id"), *encoder.read(batch.column("text").to_pylist())))
+            if sum(len(rows) for _, rows, _ in waiting) > WAITING_WORDS or len(encoder.words) > encoder.limit:
+                yield from out()
+                if len(encoder.words) > encoder.limit:
+                    encoder._forget()
+        yield from out()
+
+    return texts_of(docs).mapInArrow(tidy(run), "doc_id long, n_ids long, ids binary")
 
 
 def decoded(spark, ids: Column, model: str | None = None) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastergrid.llm.common import slices
+from rastergrid.llm.common import slices, tidy
 from rastergrid.llm.encoding import _Index
 from rastergrid.llm.sharding import number_rows
 from rastergrid.session import materialize
@@ -106,7 +106,7 @@ def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "n": pa.array(total[some])})
 
-    rows = _raw(texts).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = _raw(texts).mapInArrow(tidy(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(buckets, np.int64)
     for r in rows:
         out[r["bucket"]] = r["n"]
@@ -145,7 +145,7 @@ def weighed(docs: DataFrame, gains: np.ndarray) -> DataFrame:
 
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"),
                         F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(run, WEIGHED)
+    return texts.mapInArrow(tidy(run), WEIGHED)
 
 
 def kth_key(rows: DataFrame, keys: list[str], k: int, pivots: int = PIVOTS) -> tuple:

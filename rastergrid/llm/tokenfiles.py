@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastergrid.llm.common import slices, texts_of
+from rastergrid.llm.common import slices, texts_of, tidy
 from rastergrid.llm.encoding import TextEncoder, read_spec
 from rastergrid.session import qualified, shared_dir
 from rastergrid.sources.fs import open_fs, write_atomic
@@ -48,11 +48,12 @@ def _dictionary(content: bytes):
 
 
 def sample_ids(docs: DataFrame, spec: str, documents: int, words: int) -> list[bytes]:
-    """Serialized ids of at most ``documents`` texts, chosen by a hash of their ids; of a long text
-    the first ``words`` words. They fit the dictionary only, which changes sizes, not contents."""
-    texts = texts_of(docs)
-    few = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(64)) == 0).limit(documents)
-    rows = few.select(F.substring_index("text", " ", words).alias("text")).collect()
+    """Serialized ids of the ``documents`` texts with the least hashes in the whole table; of a long
+    text the first ``words`` words, and ``8 * words`` characters at most, so what comes to the driver
+    is bounded. They fit the dictionary only, which changes sizes, not contents."""
+    texts = texts_of(docs).where("text <> ''").withColumn("lot", F.xxhash64("doc_id", "text"))
+    cut = F.substring_index(F.substring("text", 1, 8 * words), " ", words).alias("text")
+    rows = texts.select("lot", cut).orderBy("lot", "text").limit(documents).collect()
     ids, sizes = TextEncoder(spec).encode([r["text"] for r in rows])
     return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1]) if len(x)] if rows else []
 
@@ -164,7 +165,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str
 
     rows = texts_of(docs).withColumn("tie", F.xxhash64("text"))
     done = (rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-            .mapInArrow(write, "part int, documents long, tokens long").collect())
+            .mapInArrow(tidy(write), "part int, documents long, tokens long").collect())
     files, start = [], 0
     for r in sorted(done, key=lambda r: r["part"]):
         files.append({"file": f"part-{r['part']:06d}.tok", "documents": r["documents"],

@@ -37,39 +37,112 @@ def _longs(scores: np.ndarray) -> pa.Array:
     return pa.array(scores.astype(np.int64), pa.int64())
 
 
-def _partials(keep: int, segments: int, cutoff: bool):
-    """Partial scores of a tile: the ``keep`` largest of each query, or with ``cutoff`` all that reach
-    a ``segments``-th of the query's threshold."""
+def _scores(batches):
+    """Partial scores of all tiles, a stripe of queries at a time: ``queries, vectors, first row, scores``."""
+    keys = ["qb", "cb", "seg", "whole", "dim"]
+    for table in by_key(batches, keys):
+        for queries, vectors, _ in runs(table, keys):
+            dim = queries.column("dim")[0].as_py()
+            left, right = _matrix(queries, "v", dim), _matrix(vectors, "v", dim)
+            for at in range(0, len(left), STRIPE):
+                yield queries, vectors, at, _products(left[at:at + STRIPE], right)
+
+
+def _best(keep: int):
+    """The ``keep`` largest partial scores of each query in a tile."""
 
     def run(batches):
         schema = pa.schema([("asked", pa.int64()), ("node", pa.int64()), ("whole", pa.int32()),
                             ("seg", pa.int32()), ("partial", pa.int64())])
-        keys = ["qb", "cb", "seg", "whole", "dim"]
+        for queries, vectors, at, score in _scores(batches):
+            seg, whole = (queries.column(c)[0].as_py() for c in ("seg", "whole"))
+            if score.shape[1] <= keep:
+                row, col = np.nonzero(np.ones(score.shape, bool))
+            else:
+                col = (np.argpartition(-score, keep - 1, axis=1) if score.dtype != object
+                       else np.argsort(-score, axis=1, kind="stable"))[:, :keep].ravel()
+                row = np.repeat(np.arange(len(score)), keep)
+            asked, node = (t.column("id").to_numpy() for t in (queries, vectors))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(asked[at:at + STRIPE][row]), pa.array(node[col]),
+                *(pa.array(np.full(len(row), x), pa.int32()) for x in (whole, seg)), _longs(score[row, col])], schema=schema)
+
+    return run
+
+
+ENTRIES = "qb int, cb int, id long, dim int, seg int, nodes binary, partials binary"
+
+
+def _entries(segments: int):
+    """Of each query and tile one row with all vectors whose partial score reaches a ``segments``-th of the
+    query's threshold, and may reach the threshold with what the other segments can add: no more than
+    the product of the lengths of both vectors there."""
+
+    def run(batches):
+        schema = pa.schema([("qb", pa.int32()), ("cb", pa.int32()), ("id", pa.int64()), ("dim", pa.int32()),
+                            ("seg", pa.int32()), ("nodes", pa.binary()), ("partials", pa.binary())])
+        for queries, vectors, at, score in _scores(batches):
+            own = queries.slice(at, STRIPE)
+            least = [None if t is None else (t, -(-t // segments)) for t in own.column("threshold").to_pylist()]
+            rest = np.outer(own.column("rest").to_numpy(), vectors.column("rest").to_numpy()) * (1 + 1e-9) + 1
+            asked, node = own.column("id").to_pylist(), vectors.column("id").to_numpy()
+            rows = []
+            for i, bound in enumerate(least):
+                kept = np.arange(len(node))
+                if bound is not None:
+                    kept = np.flatnonzero((score[i] >= bound[1]) & (score[i].astype(float) * (1 + 1e-15) + rest[i] >= bound[0]))
+                if len(kept):
+                    some = np.asarray(_longs(score[i, kept]))
+                    rows.append((asked[i], node[kept].tobytes(), some.tobytes()))
+            if rows:
+                place = [own.column(c)[0].as_py() for c in ("qb", "cb", "whole", "seg")]
+                qb, cb, whole, seg = ([x] * len(rows) for x in place)
+                ids, nodes, partials = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(
+                    (qb, cb, ids, whole, seg, nodes, partials), schema)], schema=schema)
+
+    return run
+
+
+def _settle(keep: int, segments: int):
+    """Exact scores in a tile of what the segments have sent and may still reach the threshold: of each
+    query those that reach its ``keep``-th best there (all of equal score)."""
+
+    def run(batches):
+        schema = pa.schema([("asked", pa.int64()), ("node", pa.int64()), ("score", pa.int64())])
+        keys = ["qb", "cb", "dim"]
         for table in by_key(batches, keys):
-            for queries, vectors, _ in runs(table, keys):
-                seg, whole, dim = (queries.column(c)[0].as_py() for c in ("seg", "whole", "dim"))
+            for queries, vectors, entries in runs(table, keys):
+                if not entries.num_rows:
+                    continue
+                dim = queries.column("dim")[0].as_py()
                 left, right = _matrix(queries, "v", dim), _matrix(vectors, "v", dim)
-                asked, node = (t.column("id").to_numpy() for t in (queries, vectors))
-                floor = queries.column("threshold").to_pylist() if cutoff else None
-                for at in range(0, len(left), STRIPE):
-                    score = _products(left[at:at + STRIPE], right)
-                    if cutoff:
-                        least = np.array([-np.inf if t is None else -(-t // segments)
-                                          for t in floor[at:at + STRIPE]], score.dtype)
-                        row, col = np.nonzero(score >= least[:, None])
-                    elif score.shape[1] > keep and score.dtype != object:
-                        col = np.argpartition(-score, keep - 1, axis=1)[:, :keep].ravel()
-                        row = np.repeat(np.arange(len(score)), keep)
-                    elif score.shape[1] > keep:
-                        col = np.argsort(-score, axis=1, kind="stable")[:, :keep].ravel()
-                        row = np.repeat(np.arange(len(score)), keep)
-                    else:
-                        row, col = np.nonzero(np.ones(score.shape, bool))
-                    for some in range(0, len(row), 1 << 18):
-                        r, c = row[some:some + (1 << 18)], col[some:some + (1 << 18)]
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(asked[at:at + STRIPE][r]), pa.array(node[c]),
-                            *(pa.array(np.full(len(r), x), pa.int32()) for x in (whole, seg)), _longs(score[r, c])], schema=schema)
+                ids = vectors.column("id").to_numpy()
+                order = np.argsort(ids)
+                sent = {}
+                for asked, nodes, partials in zip(*(entries.column(c).to_pylist() for c in ("id", "nodes", "partials"))):
+                    sent.setdefault(asked, []).append((np.frombuffer(nodes, np.int64), np.frombuffer(partials, np.int64)))
+                bounds = zip(queries.column("id").to_pylist(), queries.column("threshold").to_pylist())
+                for row, (asked, bound) in enumerate(bounds):
+                    if asked not in sent:
+                        continue
+                    nodes, partials = (np.concatenate(x) for x in zip(*sent[asked]))
+                    nodes, back, n = np.unique(nodes, return_inverse=True, return_counts=True)
+                    if bound is not None:
+                        # a segment that has not sent a vector has less than its share of it, or no use for it
+                        seen = np.zeros(len(nodes), float)
+                        np.add.at(seen, back, partials.astype(float))
+                        upper = seen + (segments - n) * float(-(-bound // segments) - 1)
+                        nodes = nodes[upper + np.abs(upper) * 1e-12 + 1 >= bound]
+                    if not len(nodes):
+                        continue
+                    at = order[np.searchsorted(ids, nodes, sorter=order)]
+                    scores = _pair_products(((left, np.full(len(at), row)), (right, at)))
+                    if len(scores) > keep:
+                        best = scores >= np.partition(scores, len(scores) - keep)[len(scores) - keep]
+                        nodes, scores = nodes[best], scores[best]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(nodes), asked)), pa.array(nodes), pa.array(scores)], schema=schema)
 
     return run
 
@@ -127,8 +200,10 @@ def top_scores(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256
     Phase one gathers the largest partial scores of each segment and the exact scores of these
     candidates; the (k+1)-th of them is a safe threshold. In phase two the threshold goes to every
     segment, which sends the entries that reach its uniform share: a vector below the share in every
-    segment is below the threshold. Phase three drops vectors whose upper bound stays below and
-    computes the remaining scores exactly.
+    segment is below the threshold. A vector that cannot reach the threshold whatever the other
+    segments add stays at home too. Entries travel as one list for each query and block of vectors.
+    Phase three drops vectors whose upper bound stays below and computes the remaining scores
+    exactly where query and vectors meet.
 
     Equal vectors are searched once. Vectors that are null or hold a null or non-finite component
     take no part, nor do rows without an id; products beyond the long range count as its ends.
@@ -142,18 +217,20 @@ def top_scores(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256
 
     def cut(side: DataFrame, name: str, *more: str) -> DataFrame:
         step = f"cast(ceil(dim / {segments}) as int)"
-        part = side.select(F.col(name).alias("id"), "v", "dim", *more,
+        part = side.select(F.col(name).alias("id"), F.col("v").alias("full"), "dim", *more,
                            F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("seg"))
-        return part.select("id", "seg", "dim", *more, F.expr(f"slice(v, seg * {step} + 1, {step})").alias("v"))
+        own = part.withColumn("v", F.expr(f"slice(full, seg * {step} + 1, {step})"))
+        square = "aggregate({}, 0D, (s, x) -> s + double(x) * double(x))"
+        # the length of the other segments' part, rounded up
+        rest = f"sqrt(greatest({square.format('full')} * 1.000000001D - {square.format('v')}, 0D))"
+        return own.select("id", "seg", "dim", *more, "v", F.expr(rest).alias("rest"))
 
-    def partials(queries: DataFrame, cutoff: bool) -> DataFrame:
-        left = cut(queries.withColumn("dim", F.size("v")), "asked", "threshold")
+    def segment_tiles(queries: DataFrame) -> DataFrame:
+        left = cut(queries, "asked", "threshold")
         right = cut(search.classes, "node").withColumn("threshold", F.lit(None).cast("long"))
         # a segment's rows are as wide as its slice; ``whole`` keeps apart what differs elsewhere
         both = [x.withColumn("whole", F.col("dim")).withColumn("dim", F.size("v")) for x in (left, right)]
-        return (tiles(*both, search, q_rows, c_rows, "seg", "whole", "dim")
-                .mapInArrow(_partials(k + 1, segments, cutoff),
-                            "asked long, node long, whole int, seg int, partial long"))
+        return tiles(*both, search, q_rows, c_rows, "seg", "whole", "dim")
 
     def exact(pairs: DataFrame) -> DataFrame:
         left = search.queries.select(F.col("asked").alias("id"), "v", "dim")
@@ -164,17 +241,18 @@ def top_scores(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256
                 .mapInArrow(_resolve(k + 1), "asked long, node long, score long"))
 
     local = Window.partitionBy("asked", "seg").orderBy(F.col("partial").desc())
-    lists = partials(search.queries.withColumn("threshold", F.lit(None).cast("long")), False)
+    lists = segment_tiles(search.queries.withColumn("threshold", F.lit(None).cast("long"))).mapInArrow(
+        _best(k + 1), "asked long, node long, whole int, seg int, partial long")
     lists = lists.withColumn("nth", F.row_number().over(local)).where(F.col("nth") <= k + 1)
     known = exact(lists.select("asked", "node", "whole").distinct())
     best = Window.partitionBy("asked").orderBy(F.col("score").desc())
     known = known.withColumn("nth", F.row_number().over(best)).where(F.col("nth") == k + 1)
     threshold = materialize(known.select("asked", F.col("score").alias("threshold")))
     armed = search.queries.join(threshold, "asked", "left")
-    entries = partials(armed, True).groupBy("asked", "node", "whole").agg(
-        F.sum(F.col("partial").cast("decimal(38,0)")).alias("seen"), F.count("*").alias("n"))
-    share = F.ceil(F.col("threshold") / segments) - 1
-    upper = F.col("seen") + (segments - F.col("n")) * share.cast("decimal(38,0)")
-    left = (entries.join(threshold, "asked", "left")
-            .where(F.col("threshold").isNull() | (upper >= F.col("threshold"))).select("asked", "node", "whole"))
-    return answers(exact(left), search, k, best_first=True)
+    entries = segment_tiles(armed).mapInArrow(_entries(segments), ENTRIES)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("seg", "int"), ("nodes", "binary"), ("partials", "binary"))]
+    left = armed.select(F.col("asked").alias("id"), "v", "dim", "threshold", *none)
+    right = search.classes.select(F.col("node").alias("id"), "v", "dim", F.lit(None).cast("long").alias("threshold"), *none)
+    settled = (tiles(left, right, search, q_rows, c_rows, "dim", placed=entries)
+               .mapInArrow(_settle(k + 1, segments), "asked long, node long, score long"))
+    return answers(settled, search, k, best_first=True)

@@ -45,10 +45,11 @@ def prepare(rows: DataFrame, every: int, keep: int) -> Search:
 
 
 def tiles(queries: DataFrame, classes: DataFrame, search: Search, q_rows: int, c_rows: int,
-          *keys: str, asks: DataFrame | None = None) -> DataFrame:
+          *keys: str, asks: DataFrame | None = None, placed: DataFrame | None = None) -> DataFrame:
     """Both sides dealt to a grid of tiles: every block of queries meets every block of vectors once.
     Columns of both: ``id`` and the payload; ``side`` 0 is the query. Sorted by tile and side. Rows
-    of ``asks`` (``id`` a query, ``other`` a vector) go to the tile where the two meet, as side 2."""
+    of ``asks`` (``id`` a query, ``other`` a vector) go to the tile where the two meet, as side 2, and
+    so do rows of ``placed``, which name their tile (``qb, cb``)."""
     n_q, n_c = max(1, -(-search.n_queries // q_rows)), max(1, -(-search.n_classes // c_rows))
 
     def blocks(n):
@@ -66,6 +67,8 @@ def tiles(queries: DataFrame, classes: DataFrame, search: Search, q_rows: int, c
             F.pmod(F.xxhash64("id"), F.lit(n_q)).cast("int").alias("qb"),
             F.pmod(F.xxhash64("other"), F.lit(n_c)).cast("int").alias("cb"), F.lit(2).alias("side"), "*"),
             allowMissingColumns=True)
+    if placed is not None:
+        both = both.unionByName(placed.withColumn("side", F.lit(2)), allowMissingColumns=True)
     return both.repartition(*order).sortWithinPartitions(*order, "side")
 
 

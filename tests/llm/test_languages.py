@@ -109,6 +109,27 @@ def test_nothing_to_learn(spark):
     assert {(r.lang_pred, r.score) for r in rows} == {("und", 0.0)}
 
 
+def test_without_labels_no_row_is_lost(spark):
+    docs = edge.documents(spark)
+    for none in (docs.withColumn("lang", F.lit(None).cast("string")), docs.limit(0)):
+        assert langid.keep_identified(none).count() == none.count()
+
+
+def test_many_like_labels_cost_no_clean_text(spark):
+    """Forty labels of the same language share the posterior; the text is as clear as before."""
+    rows = [(i, edge.PROSE[i % 2], f"x{i % 40}", "a") for i in range(200)]
+    docs = edge.documents(spark, rows)
+    assert langid.identify(docs).agg(F.max("score")).first()[0] < 0.5
+    assert langid.keep_identified(docs).count() == 200
+
+
+def test_keeps_the_rows_of_a_whole_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r.doc_id for r in langid.keep_identified(docs).collect()}
+    lettered = {r.doc_id for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
+    assert kept <= lettered and len(kept) >= 0.99 * len(lettered)
+
+
 def test_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()

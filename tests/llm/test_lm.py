@@ -50,6 +50,34 @@ def test_segments_score_like_one_filter(spark):
     assert all(one[k] == pytest.approx(many[k], rel=1e-12) for k in one)
 
 
+def test_scores_follow_the_exact_counts(spark):
+    """Scores from the filter against the levels of exact counts; they differ only where it errs."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    one, two = Counter(), Counter()
+    for i, text in rows:
+        if not held(i):
+            own = tokens_of(text)
+            one.update(own)
+            two.update(zip(["\n", *own], own))
+    total, words = sum(one.values()), len(one)
+
+    def levels(counts, keys, base):
+        n = np.array([counts[k] for k in keys], float)
+        return np.where(n > 0, lm.levels_of(np.maximum(n, 1), base), 0)
+
+    got = {r.doc_id: r.score for r in lm.learn_and_score(docs).collect()}
+    near = 0
+    for i, text in rows:
+        own = tokens_of(text)
+        before = ["\n", *own[:-1]]
+        want = lm.log_probabilities(levels(one, own, lm.BASES[0]), levels(one, before, lm.BASES[0]),
+                                    levels(two, list(zip(before, own)), lm.BASES[1]), total, words, lm.STRENGTH).sum()
+        assert got[i] == pytest.approx(want, rel=0.02)
+        near += got[i] == pytest.approx(want, rel=2e-3)
+    assert near > 0.9 * len(rows)
+
+
 def test_filter_never_reads_too_little():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 2**63, 20_000).astype(np.uint64)

@@ -70,6 +70,18 @@ def test_one_document_is_read_alone(spark, tmp_path):
         tokenfiles.TokenFile(f"{folder}/{name}", b"other content")
 
 
+def test_small_tables_have_a_dictionary(spark):
+    for rows in (edge.ROWS[:3], edge.ROWS[:1], edge.ROWS):
+        folder = tokenfiles.write_token_files(edge.documents(spark, rows))
+        assert len(tokenfiles._content(f"{folder}/{tokenfiles.DICTIONARY}")) >= 8
+
+
+def test_samples_are_bounded_without_blanks(spark):
+    rows = [(i, "x" * 200_000, "en", "a") for i in range(4)]
+    samples = tokenfiles.sample_ids(edge.documents(spark, rows), read_spec(), 3, 100)
+    assert len(samples) == 3 and max(map(len, samples)) <= 4 * 800
+
+
 def test_no_documents(spark, tmp_path):
     folder = tokenfiles.write_token_files(edge.documents(spark).limit(0), str(tmp_path / "t"))
     assert tokenfiles.read_token_files(spark, folder).count() == 0
@@ -128,6 +140,15 @@ def one_by_one(lengths, capacity, weights):
     return len(bins)
 
 
+def test_sequences_hold_null_and_repeated_ids(spark, tmp_path):
+    store = str(tmp_path / "pieces")
+    placed = packing.pack(edge.documents(spark), store=store)
+    packed = packing.sequences(placed, store).collect()
+    lengths = [n for r in packed for n in r.lengths]
+    assert sorted(lengths) == sorted(r.length for r in placed.collect())
+    assert all(len(r.ids) == 4 * sum(r.lengths) <= 4 * 2048 for r in packed)
+
+
 @pytest.mark.parametrize("capacity", [packing.Capacity(100, 100, 10_000), packing.Capacity(100, 5, 10_000),
                                       packing.Capacity(100, 8, 4_000)])
 @pytest.mark.parametrize("rule", ["norm", "dot"])
