@@ -17,7 +17,7 @@ LEAST = 30
 #: A-Z lower-cased, ``.,;:!?`` and line ends one mark, tabs as spaces.
 MARKS = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0b\x0c\x0d\t", bytes(range(97, 123)) + b"\n" * 9 + b" ")
 BASE = 0x9E3779B97F4A7C15
-BACK = pow(BASE, -1, 1 << 64)
+SECOND = 0xD6E8FEB86659FD93     # base of the second polynomial, by which colliding fingerprints are told apart
 FLUSH_TOKENS, FLUSH_WORDS = 1_500_000, 300_000
 PART_BYTES = 16 << 20      # text behind one task that adds up fingerprints
 SLICES = 4                 # slices of such a task
@@ -69,20 +69,36 @@ class Corpus:
         return self.size > FLUSH_TOKENS or len(self.index) > FLUSH_WORDS
 
     def close(self) -> Grams:
-        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, self.index), np.uint64, len(self.index))
-        seeds = np.fromiter((xxhash.xxh3_64_intdigest(x.encode(), 1) for x in self.langs), np.uint64, len(self.langs))
-        return Grams([np.concatenate(x) for x in zip(*self.found)], keys, seeds)
+        columns = [np.concatenate(x) for x in zip(*self.found)]
+        names, langs = list(self.index), [x.encode() for x in self.langs]
+        hashes = [Polynomial(columns[0], *(np.fromiter((digest(x, seed) for x in some), np.uint64, len(some))
+                                           for some, seed in ((names, 0), (langs, 1))), base)
+                  for digest, base in ((xxhash.xxh3_64_intdigest, BASE), (xxhash.xxh64_intdigest, SECOND))]
+        return Grams(columns, *hashes)
+
+
+class Polynomial:
+    """Prefix polynomials over the hashes of a sequence of words, modulo 2^64."""
+
+    def __init__(self, ids: np.ndarray, words: np.ndarray, langs: np.ndarray, base: int):
+        self.base, self.langs = base, langs
+        self.powers = np.cumprod(np.append(np.uint64(1), np.full(len(ids), base, np.uint64)))
+        falling = np.full(len(ids), pow(base, -1, 1 << 64), np.uint64)
+        falling[:1] = 1
+        self.prefix = np.append(np.uint64(0), np.cumsum(words[ids] * np.cumprod(falling)))
+
+    def of(self, at: np.ndarray, n: int, lang: np.ndarray) -> np.ndarray:
+        """Hashes of the ``n`` words from each place on, with their language in front."""
+        own = (self.prefix[at + n] - self.prefix[at]) * self.powers[at + n - 1]
+        return own + self.langs[lang] * np.uint64(pow(self.base, n, 1 << 64))
 
 
 class Grams:
     """The n-grams of closed ``Corpus`` texts."""
 
-    def __init__(self, columns: list[np.ndarray], keys: np.ndarray, seeds: np.ndarray):
+    def __init__(self, columns: list[np.ndarray], first: Polynomial, second: Polynomial):
         self.ids, self.lang, self.piece, self.rows, self.places = columns
-        self.seeds = seeds
-        self.powers = np.cumprod(np.append(np.uint64(1), np.full(len(self.ids), BASE, np.uint64)))
-        falling = np.cumprod(np.append(np.uint64(1), np.full(len(self.ids), BACK, np.uint64)))
-        self.prefix = np.append(np.uint64(0), np.cumsum(keys[self.ids] * falling[:-1]))
+        self.first, self.second = first, second
 
     def whole(self, n: int) -> np.ndarray:
         """Starts of the runs of ``n`` words inside one piece."""
@@ -90,12 +106,12 @@ class Grams:
         return np.flatnonzero(self.piece[:len(last)] == last).astype(np.int32)
 
     def fingerprints(self, at: np.ndarray, n: int) -> np.ndarray:
-        own = (self.prefix[at + n] - self.prefix[at]) * self.powers[at + n - 1]
-        return own + self.seeds[self.lang[at]] * np.uint64(pow(BASE, n, 1 << 64))
+        return self.first.of(at, n, self.lang[at])
 
     def tally(self, at: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-        """Fingerprint, count and first place (row, word) of each distinct n-gram that starts ``at``.
-        Equal fingerprints are compared word by word: what differs has entries of its own."""
+        """Fingerprint, count, first place (row, word) and check of each distinct n-gram that starts ``at``.
+        Equal fingerprints are compared word by word: what differs has entries of its own. The check is
+        half of the second polynomial."""
         fps = self.fingerprints(at, n)
         order = np.argsort(fps, kind="stable")
         fps, at = fps[order], at[order]
@@ -107,7 +123,9 @@ class Grams:
             new[1:] |= word[1:] != word[:-1]
         first = np.flatnonzero(new)
         counts = np.diff(np.append(first, len(at)))
-        return fps[first], counts.astype(np.uint32), self.rows[at[first]], self.places[at[first]]
+        at = at[first]
+        check = (self.second.of(at, n, self.lang[at]) >> np.uint64(32)).astype(np.uint32)
+        return fps[first], counts.astype(np.uint32), self.rows[at], self.places[at], check
 
 
 PARTIAL = pa.schema([("slice", pa.int32()), ("n", pa.int32()), ("lang", pa.string()), ("total", pa.int64()),
@@ -117,11 +135,11 @@ PARTIAL_SQL = "slice int, n int, lang string, total long, size int, entries bina
 
 def _in_slices(n: int, columns: tuple[np.ndarray, ...], n_slices: int) -> pa.RecordBatch:
     """Sorted entries cut at the slices of the fingerprint; rows count from the least of them."""
-    fps, counts, rows, places = columns
+    fps, counts, rows, places, check = columns
     cuts = np.searchsorted(slice_of(fps, n_slices), np.arange(n_slices + 1)).tolist()
     some = [i for i in range(n_slices) if cuts[i] < cuts[i + 1]]
     least = rows.min() if len(rows) else 0
-    columns = (fps, counts, (rows - least).astype(np.uint64), places)
+    columns = (fps, counts, (rows - least).astype(np.uint64), places, check)
     return pa.RecordBatch.from_arrays([
         pa.array(some, pa.int32()), pa.array([n] * len(some), pa.int32()),
         pa.nulls(len(some), pa.string()), pa.array([least] * len(some), pa.int64()),
@@ -172,8 +190,9 @@ ENTRY_SQL = "n int, fp long, count long, row long, place long, lang string"
 
 
 def _frequent(least: int):
-    """The entries of fingerprints that come up ``least`` times or more in all tasks together; and the
-    numbers of words (``n`` 0), which go through."""
+    """The n-grams that come up ``least`` times or more in all tasks together, each with one of its
+    places; and the numbers of words (``n`` 0), which go through. Entries of one fingerprint whose checks
+    differ have collided and are added up apart."""
 
     def run(batches):
         for table in by_key(batches, ["slice", "n"]):
@@ -187,31 +206,27 @@ def _frequent(least: int):
                         own.column("n").combine_chunks(), none, own.column("total").combine_chunks(), none, none,
                         own.column("lang").combine_chunks()], schema=ENTRY)
                     continue
-                parts = [unpack_sorted(raw, size, np.uint32, np.uint64, np.uint32) for raw, size in zip(
+                parts = [unpack_sorted(raw, size, np.uint32, np.uint64, np.uint32, np.uint32) for raw, size in zip(
                     own.column("entries").to_pylist(), own.column("size").to_pylist())]
-                fps, counts, rows, places = (np.concatenate(x) for x in zip(*parts))
+                fps, counts, rows, places, check = (np.concatenate(x) for x in zip(*parts))
                 rows = rows.astype(np.int64) + np.repeat(own.column("total").to_numpy(), [len(p[0]) for p in parts])
                 order = np.argsort(fps, kind="stable")
-                fps = fps[order]
-                first = np.flatnonzero(np.append(True, fps[1:] != fps[:-1]))
-                size = np.diff(np.append(first, len(fps)))
+                same = fps[order][1:] == fps[order][:-1]
+                if (same & (check[order][1:] != check[order][:-1])).any():
+                    order = np.lexsort((check, fps))
+                fps, check = fps[order], check[order]
+                first = np.flatnonzero(np.append(True, (fps[1:] != fps[:-1]) | (check[1:] != check[:-1])))
                 total = np.add.reduceat(counts[order].astype(np.int64), first)
-                kept = order[np.repeat(total >= least, size)]
+                kept = total >= least
+                at = order[first[kept]]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(kept), numbers[1][start]), pa.int32()), pa.array(_signed(fps, order, kept)),
-                    pa.array(counts[kept].astype(np.int64)), pa.array(rows[kept]),
-                    pa.array(places[kept].astype(np.int64)), pa.nulls(len(kept), pa.string())], schema=ENTRY)
+                    pa.array(np.full(len(at), numbers[1][start]), pa.int32()), pa.array(fps[first[kept]].view(np.int64)),
+                    pa.array(total[kept]), pa.array(rows[at]), pa.array(places[at].astype(np.int64)),
+                    pa.nulls(len(at), pa.string())], schema=ENTRY)
 
     return run
 
 
-def _signed(fps: np.ndarray, order: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    """Fingerprints (sorted by ``order``) of the kept entries, as signed longs."""
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    return fps[back[kept]].view(np.int64)
-
-
 def may_hold(bits: np.ndarray, fps: np.ndarray) -> np.ndarray:
     at = (fps >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
     return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
@@ -245,7 +260,7 @@ def pair_filter(entries: DataFrame) -> np.ndarray:
 
 def _texts_at(batches):
     """The phrase that each entry points to."""
-    schema = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()), ("count", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
     for batch in slices(batches, 64):
         langs, texts = batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
         lists = batch.column("entries")
@@ -267,10 +282,13 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     their language; and ``lang, n``: all its words.
 
     Tasks hash every n-gram by differences of prefix polynomials and send, for ranges of the
-    fingerprint, arrays of fingerprints with counts and one occurrence each; what adds up to ``least``
-    stays. Longer n-grams are counted in a second pass, where all their word pairs may be frequent:
-    no other can be. Then each task's occurrence is looked up in its text, and counts are added up
-    by text: fingerprints that collide across tasks separate here, those within a task did before.
+    fingerprint, packed arrays of fingerprints with counts, one occurrence and a check each; what adds
+    up to ``least`` stays. Longer n-grams are counted in a second pass, where all their word pairs may
+    be frequent: no other can be.
+
+    Collisions: a task compares equal fingerprints word by word in its texts; those of different
+    tasks collide unnoticed only if 32 further bits of an independent polynomial are equal too.
+    Only what is frequent is looked up in the text, at one occurrence.
     """
     rows = materialize(docs.select(
         F.monotonically_increasing_id().alias("row"), F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"),
@@ -289,10 +307,10 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
         shared = docs.sparkSession.sparkContext.broadcast(pair_filter(short))
         found = found.unionByName(entries(tuple(range(3, longest + 1)), shared).drop("lang"))
         shared.unpersist()
-    asked = found.groupBy("row").agg(F.collect_list(F.struct("n", "place", "count")).alias("entries"))
-    texts = (rows.join(asked, "row").select("lang", "text", "entries")
-             .mapInArrow(tidy(_texts_at), "lang string, n int, phrase string, count long"))
-    grams = materialize(texts.groupBy("lang", "n", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least))
+    # stored, so that the planner knows its size: mostly a small part of the texts have a first place
+    asked = materialize(found.groupBy("row").agg(F.collect_list(F.struct("n", "place", "count")).alias("entries")))
+    grams = materialize(rows.join(asked, "row").select("lang", "text", "entries")
+                        .mapInArrow(tidy(_texts_at), "lang string, n int, phrase string, f long"))
     return grams, short.where("n = 0").groupBy("lang").agg(F.sum("count").alias("n"))
 
 

@@ -51,9 +51,10 @@ def sample_ids(docs: DataFrame, spec: str, documents: int, words: int) -> list[b
     """Serialized ids of the ``documents`` texts with the least hashes in the whole table; of a long
     text the first ``words`` words, and ``8 * words`` characters at most, so what comes to the driver
     is bounded. They fit the dictionary only, which changes sizes, not contents."""
-    texts = texts_of(docs).where("text <> ''").withColumn("lot", F.xxhash64("doc_id", "text"))
-    cut = F.substring_index(F.substring("text", 1, 8 * words), " ", words).alias("text")
-    rows = texts.select("lot", cut).orderBy("lot", "text").limit(documents).collect()
+    texts = texts_of(docs).where("text <> ''").select(
+        F.xxhash64("doc_id", "text").alias("lot"), F.substring("text", 1, 8 * words).alias("text"))
+    few = texts.orderBy("lot", "text").limit(documents)
+    rows = few.select(F.substring_index("text", " ", words).alias("text")).collect()
     ids, sizes = TextEncoder(spec).encode([r["text"] for r in rows])
     return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1]) if len(x)] if rows else []
 

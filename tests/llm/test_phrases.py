@@ -79,9 +79,11 @@ def test_flushes_and_slices(spark, sf, monkeypatch):
 def test_collisions_are_told_apart(spark, monkeypatch):
     """With a base of 1 a fingerprint is a mere sum: every order of the same words collides."""
     monkeypatch.setattr(phrases, "BASE", 1)
-    monkeypatch.setattr(phrases, "BACK", 1)
     rows = [(i, "x y z. y x z. z y x y. x z y" if i % 3 else "y x, z y x", "en", "a") for i in range(40)]
     same(phrases.collocations(edge.documents(spark, rows).repartition(7), least=5), brute(rows, least=5))
+    # and with the same text in every task, some of it in one order only
+    rows = [(i, "x y. x z" if i < 20 else "y x. z x", "en", "a") for i in range(40)]
+    same(phrases.collocations(edge.documents(spark, rows).repartitionByRange(8, "doc_id"), least=5), brute(rows, least=5))
 
 
 def test_fingerprints_are_polynomials():
