@@ -21,6 +21,19 @@ def path_join(parent: Column, child: Column) -> Column:
     return F.concat_ws("/", F.rtrim(parent, F.lit("/")), F.ltrim(child, F.lit("/")))
 
 
+def file_join(parent: Column, child: Column) -> Column:
+    """Two path parts joined as local files are: runs of slashes count as one, trailing ones go, an
+    empty child gives the parent, and an empty parent the root."""
+    def plain(path: Column) -> Column:
+        single = F.regexp_replace(path, "/+", "/")
+        return F.when(F.length(single) > 1, F.regexp_replace(single, "/$", "")).otherwise(single)
+
+    above, below = plain(F.when(parent == "", F.lit("/")).otherwise(parent)), plain(child)
+    rest = F.regexp_replace(below, "^/", "")
+    root = F.when(above == "/", F.lit("")).otherwise(above)
+    return F.when((below == "") | ((below == "/") & (above == "/")), above).otherwise(F.concat(root, F.lit("/"), rest))
+
+
 def path_basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

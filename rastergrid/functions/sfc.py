@@ -163,3 +163,54 @@ def index_to_hex(index: Column, width: int = 0) -> Column:
 
 def hex_to_index(text: Column) -> Column:
     return F.conv(text, 16, 10).cast("bigint")
+
+
+# Key rectangles as curve intervals ----------------------------------------------
+
+def key_index(label: str, col: int, row: int, bits: int) -> int:
+    """Place of one key on a curve, as ``sfc_index`` gives it for columns."""
+    if label == ZORDER:
+        return sum(((col >> b & 1) << 2 * b) | ((row >> b & 1) << 2 * b + 1) for b in range(bits))
+    if label != HILBERT:
+        raise ValueError(f"unknown curve {label!r}")
+    x, y, out, last = col, row, 0, (1 << bits) - 1
+    for b in range(bits - 1, -1, -1):
+        rx, ry = x >> b & 1, y >> b & 1
+        out = out << 2 | (3 * rx ^ ry)
+        if not ry:
+            if rx:
+                x, y = last - x, last - y
+            x, y = y, x
+    return out
+
+
+def key_intervals(label: str, cmin: int, rmin: int, cmax: int, rmax: int, bits: int, most: int = 64) -> list[tuple[int, int]]:
+    """At most ``most`` inclusive intervals of a curve that hold all keys of a rectangle.
+
+    An aligned square of 2^n keys a side is one interval of either curve. Squares are halved until
+    they lie inside or outside, level by level while there are few; then the smallest gaps between
+    intervals are closed. So the intervals may hold keys outside the rectangle, and never miss one.
+    """
+    last = (1 << bits) - 1
+    cmin, rmin, cmax, rmax = max(cmin, 0), max(rmin, 0), min(cmax, last), min(rmax, last)
+    if cmin > cmax or rmin > rmax:
+        return []
+    inside, rim = [], [(0, 0, bits)]
+    while rim and rim[0][2] > 0 and len(rim) <= 4 * most:
+        halves, rim = [(2 * c + dc, 2 * r + dr, n - 1) for c, r, n in rim for dc in (0, 1) for dr in (0, 1)], []
+        for c, r, n in halves:
+            c0, r0, c1, r1 = c << n, r << n, (c + 1 << n) - 1, (r + 1 << n) - 1
+            if c0 >= cmin and c1 <= cmax and r0 >= rmin and r1 <= rmax:
+                inside.append((c, r, n))
+            elif c0 <= cmax and c1 >= cmin and r0 <= rmax and r1 >= rmin:
+                rim.append((c, r, n))
+    starts = sorted((key_index(label, c << n, r << n, bits) >> 2 * n << 2 * n, 1 << 2 * n) for c, r, n in inside + rim)
+    joined: list[list[int]] = []
+    for start, size in starts:
+        if joined and start == joined[-1][1] + 1:
+            joined[-1][1] += size
+        else:
+            joined.append([start, start + size - 1])
+    gaps = sorted(range(1, len(joined)), key=lambda i: joined[i][0] - joined[i - 1][1], reverse=True)
+    cuts = [0, *sorted(gaps[:max(most, 1) - 1]), len(joined)]
+    return [(joined[a][0], joined[b - 1][1]) for a, b in zip(cuts, cuts[1:])]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -70,6 +71,15 @@ def read_layer_meta(scenes: DataFrame) -> LayerMeta:
                      row.cell_w, row.cell_h)
 
 
+def layer_bounds(metadata: DataFrame, tile: int) -> DataFrame:
+    """``layer_metadata`` with the key bounds of its floating layout: ``cmin, rmin, cmax, rmax``."""
+    def last(low: str, high: str, cell: str):
+        return F.greatest(F.lit(0), F.ceil((F.col(high) - F.col(low)) / (F.col(cell) * tile)).cast("int") - 1)
+
+    return metadata.select("*", F.lit(0).alias("cmin"), F.lit(0).alias("rmin"),
+                           last("xmin", "xmax", "cell_w").alias("cmax"), last("ymin", "ymax", "cell_h").alias("rmax"))
+
+
 def key_bounds(meta: LayerMeta, tile: int) -> tuple[int, int, int, int]:
     """Least and largest (col, row) of the layer on its floating layout."""
     layout = floating_layout(meta, tile)
@@ -165,13 +175,29 @@ def tile_extents(tiles: DataFrame, layout: Layout) -> DataFrame:
     return keys.select("col", "row", *named(layout.key_extent()))
 
 
-def tiles_in_envelope(tiles: DataFrame, layout: Layout, extent) -> DataFrame:
-    """Tiles whose key lies in the key range of an extent; a plain key filter, so it is pushed
-    into a Parquet scan of the tile table."""
+def envelope_keys(layout: Layout, extent) -> tuple[int, int, int, int]:
+    """Key range of an extent: ``cmin, rmin, cmax, rmax``, inclusive."""
     xmin, ymin, xmax, ymax = extent
     cmin, rmin = math.floor((xmin - layout.xmin) / layout.tile_w), math.floor((layout.ymax - ymax) / layout.tile_h)
     cmax = max(cmin, math.ceil((xmax - layout.xmin) / layout.tile_w) - 1)
     rmax = max(rmin, math.ceil((layout.ymax - ymin) / layout.tile_h) - 1)
+    return cmin, rmin, cmax, rmax
+
+
+def tiles_on_curve(tiles: DataFrame, layout: Layout, extent, label: str, bits: int, most: int = 64) -> DataFrame:
+    """``tiles_in_envelope`` for a table sorted by ``sort_by_curve`` (column ``sfc``): the key rectangle
+    becomes at most ``most`` curve intervals. Where a key filter alone must look at all row groups
+    whose columns or rows overlap, the intervals are pushed down to the few that hold them."""
+    keys = envelope_keys(layout, extent)
+    intervals = sfc.key_intervals(label, *keys, bits, most)
+    held = reduce(lambda a, b: a | b, (F.col("sfc").between(a, b) for a, b in intervals), F.lit(False))
+    return tiles_in_envelope(tiles.where(held), layout, extent)
+
+
+def tiles_in_envelope(tiles: DataFrame, layout: Layout, extent) -> DataFrame:
+    """Tiles whose key lies in the key range of an extent; a plain key filter, so it is pushed
+    into a Parquet scan of the tile table."""
+    cmin, rmin, cmax, rmax = envelope_keys(layout, extent)
     return tiles.where(F.col("col").between(cmin, cmax) & F.col("row").between(rmin, rmax))
 
 

@@ -331,6 +331,8 @@ ORACLES: dict[str, str] = {
     "scan_geotiff": _with(CELLS, f"""SELECT {_SCENE_NAME} AS scene, scene AS ord, band, k, value FROM (
   SELECT scene, 0 AS band, k, b0 AS value FROM cells UNION ALL SELECT scene, 1, k, b1 FROM cells)
 WHERE value IS NOT NULL"""),
+    "scan_geotiff_pushed": _with(CELLS, f"""SELECT {_SCENE_NAME} AS scene, scene AS ord, 1 AS band, k, b1 AS value FROM cells
+WHERE b1 IS NOT NULL AND scene % 2 = 0 AND 3696 - scene // 2 * 384 < 3700"""),
     "scan_geotiff_named": _with(CELLS, f"""SELECT {_SCENE_NAME} AS scene, 0 AS band, count(b0) AS n,
   CAST(sum(b0) AS DOUBLE) AS total FROM cells GROUP BY scene
 UNION ALL SELECT {_SCENE_NAME}, 1, count(b1), floor(CAST(sum(b1) AS DOUBLE) * 1e4 + 0.5) / 1e4 FROM cells GROUP BY scene"""),
@@ -379,6 +381,8 @@ FROM paths"""),
     # Filters
     "filter_tif": _with(PATHS, "SELECT p_partkey, path FROM paths WHERE right(path, 4) = '.tif'"),
     "tiles_in_envelope": _with(MERGED, """SELECT band, gc, gr, value FROM bands
+WHERE gc // 16 BETWEEN 1 AND 4 AND gr // 16 BETWEEN 1 AND 4"""),
+    "tiles_on_curve": _with(MERGED, """SELECT band, gc, gr, value, label FROM bands, (VALUES ('hilbert'), ('zorder')) t(label)
 WHERE gc // 16 BETWEEN 1 AND 4 AND gr // 16 BETWEEN 1 AND 4"""),
     "drop_negative_keys": _with(HITS_SHIFT, f"SELECT fid, {_colrow()} FROM hit WHERE c >= 0 AND r >= 0"),
     "polygon_intersects_rect": _with(HITS_CLOSED, f"SELECT fid, {_colrow()} FROM hit JOIN tilekeys USING (c, r)"),
@@ -428,6 +432,8 @@ WHERE fid = 0"""),
     "layer_metadata": _with(SCENES, """SELECT 32651 AS epsg, true AS one_crs, 'float64' AS cell_type,
   min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax,
   min((xmax - xmin) / 50) AS cell_w, min((ymax - ymin) / 50) AS cell_h FROM scenes"""),
+    "layer_bounds": _with(SCENES, """SELECT 0 AS cmin, 0 AS rmin, CAST(ceil((max(xmax) - min(xmin)) / 128) - 1 AS INTEGER) AS cmax,
+  CAST(ceil((max(ymax) - min(ymin)) / 128) - 1 AS INTEGER) AS rmax FROM scenes"""),
     "layer_metadata_mixed": _with(SCENES, """SELECT 32651 AS epsg, true AS one_crs,
   CASE WHEN max(ord % 2) = min(ord % 2) THEN 'uint16' ELSE 'int32' END AS cell_type,
   min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax,
@@ -485,6 +491,10 @@ UNION ALL SELECT 'zorder', {_colrow()}, idx FROM z"""),
   repeat('0', greatest(0, 8 - length(k))) || k AS eight FROM (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k FROM orders)""",
     "repeat_char": "SELECT p_partkey, repeat('x', greatest(0, p_size - 10)) AS text FROM part",
     "path_join": _with(PATHS, "SELECT p_partkey, path || '/part.json' AS path FROM paths"),
+    # 'hdfs://h' has an inner double slash, which goes too
+    "file_join": _with(PATHS, """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN
+    CASE p_partkey % 3 WHEN 0 THEN '/' WHEN 1 THEN '/a/b' ELSE '/part.json' END
+  ELSE replace(path, '//', '/') || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '/a/b' ELSE '/part.json' END END AS path FROM paths"""),
     "round_at": f"""SELECT c_custkey, floor(c_custkey / CAST(2 AS DOUBLE) - 100 + 0.5) AS ties, {_up('c_acctbal', 1)} AS balance
 FROM customer""",
     "nanos_to_seconds": f"SELECT o_orderkey, {_up('CAST(o_orderkey * 123456789 AS DOUBLE) / 1e9', 4)} AS seconds FROM orders",
@@ -497,21 +507,11 @@ FROM customer""",
     "unproject_points": _with(
         GEO + ", " + _forward("geo", "utm") + f", metres AS (SELECT id, {_up('x', 3)} AS x, {_up('y', 3)} AS y FROM utm), "
         + _backward("metres", "back"), f"SELECT id, {_up('lon', 8)} AS lon, {_up('lat', 8)} AS lat FROM back"),
-    "bilinear_sample": _with(MERGED + ", " + SCENES, f"""SELECT id, {_up('value', 6)} AS value FROM (
-  SELECT id, sum(wt * b0) / sum(wt) FILTER (WHERE b0 IS NOT NULL) AS value FROM (
-    SELECT id, CAST(floor(px) AS BIGINT) + dx AS sc, CAST(floor(py) AS BIGINT) + dy AS sr,
-           abs(1 - dx - (px - floor(px))) * abs(1 - dy - (py - floor(py))) AS wt
-    FROM (SELECT o_orderkey AS id,
-                 least(greatest(CAST(o_orderkey * 37 % 6272 AS DOUBLE) / 64 - 0.5::DOUBLE, 0), 97) AS px,
-                 least(greatest(CAST(o_custkey * 53 % 6272 AS DOUBLE) / 64 - 0.5::DOUBLE, 0),
-                       (SELECT (max(ymax) - min(ymin)) / 8 - 1 FROM scenes)) AS py FROM orders),
-         (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy))
-  LEFT JOIN merged ON gc = sc AND gr = sr WHERE wt > 0 GROUP BY id)"""),
     # Pipelines
-    "pipeline_tile": _with(WARP, f"""SELECT {_colrow()}, CAST(n AS INTEGER) AS n, least, most,
+    "pipeline_tile": _with(WARP, f"""SELECT band, {_colrow()}, CAST(n AS INTEGER) AS n, least, most,
   x0 + c * 4096 AS xmin, y1 - (r + 1) * 4096 AS ymin, x0 + (c + 1) * 4096 AS xmax, y1 - r * 4096 AS ymax
-FROM (SELECT gc // 16 AS c, gr // 16 AS r, count(*) AS n, {_up('min(value)', 4)} AS least, {_up('max(value)', 4)} AS most
-      FROM warped WHERE band = 0 GROUP BY ALL), frame"""),
+FROM (SELECT band, gc // 16 AS c, gr // 16 AS r, count(*) AS n, {_up('min(value)', 4)} AS least, {_up('max(value)', 4)} AS most
+      FROM warped GROUP BY ALL), frame"""),
     "pipeline_pixels_by_polygon": _with(INSIDE, "SELECT fid, band, gc, gr, value FROM inside"),
     "pipeline_metadata": _with(HITS_CLOSED, f"""SELECT s_suppkey AS fid, {_ATTRS} AS json FROM supplier
 WHERE s_suppkey IN (SELECT fid FROM met)"""),
@@ -526,7 +526,7 @@ for _kind in KINDS:
 
 ORACLES["scan_geotiff_binary"] = ORACLES["tile_to_layout"]
 ORACLES["pipeline_tile_cells"] = ORACLES["reproject_tiles"]
-ORACLES["bilinear_sample_bands"] = _with(MERGED + ", " + SCENES, f"""SELECT id, {_up('v0', 6)} AS b0, {_up('v1', 6)} AS b1 FROM (
+_SAMPLES = _with(MERGED + ", " + SCENES, f"""SELECT id, {_up('v0', 6)} AS b0, {_up('v1', 6)} AS b1 FROM (
   SELECT id, sum(wt * b0) / sum(wt) FILTER (WHERE b0 IS NOT NULL) AS v0, sum(wt * round(b1 * 100)) / sum(wt) FILTER (WHERE b1 IS NOT NULL) AS v1 FROM (
     SELECT id, CAST(floor(px) AS BIGINT) + dx AS sc, CAST(floor(py) AS BIGINT) + dy AS sr,
            abs(1 - dx - (px - floor(px))) * abs(1 - dy - (py - floor(py))) AS wt
@@ -537,6 +537,8 @@ ORACLES["bilinear_sample_bands"] = _with(MERGED + ", " + SCENES, f"""SELECT id,
                                CAST((max(ymax) - min(ymin)) / 8 AS BIGINT) AS nr FROM scenes)),
          (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy))
   LEFT JOIN merged ON gc = sc AND gr = sr WHERE wt > 0 GROUP BY id)""")
+ORACLES["bilinear_sample_bands"] = _SAMPLES
+ORACLES["bilinear_sample"] = _SAMPLES.replace("(64 * n", "(4 * n").replace(" / 64 ", " / 4 ")
 # The footprint of the whole run holds every tile of the scenes, also where all cells are empty.
 _ALL_TILES = """tilekeys AS (
   SELECT DISTINCT (ord % 2 * 48 + a) // 16 AS c, (ord // 2 * 48 + b) // 16 AS r

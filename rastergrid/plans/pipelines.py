@@ -60,11 +60,12 @@ def grid_join(scene_heads: DataFrame, features: DataFrame, cell_w: float, cell_h
 
 
 def tile_query(spark: SparkSession, folder: str, metadata: DataFrame, polygons: DataFrame,
-               output: str, tile: int, epsg: int, cell: float | None = None) -> dict:
+               output: str, tile: int, epsg: int, cell: float | None = None,
+               filtered_footprint: bool = False) -> dict:
     """The three steps in sequence: tile, pixels by polygon, metadata by footprint.
 
-    The tile table is stored once for both queries; the footprint is that of all its tiles. Pixels
-    go to one GeoTIFF per mosaic block in the folder ``output``, in the scenes' cell type, metadata
+    The tile table is stored once for both queries; the footprint is that of all its tiles, or with
+    ``filtered_footprint`` of those that meet a polygon. Pixels go to one GeoTIFF per mosaic block in the folder ``output``, in the scenes' cell type, metadata
     as JSON lines next to it under the same stem.
     """
     tiles, layout, meta = tile_scenes(spark, folder, tile, epsg, cell)
@@ -73,7 +74,10 @@ def tile_query(spark: SparkSession, folder: str, metadata: DataFrame, polygons:
     tiles = spark.read.schema(tiles.schema).parquet(stored)
     mosaics = mosaic_rasters(pixels_by_polygon(tiles, polygons, layout), layout, epsg)
     n = write_rasters(mosaics, output, meta.cell_type)
-    hits = V.features_by_footprint(metadata, tiles, layout)
+    if filtered_footprint:
+        keys = tiles.select("col", "row").distinct()
+        tiles_met = V.meet_keys(keys, V.cover(V.polygonal(polygons), layout)).select("col", "row")
+    hits = V.features_by_footprint(metadata, tiles_met if filtered_footprint else tiles, layout)
     json_path = re.sub(r"\.[^.]*$", "", output) + ".json"
     write_attribute_json(hits, json_path)
     return {"tiles": tiles, "layout": layout, "mosaics": n, "output": output, "json": json_path}

@@ -61,6 +61,13 @@ def scan_geotiff_named(spark, sf):
     return per_window.groupBy("scene", "band").agg(F.sum("s.n").alias("n"), total.alias("total"))
 
 
+@query
+def scan_geotiff_pushed(spark, sf):
+    """Band 1 of the scenes that reach a strip of the map; the others are not read beyond their header."""
+    scenes = geotiff.read_scenes(spark, X.write_scene_files(spark, sf))
+    return _scene_cells(scenes.where("band = 1 AND xmin < 384D AND ymax <= 4096D AND ymin < 3700D"))
+
+
 @query
 def scan_geotiff_binary(spark, sf):
     folder = X.write_scene_files(spark, sf)
@@ -263,6 +270,17 @@ def tiles_in_envelope(spark, sf):
     return R.tile_cells(R.tiles_in_envelope(X.tiles(spark, sf), X.L16, ENVELOPE), X.L16)
 
 
+@query
+def tiles_on_curve(spark, sf):
+    """The envelope query over tables sorted along either curve, read by intervals of it."""
+    parts = []
+    for label in (sfc.HILBERT, sfc.ZORDER):
+        table = materialize(R.sort_by_curve(X.tiles(spark, sf), label, BITS))
+        found = R.tiles_on_curve(table, X.L16, ENVELOPE, label, BITS)
+        parts.append(R.tile_cells(found.drop("sfc"), X.L16).withColumn("label", F.lit(label)))
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def drop_negative_keys(spark, sf):
     pairs = V.feature_keys(X.features(spark, sf), X.LSHIFT).select("fid", "col", "row")
@@ -383,6 +401,11 @@ def layer_metadata(spark, sf):
     return R.layer_metadata(X.scene_heads(spark, sf))
 
 
+@query
+def layer_bounds(spark, sf):
+    return R.layer_bounds(R.layer_metadata(X.scene_heads(spark, sf)), 16).select("cmin", "rmin", "cmax", "rmax")
+
+
 @query
 def layer_metadata_mixed(spark, sf):
     kind = F.when(F.expr("ord % 2 = 0"), "uint16").otherwise("int8")
@@ -560,6 +583,14 @@ def path_join(spark, sf):
     return p.select("p_partkey", scalars.path_join(slashed, child).alias("path"))
 
 
+@query
+def file_join(spark, sf):
+    p = X.paths(spark, sf)
+    parent = F.expr("CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat(path, '//') ELSE path END")
+    child = F.expr("CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '//a//b/' ELSE 'part.json' END")
+    return p.select("p_partkey", scalars.file_join(parent, child).alias("path"))
+
+
 @query
 def round_at(spark, sf):
     return X.table(spark, sf, "customer").select(
@@ -607,15 +638,17 @@ def unproject_points(spark, sf):
 
 @query
 def bilinear_sample(spark, sf):
+    """Both bands at positions of whole quarters of a cell over the layer's own width and height."""
+    e = R.merged_extent(X.scene_heads(spark, sf)).first()
+    cols, rows = round((e.xmax - e.xmin) / 8), round((e.ymax - e.ymin) / 8)
     samples = X.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"),
-        F.expr("cast(o_orderkey * 37 % 6272 as double) / 64 - 0.5D").alias("fx"),
-        F.expr("cast(o_custkey * 53 % 6272 as double) / 64 - 0.5D").alias("fy"))
-    known = X.merged_cells(spark, sf).select("gc", "gr", F.col("b0").alias("value"))
-    layout = _scene_layout(spark, sf)
-    rows = round((layout.ymax - R.merged_extent(X.scene_heads(spark, sf)).first().ymin) / 8)
-    return R.bilinear_sample(samples, known, 98, rows).select(
-        "id", scalars.round_at(F.col("value"), 6).alias("value"))
+        F.expr(f"cast(o_orderkey * 37 % {4 * cols} as double) / 4 - 0.5D").alias("fx"),
+        F.expr(f"cast(o_custkey * 53 % {4 * rows} as double) / 4 - 0.5D").alias("fy"))
+    bands = ("b0", "b1")
+    known = X.merged_cells(spark, sf).withColumn("b1", F.expr("round(b1 * 100)"))
+    return R.bilinear_sample(samples, known, cols, rows, bands=bands).select(
+        "id", *(scalars.round_at(F.col(b), 6).alias(b) for b in bands))
 
 
 @query
@@ -641,8 +674,8 @@ def pipeline_tile(spark, sf):
     folder = X.write_scene_files(spark, sf, geographic=True)
     tiles, layout, _ = P.tile_scenes(spark, folder, X.GEO_TILE, 32651, X.GEO_CELL)
     filled = F.filter("cells", lambda v: v.isNotNull())
-    stats = tiles.where("band = 0").select(
-        "col", "row", F.size(filled).alias("n"),
+    stats = tiles.select(
+        "band", "col", "row", F.size(filled).alias("n"),
         scalars.round_at(F.array_min(filled), 4).alias("least"),
         scalars.round_at(F.array_max(filled), 4).alias("most"))
     return stats.where("n > 0").select("*", *grid.named(layout.key_extent()))
@@ -650,7 +683,7 @@ def pipeline_tile(spark, sf):
 
 @query
 def pipeline_tile_cells(spark, sf):
-    """Every cell value of every band that ``pipeline_tile`` sums up for its first band."""
+    """Every cell value that ``pipeline_tile`` sums up."""
     folder = X.write_scene_files(spark, sf, geographic=True)
     tiles, layout, _ = P.tile_scenes(spark, folder, X.GEO_TILE, 32651, X.GEO_CELL)
     return _rounded(R.tile_cells(tiles, layout))

@@ -60,13 +60,19 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
 
 
 def swap_in(spark: SparkSession, draft: str, folder: str) -> None:
-    """Put a finished draft folder in the place of ``folder``, whose old content goes."""
+    """Put a finished draft folder in the place of ``folder``. Its old content is set aside under a name
+    with ``.old`` at the end until the new one is there, and then goes."""
     source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (draft, folder))
     system = target.getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(source)
-    system.delete(target, True)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}.{uuid.uuid4().hex}.old")
+    had = system.exists(target) and system.rename(target, aside)
     if not system.rename(source, target):
+        if had:
+            system.rename(aside, target)
         raise OSError(f"cannot put {draft} in the place of {folder}")
+    if had:
+        system.delete(aside, True)
 
 
 def materialize(df: DataFrame, path: str | None = None, partition_by: list[str] | None = None,

@@ -10,13 +10,14 @@ from __future__ import annotations
 import posixpath
 import struct
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual)
 
 from rastergrid.model import HEADER_SCHEMA, SCENE_SCHEMA
 from rastergrid.session import materialize, qualified
@@ -138,12 +139,32 @@ def _segment(reader, h: Header, index: int, rows: int, planes: int) -> np.ndarra
     return values
 
 
+def in_strips(h: Header, window_cells: int) -> Header:
+    """The same file with large uncompressed strips as several, of whole rows and at most
+    ``window_cells`` cells: a row lies at a known byte, so shares may begin inside a strip."""
+    most = max(1, window_cells // h.n_cols)
+    if h.compression != 1 or h.seg_w != h.n_cols or h.seg_h <= most:
+        return h
+    rows = most if h.down == 1 else max(d for d in range(1, most + 1) if h.seg_h % d == 0)
+    width = h.n_cols * h.dtype.itemsize * (1 if h.planar == 2 else h.n_bands)
+    offsets, counts = [], []
+    for plane in range(h.n_bands if h.planar == 2 else 1):
+        for strip in range(h.down):
+            held = min(h.seg_h, h.n_rows - strip * h.seg_h)
+            for top in range(0, held, rows):
+                offsets.append(h.offsets[plane * h.down + strip] + top * width)
+                counts.append(min(rows, held - top) * width)
+    return replace(h, seg_h=rows, offsets=tuple(offsets), counts=tuple(counts))
+
+
 def read_windows(reader, h: Header, bands: list[int], part: int = 0, parts: int = 1,
                  window_cells: int = WINDOW_CELLS):
     """(band, c0, r0, w, h, values) of one share of a file's strips or tiles.
 
-    Neighbouring strips are joined up to ``window_cells``; a file tile is always a window.
+    Neighbouring strips are joined up to ``window_cells``, large uncompressed ones are cut; a file
+    tile is always a window.
     """
+    h = in_strips(h, window_cells)
     striped = h.seg_w == h.n_cols
     per_window = max(1, window_cells // (h.seg_w * h.seg_h)) if striped else 1
     n_windows = -(-h.down // per_window) * h.across
@@ -190,6 +211,11 @@ class _Share(InputPartition):
         self.files = files
 
 
+HEADER_COLUMNS = ("scene", "ord", "epsg", "xmin", "ymin", "xmax", "ymax", "n_cols", "n_rows", "cell_type", "band")
+HOLDS = {EqualTo: lambda a, b: a == b, In: lambda a, b: a in b, LessThan: lambda a, b: a < b,
+         LessThanOrEqual: lambda a, b: a <= b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b}
+
+
 class GeoTiffReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
@@ -198,15 +224,29 @@ class GeoTiffReader(DataSourceReader):
         self.bands = [int(b) for b in bands.split(",")] if bands else None
         self.target_bytes = int(options.get("target_bytes", TARGET_BYTES))
         self.window_cells = int(options.get("window_cells", WINDOW_CELLS))
+        self.pushed: list[tuple[str, type, object]] = []
+
+    def pushFilters(self, filters):
+        """Filters on what the listing or the header says. Files that fail them are not opened, or
+        only their header is read; of the others only the asked bands. Spark applies them again."""
+        for f in filters:
+            name = ".".join(getattr(f, "attribute", ()))
+            if type(f) in HOLDS and name in HEADER_COLUMNS:
+                self.pushed.append((name, type(f), f.value))
+            yield f
+
+    def _may_hold(self, **known) -> bool:
+        return all(HOLDS[kind](known[name], value) for name, kind, value in self.pushed if name in known)
 
     def partitions(self):
-        files = list_sized(self.path, (".tif",))
+        files = [(p, i, n) for i, (p, n) in enumerate(list_sized(self.path, (".tif",)))
+                 if self._may_hold(scene=posixpath.basename(p), ord=i)]
         if self.header_only:
-            shares = [(p, i, 0, 1) for i, (p, _) in enumerate(files)]
+            shares = [(p, i, 0, 1) for p, i, _ in files]
             return [_Share(shares[i:i + HEADERS_PER_TASK])
                     for i in range(0, len(shares), HEADERS_PER_TASK)]
         out, pending, size = [], [], 0
-        for i, (path, length) in enumerate(files):
+        for path, i, length in files:
             parts = -(-length // self.target_bytes) or 1
             if parts > 1:
                 out += [_Share([(path, i, p, parts)]) for p in range(parts)]
@@ -227,7 +267,14 @@ class GeoTiffReader(DataSourceReader):
                     yield (name, order, h.epsg, *h.extent, h.n_cols, h.n_rows, h.n_bands,
                            h.cell_type, path)
                     continue
+                heads = dict(zip(("xmin", "ymin", "xmax", "ymax"), h.extent)) | {
+                    "epsg": h.epsg, "n_cols": h.n_cols, "n_rows": h.n_rows, "cell_type": h.cell_type}
+                if not self._may_hold(**heads):
+                    continue
                 bands = self.bands if self.bands is not None else list(range(h.n_bands))
+                bands = [b for b in bands if self._may_hold(band=b)]
+                if not bands:
+                    continue
                 for window in read_windows(reader, h, bands, part, parts, self.window_cells):
                     yield _scene_batch(name, order, h, window)
 
@@ -249,7 +296,9 @@ class GeoTiffSource(DataSource):
 
 def read_scenes(spark: SparkSession, path: str, bands: list[int] | None = None,
                 **options) -> DataFrame:
-    """Scene windows of every ``.tif`` under ``path``; ``ord`` is the file's rank by name."""
+    """Scene windows of every ``.tif`` under ``path``; ``ord`` is the file's rank by name. Filters on
+    ``scene``, ``band``, the extent and other header columns are pushed into the scan."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(GeoTiffSource)
     reader = spark.read.format("geotiff").options(**options)
     if bands is not None:
@@ -276,9 +325,9 @@ def read_scenes_binary(spark: SparkSession, path: str, bands: list[int] | None =
                          .sortWithinPartitions("scene", "path")
                          .withColumn("share", F.spark_partition_id())
                          .withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
-    counts = listed.groupBy("share").agg(F.count("*").alias("n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b.share") < F.col("a.share"), "left").groupBy(
-        F.col("a.share").alias("share")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("base"))
+    ahead = Window.orderBy("share").rowsBetween(Window.unboundedPreceding, -1)     # one row a range of names
+    before = listed.groupBy("share").agg(F.count("*").alias("n")).select(
+        "share", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     ranked = listed.join(before, "share").select("path", (F.col("base") + F.col("place")).alias("ord"))
     files = files.join(ranked, "path").select("scene", "ord", "content")
 

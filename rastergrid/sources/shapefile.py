@@ -7,6 +7,7 @@ slice of the index, one byte range of the geometry file and one of the attribute
 
 from __future__ import annotations
 
+import codecs
 import posixpath
 import struct
 
@@ -73,12 +74,16 @@ def _dbf_layout(reader: RangeReader):
 
 
 def _attribute_rows(path: str, first: int, count: int, encoding: str):
-    """Attribute dicts of a record range; texts lose trailing blanks, empty numbers are NULL."""
+    """Attribute dicts of a record range, None for records marked as deleted; texts lose trailing
+    blanks, empty numbers are NULL."""
     with RangeReader(path) as reader:
         header_len, record_len, fields = _dbf_layout(reader)
         raw = reader.read(header_len + first * record_len, count * record_len)
     for i in range(count):
         row = raw[i * record_len:(i + 1) * record_len]
+        if row[:1] == b"*":
+            yield None
+            continue
         out = {}
         for name, kind, at, size in fields:
             text = row[at:at + size].decode(encoding)
@@ -111,9 +116,23 @@ def _feature_batch(rows) -> pa.RecordBatch:
         **{n: pa.array(v, pa.float64()) for n, v in zip(("xmin", "ymin", "xmax", "ymax"), box)}})
 
 
+# Names of code pages in .cpg files that Python knows under another name.
+CODE_PAGES = {"88591": "latin-1", "ISO88591": "latin-1", "ANSI 1252": "cp1252", "65001": "utf-8", "OEM 437": "cp437"}
+
+
+def code_page(path: str) -> str:
+    """Encoding that a ``.cpg`` file names; latin-1 where Python does not know it."""
+    with RangeReader(path) as reader:
+        name = reader.read(0, 64).decode("ascii", "replace").strip(" \0\r\n\t")
+    try:
+        return codecs.lookup(CODE_PAGES.get(name, name)).name
+    except LookupError:
+        return "latin-1"
+
+
 class _Records(InputPartition):
-    def __init__(self, shp, shx, dbf, first, count, fid0):
-        self.shp, self.shx, self.dbf = shp, shx, dbf
+    def __init__(self, shp, shx, dbf, cpg, first, count, fid0):
+        self.shp, self.shx, self.dbf, self.cpg = shp, shx, dbf, cpg
         self.first, self.count, self.fid0 = first, count, fid0
 
 
@@ -121,14 +140,14 @@ class ShapefileReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.single_part = str(options.get("single_part", "false")).lower() == "true"
-        self.encoding = options.get("encoding", "latin-1")
+        self.encoding = options.get("encoding")
         self.target_bytes = int(options.get("target_bytes", TARGET_BYTES))
         kind = options.get("kind")
         self.codes = kind and {c for c in MULTI_KIND if kind in (MULTI_KIND[c], SINGLE_KIND.get(c))}
 
     def _sizes(self) -> dict[str, int]:
         """Sizes of the files to read; of one ``.shp`` those of its own set, without its folder."""
-        suffixes = (".shp", ".shx", ".dbf")
+        suffixes = (".shp", ".shx", ".dbf", ".cpg")
         if not self.path.endswith(".shp"):
             return dict(list_sized(self.path, suffixes))
         sized = dict(list_sized(self.path, suffixes))
@@ -148,12 +167,12 @@ class ShapefileReader(DataSourceReader):
             if stem + ".shx" not in sized:
                 raise FileNotFoundError(stem + ".shx")
             n = (sized[stem + ".shx"] - 100) // 8
-            dbf = stem + ".dbf" if stem + ".dbf" in sized else None
+            dbf, cpg = (stem + ext if stem + ext in sized else None for ext in (".dbf", ".cpg"))
             parts = max(1, min(n, -(-sized[shp] // self.target_bytes)))
             for p in range(parts):
                 a, b = p * n // parts, (p + 1) * n // parts
                 if b > a:
-                    out.append(_Records(shp, stem + ".shx", dbf, a, b - a, fid0))
+                    out.append(_Records(shp, stem + ".shx", dbf, cpg, a, b - a, fid0))
             fid0 += n
         return out
 
@@ -167,6 +186,7 @@ class ShapefileReader(DataSourceReader):
             with RangeReader(p.shp) as shapes:     # the shape code of all records, from the file's head
                 if int.from_bytes(shapes.read(32, 4), "little") % 10 not in self.codes:
                     return
+        encoding = self.encoding or (code_page(p.cpg) if p.cpg else "latin-1")
         with RangeReader(p.shx) as index, RangeReader(p.shp) as shapes:
             table = np.frombuffer(index.read(100 + 8 * p.first, 8 * p.count), ">i4").reshape(-1, 2)
             start = 2 * table[:, 0].astype(np.int64)
@@ -177,10 +197,12 @@ class ShapefileReader(DataSourceReader):
                 first, count = p.first + int(lo), int(hi - lo)
                 base = int(start[lo:hi].min())
                 block = shapes.read(base, int((start + length)[lo:hi].max()) + 8 - base)
-                attrs = (_attribute_rows(p.dbf, first, count, self.encoding) if p.dbf
+                attrs = (_attribute_rows(p.dbf, first, count, encoding) if p.dbf
                          else ({} for _ in range(count)))
                 rows = []
                 for i, row in enumerate(attrs):
+                    if row is None:
+                        continue
                     at = int(start[lo + i]) - base + 8
                     code, paths = parse_record(block[at:at + int(length[lo + i])])
                     rows.append((p.fid0 + first + i, self._kind(code, paths), paths, row))
@@ -206,6 +228,8 @@ def read_features(spark: SparkSession, path: str, single_part: bool = False,
                   **options) -> DataFrame:
     """Features of one ``.shp`` or of every one under a folder.
 
+    Records that the attribute table marks as deleted are left out; ``fid`` counts them all the same.
+    Texts are in the encoding of the ``.cpg`` file, or of the option ``encoding``, or latin-1.
     Polygon and line records are tagged as the multi kinds; with ``single_part`` a record of one
     part is tagged ``polygon`` or ``line``.
     """
