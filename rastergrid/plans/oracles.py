@@ -331,8 +331,8 @@ ORACLES: dict[str, str] = {
     "scan_geotiff": _with(CELLS, f"""SELECT {_SCENE_NAME} AS scene, scene AS ord, band, k, value FROM (
   SELECT scene, 0 AS band, k, b0 AS value FROM cells UNION ALL SELECT scene, 1, k, b1 FROM cells)
 WHERE value IS NOT NULL"""),
-    "scan_geotiff_pushed": _with(CELLS, f"""SELECT {_SCENE_NAME} AS scene, scene AS ord, 1 AS band, k, b1 AS value FROM cells
-WHERE b1 IS NOT NULL AND scene % 2 = 0 AND 3696 - scene // 2 * 384 < 3700"""),
+    "scan_geotiff_extent": _with(CELLS, f"""SELECT {_SCENE_NAME} AS scene, scene AS ord, 1 AS band, k, b1 AS value FROM cells
+WHERE b1 IS NOT NULL AND scene % 2 = 0 AND 3696 - scene // 2 * 384 <= 3720 AND 4096 - scene // 2 * 384 >= 3400"""),
     "scan_geotiff_named": _with(CELLS, f"""SELECT {_SCENE_NAME} AS scene, 0 AS band, count(b0) AS n,
   CAST(sum(b0) AS DOUBLE) AS total FROM cells GROUP BY scene
 UNION ALL SELECT {_SCENE_NAME}, 1, count(b1), floor(CAST(sum(b1) AS DOUBLE) * 1e4 + 0.5) / 1e4 FROM cells GROUP BY scene"""),

@@ -62,10 +62,9 @@ def scan_geotiff_named(spark, sf):
 
 
 @query
-def scan_geotiff_pushed(spark, sf):
-    """Band 1 of the scenes that reach a strip of the map; the others are not read beyond their header."""
-    scenes = geotiff.read_scenes(spark, X.write_scene_files(spark, sf))
-    return _scene_cells(scenes.where("band = 1 AND xmin < 384D AND ymax <= 4096D AND ymin < 3700D"))
+def scan_geotiff_extent(spark, sf):
+    """Band 1 of the scenes that meet an extent; of the others no more than the header is read."""
+    return _scene_cells(geotiff.read_scenes(spark, X.write_scene_files(spark, sf), [1], extent=(10.0, 3400.0, 380.0, 3720.0)))
 
 
 @query

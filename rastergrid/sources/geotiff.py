@@ -7,6 +7,7 @@ reading the header and its part of the strips or tiles.
 
 from __future__ import annotations
 
+import json
 import posixpath
 import struct
 import zlib
@@ -16,8 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual)
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from rastergrid.model import HEADER_SCHEMA, SCENE_SCHEMA
 from rastergrid.session import materialize, qualified
@@ -211,11 +211,6 @@ class _Share(InputPartition):
         self.files = files
 
 
-HEADER_COLUMNS = ("scene", "ord", "epsg", "xmin", "ymin", "xmax", "ymax", "n_cols", "n_rows", "cell_type", "band")
-HOLDS = {EqualTo: lambda a, b: a == b, In: lambda a, b: a in b, LessThan: lambda a, b: a < b,
-         LessThanOrEqual: lambda a, b: a <= b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b}
-
-
 class GeoTiffReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
@@ -224,23 +219,19 @@ class GeoTiffReader(DataSourceReader):
         self.bands = [int(b) for b in bands.split(",")] if bands else None
         self.target_bytes = int(options.get("target_bytes", TARGET_BYTES))
         self.window_cells = int(options.get("window_cells", WINDOW_CELLS))
-        self.pushed: list[tuple[str, type, object]] = []
+        scenes, extent = options.get("scenes"), options.get("extent")
+        self.scenes = set(json.loads(scenes)) if scenes else None
+        self.extent = tuple(map(float, extent.split(","))) if extent else None
 
-    def pushFilters(self, filters):
-        """Filters on what the listing or the header says. Files that fail them are not opened, or
-        only their header is read; of the others only the asked bands. Spark applies them again."""
-        for f in filters:
-            name = ".".join(getattr(f, "attribute", ()))
-            if type(f) in HOLDS and name in HEADER_COLUMNS:
-                self.pushed.append((name, type(f), f.value))
-            yield f
-
-    def _may_hold(self, **known) -> bool:
-        return all(HOLDS[kind](known[name], value) for name, kind, value in self.pushed if name in known)
+    def _meets(self, h: Header) -> bool:
+        if self.extent is None:
+            return True
+        (x0, y0, x1, y1), (xmin, ymin, xmax, ymax) = self.extent, h.extent
+        return xmin <= x1 and xmax >= x0 and ymin <= y1 and ymax >= y0
 
     def partitions(self):
         files = [(p, i, n) for i, (p, n) in enumerate(list_sized(self.path, (".tif",)))
-                 if self._may_hold(scene=posixpath.basename(p), ord=i)]
+                 if self.scenes is None or posixpath.basename(p) in self.scenes]
         if self.header_only:
             shares = [(p, i, 0, 1) for p, i, _ in files]
             return [_Share(shares[i:i + HEADERS_PER_TASK])
@@ -263,24 +254,20 @@ class GeoTiffReader(DataSourceReader):
             name = posixpath.basename(path)
             with RangeReader(path) as reader:
                 h = read_header(reader)
+                if not self._meets(h):
+                    continue
                 if self.header_only:
                     yield (name, order, h.epsg, *h.extent, h.n_cols, h.n_rows, h.n_bands,
                            h.cell_type, path)
                     continue
-                heads = dict(zip(("xmin", "ymin", "xmax", "ymax"), h.extent)) | {
-                    "epsg": h.epsg, "n_cols": h.n_cols, "n_rows": h.n_rows, "cell_type": h.cell_type}
-                if not self._may_hold(**heads):
-                    continue
-                bands = self.bands if self.bands is not None else list(range(h.n_bands))
-                bands = [b for b in bands if self._may_hold(band=b)]
-                if not bands:
-                    continue
+                bands = range(h.n_bands) if self.bands is None else [b for b in self.bands if b < h.n_bands]
                 for window in read_windows(reader, h, bands, part, parts, self.window_cells):
                     yield _scene_batch(name, order, h, window)
 
 
 class GeoTiffSource(DataSource):
-    """``spark.read.format("geotiff")``; options header_only, bands, target_bytes, window_cells."""
+    """``spark.read.format("geotiff")``; options header_only, bands, scenes, extent, target_bytes,
+    window_cells."""
 
     @classmethod
     def name(cls):
@@ -294,15 +281,23 @@ class GeoTiffSource(DataSource):
         return GeoTiffReader(self.options)
 
 
-def read_scenes(spark: SparkSession, path: str, bands: list[int] | None = None,
-                **options) -> DataFrame:
-    """Scene windows of every ``.tif`` under ``path``; ``ord`` is the file's rank by name. Filters on
-    ``scene``, ``band``, the extent and other header columns are pushed into the scan."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read_scenes(spark: SparkSession, path: str, bands: list[int] | None = None, scenes: list[str] | None = None,
+                extent: tuple[float, float, float, float] | None = None, **options) -> DataFrame:
+    """Scene windows of every ``.tif`` under ``path``; ``ord`` is the file's rank by name.
+
+    ``scenes`` names the files to open; of files whose box does not meet ``extent`` (touching counts)
+    only the header is read, of the others only the ``bands``. These are arguments and not filters that
+    Spark pushes down: in 4.1 a Python source keeps what one query has pushed for the next query over
+    the same DataFrame.
+    """
     spark.dataSource.register(GeoTiffSource)
     reader = spark.read.format("geotiff").options(**options)
     if bands is not None:
         reader = reader.option("bands", ",".join(map(str, bands)))
+    if scenes is not None:
+        reader = reader.option("scenes", json.dumps(scenes))
+    if extent is not None:
+        reader = reader.option("extent", ",".join(repr(float(v)) for v in extent))
     return reader.load(qualified(spark, path))
 
 
