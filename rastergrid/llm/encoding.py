@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain, compress
 
 import numpy as np
 
 from rastergrid.llm.common import ragged
 
 ENDINGS = ".,;:!?"
+LINE_WORDS = 1000        # words of letters that go through the library as one text
 
 
 class _Index(dict):
@@ -71,7 +73,10 @@ class TextEncoder:
         self.limit = limit
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
+        closing = [piece for piece in vocab if piece.endswith("</w>")]
+        self.ends[[vocab[piece] for piece in closing]] = True
+        # Where every byte has a closing piece, no word of letters is without one.
+        self.closes = sum(len(piece) == len("</w>") + 1 for piece in closing) >= 256
         if hasattr(self.tokenizer.model, "_resize_cache"):  # words come once, a second memory costs time
             self.tokenizer.model._resize_cache(0)
         self._forget()
@@ -83,39 +88,47 @@ class TextEncoder:
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), sizes
-
-    def _plain_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words of ASCII letters, many in one text: each ends with an id that closes a word."""
-        lines = [" ".join(words[i:i + 1000]) for i in range(0, len(words), 1000)]
-        ids, _ = self._library(lines)
-        ends = np.flatnonzero(self.ends[ids])
-        if len(ends) != len(words):
-            return self._library(words)
-        return ids, np.diff(ends, prepend=-1)
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _letter_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters, many in one text: each ends with an id that closes a word. A word that
+        normalising splits has several such ids; the words of its line are encoded one by one."""
+        lines = [words[i:i + LINE_WORDS] for i in range(0, len(words), LINE_WORDS)]
+        ids, sizes = self._library([" ".join(line) for line in lines])
+        all_ids, all_sizes = [], []
+        for line, own in zip(lines, np.split(ids, np.cumsum(sizes)[:-1])):
+            counts = np.diff(np.flatnonzero(self.ends[own]), prepend=-1)
+            if len(counts) != len(line):
+                own, counts = self._library(line)
+            all_ids.append(own)
+            all_sizes.append(counts)
+        return np.concatenate(all_ids), np.concatenate(all_sizes)
 
     def _learn(self) -> None:
         """Encode the new words: a word is a core and the punctuation behind it."""
-        cores, tails = [], []
+        parts, both = self.parts, []
         for word in self.words.fresh:
-            core = word.rstrip(ENDINGS)
-            if core and core[-1].isalpha() and "<|" not in word:
-                tails.append(self.parts[word[len(core):]])
-                cores.append(self.parts[core.lower() if core.isascii() else core])
-            else:
-                cores.append(self.parts[word])
-                tails.append(self.parts[""])
+            tail = ""
+            if not word.isalpha():
+                core = word.rstrip(ENDINGS)
+                if not core[-1:].lower()[-1:].isalpha() or "<|" in word:    # lower case may end in a mark
+                    both += (parts[word], parts[tail])
+                    continue
+                word, tail = core, word[len(core):]
+            both += (parts[word.lower() if word.isascii() else word], parts[tail])
         self.words.fresh = []
-        new, self.parts.fresh = self.parts.fresh, []
-        plain = np.fromiter((p.isascii() and p.isalpha() for p in new), bool, len(new))
-        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
-        ids_a, sizes_a = self._plain_words([p for p, x in zip(new, plain) if x])
-        ids_b, sizes_b = self._library([p for p, x in zip(new, plain) if not x])
-        ids, sizes = np.concatenate([ids_a, ids_b]), np.concatenate([sizes_a, sizes_b])
-        starts, back = np.cumsum(sizes) - sizes, np.argsort(order)
-        self.part_ids.add(ids[ragged(starts[back], sizes[back])], sizes[back])
-        both = np.empty(2 * len(cores), np.int64)
-        both[::2], both[1::2] = cores, tails
+        new, parts.fresh = parts.fresh, []
+        letters = [self.closes and p.isalpha() for p in new]
+        found = []
+        for encode, some in ((self._letter_words, list(compress(new, letters))),
+                             (self._library, [p for p, x in zip(new, letters) if not x])):
+            if some:
+                found.append(encode(some))
+        if found:
+            ids, sizes = (np.concatenate(x) for x in zip(*found))
+            starts, back = np.cumsum(sizes) - sizes, np.argsort(np.argsort(~np.array(letters), kind="stable"))
+            self.part_ids.add(ids[ragged(starts[back], sizes[back])], sizes[back])
+        both = np.array(both, np.int64)
         sizes = self.part_ids.sizes[both]
         self.word_ids.add(self.part_ids.take(both), sizes[::2] + sizes[1::2])
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 import edge
 
 ODD = ["", "  ", "á b", "It's 'Stop'll we'LL x", "<|endoftext|> a<|ENDOFTEXT|>b", "tab\tx\x0by\x1cz q", "Ω ΣΑΣ ς",
-       "12,345.67!!! ... a.,b", "ﬁ İstanbul K", "日本語 テキスト。", "éa", "x'S. don't", "a\r\nb", "$$,,. .,a;;:b"]
+       "12,345.67!!! ... a.,b", "ﬁ İstanbul K", "日本語 テキスト。", "éa", "x'S. don't", "a\r\nb", "$$,,. .,a;;:b",
+       "İ, aİ. İ İx", "größe ÄHRE ǅ ªº 한글 \u1112\u1161\u11ab e\u0301a, x\u0345y"]
 
 
 def library(texts):
@@ -30,6 +32,14 @@ def test_encoder_equals_library(limit):
             assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == library(texts[at:at + 5])
 
 
+def test_random_texts_equal_library():
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abİıßÄäᾳﬁǅ한ª۰1'sS.,!?<|日本ー\u0301\u200d\t\n  \u00a0\u2009\u212b", k=rng.randint(0, 30)))
+             for _ in range(4000)]
+    ids, sizes = TextEncoder(read_spec()).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == library(texts)
+
+
 def test_other_tokenizers_get_whole_texts():
     import public_tokenizers
 
