@@ -53,8 +53,17 @@ def sample_ids(docs: DataFrame, spec: str, documents: int, words: int) -> list[b
     is bounded. They fit the dictionary only, which changes sizes, not contents."""
     texts = texts_of(docs).where("text <> ''").select(
         F.xxhash64("doc_id", "text").alias("lot"), F.substring("text", 1, 8 * words).alias("text"))
-    few = texts.orderBy("lot", "text").limit(documents)
-    rows = few.select(F.substring_index("text", " ", words).alias("text")).collect()
+    total, asked, rows = docs.count(), 4 * documents, []
+    while total:
+        # Only rows with a hash in the lowest share of all are sorted, else each task would send its own
+        # least; where too few of them have a text, the share grows up to the whole table.
+        share = min(1.0, asked / total)
+        low = texts.where(F.col("lot") <= F.lit(int(share * 2**64) - 2**63 - 1)).distinct()
+        few = low.orderBy("lot", "text").limit(documents)
+        rows = few.select(F.substring_index("text", " ", words).alias("text")).collect()
+        if len(rows) == documents or share == 1.0:
+            break
+        asked *= 16
     ids, sizes = TextEncoder(spec).encode([r["text"] for r in rows])
     return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1]) if len(x)] if rows else []
 

@@ -92,6 +92,16 @@ def test_samples_are_bounded_without_blanks(spark):
     assert len(samples) == 3 and max(map(len, samples)) <= 4 * 800
 
 
+@pytest.mark.parametrize("every", [1, 100, 400])
+def test_samples_are_the_least_hashes(spark, every):
+    rows = [(i, f"word{i} of {i % 7}" if i % every == 0 else "", "en", "a") for i in range(3000)]
+    rows += rows[:every + 1] * 5
+    docs = edge.documents(spark, rows)
+    ranked = docs.where("text <> ''").distinct().orderBy(F.xxhash64(F.col("doc_id").cast("long"), "text")).limit(16)
+    expected = [np.array(ids, "<u4").tobytes() for ids in library([r.text for r in ranked.collect()])]
+    assert tokenfiles.sample_ids(docs, read_spec(), 16, 100) == expected
+
+
 def test_no_documents(spark, tmp_path):
     folder = tokenfiles.write_token_files(edge.documents(spark).limit(0), str(tmp_path / "t"))
     assert tokenfiles.read_token_files(spark, folder).count() == 0
