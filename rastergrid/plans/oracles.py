@@ -358,6 +358,7 @@ FROM vert GROUP BY fid"""),
     "shapefile_filesets": _with(_SUPPLIERS, f"""SELECT DISTINCT printf('%s_%05d', {_KIND_CASE}, fid // 5000) AS stem,
   'dbf,shp,shx' AS extensions, true AS complete FROM sup"""),
     # Sinks
+    "write_whole_geotiff": _with(INSIDE, "SELECT fid, band, gc, gr, value FROM inside"),
     "write_geotiff": _with(INSIDE, "SELECT fid, band, gc, gr, value FROM inside"),
     "write_tiles": _with(MERGED, "SELECT band, gc, gr, value FROM bands"),
     "write_metadata_json": _with(HITS_CLOSED, """SELECT CAST(fid AS VARCHAR) AS UID, s_name AS NAME,

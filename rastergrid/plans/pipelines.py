@@ -14,7 +14,8 @@ from rastergrid.operators import rasters as R
 from rastergrid.operators import vectors as V
 from rastergrid.session import materialize, shared_dir
 from rastergrid.sources.geotiff import raster_catalog, read_scenes
-from rastergrid.sources.sinks import mosaic_rasters, write_attribute_json, write_rasters, write_tiles
+from rastergrid.sources.sinks import (
+    mosaic_rasters, write_attribute_json, write_rasters, write_tiles, write_whole_rasters)
 
 
 def tile_scenes(spark: SparkSession, folder: str, tile: int, epsg: int,
@@ -61,19 +62,25 @@ def grid_join(scene_heads: DataFrame, features: DataFrame, cell_w: float, cell_h
 
 def tile_query(spark: SparkSession, folder: str, metadata: DataFrame, polygons: DataFrame,
                output: str, tile: int, epsg: int, cell: float | None = None,
-               filtered_footprint: bool = False) -> dict:
+               filtered_footprint: bool = False, whole_files: bool = False) -> dict:
     """The three steps in sequence: tile, pixels by polygon, metadata by footprint.
 
     The tile table is stored once for both queries; the footprint is that of all its tiles, or with
-    ``filtered_footprint`` of those that meet a polygon. Pixels go to one GeoTIFF per mosaic block in the folder ``output``, in the scenes' cell type, metadata
-    as JSON lines next to it under the same stem.
+    ``filtered_footprint`` of those that meet a polygon. Pixels go to one GeoTIFF per mosaic block in the
+    folder ``output``, or with ``whole_files`` to one per polygon (``output`` must be a mounted folder), in
+    the scenes' cell type, metadata as JSON lines next to it under the same stem.
     """
     tiles, layout, meta = tile_scenes(spark, folder, tile, epsg, cell)
     stored = f"{shared_dir(spark)}/tiles"
     write_tiles(tiles, stored)
     tiles = spark.read.schema(tiles.schema).parquet(stored)
-    mosaics = mosaic_rasters(pixels_by_polygon(tiles, polygons, layout), layout, epsg)
-    n = write_rasters(mosaics, output, meta.cell_type)
+    if whole_files:
+        masked = materialize(R.mask_tiles(tiles, polygons, layout))
+        named = masked.withColumn("name", F.format_string("mosaic_%d.tif", "fid"))
+        n = write_whole_rasters(named, layout, epsg, output, meta.cell_type)
+    else:
+        mosaics = mosaic_rasters(pixels_by_polygon(tiles, polygons, layout), layout, epsg)
+        n = write_rasters(mosaics, output, meta.cell_type)
     if filtered_footprint:
         keys = tiles.select("col", "row").distinct()
         tiles_met = V.meet_keys(keys, V.cover(V.polygonal(polygons), layout)).select("col", "row")

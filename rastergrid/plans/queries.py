@@ -164,6 +164,16 @@ def write_geotiff(spark, sf):
     return _mosaic_files(spark, folder)
 
 
+@query
+def write_whole_geotiff(spark, sf):
+    """Each polygon's pixels as one file that many tasks write."""
+    folder = shared_dir(spark) + "/whole"
+    masked = materialize(R.mask_tiles(X.tiles(spark, sf), X.features(spark, sf), X.L16))
+    sinks.write_whole_rasters(masked.withColumn("name", F.format_string("mosaic_%d_whole.tif", "fid")),
+                              X.L16, 32651, folder)
+    return _mosaic_files(spark, folder)
+
+
 def _mosaic_files(spark, folder) -> DataFrame:
     """Cells of written mosaics at their place on the grid of the scenes."""
     back = geotiff.read_scenes(spark, folder)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
 import uuid
 
@@ -76,3 +77,28 @@ def write_atomic(path: str, content: bytes) -> None:
     with system.open_output_stream(draft) as out:
         out.write(content)
     system.move(draft, bare)
+
+
+def write_at(path: str, pieces: list[tuple[int, bytes]], size: int | None = None) -> None:
+    """Write pieces at their places in one file, which other tasks may write at the same time.
+
+    With ``size`` the file is made, or keeps its content, at that length. Writing the same again changes
+    nothing, so a retried task is harmless. Only for local and mounted folders: others raise, since
+    object stores and HDFS take no writes in the middle of a file.
+    """
+    system, bare = open_fs(path)
+    if not isinstance(system, fs.LocalFileSystem):
+        raise ValueError(f"{path}: one file of many tasks needs a mounted folder; write one file for each block instead")
+    if size is not None:
+        os.makedirs(posixpath.dirname(bare), exist_ok=True)
+    handle = os.open(bare, os.O_RDWR | (os.O_CREAT if size is not None else 0), 0o644)
+    try:
+        if size is not None:
+            os.ftruncate(handle, size)
+        for at, content in pieces:
+            view = memoryview(content)
+            while view:
+                written = os.pwrite(handle, view, at)
+                view, at = view[written:], at + written
+    finally:
+        os.close(handle)

@@ -1,7 +1,7 @@
 """GeoTIFF scan: a Python data source whose tasks read only their own byte ranges.
 
-A baseline subset: classic TIFF, either byte order, strips or tiles, chunky or planar bands, no
-compression or Deflate. Files are listed once; a large file is shared by several tasks, each
+A baseline subset: classic TIFF or BigTIFF, either byte order, strips or tiles, chunky or planar bands,
+no compression or Deflate; a strip or tile of no bytes is empty. Files are listed once; a large file is shared by several tasks, each
 reading the header and its part of the strips or tiles.
 """
 
@@ -27,14 +27,16 @@ TARGET_BYTES = 64 << 20       # file bytes per task
 WINDOW_CELLS = 1 << 20        # cells per emitted row
 STRIP_CELLS = 1 << 16         # cells of a strip that we write
 HEADERS_PER_TASK = 64
+PAGE = 4096                   # pixels written by many tasks begin at a multiple
 
 # TIFF tag numbers, field types and GeoKey ids.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_W, TILE_H, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 317, 322, 323, 324, 325, 339
 PIXEL_SCALE, TIEPOINT, GEO_KEYS, NODATA = 33550, 33922, 34735, 42113
-FIELD_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
+FIELD_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q"}
 KIND_OF_FORMAT = {1: "u", 2: "i", 3: "f"}
+CLASSIC, BIG = 42, 43
 MODEL_TYPE, RASTER_TYPE, GEOGRAPHIC_CRS, PROJECTED_CRS = 1024, 1025, 2048, 3072
 DEFLATE = (8, 32946)
 
@@ -69,19 +71,27 @@ class Header:
         return -(-self.n_rows // self.seg_h)
 
 
-def _tags(reader, order: str, at: int) -> dict[int, tuple]:
-    (n,) = struct.unpack(order + "H", reader.read(at, 2))
-    block = reader.read(at + 2, 12 * n)
+def _widths(big: bool) -> tuple[str, str, str, int, int]:
+    """Codes of a directory's length, of an entry's head and of an offset, bytes of an entry and of the
+    value inside it."""
+    return ("Q", "HHQ", "Q", 20, 8) if big else ("H", "HHI", "I", 12, 4)
+
+
+def _tags(reader, order: str, at: int, big: bool) -> dict[int, tuple]:
+    length, head, word, width, inline = _widths(big)
+    skip = struct.calcsize("=" + length)
+    (n,) = struct.unpack(order + length, reader.read(at, skip))
+    block = reader.read(at + skip, width * n)
     tags = {}
     for i in range(n):
-        tag, kind, count = struct.unpack_from(order + "HHI", block, 12 * i)
+        tag, kind, count = struct.unpack_from(order + head, block, width * i)
         code = FIELD_TYPES.get(kind)
         if code is None:
             continue
         size = struct.calcsize("=" + code) * count
-        raw = block[12 * i + 8:12 * i + 12]
-        if size > 4:
-            raw = reader.read(struct.unpack(order + "I", raw)[0], size)
+        raw = block[width * (i + 1) - inline:width * (i + 1)]
+        if size > inline:
+            raw = reader.read(struct.unpack(order + word, raw)[0], size)
         if code == "s":
             tags[tag] = (raw[:count].split(b"\0")[0].decode("ascii", "replace"),)
         else:
@@ -91,11 +101,14 @@ def _tags(reader, order: str, at: int) -> dict[int, tuple]:
 
 def read_header(reader) -> Header:
     """Header of the first image of a file."""
-    head = reader.read(0, 8)
+    head = reader.read(0, 16)
     order = {b"II": "<", b"MM": ">"}.get(head[:2])
-    if order is None or struct.unpack(order + "H", head[2:4])[0] != 42:
-        raise ValueError("not a classic TIFF file")
-    t = _tags(reader, order, struct.unpack(order + "I", head[4:8])[0])
+    magic = struct.unpack(order + "H", head[2:4])[0] if order else 0
+    big = magic == BIG
+    if magic not in (CLASSIC, BIG) or big and (len(head) < 16 or struct.unpack(order + "HH", head[4:8]) != (8, 0)):
+        raise ValueError("not a TIFF file")
+    (at,) = struct.unpack(order + "Q", head[8:]) if big else struct.unpack(order + "I", head[4:8])
+    t = _tags(reader, order, at, big)
     compression = t.get(COMPRESSION, (1,))[0]
     if compression != 1 and compression not in DEFLATE:
         raise ValueError(f"unsupported TIFF compression {compression}")
@@ -128,7 +141,9 @@ def read_header(reader) -> Header:
 
 
 def _segment(reader, h: Header, index: int, rows: int, planes: int) -> np.ndarray:
-    """One strip or tile as (rows, seg_w, planes) doubles, NoData as NaN."""
+    """One strip or tile as (rows, seg_w, planes) doubles, NoData and what has no bytes as NaN."""
+    if h.counts[index] == 0:
+        return np.full((rows, h.seg_w, planes), np.nan)
     raw = reader.read(h.offsets[index], h.counts[index])
     if h.compression in DEFLATE:
         raw = zlib.decompress(raw)
@@ -376,38 +391,103 @@ def encode_geotiff(bands: list[np.ndarray], extent, epsg: int, cell_type: str =
         for top in range(0, n_rows, rows_per_strip):
             data = band[top:top + rows_per_strip].tobytes()
             strips.append(zlib.compress(data, 6) if deflate else data)
-    crs_key = GEOGRAPHIC_CRS if epsg == 4326 else PROJECTED_CRS
-    geo = (1, 1, 0, 3, MODEL_TYPE, 0, 1, 2 if epsg == 4326 else 1, RASTER_TYPE, 0, 1, 1,
-           crs_key, 0, 1, epsg)
     n = len(bands)
-    kind = {"u": 1, "i": 2, "f": 3}[dtype.kind]
-    mark = b"II" if order == "<" else b"MM"
 
     def front(offsets) -> bytes:
         """Everything before the pixels, with the strips at ``offsets``."""
-        fields = [
-            (WIDTH, 4, (n_cols,)), (HEIGHT, 4, (n_rows,)), (BITS, 3, (dtype.itemsize * 8,) * n),
-            (COMPRESSION, 3, (8 if deflate else 1,)), (PHOTOMETRIC, 3, (1,)),
-            (STRIP_OFFSETS, 4, offsets), (SAMPLES, 3, (n,)), (ROWS_PER_STRIP, 4, (rows_per_strip,)),
-            (STRIP_COUNTS, 4, tuple(len(s) for s in strips)), (PLANAR, 3, (2,)),
-            (SAMPLE_FORMAT, 3, (kind,) * n),
-            (PIXEL_SCALE, 12, ((xmax - xmin) / n_cols, (ymax - ymin) / n_rows, 0.0)),
-            (TIEPOINT, 12, (0.0, 0.0, 0.0, xmin, ymax, 0.0)), (GEO_KEYS, 3, geo),
-        ]
-        if empty is not None:
-            fields.append((NODATA, 2, b"nan\0" if dtype.kind == "f" else b"%d\0" % empty))
-        extra_at = 8 + 2 + 12 * len(fields) + 4
-        entries, extra = b"", b""
-        for tag, code, value in fields:
-            raw = value if code == 2 else struct.pack(
-                f"{order}{len(value)}{FIELD_TYPES[code]}", *value)
-            entries += struct.pack(order + "HHI", tag, code, len(value))
-            if len(raw) > 4:
-                entries += struct.pack(order + "I", extra_at + len(extra))
-                extra += raw + b"\0" * (len(raw) % 2)
-            else:
-                entries += raw.ljust(4, b"\0")
-        return (mark + struct.pack(order + "HIH", 42, 8, len(fields)) + entries + b"\0" * 4 + extra)
+        fields = _image_fields(n_cols, n_rows, n, dtype, extent, epsg, empty, 8 if deflate else 1)
+        fields += [(STRIP_OFFSETS, 4, offsets), (ROWS_PER_STRIP, 4, (rows_per_strip,)),
+                   (STRIP_COUNTS, 4, tuple(len(s) for s in strips))]
+        return directory(fields, order)[0]
 
     at = len(front((0,) * len(strips))) + np.cumsum([0] + [len(s) for s in strips[:-1]])
     return front(tuple(int(o) for o in at)) + b"".join(strips)
+
+
+def _image_fields(n_cols, n_rows, n_bands, dtype, extent, epsg, empty, compression) -> list[tuple]:
+    """Tags of a planar, georeferenced image, without those that place its pixels."""
+    geographic = epsg == 4326
+    geo = (1, 1, 0, 3, MODEL_TYPE, 0, 1, 2 if geographic else 1, RASTER_TYPE, 0, 1, 1,
+           GEOGRAPHIC_CRS if geographic else PROJECTED_CRS, 0, 1, epsg)
+    kind = {k: code for code, k in KIND_OF_FORMAT.items()}[dtype.kind]
+    xmin, ymin, xmax, ymax = extent
+    fields = [
+        (WIDTH, 4, (n_cols,)), (HEIGHT, 4, (n_rows,)), (BITS, 3, (dtype.itemsize * 8,) * n_bands),
+        (COMPRESSION, 3, (compression,)), (PHOTOMETRIC, 3, (1,)), (SAMPLES, 3, (n_bands,)), (PLANAR, 3, (2,)),
+        (SAMPLE_FORMAT, 3, (kind,) * n_bands),
+        (PIXEL_SCALE, 12, ((xmax - xmin) / n_cols, (ymax - ymin) / n_rows, 0.0)),
+        (TIEPOINT, 12, (0.0, 0.0, 0.0, xmin, ymax, 0.0)), (GEO_KEYS, 3, geo),
+    ]
+    if empty is not None:
+        fields.append((NODATA, 2, b"nan\0" if dtype.kind == "f" else b"%d\0" % empty))
+    return fields
+
+
+def directory(fields: list[tuple], order: str = "<", big: bool = False) -> tuple[bytes, dict[int, int], int]:
+    """File head and tag directory; with it the byte where each tag's values lie and the end of all.
+
+    A field is ``(tag, type, values)``. A whole number in place of the values stands for that many
+    zeros to be written later: they lie behind all others and the bytes returned end before them.
+    """
+    length, head, word, width, inline = _widths(big)
+    packed = []
+    for tag, code, value in sorted(fields):
+        late = isinstance(value, int)
+        form = f"{order}{value if late else len(value)}{FIELD_TYPES[code]}"
+        raw = value if code == 2 else b"" if late else struct.pack(form, *value)
+        packed.append((tag, code, value if late else len(value), raw, struct.calcsize(form) if late else len(raw), late))
+    first = 16 if big else 8
+    entries_at = first + struct.calcsize("=" + length)
+    end, places, extra = entries_at + width * len(packed) + inline, {}, b""
+    for tag, _, _, raw, size, late in sorted(packed, key=lambda p: p[-1]):
+        if size > inline:
+            places[tag] = end
+            end += size + size % 2
+            extra += b"" if late else raw + b"\0" * (size % 2)
+    entries = b""
+    for i, (tag, code, count, raw, _, _) in enumerate(packed):
+        entries += struct.pack(order + head, tag, code, count)
+        entries += struct.pack(order + word, places[tag]) if tag in places else raw.ljust(inline, b"\0")
+        places.setdefault(tag, entries_at + width * (i + 1) - inline)
+    mark = b"II" if order == "<" else b"MM"
+    top = struct.pack(order + "HHHQ", BIG, 8, 0, first) if big else struct.pack(order + "HI", CLASSIC, first)
+    return (mark + top + struct.pack(order + length, len(packed)) + entries + b"\0" * inline + extra,
+            places, end)
+
+
+class TiledFile:
+    """An uncompressed tiled raster whose every byte has its place before any pixel is known, so that
+    many tasks write one file.
+
+    ``head`` comes first, ``n_bytes`` is the length. Each tile of a band goes to its place with the two
+    entries that point to it (``pieces``); what is never written reads as zeros, and an entry of zero
+    is an empty tile. Files that 32 bits do not reach are BigTIFF.
+    """
+
+    def __init__(self, tiles: tuple[int, int], tile: tuple[int, int], n_bands: int, dtype: np.dtype, extent,
+                 epsg: int, empty: int | float | None, big: bool | None = None):
+        (self.across, self.down), (self.tile_w, self.tile_h) = tiles, tile
+        self.dtype, self.n_bands = dtype, n_bands
+        self.tile_bytes = self.tile_w * self.tile_h * dtype.itemsize
+        n_tiles = self.across * self.down * n_bands
+        fields = _image_fields(self.across * self.tile_w, self.down * self.tile_h, n_bands, dtype, extent, epsg,
+                               empty, 1)
+        fields += [(TILE_W, 4, (self.tile_w,)), (TILE_H, 4, (self.tile_h,))]
+        for self.big in (False, True) if big is None else (big,):
+            self.code = 16 if self.big else 4
+            self.head, places, end = directory(
+                fields + [(TILE_OFFSETS, self.code, n_tiles), (TILE_COUNTS, self.code, n_tiles)], big=self.big)
+            self.pixels_at = -(-end // PAGE) * PAGE
+            self.n_bytes = self.pixels_at + n_tiles * self.tile_bytes
+            if self.n_bytes < 1 << 32:
+                break
+        self.tables = places[TILE_OFFSETS], places[TILE_COUNTS]
+
+    def pieces(self, col: int, row: int, band: int, pixels: bytes) -> list[tuple[int, bytes]]:
+        """(place, bytes) of one tile, ``col`` and ``row`` counted from the file's corner."""
+        index = (band * self.down + row) * self.across + col
+        form = "<" + FIELD_TYPES[self.code]
+        place = self.pixels_at + index * self.tile_bytes
+        entries = [(table + index * struct.calcsize(form), struct.pack(form, value))
+                   for table, value in zip(self.tables, (place, len(pixels)))]
+        return [(place, pixels), *entries]
