@@ -2,7 +2,8 @@
 
 Transverse Mercator by the Krueger series to sixth order in the third flattening, with the
 inverse latitude from three Newton steps (Karney 2011, "Transverse Mercator with an accuracy of
-a few nanometers"). The Column form chains projections, so each step is computed once; the numpy
+a few nanometers"). Each CRS has a domain, beyond which a point has no coordinates: NULL, or NaN in numpy.
+The Column form chains projections, so each step is computed once; the numpy
 form serves the pixel kernels.
 """
 
@@ -21,6 +22,12 @@ K0 = 0.9996
 FALSE_EASTING = 500000.0
 FALSE_NORTHING_SOUTH = 10000000.0
 
+# Domains: degrees beside a zone's central meridian within which the series holds, and the parallel
+# where web mercator ends (a square map).
+ZONE_REACH = 30.0
+MERCATOR_LAT = math.degrees(math.atan(math.sinh(math.pi)))
+_SLACK = 1e-9
+
 E2 = FLATTENING * (2 - FLATTENING)
 E = math.sqrt(E2)
 _N = FLATTENING / (2 - FLATTENING)
@@ -67,6 +74,13 @@ def check_epsg(epsg: int) -> int:
     return epsg
 
 
+def _limits(epsg: int) -> tuple[float, float | None, float | None]:
+    """Highest latitude, central meridian and least cosine of the angle beside it, in radians."""
+    if epsg in (4326, 3857):
+        return math.radians(MERCATOR_LAT if epsg == 3857 else 90.0) + _SLACK, None, None
+    return math.pi / 2 + _SLACK, math.radians(utm_parameters(epsg)[0]), math.cos(math.radians(ZONE_REACH)) - _SLACK
+
+
 # Column form ------------------------------------------------------------------
 
 _TMP = "__proj_"
@@ -140,11 +154,17 @@ def _to_geographic(df: DataFrame, epsg: int, x: Column, y: Column) -> DataFrame:
 
 def project(df: DataFrame, x: str, y: str, src: int, dst: int,
             out_x: str, out_y: str) -> DataFrame:
-    """Add ``out_x``/``out_y``: the point (x, y) of CRS ``src`` in CRS ``dst``."""
+    """Add ``out_x``/``out_y``: the point (x, y) of CRS ``src`` in CRS ``dst``, NULL beyond the domain
+    of either."""
     check_epsg(src), check_epsg(dst)
     keep = [F.col(c) for c in df.columns if c not in (out_x, out_y)]
     done = _from_geographic(_to_geographic(df, src, F.col(x), F.col(y)), dst)
-    return done.select(*keep, _t("X").alias(out_x), _t("Y").alias(out_y))
+    known = F.lit(True)
+    for lat, meridian, cosine in map(_limits, (src, dst)):
+        known = known & (F.abs(_t("phi")) <= lat)
+        if meridian is not None:
+            known = known & (F.cos(_t("lam") - meridian) >= cosine)
+    return done.select(*keep, F.when(known, _t("X")).alias(out_x), F.when(known, _t("Y")).alias(out_y))
 
 
 # numpy form for the pixel kernels -------------------------------------------------
@@ -156,7 +176,7 @@ def _np_conformal(tau):
 
 
 def np_project(x, y, src: int, dst: int):
-    """Arrays of points from CRS ``src`` to CRS ``dst``."""
+    """Arrays of points from CRS ``src`` to CRS ``dst``; NaN beyond the domain of either."""
     x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
     if src == dst:
         return x, y
@@ -179,6 +199,16 @@ def np_project(x, y, src: int, dst: int):
             phi_tan = phi_tan + ((goal - got) / np.sqrt(1 + got * got)
                                  * (1 + (1 - E2) * phi_tan**2)
                                  / ((1 - E2) * np.sqrt(1 + phi_tan**2)))
+    known = np.ones(np.broadcast(lam, phi_tan).shape, bool)
+    for lat, meridian, cosine in map(_limits, (src, dst)):
+        known &= np.abs(y if src == 4326 else np.degrees(np.arctan(phi_tan))) <= math.degrees(lat)
+        if meridian is not None:
+            known &= np.cos(lam - meridian) >= cosine
+    px, py = _np_from_geographic(lam, phi_tan, dst)
+    return np.where(known, px, np.nan), np.where(known, py, np.nan)
+
+
+def _np_from_geographic(lam, phi_tan, dst: int):
     if dst == 4326:
         return np.degrees(lam), np.degrees(np.arctan(phi_tan))
     if dst == 3857:
@@ -192,3 +222,51 @@ def np_project(x, y, src: int, dst: int):
         north = north + a * np.sin(2 * j * p) * np.cosh(2 * j * q)
         east = east + a * np.cos(2 * j * p) * np.sinh(2 * j * q)
     return FALSE_EASTING + K0 * RADIUS * east, fn + K0 * RADIUS * north
+
+
+def cut_to_domain(extent, src: int, dst: int) -> list[tuple[float, float, float, float]]:
+    """The parts of a rectangle of ``src`` that have coordinates in ``dst``; none where it lies beyond.
+
+    Rectangles of 4326 and 3857 are cut at meridians and parallels, in up to three parts where the
+    zone's width passes the end of the map. One of a UTM zone that leaves its domain or that of
+    ``dst``, a pole included, cannot be cut to rectangles and raises.
+    """
+    x0, y0, x1, y1 = extent
+    if src not in (4326, 3857):
+        t = np.linspace(0.0, 1.0, 65)
+        xs, ys = x0 + (x1 - x0) * t, y0 + (y1 - y0) * t
+        edges = [np_project(xs, np.full(65, y), src, dst) for y in (y0, y1)]
+        edges += [np_project(np.full(65, x), ys, src, dst) for x in (x0, x1)]
+        if np.isnan(edges).any():
+            raise ValueError(f"a layer in EPSG:{src} leaves the domain of EPSG:{src} or EPSG:{dst}")
+        return [extent]
+    lat = MERCATOR_LAT if 3857 in (src, dst) else 90.0
+    spans = [(-math.inf, math.inf)]
+    if dst not in (4326, 3857):
+        middle = utm_parameters(dst)[0]
+        spans = [(middle - ZONE_REACH + turn, middle + ZONE_REACH + turn) for turn in (-360.0, 0.0, 360.0)]
+    if src == 3857:
+        spans = [(math.radians(w) * A, math.radians(e) * A) for w, e in spans]
+        lat = math.asinh(math.tan(math.radians(lat))) * A
+    parts = [(max(x0, w), max(y0, -lat), min(x1, e), min(y1, lat)) for w, e in spans]
+    return [p for p in parts if p[0] < p[2] and p[1] < p[3]]
+
+
+def outline(extent, src: int, dst: int, error: float | None = None, pieces: int = 64):
+    """Points of a rectangle's edges in ``dst``. Edges begin as ``pieces`` and with ``error`` are halved
+    until the middle of each piece lies within that distance of the middle of its chord."""
+    x0, y0, x1, y1 = extent
+    t = np.linspace(0.0, 1.0, pieces + 1)
+    xs, ys = x0 + (x1 - x0) * t, y0 + (y1 - y0) * t
+    edges = [(xs, np.full_like(xs, y0)), (xs, np.full_like(xs, y1)), (np.full_like(ys, x0), ys), (np.full_like(ys, x1), ys)]
+    found = [np.stack(np_project(*e, src, dst)) for e in edges]
+    starts = np.concatenate([np.stack(e)[:, :-1] for e in edges], axis=1)
+    ends = np.concatenate([np.stack(e)[:, 1:] for e in edges], axis=1)
+    while error is not None and starts.size:
+        middle = (starts + ends) / 2
+        a, m, b = (np.stack(np_project(*p, src, dst)) for p in (starts, middle, ends))
+        found.append(m)
+        far = (np.abs(m - (a + b) / 2) > error).any(axis=0) & (middle != starts).any(axis=0) & (middle != ends).any(axis=0)
+        starts, ends = (np.concatenate([p[:, far], q[:, far]], axis=1) for p, q in ((starts, middle), (middle, ends)))
+    points = np.concatenate(found, axis=1)
+    return points[0], points[1]

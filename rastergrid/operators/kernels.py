@@ -11,7 +11,7 @@ import math
 import numpy as np
 import pyarrow as pa
 
-from rastergrid.functions.projection import np_project
+from rastergrid.functions.projection import A, cut_to_domain, np_project
 
 PIECE_SCHEMA = ("col int, row int, band int, ord bigint, pc int, pr int, pw int, ph int, "
                 "total array<double>, weight array<double>")
@@ -116,6 +116,7 @@ def scatter_windows(target, snap, src=0, dst=0):
     """
     names = ["ord", "xmin", "ymin", "xmax", "ymax", "n_cols", "n_rows", "band", "c0", "r0", "w", "h"]
     tc, tr, cw, ch = target.tile_cols, target.tile_rows, target.cell_w, target.cell_h
+    turns = {4326: 360.0, 3857: 2 * math.pi * A}
 
     def run(batches):
         out = BatchWriter(_PIECE_FIELDS)
@@ -126,7 +127,11 @@ def scatter_windows(target, snap, src=0, dst=0):
             wx0, wx1 = max(xmin, xmin + (c0 - 0.5) * sw), min(xmax, xmin + (c0 + w + 0.5) * sw)
             wy1, wy0 = min(ymax, ymax - (r0 - 0.5) * sh), max(ymin, ymax - (r0 + h + 0.5) * sh)
             if src != dst:
-                wx0, wy0, wx1, wy1 = _densified_box(wx0, wy0, wx1, wy1, src, dst)
+                parts = cut_to_domain((wx0, wy0, wx1, wy1), src, dst)
+                if not parts:
+                    continue
+                lows_highs = np.array([_densified_box(*part, src, dst) for part in parts])
+                (wx0, wy0), (wx1, wy1) = lows_highs[:, :2].min(axis=0), lows_highs[:, 2:].max(axis=0)
             # Target cells by centre; cells whose centre lies at the east/south edge are out.
             g0 = math.ceil((wx0 - target.xmin) / cw - 0.5)
             g1 = math.ceil((wx1 - target.xmin) / cw - 0.5) - 1
@@ -140,7 +145,10 @@ def scatter_windows(target, snap, src=0, dst=0):
                 sx, sy = x, target.ymax - (np.arange(b0, b1 + 1) + 0.5)[:, None] * ch
                 if src != dst:
                     sx, sy = np_project(*np.broadcast_arrays(sx, sy), dst, src)
+                    if src in turns:                # the same meridian by another number
+                        sx = np.where((sx < xmin) | (sx >= xmin + turns[src]), xmin + (sx - xmin) % turns[src], sx)
                 inside = (sx >= xmin) & (sx < xmax) & (sy > ymin) & (sy <= ymax)
+                sx, sy = np.where(inside, sx, xmin), np.where(inside, sy, ymax)      # also what has no position
                 total, weight = bilinear_parts(
                     window, c0, r0, n_cols, n_rows,
                     (sx - xmin) / sw - 0.5, (ymax - sy) / sh - 0.5, snap)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rastergrid.functions import geometry as G
 from rastergrid.functions import sfc
 from rastergrid.functions.grid import BOX, Layout, explode_keys, named
-from rastergrid.functions.projection import np_project
+from rastergrid.functions.projection import cut_to_domain, outline
 from rastergrid.model import LayerMeta
 from rastergrid.operators import kernels as K
 from rastergrid.operators.vectors import cover, meet_keys, polygonal
@@ -135,16 +135,23 @@ def tile_to_layout(scenes: DataFrame, layout: Layout, heads: DataFrame | None =
 
 def target_layout(meta: LayerMeta, epsg: int, tile: int, cell: float | None = None) -> Layout:
     """Layout of a layer in another CRS: its projected outline, grown to whole multiples of the
-    cell. Without ``cell`` the diagonal keeps its number of cells."""
-    x0, y0, x1, y1 = meta.extent
-    t = np.linspace(0.0, 1.0, 65)
-    xs, ys = x0 + (x1 - x0) * t, y0 + (y1 - y0) * t
-    bx = np.concatenate([xs, xs, np.full_like(ys, x0), np.full_like(ys, x1)])
-    by = np.concatenate([np.full_like(xs, y0), np.full_like(xs, y1), ys, ys])
-    px, py = np_project(bx, by, meta.epsg, epsg)
+    cell. Without ``cell`` the diagonal keeps its number of cells.
+
+    Only what lies in the domain of both CRS counts (``projection.cut_to_domain``); a layer wholly
+    beyond it raises. The outline is within a sixteenth of a cell.
+    """
+    parts = cut_to_domain(meta.extent, meta.epsg, epsg)
+    if not parts:
+        raise ValueError(f"no part of the layer lies in the domain of EPSG:{epsg}")
+
+    def edges(error):
+        return (np.concatenate(c) for c in zip(*(outline(p, meta.epsg, epsg, error) for p in parts)))
+
+    px, py = edges(None)
     if cell is None:
         cell = (math.hypot(px.max() - px.min(), py.max() - py.min())
                 / math.hypot(meta.n_cols, meta.n_rows))
+    px, py = edges(cell / 16)
     extent = (math.floor(px.min() / cell) * cell, math.floor(py.min() / cell) * cell,
               math.ceil(px.max() / cell) * cell, math.ceil(py.max() / cell) * cell)
     return Layout.from_cells(extent, cell, cell, tile)

@@ -200,6 +200,14 @@ def geo_points(spark: SparkSession, sf: str) -> DataFrame:
         F.expr("-10 + cast(o_orderkey % 3000 as double) / 100D").alias("lat"))
 
 
+def world_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of the whole world but its poles."""
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.expr("cast(o_custkey * 37 % 3600 as double) / 10D - 180").alias("lon"),
+        F.expr("cast(o_orderkey * 53 % 1799 as double) / 10D - 89.9D").alias("lat"))
+
+
 def paths(spark: SparkSession, sf: str) -> DataFrame:
     """File paths made of part columns; a third each ends in .tif, .TIF and .tif.aux."""
     return table(spark, sf, "part").select(

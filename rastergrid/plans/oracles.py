@@ -207,6 +207,10 @@ GEO = """geo AS (
   SELECT o_orderkey AS id, 120 + CAST(o_custkey % 600 AS DOUBLE) / 100 AS lon,
          -10 + CAST(o_orderkey % 3000 AS DOUBLE) / 100 AS lat FROM orders)"""
 
+WORLD = """world AS (
+  SELECT o_orderkey AS id, CAST(o_custkey * 37 % 3600 AS DOUBLE) / 10 - 180 AS lon,
+         CAST(o_orderkey * 53 % 1799 AS DOUBLE) / 10 - 89.9::DOUBLE AS lat FROM orders)"""
+
 # The geographic raster and its image in zone 51: outline, target grid, inverse positions, blend.
 WARP = MERGED + ", " + SCENES + f""", whole AS (
   SELECT 120 + min(xmin) / 4096 AS w, min(ymin) / 4096 AS s, 120 + max(xmax) / 4096 AS e, max(ymax) / 4096 AS n,
@@ -508,6 +512,13 @@ FROM customer""",
     "unproject_points": _with(
         GEO + ", " + _forward("geo", "utm") + f", metres AS (SELECT id, {_up('x', 3)} AS x, {_up('y', 3)} AS y FROM utm), "
         + _backward("metres", "back"), f"SELECT id, {_up('lon', 8)} AS lon, {_up('lat', 8)} AS lat FROM back"),
+    "reproject_worldwide": _with(
+        WORLD + ", " + _forward("world", "utm"), f"""SELECT id,
+  CASE WHEN abs(lon - 123) <= 30 OR abs(lon - 123) >= 330 THEN {_up('x', 3)} END AS x,
+  CASE WHEN abs(lon - 123) <= 30 OR abs(lon - 123) >= 330 THEN {_up('y', 3)} END AS y,
+  CASE WHEN abs(lat) < 85.0511 THEN {_up('radians(lon) * 6378137', 3)} END AS mx,
+  CASE WHEN abs(lat) < 85.0511 THEN {_up('ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137', 3)} END AS my
+FROM world JOIN utm USING (id)"""),
     # Pipelines
     "pipeline_tile": _with(WARP, f"""SELECT band, {_colrow()}, CAST(n AS INTEGER) AS n, least, most,
   x0 + c * 4096 AS xmin, y1 - (r + 1) * 4096 AS ymin, x0 + (c + 1) * 4096 AS xmax, y1 - r * 4096 AS ymax

@@ -645,6 +645,15 @@ def unproject_points(spark, sf):
                        scalars.round_at(F.col("lat"), 8).alias("lat"))
 
 
+@query
+def reproject_worldwide(spark, sf):
+    """Points all over the world in zone 51 and in web mercator, NULL beyond the domain of each."""
+    points = X.world_points(spark, sf)
+    for epsg, x, y in ((32651, "x", "y"), (3857, "mx", "my")):
+        points = projection.project(points, "lon", "lat", 4326, epsg, x, y)
+    return points.select("id", *(scalars.round_at(F.col(c), 3).alias(c) for c in ("x", "y", "mx", "my")))
+
+
 @query
 def bilinear_sample(spark, sf):
     """Both bands at positions of whole quarters of a cell over the layer's own width and height."""
