@@ -36,12 +36,14 @@ def rows_of(batches, scalars: list[str], lists: list[str]):
 
 
 class BatchWriter:
-    """Collects rows and yields record batches of bounded size."""
+    """Collects rows and yields record batches of bounded size. What a row holds is its own: a view is
+    copied, since it would keep the whole array behind it, which may then be used again."""
 
     def __init__(self, fields: list[tuple[str, pa.DataType]]):
         self.fields, self.rows, self.size = fields, [], 0
 
     def add(self, *row):
+        row = [v.copy() if isinstance(v, np.ndarray) and v.base is not None else v for v in row]
         self.rows.append(row)
         self.size += sum(v.nbytes if isinstance(v, np.ndarray) else 8 for v in row)
         return self.drain() if self.size >= _BATCH_BYTES else []
@@ -485,7 +487,8 @@ MOSAIC_SCHEMA = ("fid bigint, band int, block_col int, block_row int, gc0 bigint
 def stitch_sorted_tiles(tile_cols, tile_rows, block):
     """Kernel: windows sorted by mosaic block -> one raster per block, cropped to its windows.
 
-    A block has at most ``block`` x ``block`` tiles, and only the raster being filled is held.
+    A block has at most ``block`` x ``block`` tiles, and only the raster being filled is held: one array
+    that is cleared after each block where it was written.
     ``gc0, gr0`` is its corner in cells from the grid's corner.
     """
     fields = [("fid", _I64), ("band", _I32), ("block_col", _I32), ("block_row", _I32),
@@ -495,19 +498,22 @@ def stitch_sorted_tiles(tile_cols, tile_rows, block):
 
     def run(batches):
         out = BatchWriter(fields)
-        group = raster = box = None
+        group = box = None
+        raster = np.full((high, wide), np.nan)
 
         def done():
             c0, r0, c1, r1 = box
             part = raster[r0:r1, c0:c1]
-            return out.add(*group, group[2] * wide + c0, group[3] * high + r0, c1 - c0, r1 - r0, part)
+            ready = out.add(*group, group[2] * wide + c0, group[3] * high + r0, c1 - c0, r1 - r0, part)
+            part[:] = np.nan
+            return ready
 
         for head, (cells,) in rows_of(batches, names, ["cells"]):
             key, (col, row, c0, r0, w, h) = head[:4], head[4:]
             if key != group:
                 if group is not None:
                     yield from done()
-                group, raster, box = key, np.full((high, wide), np.nan), (wide, high, 0, 0)
+                group, box = key, (wide, high, 0, 0)
             c, r = (col - key[2] * block) * tile_cols + c0, (row - key[3] * block) * tile_rows + r0
             raster[r:r + h, c:c + w] = cells.reshape(h, w)
             box = (min(box[0], c), min(box[1], r), max(box[2], c + w), max(box[3], r + h))

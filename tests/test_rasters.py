@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,3 +247,27 @@ def test_curve_sort_is_a_permutation(spark, sf):
     parts = ordered.withColumn("p", F.spark_partition_id()).groupBy("p").agg(
         F.min("sfc").alias("a"), F.max("sfc").alias("b")).orderBy("a").collect()
     assert all(p.b < q.a for p, q in zip(parts, parts[1:]))
+
+
+def test_small_mosaics_do_not_keep_whole_blocks():
+    """A block of 64 x 64 tiles takes 8 MB; what waits for the next batch is the cropped part alone."""
+    rows = [{"fid": n, "band": 0, "block_col": 0, "block_row": 0, "col": n % 64, "row": 3, "c0": n % 15, "r0": 2,
+             "w": 2, "h": 1, "cells": [float(n), None]} for n in range(40)]
+    batch = pa.RecordBatch.from_pylist(rows)
+    tracemalloc.start()
+    got = [r for out in K.stitch_sorted_tiles(16, 16, 64)([batch]) for r in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    assert [(r["fid"], r["gc0"], r["gr0"], r["n_cols"], r["n_rows"], r["cells"]) for r in got] == [
+        (n, n % 64 * 16 + n % 15, 50, 2, 1, [float(n), None]) for n in range(40)]
+
+
+def test_rows_that_wait_own_their_cells():
+    """A view of a batch would keep all of it until the next batch is full."""
+    out = K.BatchWriter([("n", pa.int32()), ("cells", pa.list_(pa.float64()))])
+    strip = np.arange(1000.0)
+    out.add(1, strip[3:5])
+    strip[:] = 0
+    assert out.rows[0][1].base is None
+    assert out.drain()[0].to_pylist() == [{"n": 1, "cells": [3.0, 4.0]}]
