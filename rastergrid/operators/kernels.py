@@ -18,11 +18,22 @@ PIECE_SCHEMA = ("col int, row int, band int, ord bigint, pc int, pr int, pw int,
 TILE_SCHEMA = "col int, row int, band int, cells array<double>"
 
 _BATCH_BYTES = 16 << 20
+_PIECE_BYTES = 4 << 20
+
+
+def bounded(batches):
+    """The batches in pieces of about ``_PIECE_BYTES``: rows are as wide as the tiles and the lists they
+    hold, and what a kernel makes of a piece takes several times its size."""
+    for batch in batches:
+        n = -(-batch.nbytes // _PIECE_BYTES)
+        step = max(1, batch.num_rows // max(1, n))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def rows_of(batches, scalars: list[str], lists: list[str]):
     """Rows of Arrow batches: python scalars by name, then one float array per list column."""
-    for batch in batches:
+    for batch in bounded(batches):
         plain = [batch.column(c).to_pylist() for c in scalars]
         flat, ends = [], []
         for c in lists:
@@ -253,7 +264,7 @@ def mask_tiles(layout):
 
     def run(batches):
         out = BatchWriter(fields)
-        for batch in batches:
+        for batch in bounded(batches):
             lists = batch.column("polygons")
             inner = lists.flatten()
             n_edges = inner.field("edges").value_lengths().to_numpy(zero_copy_only=False)

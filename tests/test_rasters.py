@@ -271,3 +271,17 @@ def test_rows_that_wait_own_their_cells():
     strip[:] = 0
     assert out.rows[0][1].base is None
     assert out.drain()[0].to_pylist() == [{"n": 1, "cells": [3.0, 4.0]}]
+
+
+def test_wide_batches_are_read_in_pieces():
+    """Cells of a whole batch as numbers would double what the batch itself takes."""
+    cells = pa.ListArray.from_arrays(pa.array(range(0, 4_000_001, 10_000), pa.int32()), pa.array(np.arange(4e6)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), cells], ["n", "cells"])
+    seen, widest = [], 0
+    for (n,), (own,) in K.rows_of([batch], ["n"], ["cells"]):
+        seen.append((n, own[0], own.size))
+        widest = max(widest, own.base.size if own.base is not None else own.size)
+    assert seen == [(n, 1e4 * n, 10_000) for n in range(400)]
+    assert widest <= 600_000
+    empty = batch.slice(0, 0)
+    assert list(K.rows_of([empty], ["n"], ["cells"])) == []
