@@ -81,6 +81,23 @@ def by_key(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def release() -> None:
+    """Give memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass        # another C library, which has no such call
+
+
+def relieved(batches: Iterable[pa.RecordBatch], every: int) -> Iterator[pa.RecordBatch]:
+    """The batches; memory that is free goes back to the system after every few of them."""
+    for i, batch in enumerate(batches):
+        if i and i % every == 0:
+            release()
+        yield batch
+
+
 def tidy(run):
     """A batch function that gives its memory back to the system when the task ends: workers are kept
     for the next stage, and what they hold would stand against those that work."""
@@ -89,11 +106,7 @@ def tidy(run):
             yield from run(batches)
         finally:
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):
-                pass        # another C library, which has no such call
+            release()
 
     return whole
 

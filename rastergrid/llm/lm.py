@@ -12,12 +12,13 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastergrid.llm.common import by_key, fold_of, pack_sorted, slice_of, slices, texts_of, tidy, unpack_sorted
+from rastergrid.llm.common import by_key, fold_of, pack_sorted, relieved, slice_of, slices, texts_of, tidy, unpack_sorted
 from rastergrid.llm.encoding import _Index
 from rastergrid.llm.simhash import LOWER
 from rastergrid.session import materialize
@@ -34,6 +35,8 @@ HEAD_WORDS, HEAD_CHARS = 150_000, 64
 FLUSH_TOKENS = 2_000_000
 FLUSH_WORDS = 300_000
 SCORE_ROWS = 1024           # texts whose word pairs are looked up at once
+SCORE_BYTES = 2 << 20       # bytes of text after which such a run of texts ends
+LOG_TOKENS = 1 << 16        # tokens whose probabilities are worked out at once
 STRENGTH = 500.0
 
 
@@ -269,6 +272,27 @@ def learn(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> Counts:
     return Counts(table, n_slices, total[0] or 0, total[1])
 
 
+def packed_head(head: dict[bytes, int]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Keys in order, words and counts of ``head`` in a tenth of its space; each worker holds a copy."""
+    words = pa.array(list(head), pa.binary())
+    keys = np.fromiter(map(xxhash.xxh3_64_intdigest, head), np.uint64, len(head))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], words.take(pa.array(order)), np.fromiter(head.values(), np.int64, len(head))[order]
+
+
+def head_counts(head: tuple[np.ndarray, pa.Array, np.ndarray], words: list[bytes], keys: np.ndarray) -> np.ndarray:
+    """Counts of words by a packed head, 0 for those it does not hold; where keys agree, the words decide."""
+    known, listed, counts = head
+    out = np.zeros(len(keys), np.int64)
+    if len(known) and len(keys):
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hits = np.flatnonzero(known[at] == keys)
+        own = pa.array([words[i] for i in hits.tolist()], pa.binary())
+        same = pc.equal(listed.take(pa.array(at[hits])), own).to_numpy(zero_copy_only=False).astype(bool)
+        out[hits[same]] = counts[at[hits[same]]]
+    return out
+
+
 SCORED = pa.schema([
     ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
     ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()),
@@ -299,6 +323,16 @@ def log_probabilities(word: np.ndarray, before: np.ndarray, pair: np.ndarray, to
     return np.log10((together + strength * alone) / (context + strength))
 
 
+def text_runs(batches, rows: int = SCORE_ROWS, most: int = SCORE_BYTES):
+    """The batches in runs of at most ``rows`` texts; a run ends with the text that reaches ``most`` bytes, so
+    what exists for each token at a time does not grow with the length of the texts."""
+    for batch in slices(batches, rows):
+        lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff((np.cumsum(lengths) - lengths) // most)) + 1
+        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            yield batch.slice(start, end - start)
+
+
 def _score_pass(shared, tokens: int, words_seen: int, strength: float, last: bool):
     """One pass over the texts with one segment. Earlier passes hand on the levels found so far; the
     last one has them all, and the exact counts of frequent words."""
@@ -307,33 +341,38 @@ def _score_pass(shared, tokens: int, words_seen: int, strength: float, last: boo
         parts, head = shared.value
         segment, names = Segment(*parts), []
         words, part, row = Words(), TaskContext.get().partitionId(), 0
-        level, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in slices(batches, SCORE_ROWS):
+        level, count = np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        for batch in relieved(text_runs(batches), 4):
             if len(words.index) > FLUSH_WORDS:
-                words, level, count, names = Words(), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+                words, level, count, names = Words(), np.zeros(0, np.uint16), np.zeros(0, np.int64), []
             at, counts = words.tokens(batch.column("text").cast(pa.binary()).to_pylist())
-            before, pairs = words.pairs(at, counts)
             fresh = words.keys[len(level):]
-            level = np.append(level, segment.levels(fresh, _mix(fresh)))
-            distinct, back = np.unique(pairs, return_inverse=True)
-            one, two = level[at], segment.levels(distinct, distinct)[back]
+            level = np.append(level, segment.levels(fresh, _mix(fresh)).astype(np.uint16))
+            distinct, back = np.unique(words.pairs(at, counts)[1], return_inverse=True)
+            one, two = level[at], segment.levels(distinct, distinct).astype(np.uint16)[back]
+            del distinct, back
             firsts = np.cumsum(counts) - counts
             if "levels" in batch.schema.names:
                 known = np.frombuffer(b"".join(batch.column("levels").to_pylist()), np.uint16).reshape(-1, 2)
                 one, two = one | known[:, 0], two | known[:, 1]
             if not last:
-                both = np.stack([one, two], axis=1).astype(np.uint16)
+                both = np.stack([one, two], axis=1)
                 yield pa.RecordBatch.from_arrays([
                     *(batch.column(c) for c in ("doc_id", "text", "held_out")),
                     pa.array([both[a:a + n].tobytes() for a, n in zip(firsts.tolist(), counts.tolist())],
                              pa.binary())], schema=PASSED)
                 continue
             # the word before the first of a text is the end, as at the last place of any text
-            ahead = np.where(np.arange(len(at)) == np.repeat(firsts, counts),
-                             one[np.repeat(firsts + counts - 1, counts)], np.append(0, one[:-1]))
-            logs = log_probabilities(one, ahead, two, tokens, words_seen, strength)
+            ahead = np.empty_like(one)
+            ahead[1:] = one[:-1]
+            ahead[firsts] = one[firsts + counts - 1]
+            logs = np.empty(len(at))
+            for i in range(0, len(at), LOG_TOKENS):
+                some = np.s_[i:i + LOG_TOKENS]
+                logs[some] = log_probabilities(one[some], ahead[some], two[some], tokens, words_seen, strength)
+            del ahead, two
             names += islice(words.index, len(names), None)
-            count = np.append(count, np.fromiter((head.get(w, 0) for w in names[len(count):]), np.int64))
+            count = np.append(count, head_counts(head, names[len(count):], words.keys[len(count):]))
             exact = count[at]
             left = np.flatnonzero((exact == 0) & (one > 0))
             text = np.repeat(np.arange(len(counts)), counts)[left]
@@ -375,7 +414,7 @@ def score(docs: DataFrame, counts: Counts, strength: float = STRENGTH, segment_b
         last = i == len(ranges) - 1
         # parts of the segment, not the segment: a broadcast names classes and does not carry them
         parts = tuple(vars(counts.segment(first, end)).values())
-        shared = spark.sparkContext.broadcast((parts, counts.head(head_words) if last else {}))
+        shared = spark.sparkContext.broadcast((parts, packed_head(counts.head(head_words) if last else {})))
         run = _score_pass(shared, counts.tokens, counts.words, strength, last)
         rows = materialize(rows.mapInArrow(tidy(run), _ddl(SCORED if last else PASSED)))
         shared.unpersist()

@@ -126,3 +126,26 @@ def test_nothing_to_learn(spark):
     rows = [r for r in edge.ROWS if held(r[0])] or [(next(i for i in range(99) if held(i)), "a b", "en", "a")]
     got = lm.learn_and_score(edge.documents(spark, rows)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in got)
+
+
+def test_packed_heads_count_exactly_in_little_space():
+    """Each worker holds the frequent words: arrays, with words that decide where keys agree."""
+    head = {b"w%d" % i: i + 1 for i in range(20_000)}
+    packed = lm.packed_head(head)
+    assert sum(x.nbytes for x in packed) < 30 * len(head)
+    words = [b"w7", b"none", b"\n", b"w19999", b"w0"]
+    keys = np.fromiter(map(lm.xxhash.xxh3_64_intdigest, words), np.uint64)
+    assert lm.head_counts(packed, words, keys).tolist() == [8, 0, 0, 20_000, 1]
+    other = [b"another", *words[1:]]      # the key of w7, but not the word
+    assert lm.head_counts(packed, other, keys).tolist() == [0, 0, 0, 20_000, 1]
+    assert lm.head_counts(lm.packed_head({}), words, keys).tolist() == [0] * 5
+
+
+def test_long_texts_are_scored_in_short_runs():
+    """Tokens of a run are held at once: a run is bounded by bytes as well as by rows."""
+    texts = ["ab " * 1000] * 40 + ["x"] * 700 + ["y" * 5_000_000, "", "z"]
+    batch = lm.pa.RecordBatch.from_pydict({"text": texts})
+    runs = [r.column("text").to_pylist() for r in lm.text_runs([batch], most=30_000)]
+    assert [t for r in runs for t in r] == texts
+    assert all(len(r) <= lm.SCORE_ROWS and sum(map(len, r[:-1])) < 30_000 for r in runs) and len(runs) > 4
+    assert list(lm.text_runs([batch.slice(0, 0)])) == []
