@@ -186,10 +186,15 @@ def kinds(spark: SparkSession, sf: str) -> DataFrame:
     return with_envelope(shaped).select(*_COLUMNS)
 
 
+KEYS_PER_TASK = 1_000_000
+
+
 def curve_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct (col, row) pairs."""
-    return table(spark, sf, "lineitem").select(
-        F.col("l_partkey").cast("int").alias("col"), F.col("l_suppkey").cast("int").alias("row")).distinct()
+    """Distinct (col, row) pairs. The number of tasks follows the number of rows: pairs pack so well that
+    tasks sized by bytes would each hold many millions."""
+    lines = table(spark, sf, "lineitem")
+    pairs = lines.select(F.col("l_partkey").cast("int").alias("col"), F.col("l_suppkey").cast("int").alias("row"))
+    return pairs.repartition(max(1, -(-lines.count() // KEYS_PER_TASK)), "col", "row").distinct()
 
 
 def geo_points(spark: SparkSession, sf: str) -> DataFrame:

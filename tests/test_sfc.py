@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rastergrid.plans import fixtures as X
 from rastergrid.functions import sfc
 from rastergrid.session import materialize
 
@@ -63,3 +64,14 @@ def test_bad_arguments():
         sfc._check_bits(4, 5)
     with pytest.raises(ValueError):
         sfc._check_bits(32, 32)
+
+
+def test_key_tasks_follow_the_rows(spark, sf, monkeypatch):
+    """The number of tasks that tell keys apart grows with the table, and the keys stay the same."""
+    lines = X.table(spark, sf, "lineitem")
+    want = {(r.l_partkey, r.l_suppkey) for r in lines.select("l_partkey", "l_suppkey").collect()}
+    monkeypatch.setattr(X, "KEYS_PER_TASK", 100)
+    keys = X.curve_keys(spark, sf)
+    assert keys.rdd.getNumPartitions() == -(-lines.count() // 100)
+    got = [(r["col"], r["row"]) for r in keys.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
