@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,16 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+def text_runs(batches: Iterable[pa.RecordBatch], rows: int = 1024, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of at most ``rows`` texts; a run ends with the text that reaches ``most`` bytes, so
+    what exists for each token at a time does not grow with the length of the texts."""
+    for batch in slices(batches, rows):
+        lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff((np.cumsum(lengths) - lengths) // most)) + 1
+        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            yield batch.slice(start, end - start)
+
+
 def by_key(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of equal ``keys`` of sorted integer batches, as tables of whole groups.
 

@@ -18,7 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastergrid.llm.common import by_key, fold_of, pack_sorted, relieved, slice_of, slices, texts_of, tidy, unpack_sorted
+from rastergrid.llm.common import (
+    by_key, fold_of, pack_sorted, relieved, slice_of, slices, text_runs, texts_of, tidy, unpack_sorted)
 from rastergrid.llm.encoding import _Index
 from rastergrid.llm.simhash import LOWER
 from rastergrid.session import materialize
@@ -323,16 +324,6 @@ def log_probabilities(word: np.ndarray, before: np.ndarray, pair: np.ndarray, to
     return np.log10((together + strength * alone) / (context + strength))
 
 
-def text_runs(batches, rows: int = SCORE_ROWS, most: int = SCORE_BYTES):
-    """The batches in runs of at most ``rows`` texts; a run ends with the text that reaches ``most`` bytes, so
-    what exists for each token at a time does not grow with the length of the texts."""
-    for batch in slices(batches, rows):
-        lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
-        cuts = np.flatnonzero(np.diff((np.cumsum(lengths) - lengths) // most)) + 1
-        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-            yield batch.slice(start, end - start)
-
-
 def _score_pass(shared, tokens: int, words_seen: int, strength: float, last: bool):
     """One pass over the texts with one segment. Earlier passes hand on the levels found so far; the
     last one has them all, and the exact counts of frequent words."""
@@ -342,7 +333,7 @@ def _score_pass(shared, tokens: int, words_seen: int, strength: float, last: boo
         segment, names = Segment(*parts), []
         words, part, row = Words(), TaskContext.get().partitionId(), 0
         level, count = np.zeros(0, np.uint16), np.zeros(0, np.int64)
-        for batch in relieved(text_runs(batches), 4):
+        for batch in relieved(text_runs(batches, SCORE_ROWS, SCORE_BYTES), 4):
             if len(words.index) > FLUSH_WORDS:
                 words, level, count, names = Words(), np.zeros(0, np.uint16), np.zeros(0, np.int64), []
             at, counts = words.tokens(batch.column("text").cast(pa.binary()).to_pylist())

@@ -40,6 +40,47 @@ def test_random_texts_equal_library():
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == library(texts)
 
 
+def test_words_and_punctuation_equal_library():
+    """Words of plain letters take a shorter way to the model; punctuation of all kinds is cut off."""
+    import string
+
+    rng = random.Random(11)
+    letters = "abcxyzéßöøÿÉÜŒœǰKİıſΣςж×÷ªµ日"
+    words = ["".join(rng.choices(letters, k=rng.randint(0, 6))) + "".join(rng.choices(string.punctuation, k=rng.randint(0, 3)))
+             + "".join(rng.choices(["", "", "s", "'ll", "\u030c", "\u0338", "|>", "7"], k=1)) for _ in range(20_000)]
+    texts = [" ".join(words[i:i + 9]) for i in range(0, len(words), 9)] + ["J\u030c j\u030c J\u030c. x<|endoftext|>y, a<| <|",
+                                                                       "A\u0958! \u09dc. \ufb1d, a\u0130! b\u0a5e."]
+    ids, sizes = TextEncoder(read_spec()).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == library(texts)
+
+
+def test_only_distinct_words_become_objects():
+    """A column is cut and its words told apart as an array; the memory is asked once for each distinct word,
+    and the library gets a word without its punctuation and in one case."""
+    import pyarrow as pa
+
+    class Asked(dict):
+        n = 0
+
+        def get(self, *args):
+            self.n += 1
+            return super().get(*args)
+
+    class Watched(TextEncoder):
+        seen = 0
+
+        def _library(self, texts, *more):
+            self.seen += sum(len(t.split()) for t in texts)
+            return super()._library(texts, *more)
+
+    encoder = Watched(read_spec())
+    encoder.words = Asked()
+    texts = ["the cat, The cat&&& THE *** Cat! größe größe---\nthe"] * 500
+    ids, sizes = encoder.encode(pa.array(["", *texts]).slice(1))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == library(texts)
+    assert encoder.words.n == 9 and encoder.seen == 3 + 5
+
+
 def test_other_tokenizers_get_whole_texts():
     import public_tokenizers
 
