@@ -16,7 +16,6 @@ from rastergrid.llm.common import ragged
 
 ENDINGS = string.punctuation
 PLAIN = "^[a-zß-öø-ÿ]+$"  # words that NFC and lower-casing leave as they are
-ENCODE_ROWS, ENCODE_BYTES = 2048, 8 << 20   # texts to encode at once, see ``text_runs``
 LINE_WORDS = 1000        # words of letters that go through the library as one text
 
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastergrid.llm.common import slices, texts_of, tidy
+from rastergrid.llm.common import relieved, text_runs, texts_of, tidy
 from rastergrid.llm.encoding import TextEncoder, read_spec
 from rastergrid.session import materialize, shared_dir
 
@@ -89,8 +89,8 @@ def cut_pieces(docs: DataFrame, tokens: int, spec: str) -> DataFrame:
     def run(batches):
         encoder, part = TextEncoder(shared.value), TaskContext.get().partitionId()
         seen = np.zeros(tokens + 1, np.int64)
-        for batch in slices(batches):
-            ids, sizes = encoder.encode(batch.column("text").to_pylist())
+        for batch in relieved(text_runs(batches), 4):
+            ids, sizes = encoder.encode(batch.column("text"))
             ends = np.cumsum(sizes)
             ids = np.insert(ids, ends, END_ID).astype("<u4")
             sizes = sizes + 1

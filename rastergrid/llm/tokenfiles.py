@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastergrid.llm.common import text_runs, texts_of, tidy
-from rastergrid.llm.encoding import ENCODE_BYTES, ENCODE_ROWS, TextEncoder, read_spec
+from rastergrid.llm.common import relieved, text_runs, texts_of, tidy
+from rastergrid.llm.encoding import TextEncoder, read_spec
 from rastergrid.session import qualified, shared_dir
 from rastergrid.sources.fs import open_fs, write_atomic
 
@@ -157,7 +157,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str
 
     def write(batches):
         part, writer, encoder = TaskContext.get().partitionId(), None, None
-        for batch in text_runs(batches, ENCODE_ROWS, ENCODE_BYTES):
+        for batch in relieved(text_runs(batches), 4):
             if writer is None:
                 encoder = TextEncoder(shared.value[0])
                 writer = _Writer(f"{folder}/part-{part:06d}.tok", shared.value[1], level)
