@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 
 from rastergrid.llm.common import (
     by_key, fold_of, pack_sorted, relieved, slice_of, slices, text_runs, texts_of, tidy, unpack_sorted)
-from rastergrid.llm.encoding import _Index
-from rastergrid.llm.simhash import LOWER
+from rastergrid.llm.encoding import listed, numbered
 from rastergrid.session import materialize
 
 HELD_OUT, FOLDS = 2, 7
 END = b"\n"  # no word holds a line end; it closes a text and stands before the first word
 BITS_PER_ENTRY, PROBES = 12, 6
+PROBED = 1 << 14            # entries looked up at once, so that what is known of them stays in the cache
 BASES = (1.1, 1.5)  # quantisation of word counts and of pair counts
 SALT = np.uint64(0xD6E8FEB86659FD93)
 SEGMENT_BYTES = 192 << 20
@@ -42,9 +42,12 @@ STRENGTH = 500.0
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -65,7 +68,10 @@ def _hashes(entries: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _places(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Bits below ``sizes`` (less than 2^32) that the upper halves of the hashes stand for."""
     half = np.uint64(32)
-    return (((hashes >> half) * sizes) >> half).astype(np.int64)
+    out = hashes >> half
+    out *= sizes
+    out >>= half
+    return out.view(np.int64)
 
 
 def filter_slice(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -91,23 +97,48 @@ class Segment:
     sizes: np.ndarray
     bits: np.ndarray
 
-    def levels(self, keys: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    def levels(self, keys: np.ndarray, entries: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
         """Levels of filter entries, 0 for what is not there; the keys name the slices, and entries of
-        other segments are 0 as well."""
+        other segments are 0 as well. ``least``: levels that entries were put in with at least, from exact
+        counts; the filter never loses one, so they need no look-up and the levels found are the same."""
+        out = np.zeros(len(keys), np.int64)
+        for i in range(0, len(keys), PROBED):
+            some = np.s_[i:i + PROBED]
+            out[some] = self._levels(keys[some], entries[some], None if least is None else least[some])
+        return out
+
+    def _levels(self, keys: np.ndarray, entries: np.ndarray, least: np.ndarray | None) -> np.ndarray:
         own = slice_of(keys, self.slices) - self.first
         out = np.zeros(len(keys), np.int64)
         left = np.flatnonzero((own >= 0) & (own < len(self.sizes)))
         left = left[self.sizes[own[left]] > 0]
-        level = 1
+        entries, sizes, starts = entries[left], self.sizes[own[left]], self.starts[own[left]]
+        level = np.ones(1, np.int64)
+        if least is not None:
+            out[left] = least[left]
+            level = out[left] + 1
         while len(left):
-            at, step = _hashes(entries[left], np.array([level]))
-            sizes, starts = self.sizes[own[left]], self.starts[own[left]]
-            for _ in range(PROBES):
-                bit = _places(at, sizes) + starts
-                there = np.flatnonzero((self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
-                left, at, step, sizes, starts = (x[there] for x in (left, at + step, step, sizes, starts))
-                if not len(left):
-                    break
+            at, step = _hashes(entries, level)
+            hits, size, start = None, sizes, starts
+            for probe in range(PROBES):
+                bit = _places(at, size)
+                bit += start
+                shift = bit.astype(np.uint8)
+                shift &= 7
+                bit >>= 3
+                byte = self.bits.take(bit)
+                byte >>= shift
+                byte &= 1
+                found = np.flatnonzero(byte.view(bool))
+                if len(found) < len(at):    # else all are there, as most are at the lower levels
+                    hits = found if hits is None else hits.take(found)
+                    at, step, size, start = (x.take(found) for x in (at, step, size, start))
+                    if not len(at):
+                        break
+                at += step
+            if hits is not None:
+                left, entries, sizes, starts = left.take(hits), entries.take(hits), size, start
+                level = level if least is None else level.take(hits)
             out[left] = level
             level += 1
         return out
@@ -117,20 +148,29 @@ class Words:
     """Tokens of texts as numbers of distinct words, with their 64-bit keys."""
 
     def __init__(self):
-        self.index, self.keys = _Index(), np.empty(0, np.uint64)
-
-    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all tokens, and of each text how many: its words and one end."""
-        words, counts = [], []
-        for text in texts:
-            own = text.translate(LOWER).split()
-            own.append(END)
-            counts.append(len(own))
-            words += own
-        rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        new, self.index.fresh = self.index.fresh, []
-        self.keys = np.append(self.keys, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)))
-        return rows, np.array(counts, np.int64)
+        self.index, self.keys = {END: 0}, np.array([xxhash.xxh3_64_intdigest(END)], np.uint64)
+
+    def tokens(self, texts: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all tokens, and of each text how many: its words and one end. Texts are cut and
+        their words told apart as an array; objects exist for distinct words only."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.binary()).cast(pa.string())
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        found = cut.flatten().cast(pa.binary()).dictionary_encode()
+        # white space at the ends of a text leaves empty words
+        full = pc.binary_length(found.dictionary).to_numpy() > 0
+        names = found.dictionary.filter(pa.array(full))
+        numbers = np.zeros(len(full), np.int64)
+        numbers[full], new = numbered(self.index, names)
+        self.keys = np.append(self.keys, np.fromiter(
+            map(xxhash.xxh3_64_intdigest, listed(names.take(pa.array(new)))), np.uint64, len(new)))
+        at = found.indices.to_numpy()
+        kept = full[at]
+        counts = pc.list_value_length(cut).to_numpy().astype(np.int64)
+        ends = np.cumsum(counts)
+        before = np.append(0, np.cumsum(kept))
+        counts = before[ends] - before[ends - counts]
+        return np.insert(numbers[at[kept]], np.cumsum(counts), self.index[END]), counts + 1
 
     def pairs(self, rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the tokens before, and the keys of the pairs."""
@@ -172,7 +212,7 @@ def count_grams(texts: DataFrame, n_slices: int) -> DataFrame:
     def run(batches):
         words, single, pairs, held = Words(), np.zeros(0, np.int64), [], 0
         for batch in slices(batches):
-            tokens, counts = words.tokens(batch.column("text").cast(pa.binary()).to_pylist())
+            tokens, counts = words.tokens(batch.column("text"))
             pairs.append(words.pairs(tokens, counts)[1])
             more = np.bincount(tokens, minlength=len(words.index))
             more[:len(single)] += single
@@ -326,7 +366,8 @@ def log_probabilities(word: np.ndarray, before: np.ndarray, pair: np.ndarray, to
 
 def _score_pass(shared, tokens: int, words_seen: int, strength: float, last: bool):
     """One pass over the texts with one segment. Earlier passes hand on the levels found so far; the
-    last one has them all, and the exact counts of frequent words."""
+    last one has them all. Words with exact counts are looked up from their own level on: frequent ones
+    have a hundred and more, and the more the larger the corpus."""
 
     def run(batches):
         parts, head = shared.value
@@ -336,9 +377,13 @@ def _score_pass(shared, tokens: int, words_seen: int, strength: float, last: boo
         for batch in relieved(text_runs(batches, SCORE_ROWS, SCORE_BYTES), 4):
             if len(words.index) > FLUSH_WORDS:
                 words, level, count, names = Words(), np.zeros(0, np.uint16), np.zeros(0, np.int64), []
-            at, counts = words.tokens(batch.column("text").cast(pa.binary()).to_pylist())
+            at, counts = words.tokens(batch.column("text"))
             fresh = words.keys[len(level):]
-            level = np.append(level, segment.levels(fresh, _mix(fresh)).astype(np.uint16))
+            names += islice(words.index, len(names), None)
+            count = np.append(count, head_counts(head, names[len(count):], fresh))
+            exact = count[len(level):]
+            least = np.where(exact > 0, levels_of(np.maximum(exact, 1), BASES[0]), 0)
+            level = np.append(level, segment.levels(fresh, _mix(fresh), least).astype(np.uint16))
             distinct, back = np.unique(words.pairs(at, counts)[1], return_inverse=True)
             one, two = level[at], segment.levels(distinct, distinct).astype(np.uint16)[back]
             del distinct, back
@@ -362,8 +407,6 @@ def _score_pass(shared, tokens: int, words_seen: int, strength: float, last: boo
                 some = np.s_[i:i + LOG_TOKENS]
                 logs[some] = log_probabilities(one[some], ahead[some], two[some], tokens, words_seen, strength)
             del ahead, two
-            names += islice(words.index, len(names), None)
-            count = np.append(count, head_counts(head, names[len(count):], words.keys[len(count):]))
             exact = count[at]
             left = np.flatnonzero((exact == 0) & (one > 0))
             text = np.repeat(np.arange(len(counts)), counts)[left]
@@ -400,12 +443,12 @@ def score(docs: DataFrame, counts: Counts, strength: float = STRENGTH, segment_b
     spark = docs.sparkSession
     held = fold_of(docs["doc_id"], FOLDS) == HELD_OUT
     rows = texts_of(docs, held.alias("held_out"))
-    ranges = counts.segments(segment_bytes)
+    ranges, head = counts.segments(segment_bytes), packed_head(counts.head(head_words))
     for i, (first, end) in enumerate(ranges):
         last = i == len(ranges) - 1
         # parts of the segment, not the segment: a broadcast names classes and does not carry them
         parts = tuple(vars(counts.segment(first, end)).values())
-        shared = spark.sparkContext.broadcast((parts, packed_head(counts.head(head_words) if last else {})))
+        shared = spark.sparkContext.broadcast((parts, head))
         run = _score_pass(shared, counts.tokens, counts.words, strength, last)
         rows = materialize(rows.mapInArrow(tidy(run), _ddl(SCORED if last else PASSED)))
         shared.unpersist()

@@ -149,3 +149,56 @@ def test_long_texts_are_scored_in_short_runs():
     assert [t for r in runs for t in r] == texts
     assert all(len(r) <= lm.SCORE_ROWS and sum(map(len, r[:-1])) < 30_000 for r in runs) and len(runs) > 4
     assert list(lm.text_runs([batch.slice(0, 0)])) == []
+
+
+def test_tokens_are_told_apart_as_arrays():
+    """Words of a column equal those of the texts, and keys exist once for each distinct word, over several
+    columns; only those are looked up."""
+    class Asked(dict):
+        n = 0
+
+        def get(self, *args):
+            self.n += 1
+            return super().get(*args)
+
+    texts = ["", " ", "the cat The CAT\t\x0b\x0c\r\n the", "\n\x1c a\u00a0b \u2003 ", "É İ ß 日本語 Straße", "the"] * 200
+    words = lm.Words()
+    words.index = Asked(words.index)
+    for some in (texts, texts[:3], [], texts):
+        at, counts = words.tokens(lm.pa.array(["skipped", *some], lm.pa.string()).slice(1))
+        names, want = list(words.index), [[w.encode() for w in tokens_of(t)] for t in some]
+        assert counts.tolist() == [len(w) for w in want]
+        assert [names[i] for i in at.tolist()] == [w for own in want for w in own]
+    assert words.keys.tolist() == [lm.xxhash.xxh3_64_intdigest(w) for w in names]
+    assert words.index.n == 3 * len(names[1:]) - len([w for w in names[1:] if w not in (b"the", b"cat")])
+
+
+def test_entries_are_looked_up_in_small_groups(monkeypatch):
+    """What a look-up holds for each entry is bounded, and groups do not change what is found."""
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    bits = lm.filter_slice(keys, rng.integers(1, 9, 5000))
+    whole = lm.Segment(1, 0, np.array([0]), np.array([8 * len(bits)], np.uint64), bits)
+    asked = np.concatenate([keys, rng.integers(0, 2**63, 5000).astype(np.uint64)])
+    sizes, single = [], lm._hashes
+    monkeypatch.setattr(lm, "_hashes", lambda entries, level: sizes.append(len(entries)) or single(entries, level))
+    want = whole.levels(asked, asked)
+    monkeypatch.setattr(lm, "PROBED", 64)
+    sizes.clear()
+    assert (whole.levels(asked, asked) == want).all() and max(sizes) <= 64
+
+
+def test_known_levels_are_not_looked_up(monkeypatch):
+    """Entries with exact counts begin at their own level, whatever it is, and the levels found are the same."""
+    rng = np.random.default_rng(6)
+    keys = rng.integers(0, 2**63, 4000).astype(np.uint64) * np.uint64(2)
+    levels = rng.integers(1, 120, 4000)
+    bits = lm.filter_slice(keys, levels)
+    whole = lm.Segment(2, 0, np.array([0]), np.array([8 * len(bits)], np.uint64), bits)    # half of the keys
+    asked, probed, single = np.append(keys, keys[:9] + np.uint64(1)), [], lm._hashes
+    least = np.append(np.where(np.arange(4000) % 4 > 0, levels, 0), np.zeros(9, np.int64))
+    want = whole.levels(asked, asked)
+    assert 0 < (want > 0).sum() < 4000 and (want[:4000][want[:4000] > 0] >= levels[want[:4000] > 0]).all()
+    monkeypatch.setattr(lm, "_hashes", lambda entries, level: probed.append(len(entries)) or single(entries, level))
+    assert (whole.levels(asked, asked, least) == want).all()
+    assert sum(probed) < 0.3 * (want.sum() + len(want))
