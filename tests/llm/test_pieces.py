@@ -72,3 +72,48 @@ def test_edge_rows_and_round_trip(spark, library):
         (str(i), len(x), zlib.crc32(x.tobytes())) for i, _, x in want)
     assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), library.decode(x.tolist())) for i, _, x in want)
     assert pieces.encode(docs.limit(0)).count() == 0
+
+
+def test_many_words_go_without_a_python_step_for_each_character(library, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(rng.choice(list("aehinrstéñ"), rng.integers(2, 12))) for _ in range(300)) for _ in range(8)]
+    seen, one = [], pieces.Viterbi._merged
+    monkeypatch.setattr(pieces.Viterbi, "_merged", lambda self, word, *more: (seen.append(word), one(self, word, *more)))
+    ids, sizes = pieces.Encoder(pieces.read_model()).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == library.encode(texts)
+    assert len(seen) < pieces.FEW
+
+
+@pytest.mark.parametrize("run", [1 << 20, 50])
+@pytest.mark.parametrize("kind", ["bpe", "unigram"])
+def test_prefixes_by_depth_give_what_words_one_by_one_give(kind, run, monkeypatch):
+    monkeypatch.setattr(pieces, "RUN_CHARS", run)
+    rng = np.random.default_rng(9)
+    for letters in ("ab", "abcé日"):
+        names = sorted({"".join(rng.choice(list(letters), rng.integers(1, 6))) for _ in range(60)} - {"é"})
+        # few scores, so that sums are often equal
+        search = pieces.Viterbi(pieces.Vocabulary(names, (-rng.integers(1, 6, len(names)) / 4).tolist(), set()), kind)
+        words = ["".join(rng.choice([*letters, "?", "😀"], rng.integers(0, 14))) for _ in range(700)] + ["ab" * 40, ""]
+        found = dict(search.segment(words))
+        assert [found[at] for at in range(len(words))] == [
+            own for _, own in sorted(search._one_by_one(words))]
+
+
+def test_words_end_where_the_library_cuts_or_no_piece_goes_on(library):
+    rng = np.random.default_rng(10)
+    some = ["▁", "▁▁", " ", "  ", "\n", "\n\n", "\t", "a", "Z", "é", "ÿ", "×", "÷", "Ã", "ß", "Ā", "1", ".", "(", "~", "@", "日", "😀", "\x00", "\x7f",
+            "the", "ing", "://", "..."]
+    texts = ["".join(rng.choice(some, rng.integers(0, 30))) for _ in range(3000)]
+    ids, sizes = pieces.Encoder(pieces.read_model()).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == library.encode(texts)
+
+
+def test_tables_find_what_was_put_in():
+    rng = np.random.default_rng(11)
+    keys = np.unique(rng.integers(0, 1 << 50, 5000))
+    table = pieces._Table()
+    assert table.get(keys[:3]).tolist() == [-1, -1, -1]
+    for at in range(0, len(keys), 700):
+        table.put(keys[at:at + 700], np.arange(at, min(at + 700, len(keys))).astype(np.int32))
+    assert (table.get(keys) == np.arange(len(keys))).all()
+    assert (table.get(keys[:-1] + 1)[np.diff(keys) > 1] == -1).all()
