@@ -19,7 +19,7 @@ MARK = "▁"
 WAITING_WORDS = 2_000_000      # words of texts that wait, as numbers, for their new words to be searched together
 HELD_BYTES = 32 << 20          # bytes of the words that are remembered
 RUN_CHARS = 1 << 20            # characters of sorted words that are searched at a time
-FEW = 64                       # words that are longer than all but so many are searched one by one
+FEW = 256                      # of those, words as long as so many at least go by depth, longer ones one by one
 #: Where a Latin letter meets ASCII punctuation or a digit.
 BORDER = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-@\[-`{-~])")
 LINES = re.compile(r"(?s)\n.|.\n")
@@ -52,7 +52,7 @@ class _Table:
         if 3 * (self.size + len(keys)) > len(self.keys):
             old = self.keys >= 0
             keys, values = np.append(keys, self.keys[old]), np.append(values, self.values[old])
-            room = 2 << (3 * len(keys)).bit_length()
+            room = 1 << (3 * len(keys)).bit_length()
             self.size, self.keys, self.values = 0, np.full(room, -1, np.int64), np.zeros(room, np.int32)
         at, left = self._home(keys), np.arange(len(keys))
         while len(left):
@@ -196,9 +196,9 @@ class Viterbi:
         for c in sorted({c for p in ids for c in p}):
             self.number.setdefault(c, n + len(self.number) - len(ids))
         self.room = n + len(self.number) - len(ids) + 1
-        merges = {(x, y): i for p, i in ids.items() for k in range(1, len(p))
+        merges = {x * self.room + y: i for p, i in ids.items() for k in range(1, len(p))
                   if (x := self.number.get(p[:k])) is not None and (y := self.number.get(p[k:])) is not None}
-        self.merges = _Table([x * self.room + y for x, y in merges], list(merges.values()))
+        self.merges = _Table(list(merges), list(merges.values()))
         self.left, self.right = _Ends(n), _Ends(n)
         self.asked, self.built = np.zeros(n, bool), np.zeros(n, bool)
         self.pairs = _Table()
@@ -320,18 +320,21 @@ class Viterbi:
     def search(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces of all words, one word after the other, and their number in each word; -1 less the
         code point for a character that is no piece."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        depth = np.sort(lengths)[-FEW] if len(words) >= FEW else -1
-        order = sorted(np.flatnonzero(lengths <= depth).tolist(), key=words.__getitem__)
-        long = np.flatnonzero(lengths > depth).tolist()
-        cuts = np.flatnonzero(np.diff(np.cumsum(lengths[order]) // RUN_CHARS)) + 1
-        runs = [self._by_depth([words[i] for i in order[a:b]])
-                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)])]
-        found = list(self._one_by_one([words[i] for i in long]))
-        more = [self.v.ids.get(p, -1 - ord(p[0])) for _, own in found for p in own]
-        codes = np.concatenate([x for x, _ in runs] + [np.array(more, np.int64)])
-        counts = np.concatenate([x for _, x in runs] + [np.array([len(own) for _, own in found], np.int64)])
-        back = np.argsort(order + [long[at] for at, _ in found])
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))[order]
+        cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // RUN_CHARS)) + 1
+        rows, codes, counts = [], [], []
+        for run, sizes in zip(np.split(order, cuts), np.split(lengths, cuts)):
+            depth = np.sort(sizes)[-FEW] if len(run) >= FEW else -1
+            short, long = run[sizes <= depth], run[sizes > depth]
+            own, own_counts = self._by_depth([words[i] for i in short.tolist()])
+            found = list(self._one_by_one([words[i] for i in long.tolist()]))
+            more = [self.v.ids.get(p, -1 - ord(p[0])) for _, parts in found for p in parts]
+            rows += [short, long[[at for at, _ in found]]]
+            codes += [own, np.array(more, np.int64)]
+            counts += [own_counts, np.array([len(parts) for _, parts in found], np.int64)]
+        back = np.argsort(np.concatenate(rows))
+        codes, counts = np.concatenate(codes), np.concatenate(counts)
         return codes[ragged((np.cumsum(counts) - counts)[back], counts[back])], counts[back]
 
     def segment(self, words: list[str]) -> Iterator[tuple[int, list[str]]]:

@@ -88,6 +88,7 @@ def test_many_words_go_without_a_python_step_for_each_character(library, monkeyp
 @pytest.mark.parametrize("kind", ["bpe", "unigram"])
 def test_prefixes_by_depth_give_what_words_one_by_one_give(kind, run, monkeypatch):
     monkeypatch.setattr(pieces, "RUN_CHARS", run)
+    monkeypatch.setattr(pieces, "FEW", 4)
     rng = np.random.default_rng(9)
     for letters in ("ab", "abcé日"):
         names = sorted({"".join(rng.choice(list(letters), rng.integers(1, 6))) for _ in range(60)} - {"é"})
